@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import table
+from plumbline.llm.decontam import op10
 from plumbline.llm.hilbert import op7
 from plumbline.llm.mixing import op4
+from plumbline.llm.simhash import op3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +20,10 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_simhash_components": _over_documents(op3),
     "op4_pareto_mix": _over_documents(op4),
     "op7_hilbert_shards": _over_documents(op7),
+    "op10_decontaminate": op10,
 }
 
 ORACLES: dict[str, str] = {}
