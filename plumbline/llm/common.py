@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words of the corpus contracts: runs of anything but space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,12 +22,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint.
 
     The folder is the one the session names in spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder is made.
+    machine) a temporary folder is made. Shuffle files of the finished plan are given back at once, so that a query
+    of several phases needs the disk of its largest one; a lost task before that is run again from them.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def word_count(text: Column) -> Column:

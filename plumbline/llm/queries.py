@@ -11,6 +11,7 @@ from plumbline.llm.decontam import op10
 from plumbline.llm.hilbert import op7
 from plumbline.llm.mixing import op4
 from plumbline.llm.simhash import op3
+from plumbline.llm.substrings import op5
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,7 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op3_simhash_components": _over_documents(op3),
     "op4_pareto_mix": _over_documents(op4),
+    "op5_substring_dedup": _over_documents(op5),
     "op7_hilbert_shards": _over_documents(op7),
     "op10_decontaminate": op10,
 }
