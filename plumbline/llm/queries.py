@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.common import table
 from plumbline.llm.decontam import op10
 from plumbline.llm.hilbert import op7
+from plumbline.llm.langid import op6
 from plumbline.llm.mixing import op4
 from plumbline.llm.simhash import op3
 from plumbline.llm.substrings import op5
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash_components": _over_documents(op3),
     "op4_pareto_mix": _over_documents(op4),
     "op5_substring_dedup": _over_documents(op5),
+    "op6_language_id": _over_documents(op6),
     "op7_hilbert_shards": _over_documents(op7),
     "op10_decontaminate": op10,
 }
