@@ -13,6 +13,7 @@ from plumbline.llm.langid import op6
 from plumbline.llm.mixing import op4
 from plumbline.llm.simhash import op3
 from plumbline.llm.substrings import op5
+from plumbline.llm.toxicity import op2
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,7 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity_neighbours": lambda spark, sf_dir: op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_simhash_components": _over_documents(op3),
     "op4_pareto_mix": _over_documents(op4),
     "op5_substring_dedup": _over_documents(op5),
