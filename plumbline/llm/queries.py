@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.audio import op8
+from plumbline.llm.chat import op9
 from plumbline.llm.common import table
 from plumbline.llm.decontam import op10
 from plumbline.llm.hilbert import op7
+from plumbline.llm.html_text import op1
 from plumbline.llm.langid import op6
 from plumbline.llm.mixing import op4
 from plumbline.llm.simhash import op3
@@ -23,12 +26,15 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_main_text": lambda spark, sf_dir: op1(table(spark, sf_dir, "pages")),
     "op2_toxicity_neighbours": lambda spark, sf_dir: op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_simhash_components": _over_documents(op3),
     "op4_pareto_mix": _over_documents(op4),
     "op5_substring_dedup": _over_documents(op5),
     "op6_language_id": _over_documents(op6),
     "op7_hilbert_shards": _over_documents(op7),
+    "op8_audio_features": _over_documents(op8),
+    "op9_chat_format": lambda spark, sf_dir: op9(table(spark, sf_dir, "conversations")),
     "op10_decontaminate": op10,
 }
 
