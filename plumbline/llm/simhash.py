@@ -120,7 +120,7 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Rows that share the id are told apart by a hash of all columns; one of them stays. A row with a null id can't
     be named: if no row of its component has an id, one row for each of its texts stays.
     """
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=5)
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col)
     stays = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("kept")).agg(F.min("fp").alias("fp"))
     rank = free_name(docs, "rank")
     d, k = docs.alias("d"), stays.alias("k")
