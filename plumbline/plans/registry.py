@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from plumbline.operators.fusion import decided
+from plumbline.plans import fusion
+from plumbline.sources.tables import evaluation
+
+FAMILIES = [fusion]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in FAMILIES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in FAMILIES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Scores, policy and verdict of every document."""
+    return decided(evaluation(spark, sf_dir)).select("path", "split", "y", "base", "fused", "p_fused", "probability", "verdict")
