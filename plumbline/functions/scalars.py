@@ -93,4 +93,6 @@ def sorted_pairs(tags: Column, first: int = 4) -> Column:
 
 def human_size(n: Column) -> Column:
     """B, KB or MB with one decimal."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(F.format_number(n / 1024.0, "0.0"), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / 1048576.0, "0.0"), F.lit(" MB")))
+    tenth = lambda x: F.round(x, 1).cast("decimal(12,1)").cast("string")
+    large = F.when(n < 1048576, F.concat(tenth(n / 1024.0), F.lit(" KB"))).otherwise(F.concat(tenth(n / 1048576.0), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(large)
