@@ -79,15 +79,14 @@ def fuse_rules(spark, sf_dir):
 
 @query(
     "fuse_cascade",
-    WITH + ", m AS (SELECT *, (r1+r2+r3)/3e0 AS rm FROM ranked), q AS (SELECT quantile_cont(rm,0.4) AS lo, quantile_cont(rm,0.9) AS hi FROM m WHERE split='inner_oof') "
-    "SELECT path, round(CASE WHEN rm BETWEEN lo AND hi THEN rm ELSE r1 END, 6) AS cascade FROM m, q WHERE abs(rm-lo) > 1e-9 AND abs(rm-hi) > 1e-9",
+    WITH + ", m AS (SELECT *, round((r1+r2+r3)/3e0,9) AS rm FROM ranked), q AS (SELECT round(quantile_cont(rm,0.4),9) AS lo, round(quantile_cont(rm,0.9),9) AS hi FROM m WHERE split='inner_oof') "
+    "SELECT path, round(CASE WHEN rm BETWEEN lo AND hi THEN rm ELSE r1 END, 6) AS cascade FROM m, q",
 )
 def fuse_cascade(spark, sf_dir):
     ev = evaluation(spark, sf_dir)
-    d = fu.ranked(ev, ev.filter("split = 'inner_oof'")).withColumn("rm", (F.col("r_s1") + F.col("r_s2") + F.col("r_s3")) / 3.0)
-    q = d.filter("split = 'inner_oof'").agg(F.percentile("rm", 0.4).alias("lo"), F.percentile("rm", 0.9).alias("hi"))
-    d = d.join(F.broadcast(q)).filter("abs(rm - lo) > 1e-9 and abs(rm - hi) > 1e-9")
-    return d.select("path", F.round(F.when(F.col("rm").between(F.col("lo"), F.col("hi")), F.col("rm")).otherwise(F.col("r_s1")), 6).alias("cascade"))
+    d = fu.ranked(ev, ev.filter("split = 'inner_oof'")).withColumn("rm", F.round((F.col("r_s1") + F.col("r_s2") + F.col("r_s3")) / 3.0, 9))
+    q = d.filter("split = 'inner_oof'").agg(F.round(F.percentile("rm", 0.4), 9).alias("lo"), F.round(F.percentile("rm", 0.9), 9).alias("hi"))
+    return d.join(F.broadcast(q)).select("path", F.round(F.when(F.col("rm").between(F.col("lo"), F.col("hi")), F.col("rm")).otherwise(F.col("r_s1")), 6).alias("cascade"))
 
 
 @query(

@@ -143,12 +143,11 @@ def spec_parse(spark, sf_dir):
 
 @query(
     "evidence_text",
-    W + "SELECT path, 'level '||round(s2,2)::DECIMAL(10,2)::VARCHAR||', '||n_chars::VARCHAR||' characters'||CASE WHEN m3 < -3e0 THEN '; guarded' ELSE '' END AS evidence, CASE WHEN n_chars<1024 THEN n_chars||' B' WHEN n_chars<1048576 THEN round(n_chars/1024e0,1)::DECIMAL(10,1)||' KB' END AS size FROM ev WHERE abs(s2*100-round(s2*100)) < 0.49e0 AND abs(n_chars/102.4e0-round(n_chars/102.4e0)) < 0.49e0",
+    W + "SELECT path, 'level '||floor(round(s2*100,6))::BIGINT::VARCHAR||', '||n_chars::VARCHAR||' characters'||CASE WHEN m3 < -3e0 THEN '; guarded' ELSE '' END AS evidence, CASE WHEN n_chars<1024 THEN n_chars||' B' ELSE round(n_chars/1024e0,1)::DECIMAL(12,1)||' KB' END AS size FROM ev",
 )
 def evidence_text(spark, sf_dir):
-    clear = "abs(s2 * 100 - round(s2 * 100)) < 0.49D and abs(n_chars / 102.4D - round(n_chars / 102.4D)) < 0.49D"
-    text = F.concat(F.lit("level "), F.round("s2", 2).cast("decimal(10,2)").cast("string"), F.lit(", "), F.col("n_chars").cast("string"), F.lit(" characters"), F.when(F.col("m3") < -3, "; guarded").otherwise(""))
-    return evaluation(spark, sf_dir).filter(clear).select("path", text.alias("evidence"), sc.human_size(F.col("n_chars")).alias("size"))
+    text = F.concat(F.lit("level "), F.floor(F.round(F.col("s2") * 100, 6)).cast("string"), F.lit(", "), F.col("n_chars").cast("string"), F.lit(" characters"), F.when(F.col("m3") < -3, "; guarded").otherwise(""))
+    return evaluation(spark, sf_dir).select("path", text.alias("evidence"), sc.human_size(F.col("n_chars")).alias("size"))
 
 
 @query(
@@ -240,11 +239,11 @@ def template_missing(spark, sf_dir):
     return ev.select("path").join(have, "path", "left").select("path", F.coalesce("s", F.lit(0.0001)).alias("score"), F.col("s").isNull().alias("missing"))
 
 
-@query("template_resolve", W + ", t AS (SELECT DISTINCT speaker||'/'||path AS want, path FROM ev WHERE doc_id%3=0) SELECT want, path AS found FROM t UNION ALL SELECT 'none/x'||doc_id, NULL FROM ev WHERE doc_id%50=0")
+@query("template_resolve", W + ", t AS (SELECT DISTINCT speaker||'/'||path AS want, path FROM ev) SELECT want, path AS found FROM t UNION ALL SELECT 'none/x'||doc_id, NULL FROM ev")
 def template_resolve(spark, sf_dir):
     ev = evaluation(spark, sf_dir)
-    wanted = ev.filter("doc_id % 3 = 0").select(F.concat_ws("/", "speaker", "path").alias("want"))
-    wanted = wanted.union(ev.filter("doc_id % 50 = 0").select(F.concat(F.lit("none/x"), F.col("doc_id"))))
+    wanted = ev.select(F.concat_ws("/", "speaker", "path").alias("want"))
+    wanted = wanted.union(ev.select(F.concat(F.lit("none/x"), F.col("doc_id"))))
     return rel.resolved(wanted, ev.select("path"), "want", "path")
 
 
@@ -481,10 +480,10 @@ def latest_wins(spark, sf_dir):
     return last.select("conv_id", "m.turn", "m.text")
 
 
-@query("requested_keys", "SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE user_id%5=0 AND event_type IN ('click','view') GROUP BY ALL")
+@query("requested_keys", "SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE event_type IN ('click','view') GROUP BY ALL")
 def requested_keys(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    asked = e.filter("user_id % 5 = 0 and event_type in ('click', 'view')").select("user_id", "event_type").distinct()
+    asked = e.filter("event_type in ('click', 'view')").select("user_id", "event_type").distinct()
     return e.join(asked, ["user_id", "event_type"], "left_semi").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
 
 
