@@ -14,6 +14,7 @@ from plumbline.llm.hilbert import op7
 from plumbline.llm.html_text import op1
 from plumbline.llm.langid import op6
 from plumbline.llm.mixing import op4
+from plumbline.llm.oracles import OP4, OP5, OP9, OP10
 from plumbline.llm.simhash import op3
 from plumbline.llm.substrings import op5
 from plumbline.llm.toxicity import op2
@@ -38,4 +39,4 @@ QUERIES: dict[str, Query] = {
     "op10_decontaminate": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_pareto_mix": OP4, "op5_substring_dedup": OP5, "op9_chat_format": OP9, "op10_decontaminate": OP10}
