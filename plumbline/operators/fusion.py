@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ DETECTORS = ("s1", "s2", "s3")
 #: Shipped weights, suppression rule and Platt map. Fixed values.
 WEIGHTS = {"s1": 0.6, "s2": 0.2, "s3": 0.2}
 E_THRESHOLD, E_FLOOR, E_FACTOR = -3.0, 0.5, 0.5
-PLATT_A, PLATT_B = 17.6928266, -8.1514753
+PLATT_A, PLATT_B, PRIOR_SHIFT = 17.6928266, -8.1514753, math.log(0.3 / 0.7)
 
 
 def ecdf_rank(rows: DataFrame, reference: DataFrame, col: str, name: str, cuts: list[float] | None = None) -> DataFrame:
@@ -60,7 +61,7 @@ def fused(ev: DataFrame) -> DataFrame:
     """Ranks against inner rows, base blend, suppression, and the Platt probability."""
     d = ranked(ev, ev.filter("split = 'inner_oof'"))
     d = d.withColumn("base", blend()).withColumn("fused", suppressed(F.col("base"), F.col("m3")))
-    return d.withColumn("p_fused", platt(F.col("fused"), PLATT_A, PLATT_B))
+    return d.withColumn("p_fused", platt(F.col("fused"), PLATT_A, PLATT_B, PRIOR_SHIFT))
 
 
 def standardised(ev: DataFrame, detectors: tuple[str, ...] = DETECTORS) -> DataFrame:

@@ -18,7 +18,7 @@ c3 AS (SELECT e.s3 AS v, count(r.s3) AS k FROM (SELECT DISTINCT s3 FROM ev) e LE
 ranked AS (SELECT ev.*, c1.k/n.n::DOUBLE AS r1, c2.k/n.n::DOUBLE AS r2, c3.k/n.n::DOUBLE AS r3 FROM ev, n, c1, c2, c3 WHERE c1.v=ev.s1 AND c2.v=ev.s2 AND c3.v=ev.s3),
 based AS (SELECT *, 0.6e0*r1+0.2e0*r2+0.2e0*r3 AS base FROM ranked),
 fused AS (SELECT *, CASE WHEN m3 < -3e0 AND base > 0.5e0 THEN base*0.5e0 ELSE base END AS fused FROM based),
-probs AS (SELECT *, 1e0/(1e0+exp(-(17.6928266e0*fused-8.1514753e0))) AS p_fused FROM fused)"""
+probs AS (SELECT *, 1e0/(1e0+exp(-(17.6928266e0*fused-8.1514753e0+ln(0.3e0/0.7e0)))) AS p_fused FROM fused)"""
 WITH = f"WITH {EV}{RANKED} "
 
 
@@ -187,7 +187,7 @@ def speech_gate_rules(spark, sf_dir):
     return ev.select("path", F.array_join(reasons, ",").alias("reasons"))
 
 
-ABLATION_SQL = WITH + """, gated AS (SELECT *, CASE WHEN n_chars >= 300 THEN 0.001e0+0.999e0*p_fused ELSE 0.0005e0 END AS on_, 1e0/(1e0+exp(-(17.6928266e0*base-8.1514753e0))) AS raw FROM probs),
+ABLATION_SQL = WITH + """, gated AS (SELECT *, CASE WHEN n_chars >= 300 THEN 0.001e0+0.999e0*p_fused ELSE 0.0005e0 END AS on_, 1e0/(1e0+exp(-(17.6928266e0*base-8.1514753e0+ln(0.3e0/0.7e0)))) AS raw FROM probs),
 sc AS (SELECT 'router_on' AS variant, split, y, round(on_,9) AS score FROM gated UNION ALL SELECT 'no_gate', split, y, round(p_fused,9) FROM gated
 UNION ALL SELECT 'no_suppression', split, y, round(CASE WHEN n_chars>=300 THEN 0.001e0+0.999e0*raw ELSE 0.0005e0 END,9) FROM gated UNION ALL SELECT 'router_off', split, y, round(raw,9) FROM gated UNION ALL SELECT 'equal', split, y, round((r1+r2+r3)/3e0,9) FROM gated)"""
 
@@ -197,7 +197,7 @@ def ablation(spark, sf_dir):
     from plumbline.functions.scalars import platt
 
     d = fu.fused(evaluation(spark, sf_dir))
-    speech, raw = F.col("n_chars") >= 300, platt(F.col("base"), fu.PLATT_A, fu.PLATT_B)
+    speech, raw = F.col("n_chars") >= 300, platt(F.col("base"), fu.PLATT_A, fu.PLATT_B, fu.PRIOR_SHIFT)
     gate = lambda p: F.when(speech, 0.001 + 0.999 * p).otherwise(0.0005)
     variants = {"router_on": gate(F.col("p_fused")), "no_gate": F.col("p_fused"), "no_suppression": gate(raw), "router_off": raw, "equal": (F.col("r_s1") + F.col("r_s2") + F.col("r_s3")) / 3.0}
     wide = d.select("path", "split", "y", *[F.round(v, 9).alias(k) for k, v in variants.items()])

@@ -23,6 +23,7 @@ def score_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str,
 
 def windowed_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value", width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """(window, key, n, mean, share above 50) over event time; works on a stream, with late rows up to `late`, or a table."""
-    d = events.withWatermark(ts, late) if events.isStreaming else events
+    d = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    d = d.withWatermark(ts, late) if events.isStreaming else d
     hit = (F.col(value) > 50).cast("int")
     return d.groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.avg(hit).alias("share"))
