@@ -2,8 +2,8 @@
 
 Terms are words (lower case, punctuation apart) and their first five and seven letters. The vocabulary holds the
 terms that point to label 1 most clearly in the example sample (chi-square) and the most frequent ones, which give
-texts without the former a place far from them; document frequencies are counted over all documents. Examples are sorted by a hash and indexed in blocks of 64: postings by term and block, and each term's
-largest weight in each block. A query adds up bounds for all blocks, reads blocks from the highest bound down, and
+texts without the former a place far from them; document frequencies are counted over all documents. Examples are indexed in blocks of 64: postings by term and block, and each term's largest weight in
+each block. A query adds up bounds for all blocks, reads blocks from the highest bound down, and
 stops when the next bound is below its k-th best cosine; so neighbours are exact.
 
 Neighbours vote with weight 1 / (distance + c), distance being 1 - cosine. A logistic curve fitted to leave-one-out
@@ -25,6 +25,8 @@ from plumbline.llm.common import checkpointed, sliced
 from plumbline.llm.rows import with_computed
 
 BLOCK = 64
+#: Blocks whose postings are added up in one step.
+TOGETHER = 8
 NEAREST = 15
 SOFT = 0.05
 PREFIXES = (5, 7)
@@ -46,7 +48,7 @@ def terms_of(word: str) -> list[str]:
 class Terms:
     """Counts of vocabulary terms in texts; a word's terms are looked up once while its slot is held."""
 
-    HELD = 200_000
+    HELD = 50_000
 
     def __init__(self, vocabulary: list[str]):
         self.slot = {t: i for i, t in enumerate(vocabulary)}
@@ -76,46 +78,46 @@ def weights(slot: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index over example vectors."""
+    """Block-max inverted index over example vectors.
+
+    Examples with the same heaviest terms stand together, so that blocks differ and bounds are tight. A term's
+    postings in a block are a row of BLOCK weights.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: np.ndarray, terms: int):
-        self.ids, self.labels, self.n = np.array(ids, np.int64), labels.astype(np.float64), len(vectors)
-        self.blocks = blocks = -(-self.n // BLOCK)
-        term = np.concatenate([s for s, _ in vectors] or [np.empty(0, np.int64)])
-        doc = np.repeat(np.arange(self.n), [len(s) for s, _ in vectors])
-        w = np.concatenate([x for _, x in vectors] or [np.empty(0)])
-        order = np.lexsort((doc, term, doc // BLOCK))
-        self.doc, self.weight = doc[order], w[order]
-        cell = (doc // BLOCK * terms + term)[order]
-        self.begin = np.searchsorted(cell, np.arange(blocks * terms + 1))
-        self.top = np.zeros((terms, blocks))
-        np.maximum.at(self.top, (term, doc // BLOCK), w)
-        self.terms = terms
+        order = sorted(range(len(vectors)), key=lambda i: (*vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist(), i))
+        self.ids, self.labels, self.n = np.array(ids, np.int64)[order], labels.astype(np.float64)[order], len(vectors)
+        self.order = np.array(order, np.int64)
+        self.blocks = -(-self.n // BLOCK)
+        self.postings = np.zeros((terms, self.blocks, BLOCK))
+        for place, i in enumerate(order):
+            slot, w = vectors[i]
+            self.postings[slot, place // BLOCK, place % BLOCK] = w
+        self.top = self.postings.max(axis=2, initial=0.0)
 
     def nearest(self, slot: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, best first; ties go to the lower place."""
+        places, cosines, kth = np.empty(0, np.int64), np.empty(0), 0.0
         if not self.n or not len(slot):
-            return np.empty(0, np.int64), np.empty(0)
+            return places, cosines
         bound = w @ self.top[slot]
         order = np.argsort(-bound, kind="stable")
-        places, cosines, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(places) >= k and bound[b] < kth - 1e-12):
-                break
-            low = self.begin[b * self.terms + slot]
-            many = self.begin[b * self.terms + slot + 1] - low
-            total = int(many.sum())
-            at = np.arange(total) + np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many)
-            first = b * BLOCK
-            sums = np.bincount(self.doc[at] - first, self.weight[at] * np.repeat(w, many), BLOCK)
-            hit = np.flatnonzero(sums > 0)
-            hit = hit[hit + first != without]
-            places, cosines = np.concatenate((places, hit + first)), np.concatenate((cosines, sums[hit]))
-            if len(places) > k:
+        bound = bound[order]
+        order = order[: np.searchsorted(-bound, 0.0)]
+        for i in range(0, len(order), TOGETHER):
+            some = order[i : i + TOGETHER]
+            if kth > 0:
+                some = some[bound[i : i + len(some)] >= kth - 1e-12]
+                if not len(some):
+                    break
+            sums = w @ self.postings[slot[:, None], some].reshape(len(slot), -1)
+            hit = np.flatnonzero(sums >= kth if kth > 0 else sums > 0)
+            at = some[hit // BLOCK] * BLOCK + hit % BLOCK
+            places, cosines = np.concatenate((places, at[at != without])), np.concatenate((cosines, sums[hit[at != without]]))
+            if len(places) >= k:
                 best = np.lexsort((places, -cosines))[:k]
                 places, cosines = places[best], cosines[best]
-            if len(places) >= k:
-                kth = cosines.min()
+                kth = cosines[-1]
         best = np.lexsort((places, -cosines))
         return places[best], np.minimum(cosines[best], 1.0)
 
@@ -209,9 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 40
     labels_of = np.array([r["toxic"] for r in rows], np.float64)
     index = Index(vecs, [r["id"] for r in rows], labels_of, max(len(vocabulary), 1))
     prior = float(labels_of.mean()) if len(rows) else 0.5
-    votes = np.array([index.vote(s, w, prior, without=i)[0] for i, (s, w) in enumerate(vecs)])
+    votes = np.array([index.vote(*vecs[i], prior, without=place)[0] for place, i in enumerate(index.order)])
+    labels_of = index.labels
     real = np.where(labels_of == 1, share / max(prior, 1e-9), (1 - share) / max(1 - prior, 1e-9))
-    slope, offset = logistic(_log_odds(votes), labels_of, real) if 0 < prior < 1 else (1.0, 0.0)
+    slope, offset = logistic(_log_odds(votes), labels_of, real) if len(rows) and 0 < prior < 1 else (1.0, 0.0)
     return {"vocabulary": vocabulary, "idf": idf, "index": index, "prior": prior, "slope": slope, "offset": offset}
 
 
