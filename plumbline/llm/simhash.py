@@ -110,8 +110,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null, empty and wordless texts have fingerprint 0, which links like any other. Null ids are not the smallest
     unless a component has no other; its component_id is then null. Repeated rows stay. No rows give no rows.
     """
-    rows = checkpointed(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "fp", shingle=shingle, keep=["id"]))
-    return rows.join(groups(rows, "id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    near = _near(docs, id_col, text_col, shingle)
+    return near.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, sum, fp, component_id), sum a hash of the text."""
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("sum"), F.col(text_col).alias("text"))
+    rows = checkpointed(with_fingerprint(slim, "fp", shingle=shingle, keep=["id", "sum"]))
+    return rows.join(groups(rows, "id"), "fp").select("id", "sum", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,11 +127,11 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Rows that share the id are told apart by a hash of all columns; one of them stays. A row with a null id can't
     be named: if no row of its component has an id, one row for each of its texts stays.
     """
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    stays = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("kept")).agg(F.min("fp").alias("fp"))
-    rank = free_name(docs, "rank")
-    d, k = docs.alias("d"), stays.alias("k")
-    both = d.join(k, F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.kept"))).select("d.*")
+    near = _near(docs, id_col, text_col, 3)
+    stays = near.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "sum").distinct()
+    rank, total = free_name(docs, "rank"), free_name(docs, "sum")
+    d, k = docs.withColumn(total, F.xxhash64(text_col)).alias("d"), stays.alias("k")
+    both = d.join(k, F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.id")) & (F.col(f"d.{total}") == F.col("k.sum"))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
     same = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col)))
     order = same.orderBy(F.xxhash64(*[F.to_json(F.struct(*docs.columns))]))
     return both.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
