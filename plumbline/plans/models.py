@@ -119,5 +119,5 @@ def explain_json(spark, sf_dir):
 
     d = decided(evaluation(spark, sf_dir))
     terms = F.map_from_arrays(F.array(F.lit("s1"), F.lit("s2"), F.lit("s3")), F.array(*[F.round(f"r_s{i}", 6) for i in (1, 2, 3)]))
-    fusion = F.struct(F.lit("A3_w0.2_E").alias("rule"), terms.alias("ranks"), F.round("base", 6).alias("base"), F.round("fused", 6).alias("fused"), F.round("p_fused", 6).alias("p_fused"))
+    fusion = F.struct(F.lit("rank blend, suppressed").alias("rule"), terms.alias("ranks"), F.round("base", 6).alias("base"), F.round("fused", 6).alias("fused"), F.round("p_fused", 6).alias("p_fused"))
     return d.select("path", F.to_json(F.struct(F.col("path").alias("filename"), F.round("probability", 9).alias("probability_synthetic"), "verdict", "is_speech", fusion.alias("fusion"))).alias("document"))
