@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.prefix import running
 from plumbline.functions.scalars import basename
 
 
@@ -65,14 +66,24 @@ def sampled(rows: DataFrame, keys: list[str], key: str, most: int | None, seed:
 
 def drawn_groups(rows: DataFrame, group: str, share: float, seed: int = 0) -> DataFrame:
     """A rounded share of the distinct groups, drawn by hash."""
-    g = rows.select(group).distinct()
-    n = g.count()
-    return g.orderBy(draw(group, seed), group).limit(int(n * share + 0.5))
+    place = F.conv(F.substring(draw(group, seed), 1, 13), 16, 10).cast("double")
+    return lowest_fraction(rows.select(group).distinct().withColumn("_place", place), "_place", group, share).select(group)
 
 
 def lowest_fraction(rows: DataFrame, score: str, key: str, share: float) -> DataFrame:
-    """The rounded share of rows with the lowest (score, key)."""
-    return rows.orderBy(score, key).limit(int(rows.count() * share + 0.5))
+    """The rounded share of rows with the lowest (score, key); rows without a score are left out.
+
+    The score at which the share is reached is found on counts of distinct scores; only rows that tie with it are
+    sorted.
+    """
+    counts = rows.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"))
+    want = int((counts.agg(F.sum("n")).first()[0] or 0) * share + 0.5)
+    reached = running(counts, [], score, ["n"]).filter(F.col("run_n") >= want)
+    cut = reached.agg(F.min(F.struct(F.col(score).alias("at"), (F.col("run_n") - F.col("n")).alias("before"))).alias("c")).first()["c"]
+    if not want or cut is None:
+        return rows.limit(0)
+    ties = rows.filter(F.col(score) == cut["at"]).orderBy(key).limit(want - cut["before"])
+    return rows.filter(F.col(score) < cut["at"]).unionByName(ties)
 
 
 def undominated(rows: DataFrame, cells: list[str]) -> DataFrame:
