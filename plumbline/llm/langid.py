@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from plumbline.llm.common import sliced
 from plumbline.llm.rows import with_computed
 
 #: First code points of script ranges, and their scripts. Fixed values.
