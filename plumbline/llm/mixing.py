@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import checkpointed, free_name, word_count
 
 BINS = 4096
+#: Tables of at most so many sources are broadcast to the rows; larger ones are joined by shuffling both sides.
+FEW_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -48,6 +50,11 @@ def uniform(id_col: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**52)
 
 
+def _few(sources: DataFrame) -> DataFrame:
+    """A checkpointed table of a row for each source, marked for broadcast if its rows are counted to be few."""
+    return F.broadcast(sources) if sources.count() <= FEW_SOURCES else sources
+
+
 def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """A row for each source: its sizes, target, mean weight and the rank at which its sample ends.
 
@@ -59,7 +66,7 @@ def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
         targets.alias("a").join(totals.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
         .select("a.source", "a.source_size", "a.target", F.when(F.col("weighed") > 0, F.col("weighed") / F.col("a.source_size")).otherwise(F.lit(1.0)).alias("mean_weight"))
     )
-    joined = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+    joined = rows.alias("r").join(_few(sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
     ranked = joined.select("r.id", "s.source", "r.size", "r.draw", "s.target", *_shares(F.col("r.size"), F.col("r.draw"), F.col("r.weight"), "s", most))
     whole = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
     open_ = ranked.filter("y < 1")
@@ -71,9 +78,9 @@ def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
         sums = sums.withColumn("end", upto).alias("b").join(need.select("source", "need").alias("w"), F.col("b.source").eqNullSafe(F.col("w.source")))
         cut = sums.filter("end - b.n <= need and need < end").select("b.source", "bin", (F.col("need") - F.col("end") + F.col("b.n")).alias("need"))
         need = checkpointed(cut)
-        open_ = open_.alias("r").join(need.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (code == F.col("c.bin")), "left_semi")
+        open_ = open_.alias("r").join(_few(need).alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (code == F.col("c.bin")), "left_semi")
     last = Window.partitionBy("r.source").orderBy("y", "draw", "size", "id")
-    tail = open_.alias("r").join(need.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).select("r.source", "y", "draw", "size", "id", "need", (F.sum("size").over(last) - F.col("size")).alias("before"))
+    tail = open_.alias("r").join(_few(need).alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).select("r.source", "y", "draw", "size", "id", "need", (F.sum("size").over(last) - F.col("size")).alias("before"))
     ends = tail.filter("before + size / 2.0D <= need").groupBy("source").agg(F.max(F.struct("y", "draw", "size", "id")).alias("end"))
     # A source without a cut takes all of its rows; one whose first row in the cut bin is too much ends below that bin.
     plan = sources.alias("s").join(need.alias("d"), F.col("s.source").eqNullSafe(F.col("d.source")), "left").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
@@ -115,7 +122,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def _applied(rows: DataFrame, plan: DataFrame, source_col: str, keep: list[Column], most: int, ident: str = "id", size: str = "size", draw: str = "draw", weight: str = "weight") -> DataFrame:
     n, u = F.col(f"r.`{size}`"), F.col(f"r.`{draw}`")
-    both = rows.alias("r").join(plan.alias("s"), F.col(f"r.`{source_col}`").eqNullSafe(F.col("s.source")))
+    both = rows.alias("r").join(_few(plan).alias("s"), F.col(f"r.`{source_col}`").eqNullSafe(F.col("s.source")))
     whole, y = _shares(n, u, F.col(f"r.`{weight}`"), "s", most)
     out = both.select(*keep, n.alias("size"), "s.source_size", "s.target", whole, y, F.struct(y, u.alias("draw"), n.alias("size"), F.col(f"r.`{ident}`").alias("id")).alias("at"), "s.below", "s.end")
     more = (F.col("y") < 1) & ((F.col("y") < F.col("below")) | F.coalesce(F.col("at") <= F.col("end"), F.lit(False)))
