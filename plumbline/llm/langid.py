@@ -37,6 +37,8 @@ SLOTS = 1 << 16
 #: A script is a language's own if at least this share of its letters is in it.
 OWN_SHARE = 0.02
 SWITCH = 12.0
+#: Bytes of text that are scored together; arrays are about 50 times as large.
+SLICE = 2 << 20
 UNDETERMINED = "und"
 
 
@@ -68,15 +70,19 @@ class Letters:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the pair and of the triple that end at each letter, a boundary standing before each word."""
-        c = self.code.astype(np.uint64)
+        c = self.code
         one, two = np.roll(c, 1), np.roll(c, 2)
         one[self.start] = 0
         two[self.start] = 0
         second = self.start[self.size > 1] + 1
         two[second] = 0
-        pair = (one * np.uint64(0x9E3779B1) + c * np.uint64(0x85EBCA77)) * np.uint64(0x9E3779B97F4A7C15)
-        three = (two * np.uint64(0xC2B2AE3D) + one * np.uint64(0x27D4EB2F) + c * np.uint64(0x165667B1)) * np.uint64(0xD6E8FEB86659FD93)
-        return (pair >> np.uint64(48)).astype(np.int32), (three >> np.uint64(48)).astype(np.int32)
+        pair = one * np.uint32(0x9E3779B1) + c * np.uint32(0x85EBCA77)
+        three = two * np.uint32(0xC2B2AE3D) + one * np.uint32(0x27D4EB2F) + c * np.uint32(0x165667B1)
+        for x in (pair, three):
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            x >>= np.uint32(16)
+        return pair, three
 
     def scripts(self) -> np.ndarray:
         return SCRIPT_OF[np.maximum(np.searchsorted(FIRST, self.code, side="right") - 1, 0)]
@@ -200,7 +206,7 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list
     """
     made = [StructField("lang_pred", StringType()), StructField("score", DoubleType())] + [StructField("spans", ArrayType(SPAN))] * spans
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return with_computed(docs, text_col, StructType(made), lambda: _judge(shared.value, spans), keep)
+    return with_computed(docs, text_col, StructType(made), lambda: _judge(shared.value, spans), keep, SLICE)
 
 
 def labelled_sample(docs: DataFrame, may_learn: Column, *, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

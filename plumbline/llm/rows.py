@@ -14,8 +14,8 @@ from plumbline.llm.common import sliced, utf8
 Compute = Callable[[list[bytes]], dict[str, object]]
 
 
-def with_computed(df: DataFrame, text_col: str, made: StructType, start: Callable[[], Compute], keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of `df` (None: all) plus the columns `made`, computed from `text_col` in slices of a few MB.
+def with_computed(df: DataFrame, text_col: str, made: StructType, start: Callable[[], Compute], keep: list[str] | None = None, limit: int = 4 << 20) -> DataFrame:
+    """Columns `keep` of `df` (None: all) plus the columns `made`, computed from `text_col` in slices of about `limit` bytes.
 
     `start` runs once for each task and gives the function that computes slices. Null texts arrive as b"".
     Columns of `df` named like a made column are replaced.
@@ -30,7 +30,7 @@ def with_computed(df: DataFrame, text_col: str, made: StructType, start: Callabl
 
         compute = start()
         arrow = {f.name: to_arrow_type(f.dataType) for f in made.fields}
-        for part in sliced(batches, text_col):
+        for part in sliced(batches, text_col, limit):
             new = compute(utf8(part, text_col))
             columns = [part.column(part.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(new[n], arrow[n]) for n in arrow], names=keep + list(arrow))
