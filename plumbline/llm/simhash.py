@@ -18,7 +18,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -124,17 +124,24 @@ def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is their component's, one for each component, all columns as they were.
 
-    Rows that share the id are told apart by a hash of all columns; one of them stays. A row with a null id can't
-    be named: if no row of its component has an id, one row for each of its texts stays.
+    Rows that share the id are told apart by a hash of their texts, then of all columns; one of them stays. A row
+    with a null id can't be named: if no row of its component has an id, one row for each of its texts stays.
+    Texts are shuffled once, to the join that picks rows; only rows whose id is repeated are ranked after it.
     """
     near = _near(docs, id_col, text_col, 3)
-    stays = near.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "sum").distinct()
+    own = near.filter(F.col("id").eqNullSafe(F.col("component_id")))
+    unnamed = F.when(F.col("id").isNull(), F.col("sum"))
+    stays = checkpointed(own.groupBy("id", unnamed.alias("text")).agg(F.min("sum").alias("sum"), F.count("*").alias("rows")).drop("text"))
     rank, total = free_name(docs, "rank"), free_name(docs, "sum")
-    d, k = docs.withColumn(total, F.xxhash64(text_col)).alias("d"), stays.alias("k")
-    both = d.join(k, F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.id")) & (F.col(f"d.{total}") == F.col("k.sum"))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
-    same = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.xxhash64(text_col)))
-    order = same.orderBy(F.xxhash64(*[F.to_json(F.struct(*docs.columns))]))
-    return both.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
+
+    def kept(which: Column) -> DataFrame:
+        d, k = docs.withColumn(total, F.xxhash64(text_col)).alias("d"), stays.filter(which).alias("k")
+        at = F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.id")) & (F.col(f"d.{total}") == F.col("k.sum"))
+        return d.join(k, at).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    one_row, more = F.col("rows") == 1, F.col("rows") > 1
+    return kept(one_row).unionAll(kept(more).withColumn(rank, F.row_number().over(same)).filter(F.col(rank) == 1).drop(rank))
 
 
 def op3(docs: DataFrame) -> DataFrame:
