@@ -59,6 +59,15 @@ def test_near_duplicates(awkward, nothing):
     assert simhash.one_of_each_group(nothing).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Identical rows, rows apart in another column only, and null ids: one row of each stays, chosen alike each time."""
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (1, "a b c d", "y"), (2, "a b c d", "x"), (4, "u v w z", "x"), (None, "k l m n", "x"), (None, "k l m n", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = ([tuple(r) for r in simhash.one_of_each_group(d).collect()] for d in (docs, docs.orderBy(F.rand(3))))
+    assert sorted((r[0] or 0, r[1]) for r in once) == [(0, "k l m n"), (1, "a b c d"), (4, "u v w z")]
+    assert sorted(once, key=str) == sorted(again, key=str)
+
+
 def test_empty_benchmark(spark, awkward):
     out = decontam.decontaminated(awkward, items(spark).filter("false"))
     assert out.filter("contaminated or n_hit > 0 or n_items > 0").count() == 0
