@@ -1,14 +1,17 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact weighted TF-IDF cosine over a block-max inverted index.
 
-Terms are words (lower case, punctuation apart) and their first five and seven letters. The vocabulary holds the
-terms that point to label 1 most clearly in the example sample (chi-square) and the most frequent ones, which give
-texts without the former a place far from them; document frequencies are counted over all documents. Examples are indexed in blocks of 64: postings by term and block, and each term's largest weight in
-each block. A query adds up bounds for all blocks, reads blocks from the highest bound down, and
-stops when the next bound is below its k-th best cosine; so neighbours are exact.
+Terms are words (lower case, punctuation apart) and their first five and seven letters. Every term of the examples
+is in the index, and every term of a text counts in its norm. Document frequencies are counted over all documents:
+term by term for those of the examples, by a hash in one of BUCKETS counters for the rest, which no example has. A
+term's idf is multiplied by the root of its chi-square with the label among the examples where that is above 1.
+
+Examples are indexed in blocks of 64: postings by term and block, and each term's largest weight in each block. A
+query adds up bounds for all blocks, reads blocks from the highest bound down, and stops when the next bound is
+below its k-th best cosine; so neighbours are exact.
 
 Neighbours vote with weight 1 / (distance + c), distance being 1 - cosine. A logistic curve fitted to leave-one-out
 votes of the examples turns votes into probabilities. Bounds: at most about `examples` labelled rows are learned
-from, chosen by a hash of the id, and `telling` + `common` terms; whole texts of examples are read.
+from, chosen by a hash of the id; whole texts of examples are read.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -25,13 +29,13 @@ from plumbline.llm.common import checkpointed, sliced
 from plumbline.llm.rows import with_computed
 
 BLOCK = 64
-#: Blocks whose postings are added up in one step.
+#: Blocks whose postings are added up in the first step; each further step takes twice as many.
 TOGETHER = 8
 NEAREST = 15
 SOFT = 0.05
 PREFIXES = (5, 7)
-#: Least chi-square (one degree of freedom) of a vocabulary term: about one in 100,000 terms gets there by chance.
-APART = 20.0
+#: Counters for document frequencies of terms that no example has.
+BUCKETS = 1 << 20
 #: ASCII but letters and digits to spaces.
 BLANK = {c: " " for c in range(128) if not chr(c).isalnum()}
 
@@ -46,7 +50,7 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Counts of vocabulary terms in texts; a word's terms are looked up once while its slot is held."""
+    """Counts of all terms of texts: slots of the vocabulary, then BUCKETS for other terms; a word's slots are held."""
 
     HELD = 50_000
 
@@ -54,17 +58,20 @@ class Terms:
         self.slot = {t: i for i, t in enumerate(vocabulary)}
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def one(self, term: str) -> int:
+        s = self.slot.get(term)
+        return len(self.slot) + xxhash.xxh32_intdigest(term.encode("utf-8", "replace")) % BUCKETS if s is None else s
+
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         slots: list[int] = []
         for w in words_of(text):
             s = self.known.get(w)
             if s is None:
-                s = tuple(self.slot[t] for t in terms_of(w) if t in self.slot)
+                s = tuple(map(self.one, terms_of(w)))
                 if len(self.known) >= self.HELD:
                     self.known.clear()
                 self.known[w] = s
-            if s:
-                slots += s
+            slots += s
         if not slots:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.unique(np.array(slots), return_counts=True)
@@ -77,11 +84,17 @@ def weights(slot: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / norm if norm > 0 else w
 
 
+def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start up to its end, one after the other, and the length of each."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 class Index:
-    """Block-max inverted index over example vectors.
+    """Block-max inverted index over example vectors, its postings sparse and in order of term and place.
 
-    Examples with the same heaviest terms stand together, so that blocks differ and bounds are tight. A term's
-    postings in a block are a row of BLOCK weights.
+    Examples with the same heaviest terms stand together, so that blocks differ and bounds are tight. A pair is a
+    term and a block that has it: its postings start at `at`, its largest weight is `top`.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: np.ndarray, terms: int):
@@ -89,31 +102,43 @@ class Index:
         self.ids, self.labels, self.n = np.array(ids, np.int64)[order], labels.astype(np.float64)[order], len(vectors)
         self.order = np.array(order, np.int64)
         self.blocks = -(-self.n // BLOCK)
-        self.postings = np.zeros((terms, self.blocks, BLOCK))
-        for place, i in enumerate(order):
-            slot, w = vectors[i]
-            self.postings[slot, place // BLOCK, place % BLOCK] = w
-        self.top = self.postings.max(axis=2, initial=0.0)
+        none = [np.empty(0)]
+        slot = np.concatenate([vectors[i][0] for i in order] or none).astype(np.int64)
+        place = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order]).astype(np.int32)
+        by = np.argsort(slot, kind="stable")
+        slot, self.place, self.weight = slot[by], place[by], np.concatenate([vectors[i][1] for i in order] or none)[by]
+        block = self.place // BLOCK
+        start = np.flatnonzero((np.diff(slot, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.at, self.block = np.append(start, len(slot)), block[start]
+        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
+        self.first = np.searchsorted(slot[start], np.arange(terms + 1))
 
     def nearest(self, slot: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, best first; ties go to the lower place."""
         places, cosines, kth = np.empty(0, np.int64), np.empty(0), 0.0
         if not self.n or not len(slot):
             return places, cosines
-        bound = w @ self.top[slot]
+        pair, n = spans(self.first[slot], self.first[slot + 1])
+        own, block = np.repeat(w, n), self.block[pair]
+        bound = np.bincount(block, own * self.top[pair], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        bound = bound[order]
-        order = order[: np.searchsorted(-bound, 0.0)]
-        for i in range(0, len(order), TOGETHER):
-            some = order[i : i + TOGETHER]
+        order = order[: np.searchsorted(-bound[order], 0.0)]
+        step = TOGETHER
+        while len(order):
+            some, order = order[:step], order[step:]
             if kth > 0:
-                some = some[bound[i : i + len(some)] >= kth - 1e-12]
+                some = some[bound[some] >= kth - 1e-12]
                 if not len(some):
                     break
-            sums = w @ self.postings[slot[:, None], some].reshape(len(slot), -1)
-            hit = np.flatnonzero(sums >= kth if kth > 0 else sums > 0)
-            at = some[hit // BLOCK] * BLOCK + hit % BLOCK
-            places, cosines = np.concatenate((places, at[at != without])), np.concatenate((cosines, sums[hit[at != without]]))
+            step *= 2
+            turn = np.zeros(self.blocks, bool)
+            turn[some] = True
+            use = turn[block]
+            posting, n = spans(self.at[pair[use]], self.at[pair[use] + 1])
+            sums = np.bincount(self.place[posting], np.repeat(own[use], n) * self.weight[posting])
+            at = np.flatnonzero(sums >= kth if kth > 0 else sums > 0)
+            at = at[at != without]
+            places, cosines = np.concatenate((places, at)), np.concatenate((cosines, sums[at]))
             if len(places) >= k:
                 best = np.lexsort((places, -cosines))[:k]
                 places, cosines = places[best], cosines[best]
@@ -163,8 +188,8 @@ def examples(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int) -
     return rows, have.get(1, 0) / max(sum(have.values()), 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 4000, telling: int = 256, common: int = 64) -> dict:
-    """Vocabulary, document frequencies over all of `docs`, index and calibration, from a bounded sample."""
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 4000) -> dict:
+    """Terms, their weights, index and calibration from a bounded sample; document frequencies over all of `docs`."""
     chosen, share = examples(docs, labels, may_learn, most)
     chosen = checkpointed(chosen)
 
@@ -176,18 +201,19 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 40
 
     sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    counts = checkpointed(chosen.mapInArrow(seen, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), (F.count("*") - F.sum("y")).alias("b")))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    counts = chosen.mapInArrow(seen, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).toArrow().sort_by("term")
+    vocabulary = counts["term"].to_pylist()
+    a, in_all = (counts[c].to_numpy().astype(np.float64) for c in ("a", "n"))
+    b = in_all - a
     rest1, rest0 = n1 - a, n0 - b
     apart = a * rest0 - b * rest1
-    chi = (n1 + n0) * apart * apart / F.greatest((a + b) * (rest1 + rest0) * n1 * n0, F.lit(1.0))
-    toxic = counts.filter(a / max(n1, 1.0) > b / max(n0, 1.0)).filter("a + b >= 3").withColumn("chi", chi).filter(F.col("chi") >= APART)
-    tells = [r["term"] for r in toxic.orderBy(F.desc("chi"), "term").limit(telling).select("term").collect()]
-    frequent = [r["term"] for r in counts.orderBy((F.col("a") + F.col("b")).desc(), "term").limit(common).select("term").collect()]
-    vocabulary = list(dict.fromkeys(tells + frequent))
+    chi = (n1 + n0) * apart * apart / np.maximum(in_all * (rest1 + rest0) * n1 * n0, 1.0)
+    terms = Terms(vocabulary)
+    slots = len(vocabulary) + BUCKETS
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches) -> Iterator[pa.RecordBatch]:
-        lookup, total, rows = Terms(vocabulary), np.zeros(len(vocabulary), np.int64), 0
+        lookup, total, rows = shared.value, np.zeros(slots, np.int64), 0
         for part in sliced(batches, "text"):
             for text in part.column(0).to_pylist():
                 slot, _ = lookup.of(text or "")
@@ -196,26 +222,31 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 40
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(total[used], rows))], names=["slot", "n"])
 
-    found = {r["slot"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([found.get(i, 0) for i in range(len(vocabulary))], np.float64)
-    idf = np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
+    found = docs.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(slots + 1)  # the last is for slot -1: all rows
+    df[found["slot"].to_numpy()] = found["n"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    idf[: len(vocabulary)] *= np.sqrt(np.maximum(chi, 1.0))
 
     def vectors(batches) -> Iterator[pa.RecordBatch]:
-        lookup = Terms(vocabulary)
+        lookup = shared.value
         for part in sliced(batches, "text"):
             done = [lookup.of(t or "") for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s for s, _ in done], pa.list_(pa.int64())), pa.array([c for _, c in done], pa.list_(pa.int64()))], names=["id", "toxic", "slot", "n"])
 
-    rows = chosen.mapInArrow(vectors, "id long, toxic int, slot array<long>, n array<long>").orderBy(F.xxhash64("id"), "id").collect()
-    vecs = [(np.array(r["slot"], np.int64), weights(np.array(r["slot"], np.int64), np.array(r["n"], np.float64), idf)) for r in rows]
-    labels_of = np.array([r["toxic"] for r in rows], np.float64)
-    index = Index(vecs, [r["id"] for r in rows], labels_of, max(len(vocabulary), 1))
-    prior = float(labels_of.mean()) if len(rows) else 0.5
+    rows = chosen.mapInArrow(vectors, "id long, toxic int, slot array<long>, n array<long>").orderBy(F.xxhash64("id"), "id").toArrow()
+    vecs = []
+    for s, n in zip(rows["slot"], rows["n"]):
+        slot = s.values.to_numpy()
+        vecs.append((slot, weights(slot, n.values.to_numpy(), idf)))
+    labels_of = rows["toxic"].to_numpy().astype(np.float64)
+    index = Index(vecs, rows["id"].to_pylist(), labels_of, len(vocabulary))
+    prior = float(labels_of.mean()) if len(vecs) else 0.5
     votes = np.array([index.vote(*vecs[i], prior, without=place)[0] for place, i in enumerate(index.order)])
     labels_of = index.labels
     real = np.where(labels_of == 1, share / max(prior, 1e-9), (1 - share) / max(1 - prior, 1e-9))
-    slope, offset = logistic(_log_odds(votes), labels_of, real) if len(rows) and 0 < prior < 1 else (1.0, 0.0)
-    return {"vocabulary": vocabulary, "idf": idf, "index": index, "prior": prior, "slope": slope, "offset": offset}
+    slope, offset = logistic(_log_odds(votes), labels_of, real) if len(vecs) and 0 < prior < 1 else (1.0, 0.0)
+    return {"terms": terms, "idf": idf, "index": index, "prior": prior, "slope": slope, "offset": offset}
 
 
 EVIDENCE = ArrayType(StructType([StructField("example_id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", IntegerType())]))
@@ -233,13 +264,14 @@ def scored(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[s
 
     def start():
         m = shared.value
-        lookup, index = Terms(m["vocabulary"]), m["index"]
+        lookup, index = m["terms"], m["index"]
 
         def compute(texts: list[bytes]) -> dict[str, object]:
             scores, near = [], []
             for raw in texts:
                 slot, n = lookup.of(raw.decode("utf-8", "replace"))
-                vote, places, cosines = index.vote(slot, weights(slot, n, m["idf"]), m["prior"])
+                known = np.searchsorted(slot, len(lookup.slot))  # the others count in the norm only
+                vote, places, cosines = index.vote(slot[:known], weights(slot, n, m["idf"])[:known], m["prior"])
                 scores.append(1 / (1 + float(np.exp(-(m["slope"] * _log_odds(vote) + m["offset"])))))
                 if evidence:
                     near.append([{"example_id": int(index.ids[p]), "cosine": float(c), "toxic": int(index.labels[p])} for p, c in zip(places[:3], cosines[:3])])

@@ -204,6 +204,28 @@ def test_nearest_examples_are_exact():
         assert np.allclose(cosines, full[best][: len(cosines)]) and len(cosines) == min(15, (full > 0).sum())
 
 
+def test_toxicity_cosines_of_whole_texts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma"]) if rng.random() < 0.5 else "word%d" % rng.randrange(900) for _ in range(rng.randrange(20, 60))) for _ in range(300)]
+    texts[1] = "rarely seen insultword beside alpha"
+    texts.append("beta insultword gamma never")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    out = toxicity.scored(docs, toxicity.fit(docs, labels, F.lit(True))).collect()
+    terms = [Counter(t for w in toxicity.words_of(x) for t in toxicity.terms_of(w)) for x in texts]
+    df = Counter(t for c in terms for t in c)
+    a, b = (Counter(t for c in terms[y:200:2] for t in c) for y in (1, 0))
+    chi = {t: 200 * (a[t] * (100 - b[t]) - b[t] * (100 - a[t])) ** 2 / max((a[t] + b[t]) * (200 - a[t] - b[t]) * 1e4, 1.0) for t in a | b}
+    vectors = [{t: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) * np.sqrt(max(chi.get(t, 0), 1)) for t, n in c.items()} for c in terms]
+    norms = [np.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    for r in out:
+        v = vectors[r.doc_id]
+        full = {i: sum(w * vectors[i].get(t, 0) for t, w in v.items()) / norms[r.doc_id] / norms[i] for i in range(200)}
+        assert np.allclose([e.cosine for e in r.evidence], sorted(full.values())[:-4:-1], atol=1e-3)
+        assert all(abs(full[e.example_id] - e.cosine) < 1e-3 for e in r.evidence)
+    assert {r.doc_id: r.evidence[0].example_id for r in out}[300] == 1
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.op2(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
