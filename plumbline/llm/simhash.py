@@ -95,13 +95,13 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def groups(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """From checkpointed rows (id, fp) to (fp, component_id): the smallest id of all fingerprints reachable."""
+    """From checkpointed rows (id, fp) to (fp, root, component_id): the smallest fingerprint and id of all reachable."""
     own = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = connected(links(own))
     linked = checkpointed(roots.join(own, roots.node == own.fp).select("fp", "root", "least"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    far = linked.join(least, "root").select("fp", "component_id")
-    return own.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    far = linked.join(least, "root").select("fp", "root", "component_id")
+    return own.join(far, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -115,23 +115,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, sum, fp, component_id), sum a hash of the text."""
+    """(id, sum, fp, root, component_id), sum a hash of the text, root the component's smallest fingerprint."""
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("sum"), F.col(text_col).alias("text"))
     rows = checkpointed(with_fingerprint(slim, "fp", shingle=shingle, keep=["id", "sum"]))
-    return rows.join(groups(rows, "id"), "fp").select("id", "sum", "fp", "component_id")
+    return rows.join(groups(rows, "id"), "fp").select("id", "sum", "fp", "root", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is their component's, one for each component, all columns as they were.
 
-    Rows that share the id are told apart by a hash of their texts, then of all columns; one of them stays. A row
-    with a null id can't be named: if no row of its component has an id, one row for each of its texts stays.
+    Rows of a component that share the id are told apart by a hash of their texts, then of all columns; one of them
+    stays. An id on rows of several components is kept once in each whose smallest it is. A row with a null id can't be named: if no row of its component has an id, one row for each of its texts stays.
     Texts are shuffled once, to the join that picks rows; only rows whose id is repeated are ranked after it.
     """
     near = _near(docs, id_col, text_col, 3)
     own = near.filter(F.col("id").eqNullSafe(F.col("component_id")))
     unnamed = F.when(F.col("id").isNull(), F.col("sum"))
-    stays = checkpointed(own.groupBy("id", unnamed.alias("text")).agg(F.min("sum").alias("sum"), F.count("*").alias("rows")).drop("text"))
+    stays = checkpointed(own.groupBy("id", "root", unnamed.alias("text")).agg(F.min("sum").alias("sum"), F.count("*").alias("rows")).drop("root", "text"))
     rank, total = free_name(docs, "rank"), free_name(docs, "sum")
 
     def kept(which: Column) -> DataFrame:

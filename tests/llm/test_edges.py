@@ -59,6 +59,12 @@ def test_near_duplicates(awkward, nothing):
     assert simhash.one_of_each_group(nothing).count() == 0
 
 
+def test_near_duplicates_with_one_id_on_unlike_texts(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven eight"
+    docs = spark.createDataFrame([(5, a), (5, b), (6, b), (7, a)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each_group(docs).collect())) == [(5, a), (5, b)]
+
+
 def test_near_duplicates_with_repeated_ids(spark):
     """Identical rows, rows apart in another column only, and null ids: one row of each stays, chosen alike each time."""
     rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (1, "a b c d", "y"), (2, "a b c d", "x"), (4, "u v w z", "x"), (None, "k l m n", "x"), (None, "k l m n", "y")]
