@@ -39,9 +39,11 @@ def out_of_fold_logistic(spark, sf_dir):
 
 @query("probe_oof")
 def probe_oof(spark, sf_dir):
-    """Out-of-fold probe on embeddings: is a vector's label 0?"""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") == 0).cast("int").alias("y"), (F.col("vec_id") % 5).cast("string").alias("fold"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(16)])
-    return fo.out_of_fold(e, [f"e{i}" for i in range(16)], "vec_id").select("vec_id", F.round("logit", 6).alias("logit"))
+    """Out-of-fold probe on whole embeddings: is a vector's label 0?"""
+    rows = table(spark, sf_dir, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = rows.select("vec_id", (F.col("label") == 0).cast("int").alias("y"), (F.col("vec_id") % 5).cast("string").alias("fold"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
+    return fo.out_of_fold(e, [f"e{i}" for i in range(width)], "vec_id").select("vec_id", F.round("logit", 6).alias("logit"))
 
 
 @query("cluster_bootstrap")

@@ -218,3 +218,15 @@ def test_wav_headers():
     assert dsp.decode_wav(head + body).tolist() == [0.25, -0.25]
     assert dsp.decode_wav(None) is None and dsp.decode_wav(head) is None and dsp.decode_wav(b"RIFFxx") is None
     assert math.isclose(scalars.bayes_threshold(4, 1, 0.3), math.log(4) + math.log(7 / 3))
+
+
+def test_probe_reads_whole_embeddings(spark, tmp_path):
+    from plumbline.plans import registry
+
+    rng = np.random.default_rng(3)
+    label = np.arange(200) // 5 % 2
+    x = rng.normal(size=(200, 24))
+    x[:, 20] += np.where(label == 0, 4.0, -4.0)
+    spark.createDataFrame([(i, r.tolist(), int(y)) for i, (r, y) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = registry.QUERIES["probe_oof"](spark, str(tmp_path)).collect()
+    assert len(out) == 200 and np.mean([(r["logit"] > 0) == (label[r["vec_id"]] == 0) for r in out]) > 0.95
