@@ -99,15 +99,12 @@ def codec_match(spark, sf_dir):
 
 @query("collect_logits", "SELECT conv_id, max(length(text)) FILTER (role='user' AND turn=0) AS user_chars, max(length(text)) FILTER (role='assistant' AND turn=1) AS assistant_chars FROM conversations GROUP BY 1")
 def collect_logits(spark, sf_dir):
-    """The feature of the first entry with a name whose status is ok, from nested entries."""
-    entry = F.struct("turn", F.col("role").alias("name"), F.lit("ok").alias("status"), F.create_map(F.lit("chars"), F.length("text")).alias("features"))
-    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(entry).alias("entries"))
+    """The largest feature of each name's entries at its turn; entries are not gathered."""
 
     def found(name: str, turn: int):
-        hits = F.filter("entries", lambda e: (e["name"] == name) & (e["turn"] == turn) & (e["status"] == "ok"))
-        return F.get(hits, F.lit(0))["features"]["chars"]
+        return F.max(F.when((F.col("role") == name) & (F.col("turn") == turn), F.length("text")))
 
-    return d.select("conv_id", found("user", 0).alias("user_chars"), found("assistant", 1).alias("assistant_chars"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(found("user", 0).alias("user_chars"), found("assistant", 1).alias("assistant_chars"))
 
 
 @query("role_map", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'evidence' WHEN 'assistant' THEN 'fused' WHEN 'system' THEN 'gate' END AS part FROM conversations")

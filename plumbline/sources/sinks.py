@@ -19,9 +19,9 @@ def checked_scores(d: DataFrame, key: str, score: str, high: float = 1.0) -> Non
 
 
 def submission(d: DataFrame, path: str, *, order: str = "ord", key: str = "filename", score: str = "cm-score") -> DataFrame:
-    """One tab-separated file in template order; checked before, read back and compared after. Returns what was read."""
+    """Tab-separated, numbered part files in template order; checked before, read back and compared after. Returns what was read."""
     checked_scores(d, key, score)
-    d.orderBy(order).select(key, score).coalesce(1).write.csv(path, sep="\t", header=True, mode="errorifexists")
+    d.orderBy(order).select(key, score).write.csv(path, sep="\t", header=True, mode="errorifexists")
     back = d.sparkSession.read.csv(path, sep="\t", header=True, schema=f"`{key}` string, `{score}` double")
     lost = d.select(key, score).exceptAll(back).limit(1).count()
     if lost:

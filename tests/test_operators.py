@@ -230,3 +230,30 @@ def test_probe_reads_whole_embeddings(spark, tmp_path):
     spark.createDataFrame([(i, r.tolist(), int(y)) for i, (r, y) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     out = registry.QUERIES["probe_oof"](spark, str(tmp_path)).collect()
     assert len(out) == 200 and np.mean([(r["logit"] > 0) == (label[r["vec_id"]] == 0) for r in out]) > 0.95
+
+
+def test_lookups_with_repeated_turns(spark, tmp_path):
+    import oracle
+
+    from plumbline.plans import registry
+
+    rows = [(1, 0, "user", "aaa"), (1, 0, "user", "bbbbb"), (1, 1, "assistant", "a"), (1, 1, "assistant", "bb"), (1, 1, "assistant", None), (2, 1, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("nested_lookup", "collect_logits"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        assert oracle.differences(df, con, registry.ORACLES[name]) == ""
+        assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_submission_in_numbered_parts(spark, tmp_path):
+    d = spark.range(400).select(F.col("id").alias("ord"), F.format_string("f%03d", 399 - F.col("id")).alias("filename"), (F.col("id") / 400).alias("cm-score"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.submission(d, str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "s").glob("part-*"))
+    lines = [x.split("\t")[0] for p in parts for x in p.read_text().splitlines()[1:]]
+    assert len(parts) > 1 and lines == [f"f{399 - i:03d}" for i in range(400)]
