@@ -14,6 +14,10 @@ from plumbline.llm.common import sliced, utf8
 Compute = Callable[[list[bytes]], dict[str, object]]
 
 
+def _array(values: object, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def with_computed(df: DataFrame, text_col: str, made: StructType, start: Callable[[], Compute], keep: list[str] | None = None, limit: int = 4 << 20) -> DataFrame:
     """Columns `keep` of `df` (None: all) plus the columns `made`, computed from `text_col` in slices of about `limit` bytes.
 
@@ -33,6 +37,6 @@ def with_computed(df: DataFrame, text_col: str, made: StructType, start: Callabl
         for part in sliced(batches, text_col, limit):
             new = compute(utf8(part, text_col))
             columns = [part.column(part.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(new[n], arrow[n]) for n in arrow], names=keep + list(arrow))
+            yield pa.RecordBatch.from_arrays(columns + [_array(new[n], arrow[n]) for n in arrow], names=keep + list(arrow))
 
     return df.select(*[df[c] for c in wanted]).mapInArrow(run, schema)

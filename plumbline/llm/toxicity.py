@@ -1,17 +1,19 @@
 """Toxicity by nearest labelled examples: exact weighted TF-IDF cosine over a block-max inverted index.
 
-Terms are words (lower case, punctuation apart) and their first five and seven letters. Every term of the examples
-is in the index, and every term of a text counts in its norm. Document frequencies are counted over all documents:
-term by term for those of the examples, by a hash in one of BUCKETS counters for the rest, which no example has. A
-term's idf is multiplied by the root of its chi-square with the label among the examples where that is above 1.
-
-Examples are indexed in blocks of 64: postings by term and block, and each term's largest weight in each block. A
-query adds up bounds for all blocks, reads blocks from the highest bound down, and stops when the next bound is
-below its k-th best cosine; so neighbours are exact.
-
-Neighbours vote with weight 1 / (distance + c), distance being 1 - cosine. A logistic curve fitted to leave-one-out
-votes of the examples turns votes into probabilities. Bounds: at most about `examples` labelled rows are learned
-from, chosen by a hash of the id; whole texts of examples are read.
+Terms are words (lower case, ASCII punctuation apart) and their first five and seven letters. Every term of the
+examples is in the index, and every term of a text counts in its norm. Document frequencies are counted over all
+documents: term by term for those of the examples, by a hash in one of BUCKETS counters for the rest, which no
+example has. A term's idf is multiplied by the root of its chi-square with the label among the examples where that
+is above 1.
+
+Examples with like terms stand together in blocks of 64. A rare term has a posting list; a term that many examples
+have has a row of weights and the largest of each block. Texts are asked many at a time: the lists of their rare
+terms are added up, block maxima of the others bound what a block can still reach, blocks are read from the highest
+bound down, and a text is done when its next bound is below its k-th best cosine; so neighbours are exact.
+
+Neighbours vote with weight 1 / (distance + c), distance being 1 - cosine; they are the evidence of a score. A
+logistic curve fitted to leave-one-out votes of the examples turns votes into probabilities. Bounds: at most about
+`examples` labelled ids are learned from, chosen by a hash of the id; whole texts of examples are read.
 """
 
 from __future__ import annotations
@@ -25,63 +27,113 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from plumbline.llm.common import checkpointed, sliced
+from plumbline.llm.common import checkpointed, sliced, utf8
 from plumbline.llm.rows import with_computed
 
 BLOCK = 64
-#: Blocks whose postings are added up in the first step; each further step takes twice as many.
-TOGETHER = 8
+#: A term of at least this share of the examples has a row of weights in place of a list.
+OFTEN = 1 / 16
+#: Blocks read for each text in the first step; each further step takes twice as many.
+TOGETHER = 4
+#: Texts that are asked together.
+ASKED = 256
 NEAREST = 15
 SOFT = 0.05
 PREFIXES = (5, 7)
 #: Counters for document frequencies of terms that no example has.
 BUCKETS = 1 << 20
+#: Bytes of text whose terms are counted together; arrays are about 20 times as large.
+SLICE = 2 << 20
 #: ASCII but letters and digits to spaces.
-BLANK = {c: " " for c in range(128) if not chr(c).isalnum()}
+BLANK = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
-def words_of(text: str) -> list[str]:
-    return text.lower().translate(BLANK).split()
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-case words of a UTF-8 text."""
+    return text.decode("utf-8", "replace").lower().encode("utf-8", "replace").translate(BLANK).split()
 
 
-def terms_of(word: str) -> list[str]:
+def terms_of(word: bytes) -> list[bytes]:
     """The word itself and its prefixes, marked by a star."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+    letters = word.decode("utf-8", "replace")
+    return [word, *(letters[:n].encode() + b"*" for n in PREFIXES if len(letters) > n)]
+
+
+class Words(dict):
+    """A number for each word met, and the slots of the terms of each number."""
+
+    def __init__(self, terms: Terms):
+        self.terms, self.new = terms, []
+        self.flat, self.end = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(list(map(self.terms.one, terms_of(word))))
+        return n
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """All slots one word after the other, and where each word's end."""
+        if self.new:
+            self.end = np.append(self.end, len(self.flat) + np.cumsum(list(map(len, self.new))))
+            self.flat = np.append(self.flat, [s for own in self.new for s in own])
+            self.new.clear()
+        return self.flat, self.end
 
 
 class Terms:
-    """Counts of all terms of texts: slots of the vocabulary, then BUCKETS for other terms; a word's slots are held."""
+    """Counts of all terms of texts: slots of the vocabulary, then BUCKETS for other terms; words are held for the next texts."""
 
-    HELD = 50_000
+    HELD = 300_000
 
-    def __init__(self, vocabulary: list[str]):
+    def __init__(self, vocabulary: list[bytes]):
         self.slot = {t: i for i, t in enumerate(vocabulary)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words = Words(self)
+
+    def __getstate__(self):
+        return {"slot": self.slot}
 
-    def one(self, term: str) -> int:
+    def __setstate__(self, state):
+        self.slot, self.words = state["slot"], Words(self)
+
+    def one(self, term: bytes) -> int:
         s = self.slot.get(term)
-        return len(self.slot) + xxhash.xxh32_intdigest(term.encode("utf-8", "replace")) % BUCKETS if s is None else s
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        slots: list[int] = []
-        for w in words_of(text):
-            s = self.known.get(w)
-            if s is None:
-                s = tuple(map(self.one, terms_of(w)))
-                if len(self.known) >= self.HELD:
-                    self.known.clear()
-                self.known[w] = s
-            slots += s
-        if not slots:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.unique(np.array(slots), return_counts=True)
-
-
-def weights(slot: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """(1 + ln tf) * idf at unit length."""
+        return len(self.slot) + xxhash.xxh32_intdigest(term) % BUCKETS if s is None else s
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, slot, count), in order of text and slot, for all different terms of each text."""
+        if len(self.words) > self.HELD:
+            self.words = Words(self)
+        many, word = [], []
+        for t in texts:
+            w = words_of(t)
+            many.append(len(w))
+            word += w
+        n = np.fromiter(map(self.words.__getitem__, word), np.int64, len(word))
+        text, n, count = tally(np.repeat(np.arange(len(texts)), many), n, None, len(self.words))
+        slots, end = self.words.arrays()
+        at, each = spans(np.where(n > 0, end[n - 1], 0), end[n])
+        return tally(np.repeat(text, each), slots[at], np.repeat(count, each), len(self.slot) + BUCKETS)
+
+
+def tally(text: np.ndarray, n: np.ndarray, count: np.ndarray | None, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs (text, n) in order, n being below `many`, with the sum of their counts, or how often they come."""
+    key = text * max(many, 1) + n
+    if count is None:
+        key = np.sort(key)
+    else:
+        by = np.argsort(key)
+        key, count = key[by], count[by]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    total = np.diff(np.append(first, len(key))) if count is None else np.add.reduceat(count, first) if len(first) else count
+    text, n = np.divmod(key[first], max(many, 1))
+    return text, n, total
+
+
+def weights(text: np.ndarray, slot: np.ndarray, count: np.ndarray, idf: np.ndarray, texts: int) -> np.ndarray:
+    """(1 + ln tf) * idf, each text at unit length."""
     w = (1 + np.log(count)) * idf[slot]
-    norm = np.sqrt((w * w).sum())
-    return w / norm if norm > 0 else w
+    norm = np.sqrt(np.bincount(text, w * w, minlength=texts))
+    return w / np.maximum(norm, 1e-300)[text]
 
 
 def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,66 +143,92 @@ def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Block-max inverted index over example vectors, its postings sparse and in order of term and place.
-
-    Examples with the same heaviest terms stand together, so that blocks differ and bounds are tight. A pair is a
-    term and a block that has it: its postings start at `at`, its largest weight is `top`.
-    """
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: np.ndarray, terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (*vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist(), i))
-        self.ids, self.labels, self.n = np.array(ids, np.int64)[order], labels.astype(np.float64)[order], len(vectors)
-        self.order = np.array(order, np.int64)
-        self.blocks = -(-self.n // BLOCK)
-        none = [np.empty(0)]
-        slot = np.concatenate([vectors[i][0] for i in order] or none).astype(np.int64)
-        place = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order]).astype(np.int32)
-        by = np.argsort(slot, kind="stable")
-        slot, self.place, self.weight = slot[by], place[by], np.concatenate([vectors[i][1] for i in order] or none)[by]
-        block = self.place // BLOCK
-        start = np.flatnonzero((np.diff(slot, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.at, self.block = np.append(start, len(slot)), block[start]
-        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.empty(0)
-        self.first = np.searchsorted(slot[start], np.arange(terms + 1))
-
-    def nearest(self, slot: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, best first; ties go to the lower place."""
-        places, cosines, kth = np.empty(0, np.int64), np.empty(0), 0.0
-        if not self.n or not len(slot):
-            return places, cosines
-        pair, n = spans(self.first[slot], self.first[slot + 1])
-        own, block = np.repeat(w, n), self.block[pair]
-        bound = np.bincount(block, own * self.top[pair], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.searchsorted(-bound[order], 0.0)]
-        step = TOGETHER
-        while len(order):
-            some, order = order[:step], order[step:]
-            if kth > 0:
-                some = some[bound[some] >= kth - 1e-12]
-                if not len(some):
-                    break
-            step *= 2
-            turn = np.zeros(self.blocks, bool)
-            turn[some] = True
-            use = turn[block]
-            posting, n = spans(self.at[pair[use]], self.at[pair[use] + 1])
-            sums = np.bincount(self.place[posting], np.repeat(own[use], n) * self.weight[posting])
-            at = np.flatnonzero(sums >= kth if kth > 0 else sums > 0)
-            at = at[at != without]
-            places, cosines = np.concatenate((places, at)), np.concatenate((cosines, sums[at]))
-            if len(places) >= k:
-                best = np.lexsort((places, -cosines))[:k]
-                places, cosines = places[best], cosines[best]
-                kth = cosines[-1]
-        best = np.lexsort((places, -cosines))
-        return places[best], np.minimum(cosines[best], 1.0)
-
-    def vote(self, slot: np.ndarray, w: np.ndarray, prior: float, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Distance-weighted share of label 1 among the neighbours, the prior counting as one far neighbour."""
-        places, cosines = self.nearest(slot, w, without=without)
-        pull = 1 / (1 - cosines + SOFT)
-        return (float(pull @ self.labels[places]) + prior) / (float(pull.sum()) + 1), places, cosines
+    """Block-max inverted index over example vectors given as (text, slot, weight) in order of text and slot."""
+
+    def __init__(self, text: np.ndarray, slot: np.ndarray, w: np.ndarray, ids: np.ndarray, labels: np.ndarray, terms: int):
+        self.n = n = len(ids)
+        heavy = np.full((n, 3), terms)
+        by = np.lexsort((slot, -w, text))
+        rank = np.arange(len(text)) - np.searchsorted(text, text)
+        heavy[text[by][rank < 3], rank[rank < 3]] = slot[by][rank < 3]
+        self.order = np.lexsort((np.arange(n), heavy[:, 2], heavy[:, 1], heavy[:, 0]))
+        self.ids, self.labels = np.asarray(ids, np.int64)[self.order], np.asarray(labels, np.float64)[self.order]
+        self.blocks = max(1, -(-n // BLOCK))
+        place = np.argsort(self.order)[text]
+        by = np.lexsort((place, slot))
+        slot, place, w = slot[by], place[by], w[by]
+        have = np.bincount(slot, minlength=terms)
+        often = have >= max(2, n * OFTEN)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        in_row = often[slot]
+        self.full = np.zeros((int(often.sum()), self.blocks * BLOCK))
+        self.full[self.row[slot[in_row]], place[in_row]] = w[in_row]
+        self.top = self.full.reshape(-1, self.blocks, BLOCK).max(axis=2)
+        self.place, self.weight = place[~in_row], w[~in_row]
+        self.first = np.append(0, np.cumsum(np.where(often, 0, have)))
+
+    def nearest(self, text: np.ndarray, slot: np.ndarray, w: np.ndarray, texts: int, k: int = NEAREST, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, cosine) of the k nearest examples of each text, best first; ties go to the lower place.
+
+        The texts' vectors are (text, slot, weight) in order of text. without: for each text a place to leave out.
+        Cosines are rounded to nine digits, so that they do not depend on which texts are asked together.
+        """
+        found = []
+        for at in range(0, texts if self.n else 0, ASKED):
+            a, b = np.searchsorted(text, (at, at + ASKED))
+            some = min(ASKED, texts - at)
+            t, p, c = self._nearest(text[a:b] - at, slot[a:b], w[a:b], some, k, None if without is None else without[at : at + some])
+            found.append((t + at, p, c))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+    def _nearest(self, text, slot, w, texts, k, without):
+        row = self.row[slot]
+        in_row = row >= 0
+        asked = np.zeros((texts, len(self.full)))
+        asked[text[in_row], row[in_row]] = w[in_row]
+        text, slot, w = text[~in_row], slot[~in_row], w[~in_row]
+        posting, each = spans(self.first[slot], self.first[slot + 1])
+        width = self.blocks * BLOCK
+        sums = np.bincount(np.repeat(text, each) * width + self.place[posting], np.repeat(w, each) * self.weight[posting], minlength=texts * width)
+        sums = sums.reshape(texts, self.blocks, BLOCK)
+        bound = sums.max(axis=2) + asked @ self.top
+        order = np.argsort(-bound, axis=1, kind="stable")
+        highest = np.take_along_axis(bound, order, axis=1)
+        cosine = np.zeros((texts, self.blocks, BLOCK))
+        kth, at, step = np.zeros(texts), 0, TOGETHER
+        live = np.arange(texts)
+        full = self.full.reshape(-1, self.blocks, BLOCK)
+        self.read = 0
+        while len(live) and at < self.blocks:
+            wanted = highest[live, at : at + step] >= np.maximum(kth[live] - 1e-9, 1e-9)[:, None]
+            who, which = np.nonzero(wanted)
+            block = order[live[who], at + which]
+            self.read += len(block)
+            by = np.argsort(block, kind="stable")
+            edge = np.flatnonzero(np.diff(block[by], prepend=-1))
+            for turn, x in zip(np.split(by, edge[1:]), block[by][edge]):
+                some = live[who[turn]]
+                cosine[some, x] = np.round(sums[some, x] + asked[some] @ full[:, x], 9)
+            if without is not None:
+                cosine.reshape(texts, -1)[np.arange(texts), without] = 0
+            at, step = at + step, step * 2
+            live = live[wanted.all(axis=1)]
+            if len(live) and k < at * BLOCK < width:
+                flat = cosine[live[:, None], order[live, :at]].reshape(len(live), -1)
+                kth[live] = np.partition(flat, -k, axis=1)[:, -k]
+        flat = cosine.reshape(texts, -1)
+        t, p = np.nonzero(flat >= np.maximum(kth, 1e-9)[:, None])  # kth is of the blocks read before the last step
+        c = flat[t, p]
+        by = np.lexsort((p, -c, t))
+        t, p, c = t[by], p[by], c[by]
+        keep = np.arange(len(t)) - np.searchsorted(t, t) < k
+        return t[keep], p[keep], np.minimum(c[keep], 1.0)
+
+    def vote(self, text, slot, w, texts: int, prior: float, without: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """Distance-weighted share of label 1 among the neighbours, the prior counting as one far neighbour; and these."""
+        t, place, cosine = near = self.nearest(text, slot, w, texts, without=without)
+        pull = 1 / (1 - cosine + SOFT)
+        return (np.bincount(t, pull * self.labels[place], minlength=texts) + prior) / (np.bincount(t, pull, minlength=texts) + 1), near
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -175,33 +253,36 @@ def _log_odds(share: np.ndarray | float) -> np.ndarray:
 
 
 def examples(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int) -> tuple[DataFrame, float]:
-    """(id, text, toxic) of about `most` labelled rows at most, half of them of each label where there are enough.
+    """(id, text, toxic) of about `most` labelled ids at most, half of them of each label where there are enough.
 
-    Also the share of label 1 among all rows that may be learned from.
+    Also the share of label 1 among all ids that may be learned from. An id with several labels counts as toxic if
+    one of them says so; of one with several texts the least is learned from.
     """
     known = labels.filter(may_learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     have = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("toxic") == 1, most / 2 / max(have.get(1, 0), 1)).otherwise(most / 2 / max(have.get(0, 0), 1))
-    chosen = known.filter(draw < share)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "id")), "id")
-    return rows, have.get(1, 0) / max(sum(have.values()), 1)
+    chosen = checkpointed(known.filter(draw < share).select(F.col("doc_id").alias("id"), "toxic"))
+    small = F.broadcast(chosen) if chosen.count() <= 2 * most else chosen
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(small, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    return rows.select("id", "text", "toxic"), have.get(1, 0) / max(sum(have.values()), 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 4000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 2000) -> dict:
     """Terms, their weights, index and calibration from a bounded sample; document frequencies over all of `docs`."""
     chosen, share = examples(docs, labels, may_learn, most)
     chosen = checkpointed(chosen)
 
     def seen(batches) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
-            for y, text in zip(part.column(2).to_pylist(), part.column(1).to_pylist()):
-                found = sorted({t for w in set(words_of(text or "")) for t in terms_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["term", "y"])
+            found = [sorted({t for w in set(words_of(text)) for t in terms_of(w)}) for text in utf8(part, "text")]
+            terms = pa.array([t for own in found for t in own], pa.binary())
+            y = np.repeat(part.column(2).to_numpy(), [len(own) for own in found])
+            yield pa.RecordBatch.from_arrays([terms, pa.array(y, pa.int32())], names=["term", "y"])
 
     sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    counts = chosen.mapInArrow(seen, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).toArrow().sort_by("term")
+    counts = chosen.mapInArrow(seen, "term binary, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).toArrow().sort_by("term")
     vocabulary = counts["term"].to_pylist()
     a, in_all = (counts[c].to_numpy().astype(np.float64) for c in ("a", "n"))
     b = in_all - a
@@ -214,11 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 40
 
     def frequencies(batches) -> Iterator[pa.RecordBatch]:
         lookup, total, rows = shared.value, np.zeros(slots, np.int64), 0
-        for part in sliced(batches, "text"):
-            for text in part.column(0).to_pylist():
-                slot, _ = lookup.of(text or "")
-                total[slot] += 1
-                rows += 1
+        for part in sliced(batches, "text", SLICE):
+            _, slot, _ = lookup.of(utf8(part, "text"))
+            total += np.bincount(slot, minlength=slots)
+            rows += part.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(total[used], rows))], names=["slot", "n"])
 
@@ -230,36 +310,38 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 40
 
     def vectors(batches) -> Iterator[pa.RecordBatch]:
         lookup = shared.value
-        for part in sliced(batches, "text"):
-            done = [lookup.of(t or "") for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s for s, _ in done], pa.list_(pa.int64())), pa.array([c for _, c in done], pa.list_(pa.int64()))], names=["id", "toxic", "slot", "n"])
-
-    rows = chosen.mapInArrow(vectors, "id long, toxic int, slot array<long>, n array<long>").orderBy(F.xxhash64("id"), "id").toArrow()
-    vecs = []
-    for s, n in zip(rows["slot"], rows["n"]):
-        slot = s.values.to_numpy()
-        vecs.append((slot, weights(slot, n.values.to_numpy(), idf)))
-    labels_of = rows["toxic"].to_numpy().astype(np.float64)
-    index = Index(vecs, rows["id"].to_pylist(), labels_of, len(vocabulary))
-    prior = float(labels_of.mean()) if len(vecs) else 0.5
-    votes = np.array([index.vote(*vecs[i], prior, without=place)[0] for place, i in enumerate(index.order)])
-    labels_of = index.labels
-    real = np.where(labels_of == 1, share / max(prior, 1e-9), (1 - share) / max(1 - prior, 1e-9))
-    slope, offset = logistic(_log_odds(votes), labels_of, real) if len(vecs) and 0 < prior < 1 else (1.0, 0.0)
+        for part in sliced(batches, "text", SLICE):
+            text, slot, count = lookup.of(utf8(part, "text"))
+            cut = pa.array(np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (slot, count)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["id", "toxic", "slot", "n"])
+
+    rows = chosen.mapInArrow(vectors, "id long, toxic int, slot array<long>, n array<long>").orderBy(F.xxhash64("id"), "id").toArrow().combine_chunks()
+    many = pa.compute.list_value_length(rows["slot"]).to_numpy()
+    n = len(many)
+    text, slot, count = np.repeat(np.arange(n), many), *(pa.compute.list_flatten(rows[c]).to_numpy() for c in ("slot", "n"))
+    w = weights(text, slot, count, idf, n)
+    index = Index(text, slot, w, rows["id"].to_numpy(), rows["toxic"].to_numpy(), slots)
+    prior = float(index.labels.mean()) if n else 0.5
+    own = np.argsort(index.order)
+    votes, _ = index.vote(text, slot, w, n, prior, without=own)
+    y = index.labels[own]
+    real = np.where(y == 1, share / max(prior, 1e-9), (1 - share) / max(1 - prior, 1e-9))
+    slope, offset = logistic(_log_odds(votes), y, real) if n and 0 < prior < 1 else (1.0, 0.0)
     return {"terms": terms, "idf": idf, "index": index, "prior": prior, "slope": slope, "offset": offset}
 
 
 EVIDENCE = ArrayType(StructType([StructField("example_id", LongType()), StructField("cosine", DoubleType()), StructField("toxic", IntegerType())]))
 
 
-def scored(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[str] | None = None, evidence: bool = True) -> DataFrame:
-    """Columns `keep` of `docs` (None: all) plus score, predicted and, if asked for, evidence: the nearest examples.
+def scored(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns `keep` of `docs` (None: all) plus score, predicted and evidence: all examples that voted, nearest first.
 
     A text without any known term, an empty or a null one has no neighbours: its vote is the examples' share of
     label 1, and it is scored like any other. With no examples every score is 0.5. Equal texts have equal scores.
     No rows give no rows. Columns of `docs` named like an output column are replaced.
     """
-    made = [StructField("score", DoubleType()), StructField("predicted", IntegerType())] + [StructField("evidence", EVIDENCE)] * evidence
+    made = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("evidence", EVIDENCE)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -267,20 +349,16 @@ def scored(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[s
         lookup, index = m["terms"], m["index"]
 
         def compute(texts: list[bytes]) -> dict[str, object]:
-            scores, near = [], []
-            for raw in texts:
-                slot, n = lookup.of(raw.decode("utf-8", "replace"))
-                known = np.searchsorted(slot, len(lookup.slot))  # the others count in the norm only
-                vote, places, cosines = index.vote(slot[:known], weights(slot, n, m["idf"])[:known], m["prior"])
-                scores.append(1 / (1 + float(np.exp(-(m["slope"] * _log_odds(vote) + m["offset"])))))
-                if evidence:
-                    near.append([{"example_id": int(index.ids[p]), "cosine": float(c), "toxic": int(index.labels[p])} for p, c in zip(places[:3], cosines[:3])])
-            out: dict[str, object] = {"score": scores, "predicted": [int(s >= 0.5) for s in scores]}
-            return out | ({"evidence": near} if evidence else {})
+            text, slot, count = lookup.of(texts)
+            vote, (t, place, cosine) = index.vote(text, slot, weights(text, slot, count, m["idf"], len(texts)), len(texts), m["prior"])
+            score = 1 / (1 + np.exp(-(m["slope"] * _log_odds(vote) + m["offset"])))
+            cut = pa.array(np.searchsorted(t, np.arange(len(texts) + 1)).astype(np.int32))
+            voters = pa.StructArray.from_arrays([pa.array(index.ids[place]), pa.array(cosine), pa.array(index.labels[place].astype(np.int32))], names=["example_id", "cosine", "toxic"])
+            return {"score": score, "predicted": (score >= 0.5).astype(np.int32), "evidence": pa.ListArray.from_arrays(cut, voters)}
 
         return compute
 
-    return with_computed(docs, text_col, StructType(made), start, keep)
+    return with_computed(docs, text_col, StructType(made), start, keep, SLICE)
 
 
 def held_out() -> Column:
@@ -288,8 +366,8 @@ def held_out() -> Column:
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Contract columns of the toxicity query."""
+    """Contract columns of the toxicity query, and the evidence."""
     slim = docs.select("doc_id", "text")
     model = fit(slim, labels.select("doc_id", "toxic"), ~held_out())
-    out = scored(slim.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"], evidence=False)
-    return out.select("doc_id", "held_out", "score", "predicted")
+    out = scored(slim.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "score", "predicted", "evidence")

@@ -187,43 +187,71 @@ def test_shard_law(spark, sf_dir):
 
 
 def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(5)
-    vectors = []
-    for _ in range(700):
-        slot = np.unique(rng.integers(0, 80, rng.integers(1, 12)))
-        w = rng.random(len(slot)) + 0.01
-        vectors.append((slot, w / np.sqrt((w * w).sum())))
-    index = toxicity.Index(vectors, list(range(700)), np.zeros(700), 80)
-    dense = np.zeros((700, 80))
-    for place, i in enumerate(index.order):
-        dense[place, vectors[i][0]] = vectors[i][1]
-    for slot, w in vectors[:150]:
-        full = dense[:, slot] @ w
-        best = np.lexsort((np.arange(700), -full))[:15]
-        places, cosines = index.nearest(slot, w)
-        assert np.allclose(cosines, full[best][: len(cosines)]) and len(cosines) == min(15, (full > 0).sum())
-
-
-def test_toxicity_cosines_of_whole_texts(spark):
+    rng = np.random.default_rng(6)
+    n, terms = 700, 400
+    slots = [np.unique(np.concatenate((rng.choice(12, 5), 12 + 97 * (i % 4) + rng.choice(97, rng.integers(0, 9))))) for i in range(n)]
+    slots[3] = slots[4] = slots[5]
+    text, slot = np.repeat(np.arange(n), [len(x) for x in slots]), np.concatenate(slots)
+    w = toxicity.weights(text, slot, np.ones(len(slot)), rng.uniform(0.2, 3, terms), n)
+    index = toxicity.Index(text, slot, w, np.arange(n), np.zeros(n), terms)
+    dense = np.zeros((n, terms))
+    dense[text, slot] = w
+    full = np.round(dense @ dense[index.order].T, 9)
+    for without in (None, np.argsort(index.order)):
+        if without is not None:
+            full[np.arange(n), without] = 0
+        t, place, cosine = index.nearest(text, slot, w, n, without=without)
+        assert index.read < index.blocks * (n % toxicity.ASKED)
+        for i in range(n):
+            best = np.lexsort((np.arange(n), -full[i]))[: min(15, (full[i] > 0).sum())]
+            assert np.array_equal(place[t == i], best) and np.allclose(cosine[t == i], full[i][best], atol=2e-9)
+    assert [len(x) for x in index.nearest(*(np.empty(0, np.int64),) * 2, np.empty(0), 3)] == [0, 0, 0]
+
+
+def brute_scores(texts, labelled, model):
+    """Evidence (example, cosine) and score of each text by comparing all terms with all examples."""
+    terms = [Counter(t for w in toxicity.words_of(x.encode()) for t in toxicity.terms_of(w)) for x in texts]
+    df = Counter(t for c in terms for t in c)
+    n1 = sum(labelled.values())
+    n0 = len(labelled) - n1
+    a, b = (Counter(t for i, y in labelled.items() if y == want for t in terms[i]) for want in (1, 0))
+    chi = {t: len(labelled) * (a[t] * (n0 - b[t]) - b[t] * (n1 - a[t])) ** 2 / max((a[t] + b[t]) * (len(labelled) - a[t] - b[t]) * n1 * n0, 1.0) for t in a | b}
+    idf = {t: (np.log((1 + len(texts)) / (1 + n)) + 1) * np.sqrt(max(chi.get(t, 0), 1)) for t, n in df.items()}
+    vectors = [{t: (1 + np.log(n)) * idf[t] for t, n in c.items()} for c in terms]
+    norms = [np.sqrt(sum(w * w for w in v.values())) or 1.0 for v in vectors]
+    for v, norm in zip(vectors, norms):
+        near = sorted(((-sum(w * vectors[i].get(t, 0) for t, w in v.items()) / norm / norms[i], i) for i in labelled))
+        near = [(i, -c) for c, i in near[:15] if c < 0]
+        pull = [1 / (1 - min(c, 1) + toxicity.SOFT) for _, c in near]
+        vote = (sum(p * labelled[i] for p, (i, _) in zip(pull, near)) + n1 / len(labelled)) / (sum(pull) + 1)
+        odds = np.log(np.clip(vote, 1e-4, 1 - 1e-4) / (1 - np.clip(vote, 1e-4, 1 - 1e-4)))
+        yield near, 1 / (1 + np.exp(-(model["slope"] * odds + model["offset"])))
+
+
+def test_toxicity_equals_brute_force(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma"]) if rng.random() < 0.5 else "word%d" % rng.randrange(900) for _ in range(rng.randrange(20, 60))) for _ in range(300)]
     texts[1] = "rarely seen insultword beside alpha"
-    texts.append("beta insultword gamma never")
+    texts += ["beta insultword gamma never", "", "?! ..", "GRÖSSE Größenwahn мир", "alpha " * 30_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
-    out = toxicity.scored(docs, toxicity.fit(docs, labels, F.lit(True))).collect()
-    terms = [Counter(t for w in toxicity.words_of(x) for t in toxicity.terms_of(w)) for x in texts]
-    df = Counter(t for c in terms for t in c)
-    a, b = (Counter(t for c in terms[y:200:2] for t in c) for y in (1, 0))
-    chi = {t: 200 * (a[t] * (100 - b[t]) - b[t] * (100 - a[t])) ** 2 / max((a[t] + b[t]) * (200 - a[t] - b[t]) * 1e4, 1.0) for t in a | b}
-    vectors = [{t: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) * np.sqrt(max(chi.get(t, 0), 1)) for t, n in c.items()} for c in terms]
-    norms = [np.sqrt(sum(w * w for w in v.values())) for v in vectors]
-    for r in out:
-        v = vectors[r.doc_id]
-        full = {i: sum(w * vectors[i].get(t, 0) for t, w in v.items()) / norms[r.doc_id] / norms[i] for i in range(200)}
-        assert np.allclose([e.cosine for e in r.evidence], sorted(full.values())[:-4:-1], atol=1e-3)
-        assert all(abs(full[e.example_id] - e.cosine) < 1e-3 for e in r.evidence)
-    assert {r.doc_id: r.evidence[0].example_id for r in out}[300] == 1
+    labels = spark.createDataFrame([(i, i % 2) for i in range(250)] + [(3, 0), (7, None)], "doc_id long, toxic int")
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(len(texts))}
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    out = {r.doc_id: r for r in toxicity.op2(docs, labels).collect()}
+    labelled = {i: i % 2 for i in range(250) if not held[i]}
+    for i, (near, score) in enumerate(brute_scores(texts, labelled, model)):
+        r = out[i]
+        assert r.held_out == held[i] and r.score == pytest.approx(score, abs=1e-3) and r.predicted == int(r.score >= 0.5)
+        assert np.allclose([e.cosine for e in r.evidence], [c for _, c in near], atol=1e-3)
+        assert all(e.toxic == labelled[e.example_id] for e in r.evidence)
+    assert out[1].evidence and out[300].evidence[0].example_id == 1 and not out[301].evidence
+
+
+def test_toxicity_learns_a_repeated_id_once(spark):
+    docs = spark.createDataFrame([(1, "b c"), (1, "a b"), (2, "d e"), (None, "f")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    rows, share = toxicity.examples(docs, labels, F.lit(True), 1000)
+    assert sorted(map(tuple, rows.collect())) == [(1, "a b", 1), (2, "d e", 0)] and share == pytest.approx(2 / 3)
 
 
 def test_toxicity_held_out(spark):
