@@ -6,17 +6,22 @@ import html
 import re
 from dataclasses import dataclass
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: A comment, a section of character data, a declaration, or a tag; one with a quote that is never closed ends at ">".
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*(?=>|\Z)|[^>]*)>?""", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose content is not text, those inside a line of text, and those without content. Fixed values.
-HIDDEN = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video"}
+HIDDEN = {"script", "style", "template", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+#: Formulas and drawings: elements inside them are part of the line of text around them. Fixed values.
+FOREIGN = {"math", "svg"}
+#: Elements that end a formula or drawing which was not closed. Fixed values.
+BREAKS = {"p", "div", "ul", "ol", "li", "dl", "dt", "dd", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "body", "html"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An open element of these is ended by the start of one of those. Fixed values.
 ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     path: tuple[str, ...]
@@ -28,19 +33,22 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order. Character references are decoded; white space is one space and trimmed.
 
     Text in hidden elements, comments and declarations is left out. Elements that are not closed end with the one
-    around them; a tag that the page's end cuts off is markup.
+    around them; a tag that the page's end cuts off is markup. Text of formulas and drawings belongs to the line that
+    holds them; their titles are hidden.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
-    linked, links, at, size = 0, 0, 0, len(page)
+    linked, links, at, size, foreign = 0, 0, 0, len(page), ""
+    paths: dict[tuple[str, ...], tuple[str, ...]] = {}
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, tuple(x for x, _ in stack), linked))
+                path = tuple(x for x, _ in stack)
+                out.append(Block(joined, paths.setdefault(path, path), linked))
             text.clear()
         linked = 0
 
@@ -64,6 +72,16 @@ def blocks_of(page: str) -> list[Block]:
                 text.append(page[m.start() + 9 : at].removesuffix("]]>"))
             continue
         name = name.lower()
+        closed = m[3].rstrip().endswith("/")
+        if name in BREAKS or m[1] and name == foreign:
+            foreign, was = "", foreign
+            if name == was:
+                continue
+        if foreign and name not in HIDDEN:
+            continue
+        if name in FOREIGN and not m[1]:
+            foreign = "" if closed else name
+            continue
         if m[1]:
             if name == "a":
                 links = max(0, links - 1)
@@ -77,7 +95,7 @@ def blocks_of(page: str) -> list[Block]:
             links = 0
             continue
         if name in HIDDEN:
-            if not m[3].rstrip().endswith("/"):
+            if not closed:
                 end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else size
             continue

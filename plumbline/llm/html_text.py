@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, FloatType, LongType, StringType, StructField, StructType
 
 from plumbline.llm.blocks import blocks_of
-from plumbline.llm.labeller import Reader, logits, trained
+from plumbline.llm.labeller import Reader, labelled, trained
 from plumbline.llm.rows import with_computed
 
 BLOCKS = ArrayType(StructType([StructField("text", StringType()), StructField("path", StringType()), StructField("score", FloatType()), StructField("main", BooleanType())]))
@@ -27,7 +27,7 @@ def main_text(pages: DataFrame, model: dict | None = None, *, html_col: str = "h
 
         def compute(raw: list[bytes]) -> dict[str, object]:
             read = [blocks_of(p.decode("utf-8", "replace")) for p in raw]
-            score = logits(labeller, reader.read(read))
+            score = labelled(labeller, reader, read)
             texts, shown, at = [], [], 0
             for page in read:
                 own = score[at : at + len(page)]

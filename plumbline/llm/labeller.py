@@ -40,18 +40,20 @@ class Reader:
             self.paths[path] = got
         return got
 
-    def read(self, pages: list[list[Block]]) -> dict[str, np.ndarray]:
+    def read(self, pages: list[list[Block]], place: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """place: where in its page each block stands, 0 to 1; None: `pages` are whole."""
         blocks = [b for p in pages for b in p]
         path = [self.path(b.path) for b in blocks]
         crc = zlib.crc32
         word = [[crc(w) % WORDS for w in b.text.lower().encode("utf-8", "replace").split()] for b in blocks]
         chars = np.array([len(b.text) for b in blocks], float)
         words = np.array([len(w) for w in word], float)
-        place = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in pages] or [np.empty(0)])
+        if place is None:
+            place = np.concatenate([np.arange(len(p)) / max(len(p), 1) for p in pages] or [np.empty(0)])
         stops = np.array([b.text.count(". ") + b.text.endswith((".", "!", "?")) for b in blocks], float)
-        digits = np.array([sum(c.isdigit() for c in b.text[:200]) for b in blocks], float)
+        digits = np.array([sum(map(b.text.count, "0123456789")) for b in blocks], float)
         linked = np.array([b.linked for b in blocks], float) / np.maximum(chars, 1)
-        counts = np.stack([np.log1p(chars) / 6, np.log1p(words) / 5, np.minimum(linked, 1), np.log1p(stops), place, digits / np.minimum(np.maximum(chars, 1), 200), (words < 4).astype(float), np.ones(len(blocks))], axis=1) if blocks else np.empty((0, COUNTS))
+        counts = np.stack([np.log1p(chars) / 6, np.log1p(words) / 5, np.minimum(linked, 1), np.log1p(stops), place, digits / np.maximum(chars, 1), (words < 4).astype(float), np.ones(len(blocks))], axis=1) if blocks else np.empty((0, COUNTS))
         return {"path": np.array([s for p in path for s in p], np.int64), "paths": np.array([len(p) for p in path], np.int64), "word": np.array([s for w in word for s in w], np.int64), "words": words.astype(np.int64), "counts": counts, "sizes": np.array([len(p) for p in pages], np.int64)}
 
 
@@ -90,11 +92,11 @@ def grid(sizes: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.where(live, at, 0), live
 
 
-def run(model: dict, way: str, x: np.ndarray, live: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """Hidden states (steps, pages, HIDDEN); with `keep`, what the way back needs."""
+def run(model: dict, way: str, x: np.ndarray, live: np.ndarray, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+    """Hidden states (steps, pages, HIDDEN), with `keep` what the way back needs, and the state after the last step."""
     steps, pages, _ = x.shape
     z = x @ model[f"W{way}"] + model[f"c{way}"]
-    h, c = np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN))
+    h, c = state or (np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN)))
     out, held = np.empty((steps, pages, HIDDEN)), []
     for t in range(steps):
         a = z[t] + h @ model[f"U{way}"]
@@ -108,7 +110,7 @@ def run(model: dict, way: str, x: np.ndarray, live: np.ndarray, keep: bool) -> t
         m = live[t][:, None]
         h, c = np.where(m, o * s, h), np.where(m, c_new, c)
         out[t] = h
-    return out, held
+    return out, held, (h, c)
 
 
 def back(model: dict, way: str, x: np.ndarray, live: np.ndarray, held: list, dout: np.ndarray) -> tuple[np.ndarray, dict]:
@@ -150,11 +152,40 @@ def logits(model: dict, x: dict) -> np.ndarray:
             where, live = grid(sizes[some], way == "b")
             start = first[some] - np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
             where = np.where(live, where + start, 0)
-            h, _ = run(model, way, flat[where], live, False)
+            h, _, _ = run(model, way, flat[where], live, False)
             score[where[live]] += h[live] @ model["out"][:HIDDEN, 0] if way == "f" else h[live] @ model["out"][HIDDEN:, 0]
     return score + model["bias"][0]
 
 
+def long_logits(model: dict, reader: Reader, page: list[Block], stretch: int) -> np.ndarray:
+    """logits() of one page, read in stretches of blocks with the state carried on, so that only one is held as arrays."""
+    score = np.full(len(page), model["bias"][0])
+    starts = list(range(0, len(page), stretch))
+    for way, order, out in (("f", starts, model["out"][:HIDDEN, 0]), ("b", starts[::-1], model["out"][HIDDEN:, 0])):
+        state = None
+        for a in order:
+            some = page[a : a + stretch]
+            turn = slice(None, None, 1 if way == "f" else -1)
+            flat = inputs(model, reader.read([some], np.arange(a, a + len(some)) / len(page)))[turn]
+            h, _, state = run(model, way, flat[:, None], np.ones((len(some), 1), bool), False, state)
+            score[a : a + len(some)][turn] += h[:, 0] @ out
+    return score
+
+
+#: Pages of more blocks are read in stretches of so many.
+STRETCH = 4096
+
+
+def labelled(model: dict, reader: Reader, pages: list[list[Block]]) -> np.ndarray:
+    """A number for each block of the pages, one page after the other, positive for main text."""
+    short = [p if len(p) <= STRETCH else [] for p in pages]
+    score = logits(model, reader.read(short))
+    if all(len(p) <= STRETCH for p in pages):
+        return score
+    cut = np.cumsum([len(p) for p in short])[:-1]
+    return np.concatenate([long_logits(model, reader, p, STRETCH) if len(p) > STRETCH else s for p, s in zip(pages, np.split(score, cut))])
+
+
 def learn(pages: list[list[Block]], truth: list[list[int]], *, rounds: int = 7, group: int = 24, rate: float = 0.01, seed: int = 3) -> dict:
     """Adam on the cross entropy of blocks."""
     rng, model, reader = np.random.default_rng(seed), new_model(seed), Reader()
@@ -172,7 +203,7 @@ def learn(pages: list[list[Block]], truth: list[list[int]], *, rounds: int = 7,
             total = np.full(len(y), model["bias"][0])
             for way, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
                 where, live = grid(x["sizes"], way == "b")
-                h, held = run(model, way, flat[where], live, True)
+                h, held, _ = run(model, way, flat[where], live, True)
                 total[where[live]] += h[live] @ model["out"][part, 0]
                 ways[way] = (where, live, h, held, part)
             d = (sigmoid(total) - y) / len(y)
@@ -202,7 +233,7 @@ PARTS = {
     "header": (["header", "div", "header", "div role=banner"], ["header", "site-header", "masthead", "top", "topbar", "branding", "banner", "logo"], ["Welcome", "Daily", "Search", "Sign", "in", "Edition"]),
     "footer": (["footer", "div", "footer", "div role=contentinfo"], ["footer", "site-footer", "bottom", "copyright", "colophon", "legal", "foot"], ["©", "·", "Copyright", "All", "rights", "reserved", "Privacy", "Terms", "Imprint", "Impressum"]),
     "sidebar": (["aside", "div", "aside", "div role=complementary"], ["sidebar", "side", "widget", "related", "right-column", "most-read", "trending", "recommended", "tags", "rail"], ["Related", "Popular", "Trending", "Latest", "More", "Tags"]),
-    "notice": (["div", "section", "aside", "div role=dialog", "div role=alert"], ["cookie", "notice", "consent", "gdpr", "cookie-banner", "alert", "popup", "modal", "overlay", "paywall", "message"], ["cookies", "Accept", "consent", "privacy", "settings", "browser", "continue", "policy"]),
+    "notice": (["div", "section", "aside", "noscript", "div role=dialog", "div role=alert"], ["cookie", "notice", "consent", "gdpr", "cookie-banner", "alert", "popup", "modal", "overlay", "paywall", "message"], ["cookies", "Accept", "consent", "privacy", "settings", "browser", "continue", "policy"]),
     "advert": (["div", "aside", "section"], ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad", "adbox", "sponsor", "promotion"], ["Advertisement", "Buy", "Sale", "Sponsored", "Offer", "%"]),
     "form": (["form", "form", "div"], ["search", "login", "newsletter", "subscribe", "signup", "search-form", "contact-form", "form"], ["Email", "Password", "Submit", "Subscribe", "Name", "Search", "Send"]),
     "comments": (["section", "div", "ol", "aside"], ["comments", "comment", "comment-list", "discussion", "replies", "respond", "comments-area", "disqus"], ["Reply", "Comments", "says", "wrote", "ago", "Like", "Report"]),
@@ -248,7 +279,7 @@ def generated(rng: np.random.Generator) -> tuple[str, list[int]]:
             inside = f"<ul>{inside}</ul>" if tag == "li" else inside
         holder = pick(kinds)
         # Only elements that say what they are do without a name.
-        plain = holder in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.5
+        plain = holder in ("nav", "header", "footer", "aside", "form", "noscript") and rng.random() < 0.5
         return element(holder, "" if plain else pick(names), inside)
 
     def story() -> str:
