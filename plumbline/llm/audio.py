@@ -3,10 +3,12 @@
 A payload is stored as a mono WAV file of unsigned 8-bit samples at 16 kHz. Features: polyphase resampling to 12 kHz
 (three output phases for four input samples, Kaiser-windowed sinc), log-mel energies of half-overlapping Hann frames,
 and active segments by two energy thresholds with hysteresis. Log-mel frames are cut into tensors of one fixed shape,
-each with its time span, and stored as an Arrow stream of the fixed-shape tensor type.
+each with its time span, and stored as an Arrow stream of the fixed-shape tensor type; `feature` is made of what is
+read back from it.
 
-Everything is computed row by row in blocks of frames, so that a value depends on its own bytes only and memory does
-not grow with the length of a recording.
+Everything is computed row by row, so that a value depends on its own bytes only. Samples stay bytes and are
+resampled and filtered in blocks of frames; the stored file and the tensors are the only things held whole, about
+three bytes in all for a byte of text.
 """
 
 from __future__ import annotations
@@ -77,25 +79,24 @@ HANN = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)
 
 
 def resampled(x: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Samples first:last at OUT_RATE of a signal whose samples are `x`, zero around it; first is a multiple of UP."""
+    """Samples first:last at OUT_RATE of 8-bit samples `x`, silence around them; first is a multiple of UP."""
     a, b = first // UP, -(-last // UP)
     low, high = a * DOWN - HALF, (b - 1) * DOWN + HALF + DOWN
-    part = x[max(low, 0) : max(high, 0)]
+    part = (x[max(low, 0) : max(high, 0)] - 128.0) / 128.0
     part = np.concatenate((np.zeros(max(-low, 0)), part, np.zeros(max(0, high - max(low, 0) - len(part)))))
     rows = np.lib.stride_tricks.sliding_window_view(part, len(PHASES))[::DOWN]
     return (rows @ PHASES).ravel()[: last - first]
 
 
 def log_mel(samples: np.ndarray) -> np.ndarray:
-    """Decibels (frames, MELS); the last frame is filled with silence."""
+    """Decibels (frames, MELS) as float32; the last frame is filled with silence."""
     total = -(-len(samples) * UP // DOWN)
     frames = max(1, -(-(total - FRAME) // HOP) + 1)
-    x = (samples - 128.0) / 128.0
-    out = np.empty((frames, MELS))
+    out = np.empty((frames, MELS), np.float32)
     for f in range(0, frames, BLOCK):
         g = min(f + BLOCK, frames)
         first = f * HOP - f * HOP % UP
-        y = resampled(x, first, (g - 1) * HOP + FRAME)[f * HOP - first :]
+        y = resampled(samples, first, (g - 1) * HOP + FRAME)[f * HOP - first :]
         rows = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * HANN
         spectrum = np.fft.rfft(rows, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2) @ FILTERS
@@ -143,43 +144,58 @@ def from_arrow(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
-def digest(mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
-    """Shape, number of segments and a hash of the features in tenths of a decibel."""
-    h = hashlib.sha256(np.rint(mel * 10).astype("<i2").tobytes())
-    h.update(np.array(spans, "<i8").tobytes())
-    return f"{-(-len(mel) // STEPS)}x{STEPS}x{MELS};{len(spans)};{h.hexdigest()[:32]}"
+def read_back(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Frames of a stream of to_arrow, (tensors, STEPS, MELS), and the time span of each tensor."""
+    table = from_arrow(stream).combine_chunks()
+    column = table["log_mel"].chunk(0)
+    return column.to_numpy_ndarray(), np.stack([table[c].to_numpy() for c in ("start_ms", "end_ms")], axis=1)
+
+
+def digest(stream: bytes, segments: list[tuple[int, int]]) -> str:
+    """Shape of the tensors, number of active segments and a hash of tensors (tenths of a decibel), spans and segments."""
+    values, spans = read_back(stream)
+    h = hashlib.sha256(np.rint(values * 10).astype("<i2").tobytes())
+    h.update(spans.astype("<i8").tobytes() + np.array(segments, "<i8").tobytes())
+    return f"{'x'.join(map(str, values.shape))};{len(segments)};{h.hexdigest()[:32]}"
 
 
 DIGESTS = [StructField("n_bytes", LongType()), StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType())]
 SEGMENTS = ArrayType(StructType([StructField("start_ms", LongType()), StructField("end_ms", LongType())]))
-
-WHOLE = [StructField("media", BinaryType()), StructField("segments", SEGMENTS), StructField("log_mel", BinaryType())]
+TIMED = [StructField("tensor_bytes", LongType()), StructField("tensor_sha256", StringType()), StructField("segments", SEGMENTS)]
+STORED = [StructField("media", BinaryType()), StructField("log_mel", BinaryType())]
 
 
-def described(text: bytes, whole: bool) -> dict[str, object]:
+def described(text: bytes) -> dict[str, object]:
     media = to_wav(padded(text))
     payload = from_wav(media)
     mel = log_mel(np.frombuffer(payload, np.uint8))
-    spans = active(mel)
-    out = {"n_bytes": len(text), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": digest(mel, spans)}
-    if whole:
-        out |= {"media": media, "segments": [{"start_ms": milliseconds(a), "end_ms": milliseconds(b)} for a, b in spans], "log_mel": to_arrow(tensors(mel), len(mel))}
-    return out
+    stream = to_arrow(tensors(mel), len(mel))
+    segments = [(milliseconds(a), milliseconds(b)) for a, b in active(mel)]
+    return {
+        "n_bytes": len(text), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),
+        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": digest(stream, segments),
+        "tensor_bytes": len(stream), "tensor_sha256": hashlib.sha256(stream).hexdigest(), "segments": [{"start_ms": a, "end_ms": b} for a, b in segments],
+        "media": media, "log_mel": stream,
+    }
 
 
-def media_columns(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, whole: bool = True) -> DataFrame:
-    """Columns `keep` of `docs` (None: all) plus digests of the payload, the stored file and its features and, if
-    `whole`, media (the WAV file), segments (active time spans) and log_mel (an Arrow stream of tensors and spans).
+def media_columns(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None, stored: bool = True) -> DataFrame:
+    """Columns `keep` of `docs` (None: all) plus digests of the payload, the stored file and its features, segments
+    (active time spans) and, if `stored`, media (the WAV file) and log_mel (an Arrow stream of tensors and spans).
 
     Null and empty texts are one unit of spaces. Equal texts have equal values. No rows give no rows. Columns of
     `docs` named like an output column are replaced.
     """
-    made = DIGESTS + (WHOLE if whole else [])
+    made = DIGESTS + TIMED + (STORED if stored else [])
 
     def start():
         def compute(texts: list[bytes]) -> dict[str, object]:
-            rows = [described(t, whole) for t in texts]
-            return {f.name: [r[f.name] for r in rows] for f in made}
+            rows: dict[str, list] = {f.name: [] for f in made}
+            for t in texts:
+                one = described(t)
+                for name, column in rows.items():
+                    column.append(one[name])
+            return rows
 
         return compute
 
@@ -187,5 +203,8 @@ def media_columns(docs: DataFrame, *, text_col: str = "text", keep: list[str] |
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """Contract columns of the media query."""
-    return media_columns(docs.select("doc_id", "text"), keep=["doc_id"], whole=False)
+    """Contract columns of the media query, the size and hash of the stored tensors, and active segments.
+
+    Files and tensors are made, stored in memory, read back and given up row by row; media_columns keeps them.
+    """
+    return media_columns(docs.select("doc_id", "text"), keep=["doc_id"], stored=False)
