@@ -21,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder is made. Shuffle files of the finished plan are given back at once, so that a query
+    The folder is the one the session names in spark.checkpoint.dir. Where that is unset, a session on one machine
+    gets a temporary folder; on a cluster it is an error, since executors could not write a driver's folder. Shuffle files of the finished plan are given back at once, so that a query
     of several phases needs the disk of its largest one; a lost task before that is run again from them.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -59,7 +62,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             n = 0 if n != n else int(n)
-            if held and held + n > limit:
+            if i > start and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from plumbline.llm.common import checkpointed
 from plumbline.llm.rows import with_computed
 
 #: First code points of script ranges, and their scripts. Fixed values.
@@ -40,6 +41,8 @@ SWITCH = 12.0
 #: Bytes of text that are scored together; arrays are about 50 times as large.
 SLICE = 2 << 20
 UNDETERMINED = "und"
+#: A table of shares of at most so many languages is broadcast; a larger one is joined by shuffling both sides.
+FEW_LANGS = 10_000
 
 
 class Letters:
@@ -122,19 +125,17 @@ def fit(labelled: DataFrame) -> dict:
     return {"langs": langs, "pair": logs[0], "three": logs[1], "own": share >= OWN_SHARE}
 
 
-def label(model: dict, texts: list[str], switch: float = SWITCH) -> tuple[Letters, np.ndarray, np.ndarray]:
-    """Letters of the texts, the language of each word, and the score margin of each text's words (words, langs)."""
+def scores(model: dict, texts: list[str]) -> tuple[Letters, np.ndarray]:
+    """Letters of the texts and the score of each word for each language (words, langs)."""
     letters = Letters(texts)
     n = len(model["langs"])
     if not n or not len(letters.start):
-        return letters, np.zeros(len(letters.start), np.int16), np.zeros((len(letters.start), n), np.float32)
+        return letters, np.zeros((len(letters.start), n), np.float32)
     pair, three = letters.grams()
     score = np.add.reduceat(model["pair"][pair] + model["three"][three], letters.start, axis=0)
-    script = letters.scripts()[letters.start + letters.size // 2]
-    own = model["own"][script]
+    own = np.add.reduceat(model["own"][letters.scripts()], letters.start, axis=0, dtype=np.int32) * 2 > letters.size[:, None]
     own |= ~own.any(axis=1, keepdims=True)
-    score = np.where(own, score, np.float32(-1e6) + score)
-    return letters, viterbi(score, letters.text, switch), score
+    return letters, np.where(own, score, np.float32(-1e6) + score)
 
 
 def viterbi(score: np.ndarray, text: np.ndarray, switch: float) -> np.ndarray:
@@ -166,29 +167,48 @@ def viterbi(score: np.ndarray, text: np.ndarray, switch: float) -> np.ndarray:
     return out
 
 
-def _judge(model: dict, spans: bool) -> Callable[[list[bytes]], dict[str, object]]:
+def labelled_words(model: dict, texts: list[str], switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the texts: the text, the first place, the number of letters, and the language.
+
+    A text of more than SLICE letters is scored in pieces that end between words; only scores of words are held for
+    the whole of it.
+    """
+    if len(texts) == 1 and len(texts[0]) > SLICE:
+        whole, parts, at = texts[0].lower(), [], 0
+        while at < len(whole):
+            end = at + SLICE
+            while end < len(whole) and whole[end].isalpha():
+                end += 1
+            parts.append((at, scores(model, [whole[at:end]])))
+            at = end
+        start = np.concatenate([letters.place + a for a, (letters, _) in parts])
+        size = np.concatenate([letters.size for _, (letters, _) in parts])
+        text, score = np.zeros(len(start), np.int64), np.concatenate([s for _, (_, s) in parts])
+    else:
+        letters, score = scores(model, texts)
+        text, start, size = letters.text, letters.place, letters.size
+    word = viterbi(score, text, switch) if score.size else np.zeros(len(text), np.int16)
+    return text, start, size, word
+
+
+def _judge(model: dict) -> Callable[[list[bytes]], dict[str, object]]:
     langs = model["langs"]
 
     def compute(raw: list[bytes]) -> dict[str, object]:
         texts = [t.decode("utf-8", "replace") for t in raw]
-        letters, word, _ = label(model, texts)
+        text, start, size, word = labelled_words(model, texts)
         n = len(langs)
-        mass = np.zeros((len(texts), max(n, 1)))
-        np.add.at(mass, (letters.text, word), letters.size)
+        mass = np.bincount(text * max(n, 1) + word, size, minlength=len(texts) * max(n, 1)).reshape(len(texts), max(n, 1))
         total = mass.sum(axis=1)
         top = mass.argmax(axis=1)
         share = mass[np.arange(len(texts)), top] / np.maximum(total, 1)
         known = (total > 0) & (n > 0)
-        out = {"lang_pred": [langs[t] if k else UNDETERMINED for t, k in zip(top.tolist(), known.tolist())], "score": np.where(known, share, 0.0)}
-        if spans:
-            found: list[list[dict]] = [[] for _ in texts]
-            if n and len(word):
-                end = letters.place + letters.size
-                turn = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (letters.text[1:] != letters.text[:-1]))))
-                for a, b in zip(turn, np.concatenate((turn[1:], [len(word)]))):
-                    found[letters.text[a]].append({"lang": langs[word[a]], "start": int(letters.place[a]), "end": int(end[b - 1])})
-            out["spans"] = found
-        return out
+        names = pa.array([*langs, UNDETERMINED], pa.string())
+        turn = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])))) if n and len(word) else np.empty(0, np.int64)
+        last = np.append(turn[1:], len(word))[: len(turn)] - 1
+        spans = pa.StructArray.from_arrays([names.take(pa.array(word[turn])), pa.array(start[turn].astype(np.int32)), pa.array((start[last] + size[last]).astype(np.int32))], names=["lang", "start", "end"])
+        cut = pa.array(np.searchsorted(text[turn], np.arange(len(texts) + 1)).astype(np.int32))
+        return {"lang_pred": names.take(pa.array(np.where(known, top, n))), "score": np.where(known, share, 0.0), "spans": pa.ListArray.from_arrays(cut, spans)}
 
     return compute
 
@@ -196,29 +216,28 @@ def _judge(model: dict, spans: bool) -> Callable[[list[bytes]], dict[str, object
 SPAN = StructType([StructField("lang", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
 
 
-def identify(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
-    """Columns `keep` of `docs` (None: all) plus lang_pred, score and, if asked for, spans (lang, start, end).
+def identify(docs: DataFrame, model: dict, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns `keep` of `docs` (None: all) plus lang_pred, score and spans (lang, start, end).
 
     score: share of the letters whose words carry the text's language. Null, empty and letterless texts, and all
     texts under a model that learned nothing, are `und` with score 0 and no spans. Ties go to the first language by
     code point. start and end count code points of the lower-cased text. Repeated rows have equal results; no rows
     give no rows. Columns of `docs` named like an output column are replaced.
     """
-    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType())] + [StructField("spans", ArrayType(SPAN))] * spans
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("spans", ArrayType(SPAN))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return with_computed(docs, text_col, StructType(made), lambda: _judge(shared.value, spans), keep, SLICE)
+    return with_computed(docs, text_col, StructType(made), lambda: _judge(shared.value), keep, SLICE)
 
 
 def labelled_sample(docs: DataFrame, may_learn: Column, *, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, text) of about `per_lang` rows of each language for which `may_learn` holds, chosen by a hash of the id."""
     rows = docs.filter(may_learn & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count()
+    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg((float(per_lang) / F.count("*")).alias("_share"))
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-    have = {r["lang"]: r["count"] for r in counts.collect()}
-    if not have:
-        return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, v in have.items() for x in (k, min(1.0, per_lang / v))]), F.col(lang_col))
-    return rows.filter(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("_draw"))
+    counts = checkpointed(counts)
+    few = F.broadcast(counts) if counts.count() <= FEW_LANGS else counts
+    return drawn.join(few, (F.col("lang") == F.col("_lang")) & (F.col("_draw") < F.col("_share"))).select("lang", "text")
 
 
 def held_out() -> Column:
@@ -226,8 +245,8 @@ def held_out() -> Column:
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    """Contract columns of the language query."""
+    """Contract columns of the language query, and the spans."""
     slim = docs.select("doc_id", "text", "lang")
     model = fit(labelled_sample(slim, ~held_out()))
-    out = identify(slim.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"], spans=False)
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    out = identify(slim.withColumn("held_out", held_out()), model, keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score", "spans")
