@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import audio, blocks, chat, components, decontam, hilbert, labeller, langid, mixing, simhash, substrings, template, toxicity
+from plumbline.llm import audio, blocks, chat, components, decontam, hilbert, html_text, labeller, langid, mixing, simhash, substrings, template, toxicity
 from plumbline.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -282,6 +282,56 @@ def test_viterbi_equals_all_paths():
         assert value(path) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))), abs=1e-5)
 
 
+def plain_language(model, text):
+    """Language, share of letters and spans by following every language through the words one at a time."""
+    words, at = [], 0
+    low = text.lower()
+    while at < len(low):
+        end = at
+        while end < len(low) and low[end].isalpha():
+            end += 1
+        if end > at:
+            words.append((at, low[at:end]))
+        at = max(end, at + 1)
+    langs = range(len(model["langs"]))
+    best, back = None, []
+    for _, w in words:
+        letters = langid.Letters([w])
+        pair, three = letters.grams()
+        own = [sum(bool(model["own"][s, k]) for s in letters.scripts()) * 2 > len(w) for k in langs]
+        score = [float(model["pair"][pair, k].sum() + model["three"][three, k].sum()) - (0 if own[k] or not any(own) else 1e6) for k in langs]
+        came = [max(langs, key=lambda j: (best[j] - (langid.SWITCH if j != k else 0), j == k)) for k in langs] if best else [0] * len(langs)  # noqa: B023
+        best = [(best[came[k]] - (langid.SWITCH if came[k] != k else 0) if best else 0) + score[k] for k in langs]
+        back.append(came)
+    path = [int(np.argmax(best))] if words else []
+    for came in reversed(back[1:]):
+        path.append(came[path[-1]])
+    path.reverse()
+    mass = [sum(len(w) for (_, w), k in zip(words, path) if k == lang) for lang in langs]
+    spans = []
+    for (at, w), k in zip(words, path):
+        if spans and spans[-1][0] == model["langs"][k]:
+            spans[-1][2] = at + len(w)
+        else:
+            spans.append([model["langs"][k], at, at + len(w)])
+    return (model["langs"][int(np.argmax(mass))], max(mass) / sum(mass), spans) if words else ("und", 0.0, [])
+
+
+def test_language_query_equals_plain_python(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    odd = [(-1, None, "en"), (-2, "", None), (-3, "12 !?", "en"), (-4, "the and of that with this. Der und die nicht mit dem sich", None), (-5, "мир Größe aмир 世界 x", None)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    model = langid.fit(langid.labelled_sample(docs, ~langid.held_out()))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in langid.op6(docs).collect():
+        lang, share, spans = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(share) and [list(s) for s in r.spans] == spans
+    text = texts[-4] * 40
+    whole = langid.labelled_words(model, [text])
+    monkeypatch.setattr(langid, "SLICE", 50)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, langid.labelled_words(model, [text])))
+
+
 def test_spans_of_mixed_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit(langid.labelled_sample(docs, F.lit(True)))
@@ -292,7 +342,7 @@ def test_spans_of_mixed_text(spark, sf_dir):
 
 def test_media_round_trip():
     for text in (b"", b"x" * 192, "héllo wörld ".encode() * 700):
-        row = audio.described(text, True)
+        row = audio.described(text)
         payload = audio.from_wav(row["media"])
         assert payload.rstrip(b" ") == text.rstrip(b" ") and len(payload) % 192 == 0 and len(payload) > 0
         t = audio.from_arrow(row["log_mel"])
@@ -300,12 +350,52 @@ def test_media_round_trip():
         assert t["start_ms"].to_pylist()[0] == 0 and all(a < b for a, b in zip(t["start_ms"].to_pylist(), t["end_ms"].to_pylist()))
 
 
+def plain_log_mel(payload):
+    """Decibels by the formulas, a sample, a frame and a filter at a time."""
+    x = [(b - 128) / 128 for b in payload]
+    taps = audio.PHASES
+    frames = max(1, -(-(-(-len(x) * 3 // 4) - 256) // 128) + 1)
+    y = []
+    for k in range((frames - 1) * 128 + 256):  # silence after the end
+        whole, phase = divmod(k, 3)
+        y.append(sum(taps[j, phase] * x[i] for j in range(len(taps)) if 0 <= (i := whole * 4 - audio.HALF + j) < len(x)))
+    out = np.empty((frames, 20))
+    for f in range(frames):
+        part = np.array(y[f * 128 : f * 128 + 256]) * [0.5 - 0.5 * np.cos(2 * np.pi * i / 256) for i in range(256)]
+        wave = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+        out[f] = 10 * np.log10(np.maximum(np.abs(wave @ part) ** 2 @ audio.FILTERS, 1e-10))
+    return out
+
+
+def test_media_query_equals_plain_python(spark):
+    texts = [None, "", "short", "héllo wörld мир " * 40, "a" * 192, "x" * 193 + " tail  ", "LOUD !!!! ~~~~ " * 30 + "." * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in audio.op8(docs).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        pad = raw + b" " * ((-len(raw)) % 192 if raw else 192)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
+        whole = audio.described(raw)
+        assert r.media_bytes == 44 + len(pad) and whole["media"][44:] == pad and r.media_sha256 == hashlib.sha256(whole["media"]).hexdigest()
+        values, spans = audio.read_back(whole["log_mel"])
+        mel = plain_log_mel(pad)
+        assert np.allclose(values.reshape(-1, 20)[: len(mel)], mel, atol=1e-3) and (values.reshape(-1, 20)[len(mel) :] == audio.FLOOR_DB).all()
+        assert spans[0][0] == 0 and spans[-1][1] == audio.milliseconds(len(mel)) and (spans[1:, 0] == spans[:-1, 1]).all()
+        assert r.tensor_bytes == len(whole["log_mel"]) and r.feature.startswith(f"{len(values)}x64x20;{len(r.segments)};")
+
+
+def test_long_media_equal_one_piece(monkeypatch):
+    text = bytes(random.Random(3).randrange(32, 127) for _ in range(60_000))
+    blocks_ = audio.described(text)
+    monkeypatch.setattr(audio, "BLOCK", 7)
+    assert audio.described(text) == blocks_
+
+
 def test_resampling_and_segments():
     t = np.arange(32000)
     keep = 60 / 128 * np.sin(2 * np.pi * 1000 * np.arange(24000) / 12000)
-    got = audio.resampled(60 / 128 * np.sin(2 * np.pi * 1000 * t / 16000), 0, 24000)
+    got = audio.resampled(128 + 60 * np.sin(2 * np.pi * 1000 * t / 16000), 0, 24000)
     assert np.abs(got - keep)[100:-100].max() < 0.01
-    assert np.abs(audio.resampled(np.sin(2 * np.pi * 7500 * t / 16000), 0, 24000))[100:-100].max() < 0.02
+    assert np.abs(audio.resampled(128 + 128 * np.sin(2 * np.pi * 7500 * t / 16000), 0, 24000))[100:-100].max() < 0.02
     mel = np.repeat([0, 0, 0, 0, 2.0, 1.0, 0.8, 0.2, 0, 1.0, 0], 1)[:, None] * np.ones(20)
     assert audio.active(mel - np.median(mel[:, 0])) == [(4, 7)]
 
@@ -368,6 +458,53 @@ def test_labeller_fits_a_few_pages():
     assert loss(labeller.learn(pages, truth, rounds=60)) < before / 4
 
 
+ARTICLE = "The river rose over night and reached the lower streets before the bridge was closed to all traffic."
+SECOND = "Nobody was hurt, but the mill and two shops stood under water until the evening of the next day."
+THIRD = "Engineers said that the old dam had held and that the pumps would run for another week."
+#: Body of a page, and the blocks of main text that a reader would copy out of it, written by hand.
+PAGES = [
+    (f"<article><h1>Flood</h1><p>{ARTICLE}</p><p>{SECOND}</p></article>", ["Flood", ARTICLE, SECOND]),
+    (f"<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><p>{ARTICLE}</p><p>{SECOND}</p></article>", [ARTICLE, SECOND]),
+    (f"<header>Daily Post</header><main><h1>Flood</h1><p>{ARTICLE}</p></main><footer>Copyright, all rights reserved</footer>", ["Flood", ARTICLE]),
+    (f"<div class=content><p>{ARTICLE}</p><p>{SECOND}</p></div><aside class=sidebar><p>Related</p><a href=/x>More floods</a></aside>", [ARTICLE, SECOND]),
+    (f"<div class='cookie-banner'><p>We use cookies. Accept all?</p></div><article><p>{ARTICLE}</p><p>{THIRD}</p></article>", [ARTICLE, THIRD]),
+    (f"<article><p>{ARTICLE}</p><div class=advert>Buy boats now</div><p>{SECOND}</p></article>", [ARTICLE, SECOND]),
+    (f"<article><p>{ARTICLE}</p><p>{SECOND}</p></article><form class=newsletter><p>Subscribe</p><p>Email</p></form>", [ARTICLE, SECOND]),
+    (f"<article><p>{ARTICLE}</p></article><section class=comments><p>Ann says: stay dry</p><p>Reply</p></section>", [ARTICLE]),
+    (f"<script>var a = '<p>x</p>';</script><style>p{{}}</style><article><p>{ARTICLE}</p><p>{SECOND}</p></article>", [ARTICLE, SECOND]),
+    ("<article><p>Fish &amp; chips cost &pound;5 &#8211; or &#x35; &euro; at the &quot;Old Mill&quot; until the water came up the road.</p></article>", ['Fish & chips cost \xa35 \u2013 or 5 \u20ac at the "Old Mill" until the water came up the road.']),
+    (f"<article><p>  The river\n\t rose   over night and reached <b>the lower</b> streets before the bridge was closed to all <i>traffic</i>. </p><p>{THIRD}</p></article>", [ARTICLE, THIRD]),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given and let the water rise by that much in each of the hours.</p></article>", ["Let x=2 be given and let the water rise by that much in each of the hours."]),
+    (f"<article><p>{ARTICLE} <svg><title>Icon</title><text>Level 7</text></svg></p><p>{SECOND}</p></article>", [ARTICLE + " Level 7", SECOND]),
+    (f'<article><p class="x>{ARTICLE}</p><p>{SECOND}</p></article>', [ARTICLE, SECOND]),
+    (f"<noscript>Please enable JavaScript in your browser settings.</noscript><article><p>{ARTICLE}</p><p>{SECOND}</p></article>", [ARTICLE, SECOND]),
+    (f"<article><p>{ARTICLE}<p>{SECOND}<p>{THIRD}</article>", [ARTICLE, SECOND, THIRD]),
+    (f"<article><h2>Damage</h2><ul><li>{SECOND}</li><li>{THIRD}</li></ul></article>", ["Damage", SECOND, THIRD]),
+    (f"<article><table><tr><td>{ARTICLE}</td><td>{SECOND}</td></tr></table></article>", [ARTICLE, SECOND]),
+    (f"<article><p>{ARTICLE}<br>{SECOND}</p><!-- <p>hidden</p> --></article>", [ARTICLE + " " + SECOND]),
+    (f"<article><blockquote>{THIRD}</blockquote><pre>level  7\nlevel  8 at the gauge of the lower bridge, read by hand.</pre></article>", [THIRD, "level 7 level 8 at the gauge of the lower bridge, read by hand."]),
+    ("<nav><a href=/>Home</a> <a href=/a>About</a></nav><footer>Imprint</footer>", []),
+    (f"<article><p>{ARTICLE}</p><p>{SECOND}</p></article><p>", [ARTICLE, SECOND]),
+]
+
+
+def test_pages_written_by_hand(spark):
+    rows = [(i, f"<!DOCTYPE html><html><head><title>T</title></head><body>{body}</body></html>") for i, (body, _) in enumerate(PAGES)]
+    out = {r.page_id: r for r in html_text.op1(spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))).collect()}
+    for i, (_, want) in enumerate(PAGES):
+        assert out[i].text.split("\n") == (want or [""]), i
+        assert out[i].n_chars == len(out[i].text)
+
+
+def test_long_pages_are_read_in_stretches(monkeypatch):
+    rng = np.random.default_rng(5)
+    model, reader = labeller.new_model(), labeller.Reader()
+    page = [b for _ in range(9) for b in blocks.blocks_of(labeller.generated(rng)[0])]
+    whole = labeller.logits(model, reader.read([page]))
+    monkeypatch.setattr(labeller, "STRETCH", 7)
+    assert np.allclose(labeller.labelled(model, reader, [page[:5], page, []]), np.concatenate((labeller.logits(model, reader.read([page[:5]])), whole)))
+
+
 def test_pages_of_the_corpus(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = QUERIES["op1_html_main_text"](spark, sf_dir).join(pages.select("page_id", "html"), "page_id").collect()
