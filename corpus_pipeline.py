@@ -19,8 +19,8 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = langid.fit(langid.labelled_sample(docs, F.lit(True)))
     if not model["langs"]:
         return docs
-    named = docs.withColumnRenamed("lang_pred", free_name(docs, "pred")).withColumnRenamed("score", free_name(docs, "score"))
-    judged = langid.identify(named, model, spans=False).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    named = docs.select(*[F.col(c).alias(free_name(docs, c) if c in ("lang_pred", "score", "spans") else c) for c in docs.columns])
+    judged = langid.identify(named, model).filter(F.col("lang_pred") != langid.UNDETERMINED)
     return judged.select(*[F.col(a).alias(b) for a, b in zip(named.columns, docs.columns)])
 
 
