@@ -7,17 +7,22 @@ LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklm
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP4 = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '{WORD}'))::BIGINT AS size,
-  (('0x'||substr(md5('11:'||doc_id),1,13))::UBIGINT::DOUBLE + 0.5e0)/4503599627370496e0 AS u FROM documents),
+  (('0x'||substr(md5('11:'||coalesce(doc_id::VARCHAR,'')||':'||md5(coalesce(text,''))),1,13))::UBIGINT::DOUBLE + 0.5e0)/4503599627370496e0 AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM d GROUP BY source),
 w AS (SELECT *, ([5e0,2e0,1e0])[(place-1)%3+1] AS weight FROM s),
 r AS (SELECT *, (sum(source_size) OVER () - (sum(3*source_size) OVER o - 3*source_size))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS unit, row_number() OVER o AS turn
   FROM w WINDOW o AS (ORDER BY source_size/weight, place)),
 f AS (SELECT unit FROM r WHERE NOT (3*source_size < unit*weight) ORDER BY turn LIMIT 1),
-t AS (SELECT source, source_size, least((3*source_size)::DOUBLE, f.unit*weight) AS target FROM r, f),
-e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(3e0, target/source_size) ELSE 0e0 END AS e FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+t AS (SELECT source, source_size, least((3*source_size)::DOUBLE, coalesce(f.unit,0e0)*weight) AS target FROM r LEFT JOIN f ON true),
+k AS (SELECT source, length(bin(size))::DOUBLE AS weight, sum(size)::DOUBLE AS words FROM d GROUP BY 1, 2),
+l AS (SELECT k.*, target, sum(words) OVER o - words AS heavier, sum(weight*words) OVER (PARTITION BY k.source) - sum(weight*words) OVER o + weight*words AS rest
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY k.source ORDER BY weight DESC)),
+x AS (SELECT source, arg_max((target-3*heavier)/rest, weight) AS factor FROM l WHERE rest > 0 AND (target-3*heavier)/rest*weight < 3 GROUP BY source),
+e AS (SELECT d.*, source_size, target, CASE WHEN size <= 0 THEN 0e0 WHEN factor IS NULL THEN 3e0 ELSE least(3e0, factor*length(bin(size))::DOUBLE) END AS e
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source),
 p AS (SELECT *, floor(e) AS whole, e-floor(e) AS p, (u/(1e0-u))/((e-floor(e))/(1e0-(e-floor(e)))) AS rank FROM e),
 y AS (SELECT *, CASE WHEN p <= 0 OR whole >= 3 THEN 1e0 ELSE least(rank/(1e0+rank), 1e0-1e0/1099511627776e0) END AS y FROM p),
-n AS (SELECT *, target - sum(whole*size) OVER (PARTITION BY source) AS need, sum(CASE WHEN y<1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY y, u, size, doc_id) - size AS before FROM y)
+n AS (SELECT *, target - sum(whole*size) OVER (PARTITION BY source) AS need, sum(CASE WHEN y<1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY y, u, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM y)
 SELECT doc_id, size, source_size, target, ((whole + (y<1 AND before + size/2e0 <= need)::INT)*size)::BIGINT AS taken, (whole + (y<1 AND before + size/2e0 <= need)::INT)::INT AS copies FROM n"""
 
 OP5 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '{WORD}') AS w FROM documents),
