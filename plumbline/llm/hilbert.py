@@ -4,9 +4,12 @@ Rows are ordered by the Hilbert index of (source, lang, size, id), each quantise
 and the order is cut into runs of equal row counts. Neighbours on the curve are neighbours in every dimension,
 so a shard's files have narrow min/max ranges in all of them and a reader prunes on any of them.
 
-Only bounded things reach the driver or one task: histograms of at most 4096 codes for each dimension and the
-counts of at most 2**(4 * bits) cells. Rows are numbered inside (cell, hash split) groups; the number of splits
-grows with the row count, so that a cell with a third of all rows is numbered by many tasks.
+Levels are equi-depth over whole values: a value's level is the share of rows below it. For names (source, lang) the
+rows below come from counts by value, for numbers from histograms that are refined where a level begins. Only
+bounded things reach the driver or one task: a value for each level, histograms of 4096 bins, and the counts of at
+most 2**(4 * bits) cells. Rows are numbered inside (cell, hash split) groups; the number of splits grows with the row
+count, so that a cell with a third of all rows is numbered by many tasks, and rows that are equal in great numbers
+are spread over splits of their own.
 """
 
 from __future__ import annotations
@@ -19,8 +22,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpointed, free_name
 
-CODES = 4096
+BINS = 4096
 DIMS = 4
+#: Tables of at most so many different names are ordered in one task; larger ones in ranges.
+FEW_NAMES = 100_000
+#: More rows than this that are equal in id, text and size are spread by number, not by hash.
+EQUAL = 1 << 20
 
 
 @cache
@@ -63,54 +70,96 @@ def curve_index(levels: list[Column], bits: int) -> Column:
     return F.aggregate(F.lit(list(reversed(range(bits)))), start, step)["out"]
 
 
-def _text_code(col: Column, skip: int) -> Column:
-    """0 for null; else 1 + the 12 bits that follow the first `skip` bytes, which all values share."""
-    two = F.rpad(F.substring(F.hex(F.encode(col, "UTF-8")), 2 * skip + 1, 3), 3, "0")
-    return F.when(col.isNull(), 0).otherwise(F.least(F.conv(two, 16, 10).cast("int") + 1, F.lit(CODES - 1)))
-
-
-def _shared_bytes(low: str | None, high: str | None) -> int:
-    a, b = (low or "").encode(), (high or "").encode()
-    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
-def hilbert_shards(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", bits: int = 3) -> DataFrame:
+def _first_names(df: DataFrame, name: str, levels: int, total: int) -> list[str]:
+    """The least value of each level but the lowest; null is below all values."""
+    counts = checkpointed(df.groupBy(name).agg(F.count("*").alias("n")).filter(F.col(name).isNotNull()))
+    nulls = F.lit(total) - F.sum("n")
+    rows, missing = counts.agg(F.count("*"), F.coalesce(nulls, F.lit(total))).first()
+    if rows > FEW_NAMES:
+        counts = checkpointed(counts.repartitionByRange(256, name).withColumn("range", F.spark_partition_id()))
+        heads = counts.groupBy("range").agg(F.sum("n").alias("s")).select("range", (F.sum("s").over(Window.orderBy("range")) - F.col("s")).alias("h"))
+        placed = counts.join(F.broadcast(heads), "range")  # 256 rows
+        below = F.sum("n").over(Window.partitionBy("range").orderBy(name)) - F.col("n") + F.col("h")
+    else:
+        placed, below = counts, F.sum("n").over(Window.orderBy(name)) - F.col("n")
+    level = F.floor((below + missing) * levels / max(total, 1))
+    first = placed.select(F.col(name).alias("value"), level.alias("level")).groupBy("level").agg(F.min("value").alias("value")).filter("level > 0")
+    return [r["value"] for r in first.orderBy("level").collect()]
+
+
+def _first_numbers(df: DataFrame, name: str, levels: int, total: int, low: int, high: int) -> list[int]:
+    """The least long of each level but the lowest, to a bin that holds few rows or one value; null is below all."""
+    wide = 16 * levels
+    parts = {0: (low, high)}  # ranges that are looked into, and the rows below each
+    below = {0: None}
+    found: dict[int, int] = {}
+    for _ in range(8):
+        cases, spans = F.lit(None).cast("string"), {}
+        for k, (a, b) in parts.items():
+            step = max(1, -(-(b - a + 1) // BINS))
+            spans[k] = (a, step)
+            code = F.concat_ws(":", F.lit(k), F.expr(f"(cast(`{name}` as decimal(38,0)) - ({a})) div {step}"))
+            cases = F.when((F.col(name) >= a) & (F.col(name) <= b), code).otherwise(cases)
+        counts = {r["code"]: r["n"] for r in df.select(cases.alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()}
+        more, ahead = {}, {}
+        for k, (a, step) in spans.items():
+            seen = below[k] if below[k] is not None else counts.get(None, 0)
+            bins = sorted((int(c.split(":")[1]), n) for c, n in counts.items() if c is not None and c.startswith(f"{k}:"))
+            for i, n in bins:
+                at, then = seen * levels // total, (seen + n) * levels // total
+                start = a + i * step
+                if at and (at not in found or start < found[at]):
+                    found[at] = start
+                if then > at and step > 1 and n * wide > total:
+                    more[len(more)] = (start, start + step - 1)
+                    ahead[len(ahead)] = seen
+                seen += n
+        parts, below = more, ahead
+        if not parts:
+            break
+    return [found[k] for k in sorted(found)]
+
+
+def _level(firsts: list, value: Column) -> Column:
+    """Number of levels that begin at or below a value; 0 for null."""
+    return F.coalesce(F.size(F.filter(F.lit(firsts), lambda v: v <= value)), F.lit(0)) if firsts else F.lit(0)
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", bits: int = 3, equal: int = EQUAL) -> DataFrame:
     """All rows and columns of `docs` plus size, text_crc32, shard, slot (law `rows`).
 
     size: UTF-8 bytes of the text (null: 0) plus 8. Shard counts are at most one apart; slots are gapless from 0.
     Null ids, sources and languages sort before all others; a null text counts as empty. Repeated rows get a slot
-    each. An empty table gives an empty result. Columns of `docs` named like an output column are replaced.
+    each; more than `equal` of them are written once and numbered there. An empty table gives an empty result. Columns of `docs` named like an output column are replaced.
     """
     docs = docs.drop(*(c for c in ("size", "text_crc32", "shard", "slot") if c in docs.columns))
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(F.encode(text, "UTF-8"))})
-    of = {k: F.col(c).cast(t) for k, c, t in (("source", source_col, "string"), ("lang", lang_col, "string"), ("id", id_col, "long"))}
-    b = sized.agg(F.count("*").alias("n"), *(f(of[k]).alias(f"{k}_{n}") for k in of for n, f in (("low", F.min), ("high", F.max)))).first()
-    total, low, span = b["n"], b["id_low"] or 0, (b["id_high"] or 0) - (b["id_low"] or 0) + 1
-    codes = [
-        _text_code(of["source"], _shared_bytes(b["source_low"], b["source_high"])),
-        _text_code(of["lang"], _shared_bytes(b["lang_low"], b["lang_high"])),
-        F.least(F.floor(F.log2("size") * 64).cast("int"), F.lit(CODES - 1)),
-        F.when(of["id"].isNull(), 0).otherwise(F.floor((of["id"].cast("double") - low) / float(span) * (CODES - 2)).cast("int") + 1),
-    ]
-    held = sized.select(F.posexplode(F.array(*codes)).alias("dim", "code")).groupBy("dim", "code").count().collect()
-
-    def level(dim: int, code: str) -> Column:
-        """Number of cut codes at or below the row's: equi-depth over all rows."""
-        cuts, seen = [], 0
-        for r in sorted((r for r in held if r["dim"] == dim), key=lambda r: r["code"]):
-            if seen and seen * 2**bits // max(total, 1) > len(cuts):
-                cuts.append(r["code"])
-            seen += r["count"]
-        return F.size(F.filter(F.lit(cuts[: 2**bits - 1]), lambda c: c <= F.col(code))) if cuts else F.lit(0)
-
-    cell, split, tie, ahead, rank, *work = (free_name(sized, k) for k in ("cell", "split", "tie", "ahead", "rank", *(f"code{d}" for d in range(DIMS)), *(f"level{d}" for d in range(DIMS))))
+    cell, split, tie, ahead, rank, group, *work = (free_name(sized, k) for k in ("cell", "split", "tie", "ahead", "rank", "group", *(f"level{d}" for d in range(DIMS))))
+    of = {"source": F.col(source_col).cast("string"), "lang": F.col(lang_col).cast("string"), "size": F.col("size"), "id": F.col(id_col).cast("long")}
+    slim = checkpointed(sized.select(*[c.alias(k) for k, c in of.items()], F.xxhash64(F.col(id_col), F.col("text_crc32"), F.col("size")).alias("tie")))
+    b = slim.agg(F.count("*").alias("n"), *(f(k).alias(f"{k}_{n}") for k in ("size", "id") for n, f in (("low", F.min), ("high", F.max)))).first()
+    total, depth = b["n"], 2**bits
+    firsts = {k: _first_names(slim.select(k), k, depth, total) for k in ("source", "lang")}
+    firsts |= {k: _first_numbers(slim.select(k), k, depth, total, b[f"{k}_low"], b[f"{k}_high"]) if b[f"{k}_low"] is not None else [] for k in ("size", "id")}
     splits = max(256, math.ceil(total / 2**20))
-    code, levels = work[:DIMS], work[DIMS:]
-    coded = sized.withColumns(dict(zip(code, codes))).withColumns({levels[d]: level(d, code[d]) for d in range(DIMS)})
-    keyed = coded.withColumns({cell: curve_index([F.col(c) for c in levels], bits), tie: F.xxhash64(F.col(id_col), F.col("text_crc32"), F.col("size"))})
-    keyed = keyed.withColumn(split, F.pmod(F.col(tie), F.lit(splits))).drop(*work)
-    counts = checkpointed(keyed.groupBy(cell, split).agg(F.count("*").alias("n")))
+
+    def placed(rows: DataFrame, columns: dict[str, Column], key: Column) -> DataFrame:
+        """`rows` plus cell, tie and split."""
+        out = rows.withColumns({w: _level(firsts[k], c) for w, (k, c) in zip(work, columns.items())})
+        return out.withColumns({cell: curve_index([F.col(c) for c in work], bits), tie: key}).drop(*work).withColumn(split, F.pmod(F.col(tie), F.lit(splits)))
+
+    keyed = placed(sized, of, F.xxhash64(F.col(id_col), F.col("text_crc32"), F.col("size")))
+    light = placed(slim, {k: F.col(k) for k in of}, F.col("tie")).select(cell, split, tie)
+    counts = checkpointed(light.groupBy(cell, split).agg(F.count("*").alias("n")))
+    full = [r[split] for r in counts.filter(F.col("n") > equal).select(split).distinct().collect()]  # at most rows / equal
+    ties = light.filter(F.col(split).isin(full)).groupBy(tie).agg(F.count("*").alias("n")).filter(F.col("n") > equal) if full else None
+    ties = checkpointed(ties.select(F.col(tie).alias(group))) if full else None
+    if full and ties.count():
+        same, few = F.col(tie) == F.col(group), F.broadcast(ties)  # at most rows / equal
+        number = checkpointed(keyed.join(few, same, "left_semi")).withColumn(split, splits + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(splits)))
+        keyed = keyed.join(few, same, "left_anti").unionAll(number)
+        counts = checkpointed(light.join(few, same, "left_anti").select(cell, split).unionAll(number.select(cell, split)).groupBy(cell, split).agg(F.count("*").alias("n")))
     cells = counts.groupBy(cell).agg(F.sum("n").alias("n")).select(cell, (F.sum("n").over(Window.orderBy(cell)) - F.col("n")).alias("before"))
     inside = counts.select(cell, split, (F.sum("n").over(Window.partitionBy(cell).orderBy(split)) - F.col("n")).alias("within"))
     starts = inside.join(cells, cell).select(cell, split, (F.col("before") + F.col("within")).alias(ahead))

@@ -216,6 +216,55 @@ def test_shard_law(spark, sf_dir):
     assert spread < 3
 
 
+def plain_levels(values, levels=8):
+    """Share of rows below each value, in eighths; null is below all."""
+    key = lambda v: (v is not None, v if v is not None else 0)
+    ordered = sorted(values, key=key)
+    first = {}
+    for i, v in enumerate(ordered):
+        first.setdefault(v, i)
+    return [first[v] * levels // len(values) for v in values]
+
+
+def test_shards_follow_the_curve(spark):
+    """The whole order against a plain sort by the curve, and each level against a count of rows below."""
+    rng = random.Random(4)
+    rows = [(i * 7 if i else 10**15, "x" * int(rng.expovariate(0.02)), rng.choice(["en", "de", None]), f"source{rng.randrange(6)}") for i in range(1500)] + [(1, "y", "zz", "web"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {(r.doc_id, r.text): r for r in hilbert.hilbert_shards(docs).collect()}
+    machine = hilbert.transitions()
+    exact = [plain_levels([r[3] for r in rows]), plain_levels([r[2] for r in rows]), plain_levels([len((r[1] or "").encode()) + 8 for r in rows]), plain_levels([r[0] for r in rows])]
+
+    def index(levels):
+        at = out_ = 0
+        for bit in (2, 1, 0):
+            digit = 0
+            for v in levels:
+                digit = digit * 2 + (v >> bit & 1)
+            at = machine[(at >> 4) * 16 + digit]
+            out_ = out_ * 16 + (at & 15)
+        return out_
+
+    dense = [{v: i for i, v in enumerate(sorted(set(e)))} for e in exact]
+    order = sorted(range(len(rows)), key=lambda i: (out[rows[i][:2]].shard, out[rows[i][:2]].slot))
+    place = [index([d[e[i]] for d, e in zip(dense, exact)]) for i in order]
+    assert place == sorted(place)
+
+
+def test_shards_with_a_stray_name_and_equal_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, "word " * rng.randrange(90), "en", f"source{rng.randrange(6)}") for i in range(6000)]
+    for more in ([], [(6000, "x", "en", "web")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string")
+        near = hilbert.hilbert_shards(docs).groupBy("shard").agg(F.count_distinct("source").alias("n")).agg(F.avg("n")).first()[0]
+        assert near < 4
+    docs = spark.createDataFrame(rows[:500] + [(None, "same", "en", "a")] * 700 + [(None, "same", "de", "b")] * 90, "doc_id long, text string, lang string, source string")
+    out = hilbert.hilbert_shards(docs, 5, equal=50)
+    found = out.toPandas()
+    assert [sorted(g) == list(range(258)) for _, g in found.groupby("shard").slot] == [True] * 5
+    assert docs.exceptAll(out.select(*docs.columns)).count() == 0
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(6)
     n, terms = 700, 400
