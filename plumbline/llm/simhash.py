@@ -29,6 +29,8 @@ from plumbline.llm.rows import with_computed
 MOST = 3
 SEGMENTS = 4
 WIDTH = 16
+#: At most so many fingerprints are broadcast: those of more than one row in FEW.
+FEW = 5000
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -95,13 +97,13 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def groups(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """From checkpointed rows (id, fp) to (fp, root, component_id): the smallest fingerprint and id of all reachable."""
-    own = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
+    """From checkpointed rows (id, fp) to (fp, copies, root, component_id): the smallest fingerprint and id of all reachable."""
+    own = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")))
     roots = connected(links(own))
     linked = checkpointed(roots.join(own, roots.node == own.fp).select("fp", "root", "least"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     far = linked.join(least, "root").select("fp", "root", "component_id")
-    return own.join(far, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return own.join(far, "fp", "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -118,7 +120,12 @@ def _near(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
     """(id, sum, fp, root, component_id), sum a hash of the text, root the component's smallest fingerprint."""
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("sum"), F.col(text_col).alias("text"))
     rows = checkpointed(with_fingerprint(slim, "fp", shingle=shingle, keep=["id", "sum"]))
-    return rows.join(groups(rows, "id"), "fp").select("id", "sum", "fp", "root", "component_id")
+    found = checkpointed(groups(rows, "id"))
+    # A fingerprint of more than one row in FEW is broadcast to its rows, so that its copies do not meet in one task.
+    often = found.filter(F.col("copies") * FEW > rows.count())
+    hot = rows.join(F.broadcast(often), "fp")
+    rest = rows.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(found, "fp")
+    return hot.unionByName(rest).select("id", "sum", "fp", "root", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
