@@ -6,8 +6,10 @@ may jump, and buckets of patterns by the hash of the block that ends their first
 shortest length. A text is searched by many cursors at once, one for each stretch of it; a cursor whose shift is 0
 looks into its bucket, and a direct comparison with the text confirms an occurrence.
 
-Patterns are broadcast in blocks of bounded rows and bytes, and every task searches one block after the other, so
-the benchmark may be of any size. Documents are not shuffled.
+Patterns are broadcast in blocks of bounded rows and bytes. A task builds the tables of a block once and holds them
+all; a benchmark of more than `resident` blocks is searched in passes over the documents, each with so many blocks,
+and what a pass finds is written beside the rows. So memory is bounded and the benchmark may be of any size.
+Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -17,17 +19,18 @@ import math
 import pickle
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from plumbline.llm.common import checkpointed, table
-from plumbline.llm.rows import Compute, with_computed
+from plumbline.llm.common import checkpointed, free_name, sliced, table, utf8
 
 WINDOW = 10
 #: A pattern is a word of [0-9a-z\x80-\xff]+; A-Z are lower-cased and all other bytes separate words.
 NORMAL = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
 STRETCH = 2048
+RANGES = ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())]))
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MADE = StructType([StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("n_items", LongType()), StructField("items_sha256", StringType()), StructField("contaminated", BooleanType())])
 
@@ -130,44 +133,53 @@ def covered(ranges: list[tuple[int, int]]) -> int:
     return total
 
 
-def _finder(blocks: list) -> Compute:
-    held: dict[int, Block] = {}
+FOUND = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
-    def block(k: int) -> Block:
-        if k not in held:
-            held.clear()
-            held[k] = Block(pickle.loads(blocks[k].value))
-        return held[k]
 
-    def compute(texts: list[bytes]) -> dict[str, object]:
-        words = [words_of(t) for t in texts]
-        ranges: list[list] = [[] for _ in texts]
-        items: list[set] = [set() for _ in texts]
-        for k in range(len(blocks)):
-            for d, (r, i) in block(k).hits(words).items():
-                ranges[d] += r
-                items[d] |= i
-        n_hit = [covered(r) for r in ranges]
-        sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
-        return {"n_words": [len(w) for w in words], "n_hit": n_hit, "n_items": [len(i) for i in items], "items_sha256": sha, "contaminated": [n > 0 for n in n_hit]}
+def _searched(docs: DataFrame, blocks: list, keep: list[str], text_col: str, before: list[str], after: list[str] | None) -> DataFrame:
+    """Columns `keep` plus what is found: ranges and items as columns named `after`, or the last columns if None.
 
-    return compute
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_rows: int = 200_000, block_bytes: int = 32 << 20) -> DataFrame:
+    before: names of the columns with what earlier passes found; none in the first.
+    """
+    made = MADE if after is None else StructType([StructField(after[0], RANGES), StructField(after[1], ArrayType(StringType()))])
+    schema = StructType([docs.schema[c] for c in keep] + list(made.fields))
+    wanted = list(dict.fromkeys([*keep, text_col, *before]))
+
+    def run(batches):
+        held = [Block(pickle.loads(b.value)) for b in blocks]
+        for part in sliced(batches, text_col):
+            column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
+            words = [words_of(t) for t in utf8(part, text_col)]
+            ranges = [[(r["first"], r["last"]) for r in x] for x in column(before[0]).to_pylist()] if before else [[] for _ in words]
+            items = [set(x) for x in column(before[1]).to_pylist()] if before else [set() for _ in words]
+            for block in held:
+                for d, (r, i) in block.hits(words).items():
+                    ranges[d] += r
+                    items[d] |= i
+            if after is None:
+                n_hit = [covered(r) for r in ranges]
+                sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+                new = [pa.array([len(w) for w in words], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
+            else:
+                new = [pa.array([[{"first": a, "last": b} for a, b in r] for r in ranges], FOUND), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([column(c) for c in keep] + new, names=[*keep, *made.names])
+
+    return docs.select(*[docs[c] for c in wanted]).mapInArrow(run, schema)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, block_rows: int = 200_000, block_bytes: int = 32 << 20, resident: int = 4) -> DataFrame:
     """Columns `keep` of `docs` (None: all) plus n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and wordless texts have no words and no hits; null and wordless items match nothing; an item id that is
     null reads "null". Repeated items count once. Empty tables give no hits or no rows. Columns of `docs` named like
-    an output column are replaced. block_rows, block_bytes: bounds of a broadcast block of patterns.
+    an output column are replaced. block_rows, block_bytes: bounds of a broadcast block of patterns. resident: blocks
+    that a task holds at once; with the defaults some 600 MB of tables at most.
     """
     made = StructType([StructField("pattern", StringType())])
     spark = docs.sparkSession
     texts = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).alias("text"))
 
     def windows(batches):
-        import pyarrow as pa
-
         for batch in batches:
             pairs = [(w.decode(), i) for t, i in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()) for w in windows_of((t or "").encode())]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([i for _, i in pairs], pa.string())], names=["pattern", "item"])
@@ -175,11 +187,21 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
     pairs = checkpointed(texts.mapInArrow(windows, StructType([*made.fields, StructField("item", StringType())])).distinct())
     n, size = pairs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
     count = max(math.ceil(n / block_rows), math.ceil(size / block_bytes))
-    blocks = []
-    for k in range(count):
-        rows = pairs.filter(F.pmod(F.xxhash64("pattern", "item"), F.lit(count)) == k).collect()
-        blocks.append(spark.sparkContext.broadcast(pickle.dumps(sorted((r["pattern"].encode(), r["item"]) for r in rows))))
-    return with_computed(docs, text_col, MADE, lambda: _finder(blocks), keep)
+    names = set(MADE.names)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    found: list[str] = []
+    for start in range(0, max(count, 1), resident):
+        blocks = []
+        for k in range(start, min(start + resident, count)):
+            rows = pairs.filter(F.pmod(F.xxhash64("pattern", "item"), F.lit(count)) == k).collect()
+            blocks.append(spark.sparkContext.broadcast(pickle.dumps(sorted((r["pattern"].encode(), r["item"]) for r in rows))))
+        if start + resident >= count:
+            return _searched(docs, blocks, keep, text_col, found, None)
+        after = [free_name(docs, f"ranges{start}"), free_name(docs, f"items{start}")]
+        held = list(dict.fromkeys([*keep, text_col]))
+        docs, found = checkpointed(_searched(docs, blocks, held, text_col, found, after)), after
+        for b in blocks:
+            b.unpersist()
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
