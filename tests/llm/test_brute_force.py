@@ -139,7 +139,7 @@ def test_benchmark_in_small_blocks(spark):
         want[i] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame(list(enumerate(bench)), "item_id long, text string")
-    for rows in (7, 200_000):
+    for rows in (60, 300, 200_000):  # many passes, one pass of several blocks, one block
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontam.decontaminated(df, b, block_rows=rows).collect()}
         assert got == want
 

@@ -74,6 +74,14 @@ def test_near_duplicates_with_repeated_ids(spark):
     assert sorted(once, key=str) == sorted(again, key=str)
 
 
+def test_many_copies_are_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c d" if i % 3 else f"text number {i} of many") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    for few in (0, 4):
+        monkeypatch.setattr(simhash, "FEW", few)
+        assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
+
+
 def test_empty_benchmark(spark, awkward):
     out = decontam.decontaminated(awkward, items(spark).filter("false"))
     assert out.filter("contaminated or n_hit > 0 or n_items > 0").count() == 0
