@@ -36,3 +36,23 @@ def running(df: DataFrame, keys: list[str], order: str, values: list[str], cuts:
         on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}"))
     inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col("d._part")).orderBy(F.col(f"d.{order}")).rowsBetween(Window.unboundedPreceding, 0)
     return d.join(h, on).select("d.*", *[(F.sum(f"d.{v}").over(inside) + F.col(f"h._head_{v}")).alias(f"run_{v}") for v in values]).drop("_part")
+
+
+def following(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """`df` plus next_<v> for each value: that of the next row of the same keys in order, null for the last.
+
+    `order` must be distinct inside a group of keys and not null. Rows look inside their range only; a range's last
+    row looks at the first row of the next range of its keys, from a table of at most groups x ranges rows.
+    """
+    cuts = cuts_of(df, [order])[0]
+    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    placed = df.withColumn("_part", part)
+    first = placed.groupBy(*keys, "_part").agg(F.min_by(F.struct(*values), order).alias("_first"))
+    heads = first.select(*keys, "_part", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part")).alias("_next"))
+    d, h = placed.alias("d"), heads.alias("h")
+    on = F.col("d._part") == F.col("h._part")
+    for k in keys:
+        on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}"))
+    inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col("d._part")).orderBy(F.col(f"d.{order}"))
+    own = F.coalesce(F.lead(F.struct(*[F.col(f"d.{v}") for v in values])).over(inside), F.col("h._next"))
+    return d.join(h, on).select("d.*", own.alias("_own")).select("*", *[F.col(f"_own.{v}").alias(f"next_{v}") for v in values]).drop("_part", "_own")

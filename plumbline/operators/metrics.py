@@ -6,10 +6,11 @@ score meets every threshold. A file is called positive when its score is at leas
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.prefix import running
+from plumbline.functions.lineage import settled
+from plumbline.functions.prefix import following, running
 from plumbline.functions.scalars import BRIEF, bayes_threshold
 
 
@@ -21,7 +22,7 @@ def counted(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def roc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, score, pos, neg, tp, fp, n_pos, n_neg): tp and fp count rows at or above the score."""
-    at = counted(scores, keys).withColumn("down", -F.col("score"))
+    at = settled(counted(scores, keys).withColumn("down", -F.col("score")))  # read four times below
     run = running(at, keys, "down", ["pos", "neg"]).withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"}).drop("down")
     totals = at.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     on = F.lit(True)
@@ -51,9 +52,8 @@ def eer(scores: DataFrame, keys: list[str]) -> DataFrame:
 
     Vertices on a straight line between their neighbours are no corners and are left out.
     """
-    r = roc(scores, keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    dp, dn = F.lead("pos").over(w), F.lead("neg").over(w)
+    r = following(settled(roc(scores, keys).withColumn("down", -F.col("score"))), keys, "down", ["pos", "neg"])
+    dp, dn = F.col("next_pos"), F.col("next_neg")
     corner = dp.isNull() | (F.col("pos") * dn != F.col("neg") * dp)
     p_fa, p_miss = rates()
     start = r.groupBy(*keys).agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg")).select(*keys, F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "n_pos", "n_neg")

@@ -183,9 +183,10 @@ def template_order(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.concat(F.lit("v"), F.col("vec_id")).alias("filename"))
 
 
-@query("template_scores", "SELECT count(*) AS n, round(avg((p>0.5e0)::INT),6) AS over_half, round(avg((p>0.9e0)::INT),6) AS over_nine FROM (SELECT 1e0/(1e0+exp(-10e0*embedding[1]::DOUBLE)) AS p FROM embeddings)")
+@query("template_scores", "SELECT count(*) AS n, round(avg((p>0.5e0)::INT),6) AS over_half, round(avg((p>0.9e0)::INT),6) AS over_nine FROM (SELECT 1e0/(1e0+exp(-100e0*list_sum(embedding::DOUBLE[])/len(embedding))) AS p FROM embeddings)")
 def template_scores(spark, sf_dir):
-    p = 1.0 / (1.0 + F.exp(-10.0 * F.get("embedding", F.lit(0)).cast("double")))
+    mean = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x) / F.size("embedding")
+    p = 1.0 / (1.0 + F.exp(-100.0 * mean))
     d = table(spark, sf_dir, "embeddings").select(p.alias("p"))
     return d.agg(F.count("*").alias("n"), F.round(F.avg((F.col("p") > 0.5).cast("int")), 6).alias("over_half"), F.round(F.avg((F.col("p") > 0.9).cast("int")), 6).alias("over_nine"))
 

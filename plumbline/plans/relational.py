@@ -572,9 +572,16 @@ def export_validate(spark, sf_dir):
     return expect.export(evaluation(spark, sf_dir))
 
 
-@query("cohort_check", W + ", want(split, n) AS (VALUES ('inner_oof',233),('holdout',85),('itw',81),('other',1)) SELECT coalesce(w.split,h.split) AS split, coalesce(w.n,0)::BIGINT AS want, coalesce(h.n,0) AS have FROM (SELECT split, count(*) AS n FROM ev WHERE split<>'test' GROUP BY 1) h FULL JOIN want w USING (split)")
+COHORT_SQL = """, want AS (SELECT CASE WHEN doc_id%10<6 THEN 'inner_oof' WHEN doc_id%10<8 THEN 'holdout' ELSE 'itw' END AS split, count(DISTINCT doc_id) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY 1 UNION ALL SELECT 'other', 1)
+SELECT coalesce(w.split,h.split) AS split, coalesce(w.n,0)::BIGINT AS want, coalesce(h.n,0) AS have FROM (SELECT split, count(*) AS n FROM ev WHERE split<>'test' GROUP BY 1) h FULL JOIN want w USING (split)"""
+
+
+@query("cohort_check", W + COHORT_SQL)
 def cohort_check(spark, sf_dir):
-    want = spark.createDataFrame([("inner_oof", 233), ("holdout", 85), ("itw", 81), ("other", 1)], "split string, want long")
+    """Cohorts of the evaluation view against those that the labels alone ask for, and one that must not be there."""
+    last = F.col("doc_id") % 10
+    asked = table(spark, sf_dir, "labels").filter("toxic is not null").groupBy(F.when(last < 6, "inner_oof").when(last < 8, "holdout").otherwise("itw").alias("split"))
+    want = asked.agg(F.count_distinct("doc_id").alias("want")).union(spark.createDataFrame([("other", 1)], "split string, want long"))
     return expect.cohort(evaluation(spark, sf_dir).filter("split <> 'test'"), ["split"], want)
 
 
@@ -600,10 +607,17 @@ def asset_verify(spark, sf_dir):
     return expect.compared(d.filter("doc_id % 11 <> 0"), seen, "doc_id", "sha").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("cross_scope_collision", "SELECT d.doc_id, count(*) AS n_items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
+COLLISION_SQL = "WITH h AS (SELECT doc_id, sha256(text) AS sha, (['core','extra','test'])[doc_id%3+1] AS scope FROM documents) SELECT doc_id, scope, CASE scope WHEN 'extra' THEN 'dropped' ELSE 'reported' END AS action FROM h WHERE scope <> 'core' AND sha IN (SELECT sha FROM h WHERE scope='core' AND sha IS NOT NULL)"
+
+
+@query("cross_scope_collision", COLLISION_SQL)
 def cross_scope_collision(spark, sf_dir):
-    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("text").alias("item"))
-    return d.join(F.broadcast(b), F.col("text").contains(F.col("item"))).groupBy("doc_id").agg(F.count("*").alias("n_items"))
+    """Contents of the core scope that stand in another one too: extras are dropped, test rows are reported."""
+    scope = F.get(F.array(F.lit("core"), F.lit("extra"), F.lit("test")), (F.col("doc_id") % 3).cast("int"))
+    h = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), scope.alias("scope"))
+    core = h.filter("scope = 'core'").select("sha").distinct()
+    action = F.when(F.col("scope") == "extra", "dropped").otherwise("reported")
+    return h.filter("scope <> 'core'").join(core, "sha", "left_semi").select("doc_id", "scope", action.alias("action"))
 
 
 @query("latest_run", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus='F') WHERE rn=1")
