@@ -21,6 +21,9 @@ def decode_wav(data: bytes | None) -> np.ndarray | None:
         x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
     elif width == 2:
         x = np.frombuffer(raw[: len(raw) // 2 * 2], "<i2").astype(np.float32) / 32768
+    elif width == 3:
+        b = np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) - ((b[:, 2] >> 7) << 24)).astype(np.float32) / 8388608
     elif width == 4:
         x = np.frombuffer(raw[: len(raw) // 4 * 4], "<i4").astype(np.float32) / 2147483648
     else:
@@ -29,6 +32,17 @@ def decode_wav(data: bytes | None) -> np.ndarray | None:
     return x if len(x) else None
 
 
+def probe(data: bytes | None) -> dict[str, object]:
+    """What a WAV file's header says, read without its samples; only `error` is set if it is not one."""
+    empty = dict.fromkeys(("format", "channels", "rate", "bits", "frames", "seconds", "error"))
+    try:
+        with wave.open(io.BytesIO(data or b"")) as w:
+            n, rate = w.getnframes(), w.getframerate()
+            return empty | {"format": "WAV", "channels": w.getnchannels(), "rate": rate, "bits": 8 * w.getsampwidth(), "frames": n, "seconds": n / rate if rate else None}
+    except (wave.Error, EOFError) as e:
+        return empty | {"error": str(e) or "end of file"}
+
+
 def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     """Overlapping frames; a short signal is one zero-padded frame."""
     if len(x) < size:
@@ -73,30 +87,6 @@ def band_limit(x: np.ndarray, cutoff: float = 7250.0, width: float = 600.0, ripp
     return np.convolve(x, h, "same") if len(x) >= taps else np.convolve(x, h)[taps // 2 : taps // 2 + len(x)]
 
 
-def _stats(v: np.ndarray, name: str) -> dict[str, float]:
-    return {f"{name}_mean": float(v.mean()), f"{name}_std": float(v.std())}
-
-
-def spectral(x: np.ndarray) -> dict[str, float]:
-    """Shape of the spectrum, its change, energies and zero crossings."""
-    p, f = spectrum(x)
-    total = p.sum(axis=1)
-    centroid = (p @ f) / total
-    width = np.sqrt(np.maximum((p @ f**2) / total - centroid**2, 0))
-    flat = np.exp(np.log(p).mean(axis=1)) / p.mean(axis=1)
-    share = np.cumsum(p, axis=1) / total[:, None]
-    flux = np.sqrt((np.diff(p / total[:, None], axis=0) ** 2).sum(axis=1)) if len(p) > 1 else np.zeros(1)
-    level = 10 * np.log10(total)
-    signs = np.signbit(frames(np.asarray(x, np.float64), 512, 160))
-    out = _stats(centroid, "centroid") | _stats(width, "bandwidth") | _stats(flat, "flatness") | _stats(flux, "flux") | _stats(level, "energy")
-    for q in (0.85, 0.95):
-        out |= _stats(f[np.argmax(share >= q, axis=1)], f"rolloff{int(q * 100)}")
-    for low in (4000, 5500, 7000):
-        out |= _stats(p[:, f >= low].sum(axis=1) / total, f"above{low}")
-    quiet = level < level.max() - 35
-    return out | {"pause_share": float(quiet.mean()), "pauses": float((np.diff(quiet.astype(int)) == 1).sum()), "crossings": float((signs[:, 1:] != signs[:, :-1]).mean())}
-
-
 def cepstra(x: np.ndarray, bands: int = 40, kept: int = 20, top: float = 7000.0) -> dict[str, float]:
     """Linear-frequency cepstra: mean, deviation and deviation of the change of each."""
     p, f = spectrum(x)
@@ -111,79 +101,6 @@ def cepstra(x: np.ndarray, bands: int = 40, kept: int = 20, top: float = 7000.0)
     return {f"lfcc{i}_{n}": float(v) for i in range(kept) for n, v in (("mean", c[:, i].mean()), ("std", c[:, i].std()), ("move", d[:, i].std()))}
 
 
-def pitch(x: np.ndarray, low: float = 65.0, high: float = 400.0) -> dict[str, float]:
-    """Fundamental by normalised autocorrelation: mean, deviation and voiced share."""
-    f = frames(np.asarray(x, np.float64), 1024, 320)
-    f = f - f.mean(axis=1, keepdims=True)
-    s = np.fft.irfft(np.abs(np.fft.rfft(f, 2048, axis=1)) ** 2, axis=1)
-    a, b = int(RATE / high), int(RATE / low)
-    lag = s[:, a:b].argmax(axis=1) + a
-    strength = s[np.arange(len(s)), lag] / (s[:, 0] + 1e-9)
-    voiced = strength > 0.5
-    f0 = RATE / lag[voiced]
-    return {"voiced": float(voiced.mean()), "f0_mean": float(f0.mean()) if voiced.any() else 0.0, "f0_std": float(f0.std()) if voiced.any() else 0.0}
-
-
-def compression(x: np.ndarray) -> dict[str, float]:
-    """Traces of lossy coding: bandwidth, slope of the top band, and holes in the spectrogram."""
-    p, f = spectrum(x, 1024, 256)
-    mean = 10 * np.log10(p.mean(axis=0))
-    above = np.flatnonzero(mean >= mean.max() - 40)
-    db = 10 * np.log10(p)
-    band = (f >= 3000) & (f < 7000)
-    top = db[:, band].max(axis=1, keepdims=True)
-    holes = (db[:, band] < -75) | (db[:, band] < top - 30)
-    both, either = (holes[1:] & holes[:-1]).sum(axis=1), (holes[1:] | holes[:-1]).sum(axis=1)
-    stay = np.where(either == 0, 1.0, both / np.maximum(either, 1)) if len(holes) > 1 else np.ones(1)
-    line = np.polyfit(f[band] / 1000, mean[band], 1)
-    return {"bandwidth": float(f[above[-1]]), "slope": float(line[0]), "holes": float(holes.mean()), "holes_stay": float(stay.mean())}
-
-
-def mains(x: np.ndarray) -> dict[str, float]:
-    """Hum at 50 or 60 Hz: strength over its surroundings, share of windows that have it, and its steadiness."""
-    f = frames(np.asarray(x, np.float64), 2 * RATE, RATE // 2)
-    p = np.abs(np.fft.rfft(f * np.hanning(f.shape[1]), 8 * RATE, axis=1)) ** 2 + 1e-12
-    at = np.fft.rfftfreq(8 * RATE, 1 / RATE)
-    out = {}
-    for hum in (50, 60):
-        near, wide = np.abs(at - hum) <= 0.5, (np.abs(at - hum) <= 6) & (np.abs(at - hum) > 2)
-        ratio = 10 * np.log10(p[:, near].max(axis=1) / np.median(p[:, wide], axis=1))
-        where = at[near][p[:, near].argmax(axis=1)]
-        out |= {f"hum{hum}_db": float(ratio.mean()), f"hum{hum}_present": float((ratio > 12).mean()), f"hum{hum}_drift": float(where.std())}
-    return out
-
-
-def splices(x: np.ndarray) -> dict[str, float]:
-    """Clicks that stand out of the 20 ms around them, steps of the mean, and the range of the noise floor."""
-    x = np.asarray(x, np.float64)
-    w = RATE // 50
-    c = np.concatenate(([0.0], np.cumsum(x * x)))
-    at = np.arange(len(x))
-    low, high = np.maximum(at - w // 2, 0), np.minimum(at + w // 2, len(x))
-    around = np.sqrt(np.maximum(c[high] - c[low] - x * x, 0) / np.maximum(high - low - 1, 1)) + 1e-9
-    hit = np.flatnonzero((np.abs(x) / around > 15) & (np.abs(x) > 0.15))
-    clicks = int((np.diff(hit, prepend=-RATE) > RATE // 200).sum()) if len(hit) else 0
-    steps = frames(x, RATE // 10, RATE // 10).mean(axis=1)
-    jump = np.abs(np.diff(steps)) if len(steps) > 1 else np.zeros(1)
-    level = 20 * np.log10(np.sqrt((frames(x, w, w) ** 2).mean(axis=1)) + 1e-6)
-    floor = np.lib.stride_tricks.sliding_window_view(level, 20).min(axis=1) if len(level) >= 20 else level
-    return {"clicks": float(clicks), "dc_steps": float(((jump > 0.02) & (jump > 6 * (np.median(jump) + 1e-9))).sum()), "floor_range": float(floor.max() - floor.min())}
-
-
-FAMILIES = {"spectral": spectral, "cepstra": cepstra, "pitch": pitch, "compression": compression, "mains": mains, "splices": splices}
-
-
-def safe(x: np.ndarray | None, family: str) -> tuple[dict[str, float], str]:
-    """A family's features and a status; any failure or non-finite value is an error without features."""
-    if x is None:
-        return {}, "decode_error"
-    try:
-        out = FAMILIES[family](x)
-    except Exception as e:  # a recording must never end the job
-        return {}, f"{type(e).__name__}: {e}"[:200]
-    return (out, "ok") if all(np.isfinite(list(out.values()))) else ({}, "nonfinite")
-
-
 def add_noise(x: np.ndarray, snr_db: float, seed: int) -> np.ndarray:
     """White noise at an exact signal-to-noise ratio."""
     n = np.random.default_rng(seed).standard_normal(len(x))

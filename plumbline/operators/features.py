@@ -1,59 +1,97 @@
-"""Feature extraction over binary recordings, in Arrow batches."""
+"""Feature extraction over binary recordings, in Arrow batches; one decode for each clip, one batch out for each in."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, safe, splices, trim
+from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, probe, trim
+from plumbline.functions.signal import Clip, deployed, safe, segment, splices
+from plumbline.operators.fusion import gate_reasons
 
+#: Clips are read from Arrow batches in slices of so many, so that results of few are held at once.
+SLICE = 256
 
-def features(clips: DataFrame, families: list[str], key: str = "path", content: str = "content") -> DataFrame:
-    """(key, family, features map, status): one decode for each clip; broken clips have a status and no features."""
+
+def _each(clips: DataFrame, key: str, content: str, made: str, rows: Callable[[bytes | None], list[tuple]]) -> DataFrame:
+    """`rows` of every clip beside its key; made: their columns."""
     kind = clips.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                x = decode_wav(b.column(1)[i].as_py())
-                done = [safe(x, f) for f in families]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(families))), pa.array(families), pa.array([list(d.items()) for d, _ in done], pa.map_(pa.string(), pa.float64())), pa.array([s for _, s in done])], names=["key", "family", "features", "status"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                b = batch.slice(at, SLICE)
+                done = [rows(c) for c in b.column(1).to_pylist()]
+                place = np.repeat(np.arange(b.num_rows), [len(d) for d in done])
+                columns = list(zip(*[r for d in done for r in d])) or [[]] * len(wanted)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place)), *[pa.array(c, f.type) for c, f in zip(columns, wanted)]], names=["key", *wanted.names])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return clips.select(key, content).mapInArrow(run, f"key {kind}, family string, features map<string,double>, status string").withColumnRenamed("key", key)
+    wanted = to_arrow_schema(clips.sparkSession.createDataFrame([], made).schema)
+    return clips.select(key, content).mapInArrow(run, f"key {kind}, {made}").withColumnRenamed("key", key)
+
+
+def features(clips: DataFrame, families: list[str], key: str = "path", content: str = "content") -> DataFrame:
+    """(key, family, features map, status): broken clips have a status and no features."""
+
+    def rows(data):
+        x = decode_wav(data)
+        clip = None if x is None else Clip(x)
+        return [(f, list(d.items()), s) for f in families for d, s in [safe(clip, f)]]
+
+    return _each(clips, key, content, "family string, features map<string,double>, status string", rows)
 
 
 def decode_stats(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, n_samples, peak, lead_s, trimmed_s, clicks, status) of WAV recordings."""
-    kind = clips.schema[key].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for c in b.column(1).to_pylist():
-                x = decode_wav(c)
-                if x is None:
-                    rows.append((None, None, None, None, None, "decode_error"))
-                    continue
-                loud = np.flatnonzero(np.abs(x) > 0.01)
-                rows.append((len(x), float(np.abs(x).max()), float(loud[0] / RATE) if len(loud) else None, len(trim(x)) / RATE, splices(x)["clicks"], "ok"))
-            types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=["key", "n_samples", "peak", "lead_s", "trimmed_s", "clicks", "status"])
+    def rows(data):
+        x = decode_wav(data)
+        if x is None:
+            return [(None, None, None, None, None, "decode_error")]
+        loud = np.flatnonzero(np.abs(x) > 0.01)
+        return [(len(x), float(np.abs(x).max()), float(loud[0] / RATE) if len(loud) else None, len(trim(x)) / RATE, splices(Clip(x))["clicks"], "ok")]
+
+    return _each(clips, key, content, "n_samples long, peak double, lead_s double, trimmed_s double, clicks double, status string", rows)
+
+
+def header_probe(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, format, channels, rate, bits, frames, seconds, error) from headers alone."""
+    return _each(clips, key, content, "format string, channels int, rate int, bits int, frames long, seconds double, error string", lambda data: [tuple(probe(data).values())])
+
+
+def speech_gate(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, status, reasons): why a clip is not speech, measured on its audio; a clip that cannot be read has none."""
+    d = features(clips, ["gate"], key, content)
+    f = lambda name: F.try_element_at("features", F.lit(name))
+    reasons = gate_reasons(f("level_db"), f("flatness"), f("voiced"), f("energy_std"), f("pitch_std"))
+    return d.select(key, "status", F.when(F.col("status") == "ok", reasons).otherwise(F.array().cast("array<string>")).alias("reasons"))
+
+
+def prepared(clips: DataFrame, seconds: float = 8.0, seed: int | None = None, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, samples, segment_s, deployed_std): clips as models take them, band-limited, trimmed and cut."""
+
+    def rows(data):
+        x = decode_wav(data)
+        if x is None:
+            return [(None, None, None)]
+        y = segment(x, seconds, seed)
+        return [(y.astype(np.float32).tolist(), len(y) / RATE, float(deployed(x, seconds).std()))]
 
-    return clips.select(key, content).mapInArrow(run, f"key {kind}, n_samples long, peak double, lead_s double, trimmed_s double, clicks double, status string").withColumnRenamed("key", key)
+    return _each(clips, key, content, "samples array<float>, segment_s double, deployed_std double", rows)
 
 
 def perturbed(clips: DataFrame, family: str, kinds: list[str], key: str = "path", content: str = "content") -> DataFrame:
     """(key, kind, features, status) of each clip under each perturbation, seeded by place in the list of kinds."""
-    kind_type = clips.schema[key].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                x = decode_wav(b.column(1)[i].as_py())
-                done = [safe(None if x is None else PERTURBATIONS[k](x.astype(np.float64), s), family) for s, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(kinds))), pa.array(kinds), pa.array([list(d.items()) for d, _ in done], pa.map_(pa.string(), pa.float64())), pa.array([s for _, s in done])], names=["key", "kind", "features", "status"])
+    def rows(data):
+        x = decode_wav(data)
+        changed = [None if x is None else Clip(PERTURBATIONS[k](x.astype(np.float64), s)) for s, k in enumerate(kinds)]
+        return [(k, list(d.items()), s) for k, c in zip(kinds, changed) for d, s in [safe(c, family)]]
 
-    return clips.select(key, content).mapInArrow(run, f"key {kind_type}, kind string, features map<string,double>, status string").withColumnRenamed("key", key)
+    return _each(clips, key, content, "kind string, features map<string,double>, status string", rows)

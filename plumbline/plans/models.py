@@ -7,6 +7,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.signal import FAMILIES
 from plumbline.operators import features as fe
 from plumbline.operators import folds as fo
 from plumbline.sources.tables import EV, evaluation, table
@@ -96,10 +97,25 @@ def scan_decode(spark, sf_dir):
 
 @query("clip_features")
 def clip_features(spark, sf_dir):
-    d = fe.features(clips(spark, sf_dir), ["spectral", "cepstra", "pitch", "compression", "mains", "splices"])
+    d = fe.features(clips(spark, sf_dir), sorted(FAMILIES))
     return d.select("path", "family", F.size("features").alias("n_features"), "status")
 
 
+@query("header_probe", "SELECT 'doc/'||doc_id AS path, CASE WHEN doc_id%10<>9 THEN 16000 END AS rate, CASE WHEN doc_id%10<>9 THEN 16 END AS bits, CASE WHEN doc_id%10<>9 THEN strlen(text)//2 END AS frames, doc_id%10=9 AS failed FROM documents")
+def header_probe(spark, sf_dir):
+    return fe.header_probe(clips(spark, sf_dir)).select("path", "rate", "bits", "frames", F.col("error").isNotNull().alias("failed"))
+
+
+@query("speech_gate_audio")
+def speech_gate_audio(spark, sf_dir):
+    return fe.speech_gate(clips(spark, sf_dir)).select("path", "status", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("prepared_clips")
+def prepared_clips(spark, sf_dir):
+    return fe.prepared(clips(spark, sf_dir)).select("path", F.size("samples").alias("n_samples"), F.round("segment_s", 6).alias("segment_s"), F.round("deployed_std", 4).alias("deployed_std"))
+
+
 @query("perturbations")
 def perturbations(spark, sf_dir):
     d = fe.perturbed(clips(spark, sf_dir), "splices", ["none", "noise20", "speed", "shift1", "tilt"])

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import dsp, scalars
+from plumbline.functions import dsp, scalars, signal
+from plumbline.functions.prefix import following
 from plumbline.operators import expect, folds, fusion, metrics, relations
 from plumbline.operators.features import decode_stats, features
 from plumbline.sources import readers, sinks
@@ -133,10 +134,10 @@ def test_recordings_and_features(spark, tmp_path):
     (tmp_path / "in" / "notes.txt").write_text("x")
     clips = readers.recordings(spark, str(tmp_path / "in"))
     assert {r["id"] for r in clips.select("id").collect()} == {"hum.wav", "deep/tone.wav", "bad.wav"}
-    got = {(r["id"], r["family"]): r for r in features(clips, ["mains", "pitch", "spectral", "cepstra", "compression", "splices"], "id").collect()}
+    got = {(r["id"], r["family"]): r for r in features(clips, ["mains", "prosody", "cepstra", "compression", "splices"], "id").collect()}
     assert got["bad.wav", "mains"]["status"] == "decode_error" and not got["bad.wav", "mains"]["features"]
-    assert got["hum.wav", "mains"]["features"]["hum50_present"] == 1.0 and got["deep/tone.wav", "mains"]["features"]["hum50_present"] == 0.0
-    assert got["deep/tone.wav", "pitch"]["features"]["f0_mean"] == pytest.approx(200, abs=4)
+    assert got["hum.wav", "mains"]["features"]["hum_there"] == 1.0 and got["deep/tone.wav", "mains"]["features"]["hum_there"] == 0.0
+    assert got["deep/tone.wav", "prosody"]["features"]["pitch_mean"] == pytest.approx(200, abs=4)
     assert all(r["status"] == "ok" for k, r in got.items() if k[0] != "bad.wav")
     stats = {r["id"]: r for r in decode_stats(clips, "id").collect()}
     assert stats["hum.wav"]["n_samples"] == 32000 and stats["bad.wav"]["status"] == "decode_error"
@@ -147,9 +148,9 @@ def test_recordings_and_features(spark, tmp_path):
 
 def test_signal_functions():
     x = np.random.default_rng(0).normal(size=16000) * 0.1
-    click = x.copy()
+    click = x * 0.1
     click[8000] = 3.0
-    assert dsp.splices(click)["clicks"] == 1 and dsp.splices(x)["clicks"] == 0
+    assert signal.splices(signal.Clip(click))["clicks"] == 1 and signal.splices(signal.Clip(x))["clicks"] == 0
     noisy = dsp.add_noise(x, 20, 1) - x
     assert 10 * np.log10((x * x).mean() / (noisy * noisy).mean()) == pytest.approx(20, abs=1e-9)
     high = np.sin(2 * np.pi * 7900 * np.arange(16000) / 16000)
@@ -257,3 +258,66 @@ def test_submission_in_numbered_parts(spark, tmp_path):
     parts = sorted((tmp_path / "s").glob("part-*"))
     lines = [x.split("\t")[0] for p in parts for x in p.read_text().splitlines()[1:]]
     assert len(parts) > 1 and lines == [f"f{399 - i:03d}" for i in range(400)]
+
+
+def fixtures():
+    """Clips of four seconds: silence, a chord, noise, hum, a click, a step of the mean, a voice-like tone, and tiny ones."""
+    t, rng = np.arange(64_000) / 16_000, np.random.default_rng(0)
+    quiet = rng.normal(0, 0.01, len(t))
+    click, step = quiet.copy(), quiet.copy()
+    click[30_000], step[32_000:] = 0.9, step[32_000:] + 0.2
+    voice = sum(np.sin(2 * np.pi * 120 * k * t) / k for k in range(1, 20)) * (1 + 0.5 * np.sin(2 * np.pi * 4 * t))
+    chord = sum(0.1 * np.sin(2 * np.pi * f * t) for f in (261.6, 329.6, 392.0))
+    return {"silence": 0 * t, "chord": chord, "noise": rng.normal(0, 0.1, len(t)), "hum": 0.1 * np.sin(2 * np.pi * 50 * t) + quiet, "click": click, "step": step, "voice": voice, "short": quiet[:700], "one": np.ones(1)}
+
+
+SIZES = {"prosody": 75, "group_delay": 8, "coherence": 4, "constant_q": 72, "rhythm": 6, "breath": 4, "cycles": 5, "compression": 19, "high_band": 13, "channel": 7, "mains": 9, "splices": 7, "cepstra": 60, "gate": 5}
+
+
+def test_signal_families_have_all_quantities_and_stay_finite():
+    assert set(SIZES) == set(signal.FAMILIES)
+    for name, x in fixtures().items():
+        clip = signal.Clip(x)
+        for family, n in SIZES.items():
+            out, status = signal.safe(clip, family)
+            assert status == "ok" and len(out) == n, (name, family, status)
+
+
+def test_signal_families_see_what_is_there():
+    clips = {k: signal.Clip(x) for k, x in fixtures().items()}
+    of = lambda family, name: signal.FAMILIES[family](clips[name])
+    assert of("mains", "hum")["hum_there"] == of("mains", "hum")["hum_steady"] == 1 and of("mains", "hum")["hum_track"] == pytest.approx(50, abs=0.05)
+    assert of("mains", "noise")["hum_there"] == of("mains", "silence")["hum_there"] == 0
+    seams = {k: of("splices", k) for k in ("click", "step", "noise", "chord")}
+    assert seams["click"]["clicks"] == 1 and seams["click"]["first_seam_s"] == pytest.approx(1.875, abs=0.001)
+    assert seams["step"]["dc_jumps"] == 1 and seams["step"]["first_seam_s"] == pytest.approx(2.0) and seams["noise"]["seams"] == seams["chord"]["seams"] == 0
+    assert of("prosody", "voice")["pitch_mean"] == pytest.approx(120, abs=3) and of("prosody", "voice")["voiced"] == 1
+    assert of("coherence", "voice")["pc_median"] < 2 < 8 < of("coherence", "noise")["pc_median"]
+    assert of("rhythm", "voice")["mod_peak_hz"] == pytest.approx(4, abs=0.1)
+    assert of("cycles", "voice")["jitter_local"] < 0.02 and of("cycles", "noise")["cycle_cover"] < 0.5
+    assert of("prosody", "noise")["above_4000_mean"] == pytest.approx(0.5, abs=0.05)
+    limited = signal.Clip(dsp.band_limit(fixtures()["noise"], 5000))
+    assert signal.high_band(limited)["level_6500"] < -30 < of("high_band", "noise")["level_6500"]
+    assert signal.compression(limited)["bandwidth_hz"] <= 5750 < 8000 == of("compression", "noise")["bandwidth_hz"]
+    assert signal.compression(limited)["local_share"] != of("compression", "noise")["local_share"]
+    gate = {k: signal.speech_gate(x) for k, x in fixtures().items()}
+    assert gate["silence"]["level_db"] == -180 and gate["noise"]["flatness"] > 0.9 and gate["chord"]["pitch_std"] < 0.01 and gate["voice"]["voiced"] == 1
+    assert of("breath", "voice")["breath_share"] == 0 and of("channel", "silence")["loud_std"] == 0
+
+
+def test_clip_preparation():
+    x = np.concatenate((np.zeros(16_000), fixtures()["voice"], fixtures()["voice"], fixtures()["voice"]))
+    y = signal.segment(x)
+    assert len(y) == 128_000 and np.array_equal(signal.segment(x, 2, 5), signal.segment(x, 2, 5)) and len(signal.segment(x[:100])) == 100
+    assert signal.deployed(x).std() == pytest.approx(1, abs=1e-3) and np.sqrt((signal.level(x) ** 2).mean()) == pytest.approx(0.1, abs=1e-6)
+    assert signal.fitted(np.arange(3.0), 8, "repeat").tolist() == [0, 1, 2, 0, 1, 2, 0, 1] and signal.fitted(np.arange(3.0), 8, "whole").tolist() == [0, 1, 2, 0, 1, 2, 0, 0]
+    assert signal.fitted(np.arange(3.0), 5, "zero").tolist() == [0, 1, 2, 0, 0] and signal.pre_emphasis(np.ones(3)) == pytest.approx([1, 0.03, 0.03])
+
+
+def test_following_rows(spark):
+    rows = [("a" if i % 3 else None, float(i * 7 % 501), i) for i in range(500)]
+    out = following(spark.createDataFrame(rows, "k string, v double, n int"), ["k"], "v", ["n"]).collect()
+    for key in ("a", None):
+        own = sorted((r.v, r.n, r.next_n) for r in out if r.k == key)
+        assert [x[2] for x in own] == [x[1] for x in own][1:] + [None]
+    assert len(out) == 500
