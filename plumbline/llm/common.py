@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import settled
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words of the corpus contracts: runs of anything but space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,23 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
+    """Cut the lineage of `df` with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the one the session names in spark.checkpoint.dir. Where that is unset, a session on one machine
-    gets a temporary folder; on a cluster it is an error, since executors could not write a driver's folder. Shuffle files of the finished plan are given back at once, so that a query
-    of several phases needs the disk of its largest one; a lost task before that is run again from them.
+    Shuffle files of the finished plan are given back at once, so that a query of several phases needs the disk of
+    its largest one; a lost task before that is run again from them.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()  # a new plan: the setting is read when one is made
+        return settled(df.select("*"))  # a new plan: the setting is read when one is made
     finally:
         spark.conf.set(CLEANUP, before)
 
