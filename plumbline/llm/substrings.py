@@ -1,18 +1,22 @@
-"""Repeated passages: seeds on winnowed anchors, extended both ways to the length threshold.
+"""Repeated passages: seed on winnowed anchors, extend both ways, keep matches over the length threshold.
 
 A text's words are hashed, and every run of K words; of each W = length - K + 1 consecutive runs the least is an
 anchor (the last of equal ones). Two equal passages of `length` words pick the same anchor at the same place, so
 joining documents on anchors loses nothing. An anchor that occurs once is dropped.
 
-A seed is then extended. Its reach is the K words, the W - 1 before and the W - 1 after, cut at the text's ends.
-Seeds whose whole reach is equal elsewhere are repeats as far as they can matter: all their windows repeat. For the
-others, one seed of each different reach gives every window of `length` words around the anchor - so many words to
-the left, the rest to the right - and a window repeats if it has a second seed or its seed's reach repeats. No pairs
-of documents are made: equality is counting of 64-bit hashes, with partial sums before each shuffle.
+The K words of an anchor, the W - 1 before and the W - 1 after, cut at the text's ends, are its reach: as far as a
+match has to be extended, since what lies beyond holds an anchor of its own. Anchors whose whole reach is equal
+elsewhere match over all of it, and one of them stands for the class. Classes that share an anchor are joined on it
+and each match is extended to the left and to the right, word against word; it is kept if it has `length` words.
+An anchor of more than CLOSE classes is not compared pair by pair: its classes are joined on longer seeds, each of
+the W runs of `length` words round the anchor. The longest extensions of an anchor to both sides are one span of its
+text, and a text loses the union of its spans. No pairs of documents are made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from plumbline.llm.common import checkpointed, free_name, sliced, utf8
 
 K = 8
+#: Up to so many classes of one anchor are compared pair by pair.
+CLOSE = 32
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, np.ndarray] = {}
 BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
@@ -111,73 +117,183 @@ def _seeds(length: int):
     return run
 
 
-def _windows(length: int):
-    """(id, sum, text, at) to the starts and hashes of each text's windows around the anchors `at`."""
+CONTEXT = "seed long, few boolean, id long, sum long, at int, left int, right int, words binary"
+
+
+def _contexts(length: int):
+    """(id, sum, text, open) to a row for each open anchor of a text.
+
+    words: hashes of the length - K words before the anchor, nearest first, and of as many after it; zero beyond the
+    text's ends. left and right: how many of either there are. Equal rows that follow each other count once.
+    """
+    side = length - K
+    near = np.concatenate((side - 1 - np.arange(side), side + K + np.arange(side)))
 
     def run(batches):
+        before = None
         for part in sliced(batches, "text"):
-            starts, hashes = [], []
-            for at, text in zip(part.column(3).to_pylist(), utf8(part, "text")):
+            keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+            counts = part.column(3).value_lengths().to_numpy()
+            at_all, seed, few = part.column(3).flatten().flatten()
+            place = at_all.to_numpy()
+            end = 0
+            for i, text in enumerate(utf8(part, "text")):
+                begin, end = end, end + counts[i]
+                if keys[i] == before:
+                    continue
+                before = keys[i]
                 words = word_hashes(text)
-                s = np.unique((np.array(at)[:, None] - np.arange(length - K + 1)).ravel())
-                s = s[(s >= 0) & (s <= len(words) - length)]
-                starts.append(s.astype(np.int32))
-                hashes.append(runs(words, s, s + length).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "sum", "start", "window"])
+                padded = np.concatenate((np.zeros(side, np.uint64), words, np.zeros(side, np.uint64)))
+                for low in range(begin, end, 1 << 13):
+                    at = place[low : min(low + (1 << 13), end)]
+                    n = len(at)
+                    body = pa.py_buffer(padded[at[:, None] + near].tobytes())
+                    edges = pa.py_buffer((np.arange(n + 1) * (16 * side)).astype(np.int32))
+                    sides = [pa.array(np.minimum(x, side).astype(np.int32)) for x in (at, len(words) - at - K)]
+                    owner = pa.array(np.full(n, i))
+                    columns = [seed.slice(low, n), few.slice(low, n), part.column(0).take(owner), part.column(1).take(owner), at_all.slice(low, n), *sides, pa.Array.from_buffers(pa.binary(), n, [None, edges, body])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["seed", "few", "id", "sum", "at", "left", "right", "words"])
 
     return run
 
 
-def cut(text: bytes, full: list[int], starts: list[int], length: int) -> tuple[int, list[tuple[int, int]], bytes]:
-    """Number of words, removed [first, last) word ranges and what is kept.
+def _numbers(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _words(rows: pa.Table | pa.RecordBatch, side: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint64).reshape(-1, 2 * side)
 
-    full: anchors whose reach repeats; starts: single windows that repeat.
+
+def _agree(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words two rows have in common from the anchor outwards."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
+
+
+def extended(seed: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest extensions to both sides over all long enough matches of each row; -1 where it has none.
+
+    Rows of one seed are side by side; a match of l words to the left and r to the right is long enough if l + r is
+    at least half the width of `words`.
     """
+    side = words.shape[1] // 2
+    far_left, far_right = np.full(len(seed), -1), np.full(len(seed), -1)
+    for apart in range(1, len(seed)):
+        i = np.flatnonzero(seed[apart:] == seed[:-apart])
+        if not len(i):
+            break
+        j = i + apart
+        to_left = _agree(words[i, :side], words[j, :side], np.minimum(left[i], left[j]))
+        to_right = _agree(words[i, side:], words[j, side:], np.minimum(right[i], right[j]))
+        long_enough = to_left + to_right >= side
+        for k in (i[long_enough], j[long_enough]):
+            far_left[k] = np.maximum(far_left[k], to_left[long_enough])
+            far_right[k] = np.maximum(far_right[k], to_right[long_enough])
+    return far_left, far_right
+
+
+def _whole_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows, cut between seeds only, equal anchors once."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        seed, total, at = (_numbers(rows, c) for c in ("seed", "sum", "at"))
+        new = np.concatenate(([True], (seed[1:] != seed[:-1]) | (total[1:] != total[:-1]) | (at[1:] != at[:-1])))
+        rows, seed = rows.filter(pa.array(new)), seed[new]
+        start = int(np.searchsorted(seed, seed[-1])) if len(seed) else 0
+        if start:
+            yield rows.slice(0, start)
+        held = rows.slice(start)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _matched(length: int):
+    """Context rows sorted by seed, sum and at to the spans of those that match."""
+    side = length - K
+
+    def run(batches):
+        for rows in _whole_seeds(b for b in batches if b.num_rows):
+            far_left, far_right = extended(_numbers(rows, "seed"), _numbers(rows, "left"), _numbers(rows, "right"), _words(rows, side))
+            k = np.flatnonzero(far_left >= 0)
+            at, own = _numbers(rows, "at")[k], rows.select(["id", "sum"]).take(pa.array(k)).combine_chunks()
+            ends = [pa.array(x.astype(np.int32)) for x in (at - far_left[k], at + K + far_right[k])]
+            yield from pa.Table.from_arrays([own.column(0), own.column(1), *ends], names=["id", "sum", "first", "last"]).to_batches()
+
+    return run
+
+
+def _longer_seeds(length: int):
+    """Context rows to a row for each run of `length` words round the anchor: its hash, and the words before the anchor."""
+    side = length - K
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1 << 12):
+                rows = batch.slice(low, 1 << 12)
+                words, seed = _words(rows, side), _numbers(rows, "seed").view(np.uint64)
+                line = np.hstack((words[:, side - 1 :: -1], seed[:, None], words[:, side:]))
+                row, before = np.nonzero((np.arange(side + 1) <= _numbers(rows, "left")[:, None]) & (np.arange(side, -1, -1) <= _numbers(rows, "right")[:, None]))
+                start = row * (2 * side + 1) + side - before
+                own = rows.select(["id", "sum", "at"]).take(pa.array(row))
+                window = runs(line.ravel(), start, start + side + 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(window), *own.columns, pa.array(before.astype(np.int32))], names=["window", "id", "sum", "at", "before"])
+
+    return run
+
+
+def cut(text: bytes, spans: list[dict[str, int]]) -> tuple[int, list[tuple[int, int]], bytes]:
+    """Number of words, removed [first, last) word ranges - the union of `spans`, cut at the text's ends - and what is kept."""
     words = text.split()
     n = len(words)
     edge = np.zeros(n + 1, np.int64)
-    for low, high in ((np.maximum(np.array(full, np.int64) - (length - K), 0), np.minimum(np.array(full, np.int64) + length, n)), (np.array(starts, np.int64), np.array(starts, np.int64) + length)):
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high, -1)
+    np.add.at(edge, np.array([max(s["first"], 0) for s in spans], np.int64), 1)
+    np.add.at(edge, np.array([min(s["last"], n) for s in spans], np.int64), -1)
     gone = np.concatenate(([False], np.cumsum(edge[:n]) > 0, [False]))
     turns = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
-    spans = list(zip(turns[::2], turns[1::2]))
+    merged = list(zip(turns[::2], turns[1::2]))
     kept, at = [], 0
-    for a, b in spans:
+    for a, b in merged:
         kept += words[at:a]
         at = b
-    return n, spans, b" ".join(kept + words[at:])
+    return n, merged, b" ".join(kept + words[at:])
 
 
-def _cuts(length: int, keep: list[str]):
+def _cuts(keep: list[str]):
     def run(batches):
         for part in sliced(batches, "text"):
-            done = [cut(t, f or (), s or (), length) for t, f, s in zip(utf8(part, "text"), part.column(1).to_pylist(), part.column(2).to_pylist())]
+            done = [cut(t, s or []) for t, s in zip(utf8(part, "text"), part.column(1).to_pylist())]
             spans = [[{"first": a, "last": b} for a, b in s] for _, s, _ in done]
             made = [pa.array([n for n, _, _ in done], pa.int64()), pa.array([sum(b - a for a, b in s) for _, s, _ in done], pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array([k for _, _, k in done], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(part.columns[3:] + made, names=[*keep, "n_words", "n_removed", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays(part.columns[2:] + made, names=[*keep, "n_words", "n_removed", "removed", "kept"])
 
     return run
 
 
 def repeats(docs: DataFrame, length: int) -> DataFrame:
-    """From (id, sum, text), sum a hash of the text: for each row that has repeats, `full` and `starts` as in cut()."""
-    seeds = docs.mapInArrow(_seeds(length), "id long, sum long, seed long, reach long, at int")
+    """From (id, sum, text), sum a hash of the text: for each row that has repeats, their `spans` as for cut()."""
+    seeds = checkpointed(docs.mapInArrow(_seeds(length), "id long, sum long, seed long, reach long, at int"))
     reaches = seeds.groupBy("seed", "reach").agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "at")).alias("one"))
     shared = reaches.groupBy("seed").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    joined = checkpointed(reaches.join(shared, "seed").select("reach", "n", "kinds", "one"))
-    twice = joined.filter("n > 1").select("reach")
-    full = checkpointed(seeds.join(twice, "reach", "left_semi").groupBy("id", "sum").agg(F.collect_set("at").alias("full")))
-    open_ = joined.filter("kinds > 1").select("one.*").groupBy("id", "sum").agg(F.collect_set("at").alias("at"))
+    classes = checkpointed(reaches.join(shared, "seed").select("seed", "reach", "n", "kinds", "one"))
+    twice = classes.filter("n > 1").select("reach")
+    whole = seeds.join(twice, "reach", "left_semi").select("id", "sum", (F.col("at") - (length - K)).alias("first"), (F.col("at") + length).alias("last"))
+
+    anchor = F.struct("one.at", "seed", (F.col("kinds") <= CLOSE).alias("few"))
+    open_ = classes.filter("kinds > 1").groupBy("one.id", "one.sum").agg(F.collect_list(anchor).alias("open"))
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.sum") == F.col(f"{b}.sum"))
-    texts = docs.alias("d").join(open_.alias("o"), same("d", "o")).select("d.id", "d.sum", "d.text", "o.at")
-    around = checkpointed(texts.mapInArrow(_windows(length), "id long, sum long, start array<int>, window array<long>"))
-    windows = around.select("id", "sum", F.explode(F.arrays_zip("start", "window")).alias("w")).select("id", "sum", "w.start", "w.window")
+    texts = docs.alias("d").join(open_.alias("o"), same("d", "o")).select("d.id", "d.sum", "d.text", "o.open")
+    contexts = checkpointed(texts.mapInArrow(_contexts(length), CONTEXT))
+    close = contexts.filter("few").repartition("seed").sortWithinPartitions("seed", "sum", "at")
+    matched = close.mapInArrow(_matched(length), "id long, sum long, first int, last int")
+
+    windows = contexts.filter("not few").mapInArrow(_longer_seeds(length), "window long, id long, sum long, at int, before int")
     again = windows.groupBy("window").count().filter("count > 1").select("window")
-    starts = windows.join(again, "window", "left_semi").groupBy("id", "sum").agg(F.collect_set("start").alias("starts"))
-    none = F.lit(None).cast("array<int>")
-    both = full.select("id", "sum", "full", none.alias("starts")).union(starts.select("id", "sum", none, "starts"))
-    return checkpointed(both.groupBy("id", "sum").agg(F.max("full").alias("full"), F.max("starts").alias("starts")))
+    first = F.col("at") - F.col("before")
+    joined = windows.join(again, "window", "left_semi").groupBy("id", "sum", "at").agg(F.min(first).alias("first"), (F.max(first) + length).alias("last")).drop("at")
+    spans = whole.union(matched).union(joined)
+    return checkpointed(spans.groupBy("id", "sum").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, keep: list[str] | None = None) -> DataFrame:
@@ -196,11 +312,11 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ident, total, body = (free_name(docs, k) for k in ("id", "sum", "text"))
     d = docs.withColumns({ident: F.col(id_col).cast("long"), total: F.xxhash64(text), body: text}).alias("d")
     joined = d.join(marks.alias("m"), F.col(f"d.{ident}").eqNullSafe(F.col("m.id")) & (F.col(f"d.{total}") == F.col("m.sum")), "left")
-    ready = joined.select(F.col(f"d.{body}").alias("text"), "m.full", "m.starts", *[F.col(f"d.`{c}`").alias(f"_{k}") for k, c in enumerate(keep)])
+    ready = joined.select(F.col(f"d.{body}").alias("text"), "m.spans", *[F.col(f"d.`{c}`").alias(f"_{k}") for k, c in enumerate(keep)])
     fields = [StructField(c, docs.schema[c].dataType) for c in keep]
     span = StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])
     made = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("removed", ArrayType(span)), StructField("kept", StringType())]
-    return ready.mapInArrow(_cuts(length, keep), StructType(fields + made))
+    return ready.mapInArrow(_cuts(keep), StructType(fields + made))
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -91,7 +92,10 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert got == {i: 100 for i in range(100, 141)} | {i: 200 for i in [*range(200, 260), 900]} | {i: 500 for i in range(500, 517)}
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("close", [substrings.CLOSE, 2, 0])
+def test_passages(spark, monkeypatch, close):
+    """Anchors compared pair by pair, some or all joined on longer seeds: the same words go."""
+    monkeypatch.setattr(substrings, "CLOSE", close)
     df, texts = copies(spark)
     count = Counter(tuple(t[i : i + 35]) for t in texts for i in range(len(t) - 34))
     want = {}
@@ -102,6 +106,35 @@ def test_passages(spark):
     assert got == want and sum(v[1] for v in want.values()) > 1000
 
 
+def test_extensions_word_by_word():
+    rng, side = np.random.default_rng(8), 5
+    seed = np.sort(rng.integers(0, 9, 60))
+    words = rng.integers(1, 3, (60, 2 * side)).astype(np.uint64)
+    left, right = rng.integers(0, side + 1, (2, 60))
+    want = [(-1, -1)] * 60
+    for i in range(60):
+        for j in range(60):
+            if i != j and seed[i] == seed[j]:
+                l = r = 0
+                while l < min(left[i], left[j]) and words[i, l] == words[j, l]:
+                    l += 1
+                while r < min(right[i], right[j]) and words[i, side + r] == words[j, side + r]:
+                    r += 1
+                if l + r >= side:
+                    want[i] = (max(want[i][0], l), max(want[i][1], r))
+    got = substrings.extended(seed, left, right, words)
+    assert list(zip(*(x.tolist() for x in got))) == want and 0 < sum(w != (-1, -1) for w in want) < 60
+
+
+def test_equal_anchors_of_a_seed_meet_once_over_batches():
+    keys = [(1, 5, 2)] * 3 + [(1, 6, 2), (2, 5, 4)] + [(3, k // 2, 0) for k in range(10)] + [(4, 0, 0)] * 2
+    table = pa.table({n: [k[i] for k in keys] for i, n in enumerate(("seed", "sum", "at"))})
+    for size in (1, 2, 4, 100):
+        parts = [list(zip(*(c.to_pylist() for c in t.columns))) for t in substrings._whole_seeds(iter(table.to_batches(size)))]
+        assert [k for p in parts for k in p] == sorted(set(keys))
+        assert all(not {k[0] for k in p} & {k[0] for k in q} for n, p in enumerate(parts) for q in parts[:n])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "cc"]), min_size=35, max_size=140))
 def test_equal_windows_share_an_anchor(words):
