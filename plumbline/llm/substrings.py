@@ -28,6 +28,8 @@ from plumbline.llm.common import checkpointed, free_name, sliced, utf8
 K = 8
 #: Up to so many classes of one anchor are compared pair by pair.
 CLOSE = 32
+#: Reaches of more than one row in FEW are broadcast to their rows; windows of so many are dealt to SPREAD tasks each.
+FEW, SPREAD = 5000, 64
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, np.ndarray] = {}
 BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
@@ -277,8 +279,11 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     reaches = seeds.groupBy("seed", "reach").agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "at")).alias("one"))
     shared = reaches.groupBy("seed").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
     classes = checkpointed(reaches.join(shared, "seed").select("seed", "reach", "n", "kinds", "one"))
-    twice = classes.filter("n > 1").select("reach")
-    whole = seeds.join(twice, "reach", "left_semi").select("id", "sum", (F.col("at") - (length - K)).alias("first"), (F.col("at") + length).alias("last"))
+    twice = classes.filter("n > 1").select("reach", "n")
+    often = F.broadcast(twice.filter(F.col("n") * FEW > (classes.agg(F.sum("n")).first()[0] or 0)).select("reach"))
+    rest = seeds.join(often, "reach", "left_anti").join(twice.select("reach"), "reach", "left_semi")
+    again = seeds.join(often, "reach", "left_semi").unionByName(rest)
+    whole = again.select("id", "sum", (F.col("at") - (length - K)).alias("first"), (F.col("at") + length).alias("last"))
 
     anchor = F.struct("one.at", "seed", (F.col("kinds") <= CLOSE).alias("few"))
     open_ = classes.filter("kinds > 1").groupBy("one.id", "one.sum").agg(F.collect_list(anchor).alias("open"))
@@ -289,9 +294,13 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     matched = close.mapInArrow(_matched(length), "id long, sum long, first int, last int")
 
     windows = contexts.filter("not few").mapInArrow(_longer_seeds(length), "window long, id long, sum long, at int, before int")
-    again = windows.groupBy("window").count().filter("count > 1").select("window")
+    again = windows.groupBy("window").count().filter("count > 1")
+    hot = F.col("count") * FEW > contexts.count()  # at most FEW windows for each place in a reach
+    dealt = windows.join(F.broadcast(again.filter(hot).select("window", F.lit(SPREAD).alias("spread"))), "window", "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "sum", "at"), "spread"), F.lit(0)))
+    again = again.select("window", F.explode(F.sequence(F.lit(0), F.when(hot, SPREAD - 1).otherwise(0))).alias("part"))
     first = F.col("at") - F.col("before")
-    joined = windows.join(again, "window", "left_semi").groupBy("id", "sum", "at").agg(F.min(first).alias("first"), (F.max(first) + length).alias("last")).drop("at")
+    joined = dealt.join(again, ["window", "part"], "left_semi").groupBy("id", "sum", "at").agg(F.min(first).alias("first"), (F.max(first) + length).alias("last")).drop("at")
     spans = whole.union(matched).union(joined)
     return checkpointed(spans.groupBy("id", "sum").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 

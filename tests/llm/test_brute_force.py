@@ -92,10 +92,11 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert got == {i: 100 for i in range(100, 141)} | {i: 200 for i in [*range(200, 260), 900]} | {i: 500 for i in range(500, 517)}
 
 
-@pytest.mark.parametrize("close", [substrings.CLOSE, 2, 0])
-def test_passages(spark, monkeypatch, close):
-    """Anchors compared pair by pair, some or all joined on longer seeds: the same words go."""
+@pytest.mark.parametrize("close, few", [(substrings.CLOSE, substrings.FEW), (2, 50), (0, 0)])
+def test_passages(spark, monkeypatch, close, few):
+    """Anchors compared pair by pair, some or all joined on longer seeds, with and without frequent ones: the same words go."""
     monkeypatch.setattr(substrings, "CLOSE", close)
+    monkeypatch.setattr(substrings, "FEW", few)
     df, texts = copies(spark)
     count = Counter(tuple(t[i : i + 35]) for t in texts for i in range(len(t) - 34))
     want = {}
