@@ -15,10 +15,10 @@ from plumbline.llm.common import free_name, table
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language: null, empty and letterless ones. Nothing is learned without labels: all stay."""
+    """Drops texts without a language: null, empty and letterless ones, with labels to learn from or without."""
     model = langid.fit(langid.labelled_sample(docs, F.lit(True)))
     if not model["langs"]:
-        return docs
+        return docs.filter(langid.lettered("text"))
     named = docs.select(*[F.col(c).alias(free_name(docs, c) if c in ("lang_pred", "score", "spans") else c) for c in docs.columns])
     judged = langid.identify(named, model).filter(F.col("lang_pred") != langid.UNDETERMINED)
     return judged.select(*[F.col(a).alias(b) for a, b in zip(named.columns, docs.columns)])

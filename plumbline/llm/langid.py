@@ -240,6 +240,11 @@ def labelled_sample(docs: DataFrame, may_learn: Column, *, per_lang: int = 1500,
     return drawn.join(few, (F.col("lang") == F.col("_lang")) & (F.col("_draw") < F.col("_share"))).select("lang", "text")
 
 
+def lettered(text_col: str) -> Column:
+    """Whether a text has a letter; null for a null text. Without one, identify() gives `und` under every model."""
+    return F.col(text_col).rlike(r"\p{L}")
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 

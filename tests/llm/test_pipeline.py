@@ -39,6 +39,12 @@ def test_stages(spark, sf_dir, tmp_path):
     assert max(sizes) - min(sizes) <= 1 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_letterless_texts_go_without_labels_too(spark):
+    texts = ["a", "12 é", "мир", "12 34 !?", " \n", "", None, "☃ ٣"]
+    docs = spark.createDataFrame([(k, t, None, "a", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.in_a_language(spark, docs, "").collect()} == {0, 1, 2}
+
+
 def test_stages_on_an_empty_table_and_clashing_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.lit("x") for c in ("score", "lang_pred", "n_words", "copies", "taken")})
     for table in (docs.filter("false"), docs.limit(20)):
