@@ -6,9 +6,13 @@ groups x ranges rows, and only the rest is a window inside a range. Ranges do no
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import settled
+
 RANGES = 64
 
 
@@ -56,3 +60,20 @@ def following(df: DataFrame, keys: list[str], order: str, values: list[str]) ->
     inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col("d._part")).orderBy(F.col(f"d.{order}"))
     own = F.coalesce(F.lead(F.struct(*[F.col(f"d.{v}") for v in values])).over(inside), F.col("h._next"))
     return d.join(h, on).select("d.*", own.alias("_own")).select("*", *[F.col(f"_own.{v}").alias(f"next_{v}") for v in values]).drop("_part", "_own")
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the exact quantile of `value` for each named share, in proportion between two neighbours.
+
+    Values are counted and the counts summed over ranges, so that no task holds all of them. Nulls are left out;
+    without values the quantiles are null.
+    """
+    counts = settled(df.select(F.col(value).cast("double").alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 1
+    summed = running(counts, [], "_v", ["_n"])
+    made = []
+    for name, share in shares.items():
+        place = share * (total - 1)
+        low, high = (F.min(F.when(F.col("run__n") > rank, F.col("_v"))) for rank in (math.floor(place), math.ceil(place)))
+        made.append((low + (high - low) * (place - math.floor(place))).alias(name))
+    return summed.agg(*made)

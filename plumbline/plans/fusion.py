@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.prefix import quantiles
 from plumbline.operators import fusion as fu
 from plumbline.operators import metrics as me
 from plumbline.sources.tables import EV, evaluation
@@ -85,7 +86,7 @@ def fuse_rules(spark, sf_dir):
 def fuse_cascade(spark, sf_dir):
     ev = evaluation(spark, sf_dir)
     d = fu.ranked(ev, ev.filter("split = 'inner_oof'")).withColumn("rm", F.round((F.col("r_s1") + F.col("r_s2") + F.col("r_s3")) / 3.0, 9))
-    q = d.filter("split = 'inner_oof'").agg(F.round(F.percentile("rm", 0.4), 9).alias("lo"), F.round(F.percentile("rm", 0.9), 9).alias("hi"))
+    q = quantiles(d.filter("split = 'inner_oof'"), "rm", {"lo": 0.4, "hi": 0.9}).select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
     return d.join(F.broadcast(q)).select("path", F.round(F.when(F.col("rm").between(F.col("lo"), F.col("hi")), F.col("rm")).otherwise(F.col("r_s1")), 6).alias("cascade"))
 
 
@@ -95,7 +96,7 @@ def fuse_cascade(spark, sf_dir):
 )
 def suppress_percentile(spark, sf_dir):
     d = fu.fused(evaluation(spark, sf_dir))
-    t = d.filter("split = 'inner_oof' and y = 1").agg(F.percentile("s2", 0.01).alias("t"))
+    t = quantiles(d.filter("split = 'inner_oof' and y = 1"), "s2", {"t": 0.01})
     out = F.when((F.col("s2") < F.col("t")) & (F.col("base") > 0.5), F.col("base") * 0.5).otherwise(F.col("base"))
     return d.join(F.broadcast(t)).select("path", F.round(out, 6).alias("fused"))
 

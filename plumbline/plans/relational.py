@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as sc
+from plumbline.functions.prefix import quantiles
 from plumbline.operators import expect, relations as rel
 from plumbline.sources.tables import EV, evaluation, table
 
@@ -368,7 +369,9 @@ def length_buckets(spark, sf_dir):
 
 @query("run_summary", "SELECT count(*) AS n, round(avg(value),6) AS mean, round(quantile_cont(value,0.5),6) AS median, max(value) AS longest, count(*) FILTER (value>100) AS n_slow FROM events")
 def run_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.max("value").alias("longest"), F.count_if(F.col("value") > 100).alias("n_slow"))
+    e = table(spark, sf_dir, "events")
+    d = e.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("longest"), F.count_if(F.col("value") > 100).alias("n_slow"))
+    return d.join(quantiles(e, "value", {"median": 0.5})).select("n", "mean", F.round("median", 6).alias("median"), "longest", "n_slow")
 
 
 @query("scorer_errors", "SELECT role, count(*) FILTER (length(text)<40) AS errors, 100*count(*) FILTER (length(text)<40) > count(*) AS over_limit FROM conversations GROUP BY 1")
@@ -391,7 +394,8 @@ def batch_summary(spark, sf_dir):
 
 @query("inner_iqr", W + "SELECT round(quantile_cont(s2,0.75)-quantile_cont(s2,0.25),6) AS iqr FROM ev WHERE split='inner_oof'")
 def inner_iqr(spark, sf_dir):
-    return evaluation(spark, sf_dir).filter("split = 'inner_oof'").agg(F.round(F.percentile("s2", 0.75) - F.percentile("s2", 0.25), 6).alias("iqr"))
+    q = quantiles(evaluation(spark, sf_dir).filter("split = 'inner_oof'"), "s2", {"q1": 0.25, "q3": 0.75})
+    return q.select(F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
 
 
 # Order, top-k, dedup, sets
@@ -655,7 +659,7 @@ def bakeoff(spark, sf_dir):
 def responds(spark, sf_dir):
     ev = evaluation(spark, sf_dir)
     s = ev.groupBy("generator").agg(F.percentile(F.abs(F.col("s2") - F.col("s3")), 0.95).alias("p95"), F.count("*").alias("n"))
-    q = ev.filter("split = 'inner_oof'").agg((F.percentile("s2", 0.75) - F.percentile("s2", 0.25)).alias("iqr"))
+    q = quantiles(ev.filter("split = 'inner_oof'"), "s2", {"q1": 0.25, "q3": 0.75}).select((F.col("q3") - F.col("q1")).alias("iqr"))
     return s.join(F.broadcast(q)).select("generator", F.when(F.col("n") < 20, "inconclusive").when(F.col("p95") > 0.1 * F.col("iqr"), "responds").otherwise("no response").alias("reading"))
 
 

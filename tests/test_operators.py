@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import dsp, scalars, signal
-from plumbline.functions.prefix import following
+from plumbline.functions.prefix import following, quantiles
 from plumbline.operators import expect, folds, fusion, metrics, relations
 from plumbline.operators.features import decode_stats, features
 from plumbline.sources import readers, sinks
@@ -321,3 +321,14 @@ def test_following_rows(spark):
         own = sorted((r.v, r.n, r.next_n) for r in out if r.k == key)
         assert [x[2] for x in own] == [x[1] for x in own][1:] + [None]
     assert len(out) == 500
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate((rng.normal(size=501), np.repeat(0.25, 300), [-7.0, 7.0])).tolist()
+    df = spark.createDataFrame([(v,) for v in [*values, None, None]], "v double")
+    shares = {"lowest": 0.0, "low": 0.01, "middle": 0.5, "high": 0.937, "highest": 1.0}
+    got = quantiles(df, "v", shares).collect()
+    assert len(got) == 1 and got[0].asDict() == pytest.approx({n: np.quantile(values, p) for n, p in shares.items()}, abs=1e-12)
+    assert quantiles(df.filter("v is null"), "v", {"m": 0.5}).collect()[0]["m"] is None
+    assert quantiles(df.filter("v = 7"), "v", {"m": 0.5}).collect()[0]["m"] == 7.0
