@@ -119,3 +119,22 @@ def resample_speed(x: np.ndarray, factor: float) -> np.ndarray:
 
 
 PERTURBATIONS = {"none": lambda x, seed: x, "noise20": lambda x, seed: add_noise(x, 20, seed), "speed": lambda x, seed: resample_speed(x, 1.02), "shift1": lambda x, seed: np.roll(x, 1), "tilt": lambda x, seed: tilt(x, -1.5)}
+
+
+def lag_of(x: np.ndarray, y: np.ndarray, limit: int = 4000) -> int:
+    """By how many samples y is late against x: the largest cross-correlation within the limit; the smallest lag of equals."""
+    n = len(x) + len(y)
+    if not len(x) or not len(y):
+        return 0
+    size = 1 << (n - 1).bit_length()
+    c = np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)
+    lags = np.arange(-min(limit, len(x) - 1), min(limit, len(y) - 1) + 1)
+    lags = lags[np.argsort(np.abs(lags), kind="stable")]
+    return int(lags[np.argmax(np.round(c[lags], 9))])
+
+
+def snr_db(x: np.ndarray, y: np.ndarray) -> float:
+    """Level of x over that of y - x on their common part, in dB between -120 and 120."""
+    n = min(len(x), len(y))
+    power = lambda v: float(np.mean(np.square(v, dtype=np.float64))) if n else 0.0
+    return float(np.clip(10 * np.log10((power(x[:n]) + 1e-30) / (power(y[:n] - x[:n]) + 1e-30)), -120, 120))

@@ -96,3 +96,8 @@ def human_size(n: Column) -> Column:
     tenth = lambda x: F.round(x, 1).cast("decimal(12,1)").cast("string")
     large = F.when(n < 1048576, F.concat(tenth(n / 1024.0), F.lit(" KB"))).otherwise(F.concat(tenth(n / 1048576.0), F.lit(" MB")))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(large)
+
+
+def config_hash(**settings: Column) -> Column:
+    """SHA-256 of the settings as JSON with sorted names; missing ones are null."""
+    return F.sha2(F.to_json(F.struct(*[settings[k].alias(k) for k in sorted(settings)]), {"ignoreNullFields": "false"}), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,3 +55,44 @@ def compared(want: DataFrame, have: DataFrame, key: str, value: str) -> DataFram
 def all_of(*parts: DataFrame) -> DataFrame:
     """Violations of several checks together; empty if all hold."""
     return reduce(DataFrame.unionByName, parts).filter("n > 0")
+
+
+def constants_problem(text: str | None, names: tuple[str, ...]) -> str:
+    """What is wrong with a JSON document of fusion constants; empty if nothing. One small document at a time.
+
+    Either `alpha` (a share of the second name) or `weights` over `names`, a sorted finite reference for each weighted
+    name, Platt's a, b and prior_shift, and, where the suppression rule is on, its three numbers. A boolean is no number.
+    """
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
+    try:
+        c = json.loads(text or "")
+    except ValueError:
+        return "not json"
+    if not isinstance(c, dict):
+        return "not an object"
+    alpha, weights, refs, map_, rule = (c.get(k) for k in ("alpha", "weights", "references", "platt", "suppression"))
+    if (alpha is None) == (weights is None):
+        return "alpha or weights"
+    if weights is None:
+        if not number(alpha) or not 0 <= alpha <= 1:
+            return "alpha"
+        weights = dict(zip(names, (1 - alpha, alpha)))
+    elif not isinstance(weights, dict) or not weights or not all(number(w) and w > 0 for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-9:
+        return "weights"
+    if not set(weights) <= set(names):
+        return "unknown name"
+    for name in weights:
+        ref = refs.get(name) if isinstance(refs, dict) else None
+        if not isinstance(ref, list) or not ref or not all(map(number, ref)) or ref != sorted(ref):
+            return "reference"
+    if not isinstance(map_, dict) or not all(number(map_.get(k)) for k in ("a", "b", "prior_shift")):
+        return "platt"
+    if isinstance(rule, dict) and rule.get("applied") and not all(number(rule.get(k)) for k in ("logit_below", "rank_above", "multiply_by")):
+        return "suppression"
+    return ""
+
+
+def constants_problems(d: DataFrame, text: str, names: tuple[str, ...]) -> DataFrame:
+    """`d` plus the column problem of each row's constants document."""
+    check = F.pandas_udf(lambda c: c.map(lambda t: constants_problem(t, names)), "string")
+    return d.withColumn("problem", check(F.col(text)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, probe, trim
+from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, lag_of, probe, snr_db, trim
 from plumbline.functions.signal import Clip, deployed, safe, segment, splices
 from plumbline.operators.fusion import gate_reasons
 
@@ -95,3 +95,16 @@ def perturbed(clips: DataFrame, family: str, kinds: list[str], key: str = "path"
         return [(k, list(d.items()), s) for k, c in zip(kinds, changed) for d, s in [safe(c, family)]]
 
     return _each(clips, key, content, "kind string, features map<string,double>, status string", rows)
+
+
+def alignment(clips: DataFrame, kinds: list[str], key: str = "path", content: str = "content") -> DataFrame:
+    """(key, kind, lag, snr_db) of each perturbed clip against the clip itself; both null for a clip that cannot be read."""
+
+    def rows(data):
+        x = decode_wav(data)
+        if x is None:
+            return [(k, None, None) for k in kinds]
+        x = x.astype(np.float64)
+        return [(k, lag_of(x, y), snr_db(x, y)) for s, k in enumerate(kinds) for y in [PERTURBATIONS[k](x, s)]]
+
+    return _each(clips, key, content, "kind string, lag int, snr_db double", rows)

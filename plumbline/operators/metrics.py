@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.lineage import settled
 from plumbline.functions.prefix import following, running
-from plumbline.functions.scalars import BRIEF, bayes_threshold
+from plumbline.functions.scalars import BRIEF, bayes_threshold, finite
 
 
 def counted(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,3 +155,19 @@ def against_all(scores: DataFrame, group: str, label: int) -> DataFrame:
     rest = scores.filter(F.col("y") == 1 - label).groupBy("y", "score").agg(F.count("*").alias("n"))
     groups = own.select("group").distinct()
     return own.unionByName(rest.join(F.broadcast(groups)).select("group", "y", "score", "n"))
+
+
+def masked_report(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, n_masked, status, auc, min_dcf) of labelled rows: those without a finite score are counted and left out.
+
+    status: ok, one class, or empty if no score is finite.
+    """
+    use = finite(F.col("score"))
+    rows = settled(scores.filter("y is not null").select(*keys, "y", F.when(use, F.col("score")).alias("score")))
+    seen = F.when(F.col("score").isNotNull(), F.col("y"))
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("score").isNull()).alias("n_masked"), F.min(seen).alias("least"), F.max(seen).alias("most"))
+    status = F.when(F.col("least").isNull(), "empty").when(F.col("least") == F.col("most"), "one class").otherwise("ok")
+    n = n.select(*keys, "n", "n_masked", status.alias("status"))
+    for part in (auc(rows, keys), min_dcf(rows, keys)):
+        n = n.join(part, keys, "left")
+    return n

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.expect import constants_problem
+
 #: Recording suffixes that are listed. Fixed values.
 SUFFIXES = ("wav", "flac", "mp3", "m4a", "ogg", "opus", "aac", "wma", "aiff", "aif")
 EXPORT = "path string, fold string, split string, score double, logit double"
@@ -50,6 +54,23 @@ def template(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def manifest(spark: SparkSession, path: str, column: str = "path") -> DataFrame:
+    """(ord, id) of a manifest's column in file order; raises if the column is not there. One file, read by one task."""
+    lines = spark.read.csv(path, header=True, inferSchema=False, multiLine=True).coalesce(1)
+    if column not in lines.columns:
+        raise ValueError(f"no column {column} in {lines.columns}")
+    return lines.select(F.monotonically_increasing_id().alias("ord"), F.col(column).alias("id"))
+
+
+def constants(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict:
+    """A checked document of fusion constants; raises with what is wrong. It is small and lives on the driver."""
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    problem = constants_problem(text, names)
+    if problem:
+        raise ValueError(f"constants: {problem}")
+    return json.loads(text)
+
+
 def latest_json(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """JSON lines, broken ones dropped; of lines with one key the last of the file wins."""
     marked = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
@@ -65,6 +86,11 @@ def recordings(spark: SparkSession, folder: str) -> DataFrame:
     return d.filter(suffix.isin(*SUFFIXES)).select(name.alias("id"), "path", "length", "content")
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, path, length) of all recordings, sorted by id; contents are not read."""
+    return recordings(spark, folder).drop("content").orderBy("id", "path")
+
+
 def shards(spark: SparkSession, path: str, row: str = "row") -> DataFrame:
     """Sharded rows whose numbers must be exactly 0 to n - 1; raises otherwise."""
     d = spark.read.parquet(path)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import finite
+from plumbline.operators.expect import constants_problem
 
 
 class Refused(ValueError):
@@ -19,14 +22,34 @@ def checked_scores(d: DataFrame, key: str, score: str, high: float = 1.0) -> Non
 
 
 def submission(d: DataFrame, path: str, *, order: str = "ord", key: str = "filename", score: str = "cm-score") -> DataFrame:
-    """Tab-separated, numbered part files in template order; checked before, read back and compared after. Returns what was read."""
+    """Tab-separated, numbered part files in template order, under `path` only if what is read back is what was meant.
+
+    The parts are written and compared in a folder beside `path`, which is renamed at the end or removed. Returns what was read.
+    """
     checked_scores(d, key, score)
-    d.orderBy(order).select(key, score).write.csv(path, sep="\t", header=True, mode="errorifexists")
-    back = d.sparkSession.read.csv(path, sep="\t", header=True, schema=f"`{key}` string, `{score}` double")
-    lost = d.select(key, score).exceptAll(back).limit(1).count()
-    if lost:
+    spark, schema = d.sparkSession, f"`{key}` string, `{score}` double"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, aside = hadoop(path), hadoop(f"{path}.{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    d.orderBy(order).select(key, score).write.csv(aside.toString(), sep="\t", header=True, mode="errorifexists")
+    back = spark.read.csv(aside.toString(), sep="\t", header=True, schema=schema)
+    if d.select(key, score).exceptAll(back).limit(1).count():
+        files.delete(aside, True)
         raise Refused("what was read back differs")
-    return back
+    if not files.rename(aside, target):
+        raise OSError(f"cannot rename to {path}")
+    return spark.read.csv(path, sep="\t", header=True, schema=schema)
+
+
+def constants(d: DataFrame, path: str, text: str, names: tuple[str, ...]) -> None:
+    """The only row's document of fusion constants, checked; an existing path is an error."""
+    rows = d.select(text).limit(2).collect()
+    problem = "one document is wanted" if len(rows) != 1 else constants_problem(rows[0][0], names)
+    if problem:
+        raise Refused(problem)
+    d.select(F.col(text).alias("value")).write.text(path)
 
 
 def export(d: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Rules that tables do not show: boundaries, golden values, missing values, readers and writers, streams."""
 
+import json
 import math
 import struct
 import wave
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import dsp, scalars, signal
 from plumbline.functions.prefix import following, quantiles
-from plumbline.operators import expect, folds, fusion, metrics, relations
+from plumbline.operators import expect, fits, folds, fusion, metrics, relations
 from plumbline.operators.features import decode_stats, features
+from plumbline.plans import fits as plans
 from plumbline.sources import readers, sinks
 from plumbline.streaming import scoring
 
@@ -332,3 +334,101 @@ def test_quantiles_are_exact(spark):
     assert len(got) == 1 and got[0].asDict() == pytest.approx({n: np.quantile(values, p) for n, p in shares.items()}, abs=1e-12)
     assert quantiles(df.filter("v is null"), "v", {"m": 0.5}).collect()[0]["m"] is None
     assert quantiles(df.filter("v = 7"), "v", {"m": 0.5}).collect()[0]["m"] == 7.0
+
+
+def test_platt_map_equals_a_plain_fit(spark):
+    rng = np.random.default_rng(3)
+    y = (rng.random(600) < 0.2).astype(int)
+    x = rng.normal(0, 1, 600) + y
+    a, b = folds.logistic(x[:, None], y, c=1e6)
+    got = fits.platt_fit(spark.createDataFrame([(float(v), int(k)) for v, k in zip(x, y)] + [(None, 1), (0.5, None)], "score double, y int")).first()
+    assert (got["a"], got["b"]) == (pytest.approx(a[0], rel=1e-6), pytest.approx(b, abs=1e-6)) and got["n"] == 600
+    one = [fits.platt_fit(spark.createDataFrame(r, "score double, y int")).first() for r in ([(1.0, 1)], [])]
+    assert [tuple(r) for r in one] == [(None, None, 1, "one class"), (None, None, 0, "empty")]
+
+
+def test_novelty_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (300, 5)) * np.array([1, 2, 0.5, 3, 1])
+    x[200:] += rng.normal(0, 2, (100, 5))
+    rows = [(i, v.tolist(), i < 200) for i, v in enumerate(x)] + [(300, None, True), (301, [1.0], False), (302, [float("nan")] * 5, False)]
+    d = spark.createDataFrame(rows, "id long, v array<double>, fitted boolean")
+    got = {r["id"]: r["distance"] for r in fits.distances(d, "id", "v", "fitted").collect()}
+    z = (x - x[:200].mean(0)) / (x[:200].std(0) + 1e-9)
+    inverse = np.linalg.inv(np.cov(z[:200], rowvar=False) + 1e-3 * np.eye(5))
+    want = np.array([v @ inverse @ v for v in z])
+    assert np.allclose([got[i] for i in range(300)], want, rtol=1e-9) and [got[i] for i in (300, 301, 302)] == [None] * 3
+    r = fits.novelty_share(d, "id", "v", "fitted").first()
+    border = np.quantile(want[:200], 0.99)
+    assert r["border"] == pytest.approx(border) and (r["n"], r["novelty"]) == (100, pytest.approx((want[200:] > border).mean()))
+    assert fits.novelty_share(d.limit(0), "id", "v", "fitted").first()["novelty"] is None
+
+
+def test_bootstrap_sums_do_not_depend_on_partitions(spark):
+    rows = [(f"c{i % 7}" if i % 11 else None, float(i), None if i % 3 else float("nan")) for i in range(500)]
+    d = spark.createDataFrame(rows, "c string, v double, w double")
+    a, b = (folds.poisson_sums(x, "c", ["v", "w"], 60).orderBy("draw").collect() for x in (d.repartition(1), d.repartition(5)))
+    assert a == b and len(a) == 60 and all(r["w"] == 0 and r["n_w"] == 0 for r in a)
+    mean = [r["v"] for r in folds.poisson_bootstrap(d.select(F.monotonically_increasing_id().alias("c"), "v"), "c", ["v"], 400).collect()]
+    assert np.mean(mean) == pytest.approx(249.5, abs=2) and np.std(mean) == pytest.approx(500 / 12**0.5 / 500**0.5, rel=0.15)
+    counts = folds.poisson_counts(np.arange(4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 20, 1)
+    assert counts.mean() == pytest.approx(1, abs=0.02) and counts.var() == pytest.approx(1, abs=0.05)
+    assert folds.poisson_sums(d.limit(0), "c", ["v"], 5).count() <= 5
+
+
+def test_batches_keep_their_quotas(spark):
+    rows = [(i, i % 2, "ab"[i % 3 == 0]) for i in range(90)] + [(90, 1, "c"), (None, 1, "a"), (91, None, "a"), (92, 1, None)]
+    d = spark.createDataFrame(rows, "id long, y int, s string")
+    got = fits.quota_batches(d, "id", "y", "s", {"a": 0.25, "b": 0.75}, 200, 10).collect()
+    assert len(got) == 2000 and {r["source"] for r in got} == {"a", "b"}
+    assert all(r["label"] == (r["place"] >= 5) == r["key"] % 2 for r in got)
+    assert np.mean([r["source"] == "b" for r in got]) == pytest.approx(0.75, abs=0.04)
+    assert len({r["key"] for r in got}) == 90
+    other = fits.quota_batches(d, "id", "y", "s", {"none": 1.0}, 100, 10).collect()
+    assert len(other) == 1000 and np.mean([r["source"] == "c" for r in other if r["label"] == 1]) == pytest.approx(1 / 3, abs=0.08)
+
+
+def test_attribution_adds_up(spark):
+    d = spark.createDataFrame([(1, 0.2, -1.0, None), (2, 0.9, 0.0, -2.0), (3, float("nan"), 1.0, 0.0)], "id long, s1 double, s2 double, s3 double")
+    raw = {r["id"]: r["raw"] for r in folds.tree_scores(d, ["s1", "s2", "s3"], plans.TREES, "id").collect()}
+    for r in folds.tree_attribution(d, ["s1", "s2", "s3"], plans.TREES, "id").collect():
+        assert r["bias"] + sum(r["parts"].values()) == pytest.approx(raw[r["id"]])
+
+
+def test_drift_of_one_and_two_windows(spark):
+    d = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("b", 0, [1.0, 0.0]), ("c", 0, None)], "clip string, k int, e array<double>")
+    got = {r["clip"]: tuple(r)[1:] for r in fits.drift(d, "clip", "k", "e").collect()}
+    assert got == {"a": (1, 1.0, 1.0, 0.0, 1.0, 0.0), "b": (2, 0.0, 0.0, 0.0, 0.0, 1.0)}
+
+
+def test_lag_and_noise_level():
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.1, 9000)
+    for late in (0, 1, 77, -300):
+        assert dsp.lag_of(x, np.roll(x, late)) == late
+    assert dsp.lag_of(np.zeros(50), np.zeros(50)) == dsp.lag_of(np.zeros(0), x) == 0
+    assert dsp.snr_db(x, x) == 120 and dsp.snr_db(x, x + 0.01 * rng.normal(0, 1, 9000)) == pytest.approx(20, abs=0.5)
+
+
+def test_constants_and_manifests(spark, tmp_path):
+    names = ("s1", "s2", "s3")
+    good = spark.createDataFrame([(json.dumps(plans.GOOD),)], "text string")
+    sinks.constants(good, str(tmp_path / "c"), "text", names)
+    assert readers.constants(spark, str(tmp_path / "c"), names) == plans.GOOD
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.constants(good, str(tmp_path / "c"), "text", names)
+    for bad in (good.union(good), good.limit(0), spark.createDataFrame([("{}",)], "text string")):
+        with pytest.raises(sinks.Refused):
+            sinks.constants(bad, str(tmp_path / "d"), "text", names)
+    assert not (tmp_path / "d").exists() and expect.constants_problem(None, names) == "not json"
+    (tmp_path / "m.csv").write_text("path,label\nz,1\na,0\nm,1\n")
+    assert [tuple(r) for r in readers.manifest(spark, str(tmp_path / "m.csv")).collect()] == [(0, "z"), (1, "a"), (2, "m")]
+    with pytest.raises(ValueError):
+        readers.manifest(spark, str(tmp_path / "m.csv"), "id")
+
+
+def test_refused_submission_leaves_nothing(spark, tmp_path):
+    d = spark.createDataFrame([(0, "a\tb", 0.1), (1, "", 0.2)], "ord long, filename string, `cm-score` double")  # an empty name reads back as null
+    with pytest.raises(sinks.Refused):
+        sinks.submission(d, str(tmp_path / "s"))
+    assert not list(tmp_path.glob("s*"))
