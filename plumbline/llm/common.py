@@ -68,3 +68,16 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null becomes b''."""
     values = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
     return [b"" if v is None else v for v in values]
+
+
+def pieces(text: bytes, letters: bytes, limit: int = 4 << 20) -> Iterator[bytes]:
+    """A text translated by `letters`, in pieces of about `limit` bytes that end at a space or at the text's end."""
+    text = text.translate(letters)
+    start = 0
+    while len(text) - start > limit:
+        end = text.find(b" ", start + limit)
+        if end < 0:
+            break
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text

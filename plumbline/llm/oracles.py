@@ -49,3 +49,39 @@ hit AS (SELECT doc_id, p, dp.n, item_id FROM dp JOIN ik ON dp.n=ik.n AND array_t
 words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p,p+n)) AS pos FROM hit) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items, sha256(coalesce(ids,'')) AS items_sha256, coalesce(n_hit,0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+OP11 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang,'') AS lang, coalesce(source,'') AS source, regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+o AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, g.source, k.term, coalesce(c.n,0) AS n, 1 + (1000000000::HUGEINT*(coalesce(c.n,0)+2)) // (coalesce(s.n,0)+2*v.v) AS p, 1 + (1000000000::HUGEINT*(k.n+2)) // (v.n+2*v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p-b.p)*(a.p-b.p)) // (a.p+b.p)) AS value FROM p a JOIN p b ON a.lang=b.lang AND a.term=b.term AND a.source<>b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value,0)::BIGINT AS value FROM g a JOIN g b ON a.lang=b.lang AND a.source<>b.source LEFT JOIN f ON f.lang=a.lang AND f.source=a.source AND f.item=b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p-q)*(p-q)) // (p+q))::BIGINT FROM p WHERE n>0 AND p>q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM x QUALIFY part='pair' OR rank <= 10"""
+
+
+def _nearest(vectors: str, centroids: str) -> str:
+    distance = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1]-z[2])*(z[1]-z[2])))::BIGINT"
+    return f"(SELECT r, vec_id, e.v, unnest(min(struct_pack(d := {distance}, k := c.k))) FROM {vectors} e, {centroids} c GROUP BY r, vec_id, e.v)"
+
+
+def _moved(assigned: str, centroids: str) -> str:
+    """Floor of the mean of each component; a centroid without vectors stays."""
+    cells = f"SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(64)) AS i FROM {assigned}) GROUP BY k, i"
+    means = f"SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM ({cells}) GROUP BY k"
+    return f"(SELECT c.k, coalesce(m.v, c.v) AS v FROM {centroids} c LEFT JOIN ({means}) m ON m.k = c.k)"
+
+
+OP12 = f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64*x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM e ORDER BY h, v LIMIT 16)),
+a1 AS MATERIALIZED {_nearest("e", "c0")}, c1 AS MATERIALIZED {_moved("a1", "c0")},
+a2 AS MATERIALIZED {_nearest("e", "c1")}, c2 AS MATERIALIZED {_moved("a2", "c1")},
+a3 AS MATERIALIZED {_nearest("e", "c2")}, c3 AS MATERIALIZED {_moved("a3", "c2")},
+a4 AS MATERIALIZED {_nearest("e", "c3")}
+SELECT vec_id, a4.k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a4.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a4 JOIN c3 ON c3.k = a4.k"""
