@@ -138,8 +138,7 @@ def _add(total: dict[int, np.ndarray], v: np.ndarray, own: np.ndarray) -> None:
 def _total(total: dict[int, np.ndarray], used: int) -> pa.RecordBatch:
     """A row for each centroid that the task met, with `used` in front of its sums."""
     n = len(total)
-    rows = np.array([np.concatenate(([used], x)) for x in total.values()], np.int64).reshape(n, -1)
-    sums = binaries(rows) if n else pa.array([], pa.binary())
+    sums = binaries(np.array([[used, *x] for x in total.values()], np.int64)) if n else pa.array([], pa.binary())
     columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(list(total), pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), sums]
     return pa.RecordBatch.from_arrays(columns, names=["id", "v", "cluster", "near", "bounds", "sums"])
 
