@@ -23,10 +23,11 @@ def cuts_of(df: DataFrame, cols: list[str], ranges: int = RANGES) -> list[list[f
     return [sorted(set(c or [])) for c in row]
 
 
-def running(df: DataFrame, keys: list[str], order: str, values: list[str], cuts: list[float] | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, values: list[str], cuts: list[float] | None = None, ties: list[str] | None = None) -> DataFrame:
     """`df` plus run_<v> for each value: its sum over rows of the same keys up to and with the row's order value.
 
-    `order` must be distinct inside a group of keys. Null keys are a group; rows with a null order come first.
+    `order` and `ties` together must be distinct inside a group of keys; ranges are cut by `order` alone. Null keys
+    are a group; rows with a null order come first.
     """
     cuts = cuts_of(df, [order])[0] if cuts is None else cuts
     part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(order))) if cuts else F.lit(0)
@@ -38,7 +39,7 @@ def running(df: DataFrame, keys: list[str], order: str, values: list[str], cuts:
     on = F.col("d._part") == F.col("h._part")
     for k in keys:
         on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}"))
-    inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col("d._part")).orderBy(F.col(f"d.{order}")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col("d._part")).orderBy(*[F.col(f"d.{c}") for c in (order, *(ties or []))]).rowsBetween(Window.unboundedPreceding, 0)
     return d.join(h, on).select("d.*", *[(F.sum(f"d.{v}").over(inside) + F.col(f"h._head_{v}")).alias(f"run_{v}") for v in values]).drop("_part")
 
 

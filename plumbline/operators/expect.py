@@ -52,6 +52,34 @@ def compared(want: DataFrame, have: DataFrame, key: str, value: str) -> DataFram
     return j.select(key, status.alias("status"))
 
 
+def twin_set(wanted: DataFrame, stored: DataFrame, twin: DataFrame, row: str, vector: str) -> DataFrame:
+    """(row, problem, element): what is wrong with a stored set of vectors, against its manifest and a twin set.
+
+    missing: wanted and not stored; extra: stored and not wanted; repeated: stored more than once; not finite: its
+    first null, NaN or infinite element; twin missing; width: the twin's is another; differs: the first element that
+    is not equal to the twin's, two NaN being equal. A row has the first of these that holds; element is null where
+    none is meant. Rows without a number are extra. One shuffle brings the three sets together.
+    """
+    x = F.col(vector).cast("array<double>")
+    side = lambda d, kind, v: d.select(F.col(row).alias("row"), F.lit(kind).alias("kind"), v.alias("x"))
+    none = F.lit(None).cast("array<double>")
+    both = side(wanted, 0, none).unionByName(side(stored, 1, x)).unionByName(side(twin, 2, x))
+    count = lambda k: F.count_if(F.col("kind") == k)
+    of = lambda k: F.min(F.when(F.col("kind") == k, F.col("x")))
+    g = both.groupBy("row").agg(count(0).alias("wanted"), count(1).alias("n"), count(2).alias("twins"), of(1).alias("x"), of(2).alias("t"))
+    first = lambda flags: F.nullif(F.coalesce(F.array_position(flags, True), F.lit(0)), F.lit(0)) - 1
+    odd = first(F.transform("x", lambda v: F.coalesce(~finite(v), F.lit(True))))
+    apart = first(F.zip_with("x", "t", lambda a, b: ~a.eqNullSafe(b)))
+    g = g.withColumns({"odd": odd, "apart": apart})
+    problem = (
+        F.when(F.col("row").isNull() | (F.col("wanted") == 0) & (F.col("n") > 0), "extra").when(F.col("n") == 0, F.when(F.col("wanted") > 0, "missing")).when(F.col("n") > 1, "repeated")
+        .when(F.col("x").isNull(), "not finite").when(F.col("odd").isNotNull(), "not finite").when(F.col("t").isNull(), "twin missing")
+        .when(F.size("x") != F.size("t"), "width").when(F.col("apart").isNotNull(), "differs")
+    )
+    element = F.when(F.col("problem") == "not finite", F.col("odd")).when(F.col("problem") == "differs", F.col("apart"))
+    return g.withColumn("problem", problem).filter("problem is not null").select("row", "problem", element.cast("int").alias("element"))
+
+
 def all_of(*parts: DataFrame) -> DataFrame:
     """Violations of several checks together; empty if all hold."""
     return reduce(DataFrame.unionByName, parts).filter("n > 0")

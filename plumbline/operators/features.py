@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, lag_of, probe, snr_db, trim
-from plumbline.functions.signal import Clip, deployed, safe, segment, splices
+from plumbline.functions.signal import Clip, deployed, safe, segment
 from plumbline.operators.fusion import gate_reasons
 
 #: Clips are read from Arrow batches in slices of so many, so that results of few are held at once.
@@ -48,16 +48,16 @@ def features(clips: DataFrame, families: list[str], key: str = "path", content:
 
 
 def decode_stats(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, n_samples, peak, lead_s, trimmed_s, clicks, status) of WAV recordings."""
+    """(key, n_samples, peak, lead_s, trimmed_s, clipped, status) of WAV recordings."""
 
     def rows(data):
         x = decode_wav(data)
         if x is None:
             return [(None, None, None, None, None, "decode_error")]
         loud = np.flatnonzero(np.abs(x) > 0.01)
-        return [(len(x), float(np.abs(x).max()), float(loud[0] / RATE) if len(loud) else None, len(trim(x)) / RATE, splices(Clip(x))["clicks"], "ok")]
+        return [(len(x), float(np.abs(x).max()), float(loud[0] / RATE) if len(loud) else None, len(trim(x)) / RATE, int((np.abs(x) >= 0.999).sum()), "ok")]
 
-    return _each(clips, key, content, "n_samples long, peak double, lead_s double, trimmed_s double, clicks double, status string", rows)
+    return _each(clips, key, content, "n_samples long, peak double, lead_s double, trimmed_s double, clipped long, status string", rows)
 
 
 def header_probe(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.lineage import settled
 from plumbline.functions.prefix import quantiles, running
-from plumbline.functions.scalars import jitter, sigmoid
+from plumbline.functions.scalars import finite, jitter, sigmoid
 from plumbline.operators.metrics import counted
 
 
@@ -40,6 +40,43 @@ def platt_fit(scores: DataFrame, c: float = 1e6, steps: int = 50) -> DataFrame:
     return scores.sparkSession.createDataFrame([(a, b, n_pos + n_neg, status)], "a double, b double, n long, status string")
 
 
+def stacker(rows: DataFrame, names: list[str], use: str, c: float = 1.0, steps: int = 25, shrink: float = 0.5) -> DataFrame:
+    """(name, coefficient, weight): non-negative fusion weights from a joint class-balanced logistic fit on z-scores.
+
+    Columns are standardised over all rows and fitted on labelled rows where `use` is true. Coefficients below zero
+    are cut, the rest made to sum to one and drawn towards equal weights by `shrink`; all zero are equal. With one
+    class there is no fit: coefficients are null and weights equal. Rows with a null or NaN in a column are left out.
+    """
+    k = len(names)
+    clean = rows.filter(finite(*[F.col(n).cast("double") for n in names]))
+    moments = clean.agg(*[f(F.col(n).cast("double")) for n in names for f in (F.avg, F.stddev_pop)]).first()
+    z = [((F.col(n).cast("double") - moments[2 * i]) / moments[2 * i + 1] if moments[2 * i + 1] else F.lit(0.0)).alias(f"z{i}") for i, n in enumerate(names)]
+    at = settled(clean.filter(F.col(use) & F.col("y").isin(0, 1)).select(F.col("y").cast("double").alias("y"), *z))
+    n, pos = at.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    b = np.zeros(k + 1)
+    fitted = 0 < pos < n
+    if fitted:
+        x = [*[F.col(f"z{i}") for i in range(k)], F.lit(1.0)]
+        weight = F.when(F.col("y") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
+        pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+        ridge = np.diag([1 / c] * k + [0.0])
+        for _ in range(steps):
+            p = sigmoid(sum((float(b[i]) * x[i] for i in range(k + 1)), F.lit(0.0)))
+            step = at.select("*", (weight * (p - F.col("y"))).alias("g"), (weight * p * (1 - p)).alias("h"))
+            got = step.agg(*[F.sum(F.col("g") * v) for v in x], *[F.sum(F.col("h") * x[i] * x[j]) for i, j in pairs]).first()
+            h = np.zeros((k + 1, k + 1))
+            for (i, j), v in zip(pairs, got[k + 1 :]):
+                h[i, j] = h[j, i] = v
+            move = np.linalg.solve(h + ridge + np.diag([0.0] * k + [1e-12]), np.array(got[: k + 1]) + ridge @ b)
+            b = b - move
+            if np.abs(move).max() < 1e-10:
+                break
+    cut = np.maximum(b[:k], 0)
+    share = cut / cut.sum() if cut.sum() > 0 else np.full(k, 1 / k)
+    made = [(name, float(b[i]) if fitted else None, float((1 - shrink) * share[i] + shrink / k)) for i, name in enumerate(names)]
+    return rows.sparkSession.createDataFrame(made, "name string, coefficient double, weight double")
+
+
 def distances(rows: DataFrame, key: str, vector: str, fitted: str, ridge: float = 1e-3) -> DataFrame:
     """(key, fitted, distance): squared Mahalanobis distance from the rows where `fitted` is true.
 

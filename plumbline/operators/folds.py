@@ -1,4 +1,4 @@
-"""Grouped folds, out-of-fold scores, bootstraps, tree models and their attributions."""
+"""Out-of-fold scores, bootstraps, tree models and their attributions."""
 
 from __future__ import annotations
 
@@ -7,22 +7,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def grouped_folds(rows: DataFrame, group: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """(group, fold): whole groups, largest first, dealt in a snake so that folds are near in size for each label.
-
-    Groups are ranked by their label and size with a hash for ties; a group never straddles folds.
-    """
-    g = rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(F.col(label).cast("double"))).alias("major"))
-    order = Window.partitionBy("major").orderBy(F.desc("n"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), group)
-    r = F.row_number().over(order) - 1
-    lap, at = F.floor(r / k), r % k
-    return g.select(group, F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
-
-
 def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, float]:
     """Class-balanced ridge logistic regression by Newton steps."""
     w = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1)))
@@ -105,10 +93,10 @@ def out_of_fold(rows: DataFrame, columns: list[str], key: str, label: str = "y",
 CLUSTERS = 1024
 
 
-def poisson_counts(cluster: np.ndarray, draws: int, seed: int) -> np.ndarray:
-    """(clusters, draws): Poisson numbers of mean 1 from the bits of cluster hash, draw and seed; at most 8."""
+def poisson_counts(cluster: np.ndarray, draws: int, seed: int, first: int = 1) -> np.ndarray:
+    """(clusters, draws): Poisson numbers of mean 1 from the bits of cluster hash, draw (from `first` on) and seed; at most 8."""
     with np.errstate(over="ignore"):
-        z = cluster.astype(np.uint64)[:, None] + (np.arange(1, draws + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+        z = cluster.astype(np.uint64)[:, None] + (np.arange(first, first + draws, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
             z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
     upto = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(8)])

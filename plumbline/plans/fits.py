@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import json
-import wave
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.functions.dsp import RATE
 from plumbline.functions.lineage import settled
 from plumbline.functions.prefix import quantiles
 from plumbline.functions.scalars import BRIEF, bayes_threshold, config_hash
-from plumbline.functions.signal import FAMILIES
 from plumbline.operators import expect, fits
 from plumbline.operators import features as fe
 from plumbline.operators import folds as fo
@@ -69,30 +64,6 @@ def interval(d, value: str, draws: int):
     return q.join(F.broadcast(enough)).select(*[F.when(F.col("enough"), F.round(c, 6)).alias(c) for c in ("low", "high")])  # one row
 
 
-@query("spearman_gap")
-def spearman_gap(spark, sf_dir, draws: int = 1000):
-    """Rank correlation on the holdout less that on the test rows, with an interval over draws of rows.
-
-    Ranks are those within all rows of a split; a draw weighs rows and does not rank anew.
-    """
-    rows = evaluation(spark, sf_dir).filter("split in ('holdout', 'test')").select("path", "split", F.col("n_chars").cast("double").alias("a"), (F.col("s1") + F.col("s2")).alias("b"))
-    ranks = me.average_ranks(me.average_ranks(rows, ["split"], "a", "ra"), ["split"], "b", "rb")
-    top = ranks.groupBy("split").agg(F.max("ra").alias("ma"), F.max("rb").alias("mb"))
-    r = ranks.join(F.broadcast(top), "split").select("path", "split", (F.col("ra") / F.col("ma") - 0.5).alias("x"), (F.col("rb") / F.col("mb") - 0.5).alias("y"))  # two rows
-    r = settled(r)
-    m = {"x": F.col("x"), "y": F.col("y"), "xx": F.col("x") ** 2, "yy": F.col("y") ** 2, "xy": F.col("x") * F.col("y")}
-    named = [f"{s}_{k}" for s in ("holdout", "test") for k in m]
-    wide = r.select("path", *[F.when(F.col("split") == s, v).alias(f"{s}_{k}") for s in ("holdout", "test") for k, v in m.items()])
-    def rho(s):
-        spread = lambda k: F.col(f"{s}_{k}{k}") - F.col(f"{s}_{k}") ** 2
-        both = spread("x") * spread("y")
-        return F.when(both > 0, (F.col(f"{s}_xy") - F.col(f"{s}_x") * F.col(f"{s}_y")) / F.sqrt(both))
-
-    drawn = fo.poisson_bootstrap(wide, "path", named, draws).select((rho("holdout") - rho("test")).alias("gap"))
-    point = wide.agg(*[F.avg(n).alias(n) for n in named]).select(rho("holdout").alias("holdout"), rho("test").alias("test"))
-    return point.join(F.broadcast(interval(drawn, "gap", draws))).select(R6("holdout"), R6("test"), F.round(F.col("holdout") - F.col("test"), 6).alias("gap"), "low", "high")  # one row
-
-
 @query("mixed_bootstrap")
 def mixed_bootstrap(spark, sf_dir, draws: int = 400):
     """Interval of the share of test rows that belong to a domain: test rows drawn one by one, the reference domains by speaker.
@@ -183,28 +154,6 @@ def constants_validation(spark, sf_dir):
     return expect.constants_problems(d, "document", ("s1", "s2", "s3")).select("doc_id", "problem")
 
 
-def recording(x: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1), w.setsampwidth(2), w.setframerate(RATE)
-        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
-    return out.getvalue()
-
-
-@query("preflight", "SELECT * FROM (VALUES ('chord', true, true, 14), ('silence', true, true, 14)) t(clip, repeats, gated, n_families)")
-def preflight(spark, sf_dir):
-    """Before a run: silence and a chord, measured twice, give equal features within 1e-6 and pass no gate."""
-    t = np.arange(4 * RATE) / RATE
-    made = {"silence": 0 * t, "chord": sum(0.1 * np.sin(2 * np.pi * f * t) for f in (261.6, 329.6, 392.0))}
-    d = spark.createDataFrame([(f"{name}/{i}", recording(x)) for name, x in made.items() for i in (0, 1)], "path string, content binary")
-    name = F.split("path", "/")[0].alias("clip")
-    values = fe.features(d, sorted(FAMILIES)).filter("status = 'ok'").select(name, "family", F.explode("features").alias("feature", "v"))
-    spread = values.groupBy("clip", "family", "feature").agg(F.count("*").alias("n"), (F.max("v") - F.min("v")).alias("gap"))
-    same = spread.groupBy("clip").agg(F.bool_and((F.col("n") == 2) & (F.col("gap") <= 1e-6)).alias("repeats"), F.count_distinct("family").cast("int").alias("n_families"))
-    gate = fe.speech_gate(d).groupBy(name).agg(F.bool_and((F.col("status") == "ok") & (F.size("reasons") > 0)).alias("gated"))
-    return same.join(gate, "clip").select("clip", "repeats", "gated", "n_families")
-
-
 @query("run_identity", "SELECT doc_id, sha256('{\"lang\":' || to_json(lang)::VARCHAR || ',\"n_chars\":' || n_chars || ',\"source\":' || to_json(source)::VARCHAR || '}') AS identity FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def run_identity(spark, sf_dir):
     """Identity of a run's settings: the hash of their JSON by sorted names."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.prefix import quantiles
-from plumbline.functions.scalars import AVERSE, BRIEF, bayes_threshold
+from plumbline.functions.scalars import AVERSE, BRIEF
 from plumbline.operators import metrics as me
 from plumbline.plans.fusion import AVERSE_SQL, BRIEF_SQL, DCF_SQL
 from plumbline.sources.tables import EV, evaluation, long_scores, table
@@ -268,9 +270,16 @@ def constant_baseline(spark, sf_dir):
     return me.min_dcf(s, ["split"]).filter("min_dcf is not null").join(n, "split").select("split", "min_dcf", "n")
 
 
-@query("bayes_thresholds", "SELECT round(ln(4e0)-ln(0.3e0/0.7e0),6) AS brief, round(ln(0.25e0),6) AS averse")
+SHIFTED_SQL = f"WITH {EV}, p AS (SELECT generator, avg(y) AS prior, count(*) AS n FROM ev WHERE y IS NOT NULL GROUP BY 1) SELECT generator, n, round(ln(4e0)-ln(prior/(1e0-prior)),6) AS brief, round(ln(0.25e0)-ln(prior/(1e0-prior)),6) AS averse FROM p WHERE prior>0 AND prior<1"
+
+
+@query("bayes_thresholds", SHIFTED_SQL)
 def bayes_thresholds(spark, sf_dir):
-    return spark.range(1).select(F.round(F.lit(bayes_threshold(*BRIEF)), 6).alias("brief"), F.round(F.lit(bayes_threshold(*AVERSE)), 6).alias("averse"))
+    """Where a log likelihood ratio has to be cut in each group, whose own share of positives is the prior."""
+    p = evaluation(spark, sf_dir).filter("y is not null").groupBy("generator").agg(F.avg("y").alias("prior"), F.count("*").alias("n")).filter("prior > 0 and prior < 1")
+    odds = F.log(F.col("prior") / (1 - F.col("prior")))
+    cut = lambda c, name: F.round(math.log(c[0] / c[1]) - odds, 6).alias(name)
+    return p.select("generator", "n", cut(BRIEF, "brief"), cut(AVERSE, "averse"))
 
 
 @query(

@@ -26,12 +26,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("grouped_folds")
-def grouped_folds(spark, sf_dir):
-    ev = evaluation(spark, sf_dir).filter("y is not null")
-    return fo.grouped_folds(ev, "speaker", "y")
-
-
 @query("out_of_fold_logistic")
 def out_of_fold_logistic(spark, sf_dir):
     ev = evaluation(spark, sf_dir).filter("split = 'inner_oof'")
@@ -92,7 +86,7 @@ def clips(spark, sf_dir) -> DataFrame:
 
 @query("scan_decode")
 def scan_decode(spark, sf_dir):
-    return fe.decode_stats(clips(spark, sf_dir)).select("path", "n_samples", F.round("peak", 6).alias("peak"), "clicks", "status")
+    return fe.decode_stats(clips(spark, sf_dir)).select("path", "n_samples", F.round("peak", 6).alias("peak"), "clipped", "status")
 
 
 @query("clip_features")
@@ -118,8 +112,8 @@ def prepared_clips(spark, sf_dir):
 
 @query("perturbations")
 def perturbations(spark, sf_dir):
-    d = fe.perturbed(clips(spark, sf_dir), "splices", ["none", "noise20", "speed", "shift1", "tilt"])
-    return d.select("path", "kind", "status", F.round(F.try_element_at("features", F.lit("clicks")), 6).alias("clicks"))
+    d = fe.perturbed(clips(spark, sf_dir), "gate", ["none", "noise20", "speed", "shift1", "tilt"])
+    return d.select("path", "kind", "status", F.round(F.try_element_at("features", F.lit("level_db")), 4).alias("level_db"))
 
 
 @query(

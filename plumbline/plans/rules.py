@@ -130,48 +130,6 @@ def adoption_rule(spark, sf_dir):
     return cells.filter("candidate <> 's1'").join(F.broadcast(old)).select("candidate", adopt.alias("adopt"))  # one row
 
 
-STACK_SQL = W + """, f AS (SELECT unnest(['s1','s2','s3']) AS name, unnest([regr_slope(y,s1),regr_slope(y,s2),regr_slope(y,s3)]) AS raw FROM ev WHERE split='inner_oof'),
-c AS (SELECT name, greatest(raw,0e0) AS raw, sum(greatest(raw,0e0)) OVER () AS total FROM f)
-SELECT name, round(0.5e0/3e0 + 0.5e0*CASE WHEN total>0 THEN raw/total ELSE 1e0/3e0 END,6) AS weight FROM c"""
-
-
-@query("shrunk_stacker", STACK_SQL)
-def shrunk_stacker(spark, sf_dir):
-    """Fitted weights cut at zero, made to sum to one, and drawn half way to equal ones; all zero are equal."""
-    inner = evaluation(spark, sf_dir).filter("split = 'inner_oof'")
-    fit = inner.agg(*[F.greatest(F.regr_slope("y", s), F.lit(0.0)).alias(s) for s in ("s1", "s2", "s3")]).unpivot([], ["s1", "s2", "s3"], "name", "raw")
-    both = fit.join(F.broadcast(fit.agg(F.sum("raw").alias("total"))))  # one row
-    share = F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(1 / 3)
-    return both.select("name", F.round(0.5 / 3 + 0.5 * share, 6).alias("weight"))
-
-
-CROP = 48_000
-
-
-@query("crop_plan", W + f"SELECT path, CASE WHEN n_chars*20>{CROP} THEN floor({JIT.format(chr(39) + 'crop7:' + chr(39) + '||path')}*(n_chars*20-{CROP}+1))::BIGINT ELSE 0 END AS start, least(n_chars*20,{CROP})::BIGINT AS length FROM ev")
-def crop_plan(spark, sf_dir):
-    """A seeded crop for each recording; one that is too short is taken whole."""
-    n = F.col("n_chars") * 20
-    start = F.when(n > CROP, F.floor(jitter(F.concat(F.lit("crop7:"), "path")) * (n - CROP + 1))).otherwise(0)
-    return evaluation(spark, sf_dir).select("path", start.cast("long").alias("start"), F.least(n, F.lit(CROP)).cast("long").alias("length"))
-
-
-MIX = "least(14e0, greatest(3e0, {a}))"
-LENGTH_SQL = W + f""", d AS (SELECT path, n_chars, {JIT.format("'mix:'||path")} AS u, {JIT.format("'len:'||path")} AS v, (SELECT quantile_cont(least(14e0, greatest(3e0, n_chars/100e0)), [0.25e0,0.5e0,0.75e0]) FROM ev WHERE split='test') AS q FROM ev WHERE split='inner_oof')
-SELECT path, round(CASE WHEN u<0.7e0 THEN q[1+floor(v*3)::INT] ELSE 3e0+11e0*v END,4) AS seconds FROM d"""
-
-
-@query("length_mixer", LENGTH_SQL)
-def length_mixer(spark, sf_dir):
-    """Training lengths: seven in ten are a quartile of the test lengths held to 3 to 14 s, the others uniform."""
-    ev = evaluation(spark, sf_dir)
-    held = F.least(F.lit(14.0), F.greatest(F.lit(3.0), F.col("n_chars") / 100.0))
-    q = ev.filter("split = 'test'").select(held.alias("s")).agg(F.percentile("s", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    u, v = (jitter(F.concat(F.lit(k), "path")) for k in ("mix:", "len:"))
-    d = ev.filter("split = 'inner_oof'").join(F.broadcast(q))  # one row
-    return d.select("path", F.round(F.when(u < 0.7, F.get("q", F.floor(v * 3).cast("int"))).otherwise(3.0 + 11.0 * v), 4).alias("seconds"))
-
-
 RESULT_SQL = W + """, r AS (SELECT path, doc_id%7 AS k, CASE doc_id%13 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 1.5e0 ELSE (s2+3e0)/6e0 END AS score FROM ev),
 s AS (SELECT *, CASE WHEN k=0 THEN 'error' WHEN k=1 THEN '' ELSE 'ok' END AS status FROM r)
 SELECT problem, count(*) AS n FROM (SELECT CASE WHEN status NOT IN ('ok','error') THEN 'status' WHEN status='error' AND score IS NOT NULL THEN 'score with error' WHEN status='error' THEN 'error'

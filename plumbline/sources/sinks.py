@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import finite
+from plumbline.functions.strict import strict_json
 from plumbline.operators.expect import constants_problem
 
 
@@ -61,9 +62,8 @@ def export(d: DataFrame, path: str) -> None:
 
 
 def documents(d: DataFrame, path: str, identity: str) -> None:
-    """A JSON document for each row, under a folder that names the run's identity; NaN and infinity become null."""
-    clean = [F.when(finite(F.col(c)), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes]
-    d.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(f"{path}/identity={identity}")
+    """A JSON document for each row, under a folder that names the run's identity; NaN and infinities become null at any depth."""
+    d.select(strict_json(d).alias("value")).write.mode("append").text(f"{path}/identity={identity}")
 
 
 def new_shards(d: DataFrame, path: str, key: str, shard: str) -> int:

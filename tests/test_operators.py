@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import dsp, scalars, signal
 from plumbline.functions.prefix import following, quantiles
-from plumbline.operators import expect, fits, folds, fusion, metrics, relations
+from plumbline.operators import expect, fits, folds, fusion, metrics, relations, splits
 from plumbline.operators.features import decode_stats, features
 from plumbline.plans import fits as plans
 from plumbline.sources import readers, sinks
@@ -89,7 +89,7 @@ def test_gate_reasons(spark):
 
 def test_groups_never_straddle_folds(spark):
     d = spark.createDataFrame([(f"g{i % 13}", i % 2) for i in range(400)], "g string, y int")
-    f = folds.grouped_folds(d, "g", "y")
+    f = splits.grouped_folds(d, "g", "y")
     assert f.count() == f.select("g").distinct().count() == 13
     assert f.groupBy("fold").count().count() == 5
 
@@ -136,23 +136,19 @@ def test_recordings_and_features(spark, tmp_path):
     (tmp_path / "in" / "notes.txt").write_text("x")
     clips = readers.recordings(spark, str(tmp_path / "in"))
     assert {r["id"] for r in clips.select("id").collect()} == {"hum.wav", "deep/tone.wav", "bad.wav"}
-    got = {(r["id"], r["family"]): r for r in features(clips, ["mains", "prosody", "cepstra", "compression", "splices"], "id").collect()}
-    assert got["bad.wav", "mains"]["status"] == "decode_error" and not got["bad.wav", "mains"]["features"]
-    assert got["hum.wav", "mains"]["features"]["hum_there"] == 1.0 and got["deep/tone.wav", "mains"]["features"]["hum_there"] == 0.0
+    got = {(r["id"], r["family"]): r for r in features(clips, ["gate", "prosody", "cepstra"], "id").collect()}
+    assert got["bad.wav", "gate"]["status"] == "decode_error" and not got["bad.wav", "gate"]["features"]
     assert got["deep/tone.wav", "prosody"]["features"]["pitch_mean"] == pytest.approx(200, abs=4)
     assert all(r["status"] == "ok" for k, r in got.items() if k[0] != "bad.wav")
     stats = {r["id"]: r for r in decode_stats(clips, "id").collect()}
     assert stats["hum.wav"]["n_samples"] == 32000 and stats["bad.wav"]["status"] == "decode_error"
-    q = scoring.score_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), ["mains"])
+    q = scoring.score_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), ["gate"])
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3  # files of the folder itself
 
 
 def test_signal_functions():
     x = np.random.default_rng(0).normal(size=16000) * 0.1
-    click = x * 0.1
-    click[8000] = 3.0
-    assert signal.splices(signal.Clip(click))["clicks"] == 1 and signal.splices(signal.Clip(x))["clicks"] == 0
     noisy = dsp.add_noise(x, 20, 1) - x
     assert 10 * np.log10((x * x).mean() / (noisy * noisy).mean()) == pytest.approx(20, abs=1e-9)
     high = np.sin(2 * np.pi * 7900 * np.arange(16000) / 16000)
@@ -273,7 +269,7 @@ def fixtures():
     return {"silence": 0 * t, "chord": chord, "noise": rng.normal(0, 0.1, len(t)), "hum": 0.1 * np.sin(2 * np.pi * 50 * t) + quiet, "click": click, "step": step, "voice": voice, "short": quiet[:700], "one": np.ones(1)}
 
 
-SIZES = {"prosody": 75, "group_delay": 8, "coherence": 4, "constant_q": 72, "rhythm": 6, "breath": 4, "cycles": 5, "compression": 19, "high_band": 13, "channel": 7, "mains": 9, "splices": 7, "cepstra": 60, "gate": 5}
+SIZES = {"prosody": 75, "constant_q": 72, "rhythm": 6, "breath": 4, "cycles": 5, "high_band": 13, "channel": 7, "cepstra": 60, "gate": 5}
 
 
 def test_signal_families_have_all_quantities_and_stay_finite():
@@ -288,20 +284,12 @@ def test_signal_families_have_all_quantities_and_stay_finite():
 def test_signal_families_see_what_is_there():
     clips = {k: signal.Clip(x) for k, x in fixtures().items()}
     of = lambda family, name: signal.FAMILIES[family](clips[name])
-    assert of("mains", "hum")["hum_there"] == of("mains", "hum")["hum_steady"] == 1 and of("mains", "hum")["hum_track"] == pytest.approx(50, abs=0.05)
-    assert of("mains", "noise")["hum_there"] == of("mains", "silence")["hum_there"] == 0
-    seams = {k: of("splices", k) for k in ("click", "step", "noise", "chord")}
-    assert seams["click"]["clicks"] == 1 and seams["click"]["first_seam_s"] == pytest.approx(1.875, abs=0.001)
-    assert seams["step"]["dc_jumps"] == 1 and seams["step"]["first_seam_s"] == pytest.approx(2.0) and seams["noise"]["seams"] == seams["chord"]["seams"] == 0
     assert of("prosody", "voice")["pitch_mean"] == pytest.approx(120, abs=3) and of("prosody", "voice")["voiced"] == 1
-    assert of("coherence", "voice")["pc_median"] < 2 < 8 < of("coherence", "noise")["pc_median"]
     assert of("rhythm", "voice")["mod_peak_hz"] == pytest.approx(4, abs=0.1)
     assert of("cycles", "voice")["jitter_local"] < 0.02 and of("cycles", "noise")["cycle_cover"] < 0.5
     assert of("prosody", "noise")["above_4000_mean"] == pytest.approx(0.5, abs=0.05)
     limited = signal.Clip(dsp.band_limit(fixtures()["noise"], 5000))
     assert signal.high_band(limited)["level_6500"] < -30 < of("high_band", "noise")["level_6500"]
-    assert signal.compression(limited)["bandwidth_hz"] <= 5750 < 8000 == of("compression", "noise")["bandwidth_hz"]
-    assert signal.compression(limited)["local_share"] != of("compression", "noise")["local_share"]
     gate = {k: signal.speech_gate(x) for k, x in fixtures().items()}
     assert gate["silence"]["level_db"] == -180 and gate["noise"]["flatness"] > 0.9 and gate["chord"]["pitch_std"] < 0.01 and gate["voice"]["voiced"] == 1
     assert of("breath", "voice")["breath_share"] == 0 and of("channel", "silence")["loud_std"] == 0
