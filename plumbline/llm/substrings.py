@@ -11,14 +11,20 @@ and each match is extended to the left and to the right, word against word; it i
 An anchor of more than CLOSE classes is not compared pair by pair: its classes are joined on longer seeds, each of
 the W runs of `length` words round the anchor. The longest extensions of an anchor to both sides are one span of its
 text, and a text loses the union of its spans. No pairs of documents are made.
+
+Hashes of words only propose: they choose anchors and bring rows together. What is removed was compared letter by
+letter when a match was extended, or has the same 128-bit BLAKE2 digest of its letters where whole reaches and
+whole windows are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -32,9 +38,9 @@ CLOSE = 32
 FEW, SPREAD = 5000, 64
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, np.ndarray] = {}
-BYTE = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
-GAP = np.zeros(256, bool)
-GAP[[9, 10, 11, 12, 13, 32]] = True
+#: Longer words travel as a digest of their letters behind a byte that no word has.
+LONG = 64
+WORD_HASH = xxhash.xxh3_64_intdigest
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -66,11 +72,17 @@ def runs(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((total[end] - total[start]) * powers(INVERSE, n + 1)[start] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    data = np.frombuffer(text, np.uint8)
-    gap = np.concatenate(([True], GAP[data], [True]))
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    return runs(BYTE[data], edge[::2], edge[1::2])
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(WORD_HASH, words), np.uint64, len(words))
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def digests(parts: list[bytes]) -> np.ndarray:
+    """Two longs for each of some byte strings."""
+    return np.frombuffer(b"".join(map(digest, parts)), np.int64).reshape(-1, 2)
 
 
 def anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +104,10 @@ def anchors(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return place, h[place]
 
 
-def _reaches(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each anchor's reach and of how much of it lies left."""
-    low, high = np.maximum(at - (length - K), 0), np.minimum(at + length, len(words))
-    return runs(words, low, high) ^ mixed((at - low).astype(np.uint64))
+def _reaches(words: list[bytes], at: np.ndarray, length: int) -> np.ndarray:
+    """Digests of the letters of each anchor's reach and of how much of it lies left."""
+    side = length - K
+    return digests([b"%d " % min(p, side) + b" ".join(words[max(p - side, 0) : p + length]) for p in at.tolist()])
 
 
 def _concat(parts: list[np.ndarray], kind: type) -> pa.Array:
@@ -109,12 +121,13 @@ def _seeds(length: int):
         for part in sliced(batches, "text"):
             found = []
             for text in utf8(part, "text"):
-                words = word_hashes(text)
-                at, seed = anchors(words, length)
-                found.append((at, seed.view(np.int64), _reaches(words, at, length).view(np.int64)))
+                words = text.split()
+                at, seed = anchors(word_hashes(words), length)
+                reach = _reaches(words, at, length)
+                found.append((at, seed.view(np.int64), reach[:, 0], reach[:, 1]))
             rows = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-            at, seed, reach = (_concat([x[k] for x in found], t) for k, t in enumerate((np.int32, np.int64, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), seed, reach, at], names=["id", "sum", "seed", "reach", "at"])
+            at, *keys = (_concat([x[k] for x in found], t) for k, t in enumerate((np.int32, np.int64, np.int64, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *keys, at], names=["id", "sum", "seed", "reach", "rest", "at"])
 
     return run
 
@@ -122,14 +135,17 @@ def _seeds(length: int):
 CONTEXT = "seed long, few boolean, id long, sum long, at int, left int, right int, words binary"
 
 
+def _told(word: bytes) -> bytes:
+    return word if len(word) <= LONG else b"\t" + digest(word).hex().encode()
+
+
 def _contexts(length: int):
     """(id, sum, text, open) to a row for each open anchor of a text.
 
-    words: hashes of the length - K words before the anchor, nearest first, and of as many after it; zero beyond the
-    text's ends. left and right: how many of either there are. Equal rows that follow each other count once.
+    words: those of the anchor's reach, joined by spaces. left and right: how many of them lie before and behind the
+    anchor. Equal rows that follow each other count once.
     """
     side = length - K
-    near = np.concatenate((side - 1 - np.arange(side), side + K + np.arange(side)))
 
     def run(batches):
         before = None
@@ -144,16 +160,14 @@ def _contexts(length: int):
                 if keys[i] == before:
                     continue
                 before = keys[i]
-                words = word_hashes(text)
-                padded = np.concatenate((np.zeros(side, np.uint64), words, np.zeros(side, np.uint64)))
+                words = [_told(w) for w in text.split()]
                 for low in range(begin, end, 1 << 13):
                     at = place[low : min(low + (1 << 13), end)]
                     n = len(at)
-                    body = pa.py_buffer(padded[at[:, None] + near].tobytes())
-                    edges = pa.py_buffer((np.arange(n + 1) * (16 * side)).astype(np.int32))
+                    body = pa.array([b" ".join(words[max(p - side, 0) : p + length]) for p in at.tolist()], pa.binary())
                     sides = [pa.array(np.minimum(x, side).astype(np.int32)) for x in (at, len(words) - at - K)]
                     owner = pa.array(np.full(n, i))
-                    columns = [seed.slice(low, n), few.slice(low, n), part.column(0).take(owner), part.column(1).take(owner), at_all.slice(low, n), *sides, pa.Array.from_buffers(pa.binary(), n, [None, edges, body])]
+                    columns = [seed.slice(low, n), few.slice(low, n), part.column(0).take(owner), part.column(1).take(owner), at_all.slice(low, n), *sides, body]
                     yield pa.RecordBatch.from_arrays(columns, names=["seed", "few", "id", "sum", "at", "left", "right", "words"])
 
     return run
@@ -163,8 +177,18 @@ def _numbers(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return rows.column(name).to_numpy()
 
 
-def _words(rows: pa.Table | pa.RecordBatch, side: int) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("words").to_pylist()), np.uint64).reshape(-1, 2 * side)
+def _words(rows: pa.Table | pa.RecordBatch, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row's anchor words, and numbers of the words round it, nearest first; equal words, equal numbers."""
+    known: dict[bytes, int] = {}
+    number = lambda word: known.setdefault(word, len(known))
+    core, out = np.zeros(rows.num_rows, np.int64), np.full((rows.num_rows, 2 * side), -1, np.int64)
+    for k, (line, left) in enumerate(zip(rows.column("words").to_pylist(), _numbers(rows, "left").tolist())):
+        words = line.split(b" ")
+        core[k] = number(b" ".join(words[left : left + K]))
+        out[k, :left] = [number(w) for w in words[left - 1 :: -1]] if left else []
+        after = words[left + K :]
+        out[k, side : side + len(after)] = [number(w) for w in after]
+    return core, out
 
 
 def _agree(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -173,10 +197,10 @@ def _agree(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
 
 
-def extended(seed: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def extended(seed: np.ndarray, core: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The longest extensions to both sides over all long enough matches of each row; -1 where it has none.
 
-    Rows of one seed are side by side; a match of l words to the left and r to the right is long enough if l + r is
+    Rows of one seed are side by side, and only those of one core match; a match of l words to the left and r to the right is long enough if l + r is
     at least half the width of `words`.
     """
     side = words.shape[1] // 2
@@ -185,6 +209,7 @@ def extended(seed: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.nd
         i = np.flatnonzero(seed[apart:] == seed[:-apart])
         if not len(i):
             break
+        i = i[core[i] == core[i + apart]]
         j = i + apart
         to_left = _agree(words[i, :side], words[j, :side], np.minimum(left[i], left[j]))
         to_right = _agree(words[i, side:], words[j, side:], np.minimum(right[i], right[j]))
@@ -195,6 +220,11 @@ def extended(seed: np.ndarray, left: np.ndarray, right: np.ndarray, words: np.nd
     return far_left, far_right
 
 
+def _reached(rows: pa.Table, side: int) -> tuple[np.ndarray, ...]:
+    core, words = _words(rows, side)
+    return core, _numbers(rows, "left"), _numbers(rows, "right"), words
+
+
 def _whole_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Sorted rows, cut between seeds only, equal anchors once."""
     held = None
@@ -217,7 +247,7 @@ def _matched(length: int):
 
     def run(batches):
         for rows in _whole_seeds(b for b in batches if b.num_rows):
-            far_left, far_right = extended(_numbers(rows, "seed"), _numbers(rows, "left"), _numbers(rows, "right"), _words(rows, side))
+            far_left, far_right = extended(_numbers(rows, "seed"), *_reached(rows, side))
             k = np.flatnonzero(far_left >= 0)
             at, own = _numbers(rows, "at")[k], rows.select(["id", "sum"]).take(pa.array(k)).combine_chunks()
             ends = [pa.array(x.astype(np.int32)) for x in (at - far_left[k], at + K + far_right[k])]
@@ -227,20 +257,23 @@ def _matched(length: int):
 
 
 def _longer_seeds(length: int):
-    """Context rows to a row for each run of `length` words round the anchor: its hash, and the words before the anchor."""
+    """Context rows to a row for each run of `length` words round the anchor: its digest, and the words before the anchor."""
     side = length - K
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 1 << 12):
                 rows = batch.slice(low, 1 << 12)
-                words, seed = _words(rows, side), _numbers(rows, "seed").view(np.uint64)
-                line = np.hstack((words[:, side - 1 :: -1], seed[:, None], words[:, side:]))
-                row, before = np.nonzero((np.arange(side + 1) <= _numbers(rows, "left")[:, None]) & (np.arange(side, -1, -1) <= _numbers(rows, "right")[:, None]))
-                start = row * (2 * side + 1) + side - before
-                own = rows.select(["id", "sum", "at"]).take(pa.array(row))
-                window = runs(line.ravel(), start, start + side + 1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(window), *own.columns, pa.array(before.astype(np.int32))], names=["window", "id", "sum", "at", "before"])
+                row, before, windows = [], [], []
+                for k, (line, left, right) in enumerate(zip(rows.column("words").to_pylist(), _numbers(rows, "left").tolist(), _numbers(rows, "right").tolist())):
+                    words = line.split(b" ")
+                    some = range(max(side - right, 0), left + 1)
+                    row += [k] * len(some)
+                    before += some
+                    windows += [b"%d " % b + b" ".join(words[left - b : left - b + length]) for b in some]  # of this anchor, not of another in it
+                own = rows.select(["id", "sum", "at"]).take(pa.array(row, pa.int64()))
+                key = digests(windows)
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), *own.columns, pa.array(before, pa.int32())], names=["window", "rest", "id", "sum", "at", "before"])
 
     return run
 
@@ -275,14 +308,15 @@ def _cuts(keep: list[str]):
 
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """From (id, sum, text), sum a hash of the text: for each row that has repeats, their `spans` as for cut()."""
-    seeds = checkpointed(docs.mapInArrow(_seeds(length), "id long, sum long, seed long, reach long, at int"))
-    reaches = seeds.groupBy("seed", "reach").agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "at")).alias("one"))
+    seeds = checkpointed(docs.mapInArrow(_seeds(length), "id long, sum long, seed long, reach long, rest long, at int"))
+    key = ["seed", "reach", "rest"]
+    reaches = seeds.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "at")).alias("one"))
     shared = reaches.groupBy("seed").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    classes = checkpointed(reaches.join(shared, "seed").select("seed", "reach", "n", "kinds", "one"))
-    twice = classes.filter("n > 1").select("reach", "n")
-    often = F.broadcast(twice.filter(F.col("n") * FEW > (classes.agg(F.sum("n")).first()[0] or 0)).select("reach"))
-    rest = seeds.join(often, "reach", "left_anti").join(twice.select("reach"), "reach", "left_semi")
-    again = seeds.join(often, "reach", "left_semi").unionByName(rest)
+    classes = checkpointed(reaches.join(shared, "seed").select(*key, "n", "kinds", "one"))
+    twice = classes.filter("n > 1").select(*key, "n")
+    often = F.broadcast(twice.filter(F.col("n") * FEW > (classes.agg(F.sum("n")).first()[0] or 0)).select(*key))
+    others = seeds.join(often, key, "left_anti").join(twice.select(*key), key, "left_semi")
+    again = seeds.join(often, key, "left_semi").unionByName(others)
     whole = again.select("id", "sum", (F.col("at") - (length - K)).alias("first"), (F.col("at") + length).alias("last"))
 
     anchor = F.struct("one.at", "seed", (F.col("kinds") <= CLOSE).alias("few"))
@@ -293,14 +327,15 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     close = contexts.filter("few").repartition("seed").sortWithinPartitions("seed", "sum", "at")
     matched = close.mapInArrow(_matched(length), "id long, sum long, first int, last int")
 
-    windows = contexts.filter("not few").mapInArrow(_longer_seeds(length), "window long, id long, sum long, at int, before int")
-    again = windows.groupBy("window").count().filter("count > 1")
+    windows = contexts.filter("not few").mapInArrow(_longer_seeds(length), "window long, rest long, id long, sum long, at int, before int")
+    again = windows.groupBy("window", "rest").count().filter("count > 1")
     hot = F.col("count") * FEW > contexts.count()  # at most FEW windows for each place in a reach
-    dealt = windows.join(F.broadcast(again.filter(hot).select("window", F.lit(SPREAD).alias("spread"))), "window", "left")
+    spread = F.broadcast(again.filter(hot).select("window", "rest", F.lit(SPREAD).alias("spread")))
+    dealt = windows.join(spread, ["window", "rest"], "left")
     dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "sum", "at"), "spread"), F.lit(0)))
-    again = again.select("window", F.explode(F.sequence(F.lit(0), F.when(hot, SPREAD - 1).otherwise(0))).alias("part"))
+    again = again.select("window", "rest", F.explode(F.sequence(F.lit(0), F.when(hot, SPREAD - 1).otherwise(0))).alias("part"))
     first = F.col("at") - F.col("before")
-    joined = dealt.join(again, ["window", "part"], "left_semi").groupBy("id", "sum", "at").agg(F.min(first).alias("first"), (F.max(first) + length).alias("last")).drop("at")
+    joined = dealt.join(again, ["window", "rest", "part"], "left_semi").groupBy("id", "sum", "at").agg(F.min(first).alias("first"), (F.max(first) + length).alias("last")).drop("at")
     spans = whole.union(matched).union(joined)
     return checkpointed(spans.groupBy("id", "sum").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 

@@ -92,17 +92,23 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert got == {i: 100 for i in range(100, 141)} | {i: 200 for i in [*range(200, 260), 900]} | {i: 500 for i in range(500, 517)}
 
 
+def plain_passages(texts):
+    """Number of words, number removed and kept text of each text."""
+    count = Counter(tuple(t[i : i + 35]) for t in texts for i in range(len(t) - 34))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = {p for i in range(len(t) - 34) if count[tuple(t[i : i + 35])] > 1 for p in range(i, i + 35)}
+        want[k] = (len(t), len(gone), " ".join(x for p, x in enumerate(t) if p not in gone))
+    return want
+
+
 @pytest.mark.parametrize("close, few", [(substrings.CLOSE, substrings.FEW), (2, 50), (0, 0)])
 def test_passages(spark, monkeypatch, close, few):
     """Anchors compared pair by pair, some or all joined on longer seeds, with and without frequent ones: the same words go."""
     monkeypatch.setattr(substrings, "CLOSE", close)
     monkeypatch.setattr(substrings, "FEW", few)
     df, texts = copies(spark)
-    count = Counter(tuple(t[i : i + 35]) for t in texts for i in range(len(t) - 34))
-    want = {}
-    for k, t in enumerate(texts):
-        gone = {p for i in range(len(t) - 34) if count[tuple(t[i : i + 35])] > 1 for p in range(i, i + 35)}
-        want[k] = (len(t), len(gone), " ".join(x for p, x in enumerate(t) if p not in gone))
+    want = plain_passages(texts)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.without_repeats(df).collect()}
     assert got == want and sum(v[1] for v in want.values()) > 1000
 
@@ -110,12 +116,13 @@ def test_passages(spark, monkeypatch, close, few):
 def test_extensions_word_by_word():
     rng, side = np.random.default_rng(8), 5
     seed = np.sort(rng.integers(0, 9, 60))
-    words = rng.integers(1, 3, (60, 2 * side)).astype(np.uint64)
+    core = rng.integers(0, 2, 60)  # rows of one seed whose anchors are other words
+    words = rng.integers(1, 3, (60, 2 * side))
     left, right = rng.integers(0, side + 1, (2, 60))
     want = [(-1, -1)] * 60
     for i in range(60):
         for j in range(60):
-            if i != j and seed[i] == seed[j]:
+            if i != j and seed[i] == seed[j] and core[i] == core[j]:
                 l = r = 0
                 while l < min(left[i], left[j]) and words[i, l] == words[j, l]:
                     l += 1
@@ -123,10 +130,34 @@ def test_extensions_word_by_word():
                     r += 1
                 if l + r >= side:
                     want[i] = (max(want[i][0], l), max(want[i][1], r))
-    got = substrings.extended(seed, left, right, words)
+    got = substrings.extended(seed, core, left, right, words)
     assert list(zip(*(x.tolist() for x in got))) == want and 0 < sum(w != (-1, -1) for w in want) < 60
 
 
+def test_colliding_words_are_told_apart(spark):
+    """Words that collide in every polynomial hash modulo 2^64, over 1,000 letters each, and their copies."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(35)]
+    texts = [" ".join([*rest[:17], w, *rest[18:]]) for w in (word, other, other)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["removed"]) for r in substrings.without_repeats(rows).collect()}
+    assert got[0] == (0, []) and got[1] == got[2] and got[1][0] == 35
+    assert {r["n_removed"] for r in substrings.without_repeats(rows.filter("doc_id < 2")).collect()} == {0}
+
+
+@pytest.mark.parametrize("close", [substrings.CLOSE, 2, 0])
+def test_passages_with_a_weak_hash(spark, monkeypatch, close):
+    """A hash of four values brings unlike words together everywhere; none is taken for another."""
+    monkeypatch.setattr(substrings, "CLOSE", close)
+    monkeypatch.setattr(substrings, "WORD_HASH", lambda w: len(w) + w[-1] & 3)
+    df, texts = copies(spark, 60)
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substrings.without_repeats(df).collect()}
+    assert got == {k: (gone, kept) for k, (_, gone, kept) in plain_passages(texts).items()}
+
+
 def test_equal_anchors_of_a_seed_meet_once_over_batches():
     keys = [(1, 5, 2)] * 3 + [(1, 6, 2), (2, 5, 4)] + [(3, k // 2, 0) for k in range(10)] + [(4, 0, 0)] * 2
     table = pa.table({n: [k[i] for k in keys] for i, n in enumerate(("seed", "sum", "at"))})
@@ -139,7 +170,7 @@ def test_equal_anchors_of_a_seed_meet_once_over_batches():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "cc"]), min_size=35, max_size=140))
 def test_equal_windows_share_an_anchor(words):
-    h = substrings.word_hashes(" ".join(words).encode())
+    h = substrings.word_hashes([w.encode() for w in words])
     at, _ = substrings.anchors(h, 35)
     chosen = {}
     for i in range(len(words) - 34):
