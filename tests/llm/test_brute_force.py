@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -579,6 +580,47 @@ def test_blocks():
     assert blocks.blocks_of("") == [] and [b.text for b in blocks.blocks_of("plain &am text")] == ["plain &am text"]
 
 
+#: Pages and the lines that are in them, whatever is broken.
+BROKEN = [
+    ("<p>one</p><script>x()</script foo><p>two</p>", ["one", "two"]),
+    ("<p>one</p><script>x()</script/><p>two</p>", ["one", "two"]),
+    ("<p>one</p><SCRIPT>x('</scripted>')</Script\n x='1'><p>two</p>", ["one", "two"]),
+    ("<p>one</p><script>x()<p>two</p>", ["one"]),
+    ("<p>one</p><style>a{}</style\t><p>two</p>", ["one", "two"]),
+    ("<p>one</p><!--><p>two</p>--><p>three</p>", ["one", "two", "-->", "three"]),
+    ("<p>one</p><!---><p>two</p>", ["one", "two"]),
+    ("<p>one</p><!----><p>two</p>", ["one", "two"]),
+    ("<p>one</p><!-- a --!><p>two</p>", ["one", "two"]),
+    ("<p>one</p><!-- a > b --><p>two</p>", ["one", "two"]),
+    ("<p>one</p><iframe src=x><p>two</p><div>three</div>", ["one", "two", "three"]),
+    ("<p>one</p><iframe src=x>no frames</iframe><p>two</p>", ["one", "two"]),
+    ("<p>one <iframe src=x></iframe>two</p>", ["one two"]),
+    ("<div><select><option>a<option>b</div><p>two</p><select><option>c</select>", ["two"]),
+    ("<div>one</div><select><option>a<option>b<p>two</p>", ["one", "two"]),
+    ("<p>one <select><option>a</option><option>b</option></select> two</p>", ["one two"]),
+    ("<p>one</p><object data=x><p>no plug-in</p></object><p>two</p>", ["one", "two"]),
+    ("<p>one</p><object data=x><p>two</p>", ["one", "two"]),
+    ("<p>one</p><textarea>form<p>two</p>", ["one", "two"]),
+    ("<title>head<body><p>two</p>", ["two"]),
+    ("<title>a <b>head</b></title ><p>two</p>", ["two"]),
+    ("<p>one</p><video><source src=x><p>none</video><p>two</p></iframe><p>three</p>", ["one", "two", "three"]),
+    ("<template><div><p>x</p></div></template><p>two <a href=x>link</a></p>", ["two link"]),
+    ("<p>one</p><video><audio>x</video>y</audio><p>two</p>", ["one", "y", "two"]),
+]
+
+
+@pytest.mark.parametrize("page, lines", BROKEN)
+def test_nothing_is_lost_behind_broken_markup(page, lines):
+    assert [b.text for b in blocks.blocks_of(page)] == lines
+
+
+def test_many_unclosed_elements_take_linear_time():
+    page = "<iframe><div>x</div><select><option>" * 40_000
+    start = time.perf_counter()
+    assert len(blocks.blocks_of(page)) == 40_000
+    assert time.perf_counter() - start < 20
+
+
 def test_labeller_on_unseen_layouts():
     model, reader, rng = labeller.trained(), labeller.Reader(), np.random.default_rng(77)
     right = total = 0
