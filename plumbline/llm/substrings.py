@@ -317,7 +317,8 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     often = F.broadcast(twice.filter(F.col("n") * FEW > (classes.agg(F.sum("n")).first()[0] or 0)).select(*key))
     others = seeds.join(often, key, "left_anti").join(twice.select(*key), key, "left_semi")
     again = seeds.join(often, key, "left_semi").unionByName(others)
-    whole = again.select("id", "sum", (F.col("at") - (length - K)).alias("first"), (F.col("at") + length).alias("last"))
+    # Each kind of match is written by itself, so that the shuffle files of one are gone before the next one's are made.
+    whole = checkpointed(again.select("id", "sum", (F.col("at") - (length - K)).alias("first"), (F.col("at") + length).alias("last")))
 
     anchor = F.struct("one.at", "seed", (F.col("kinds") <= CLOSE).alias("few"))
     open_ = classes.filter("kinds > 1").groupBy("one.id", "one.sum").agg(F.collect_list(anchor).alias("open"))
@@ -325,7 +326,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     texts = docs.alias("d").join(open_.alias("o"), same("d", "o")).select("d.id", "d.sum", "d.text", "o.open")
     contexts = checkpointed(texts.mapInArrow(_contexts(length), CONTEXT))
     close = contexts.filter("few").repartition("seed").sortWithinPartitions("seed", "sum", "at")
-    matched = close.mapInArrow(_matched(length), "id long, sum long, first int, last int")
+    matched = checkpointed(close.mapInArrow(_matched(length), "id long, sum long, first int, last int"))
 
     windows = contexts.filter("not few").mapInArrow(_longer_seeds(length), "window long, rest long, id long, sum long, at int, before int")
     again = windows.groupBy("window", "rest").count().filter("count > 1")
@@ -336,7 +337,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     again = again.select("window", "rest", F.explode(F.sequence(F.lit(0), F.when(hot, SPREAD - 1).otherwise(0))).alias("part"))
     first = F.col("at") - F.col("before")
     joined = dealt.join(again, ["window", "rest", "part"], "left_semi").groupBy("id", "sum", "at").agg(F.min(first).alias("first"), (F.max(first) + length).alias("last")).drop("at")
-    spans = whole.union(matched).union(joined)
+    spans = whole.union(matched).union(checkpointed(joined))
     return checkpointed(spans.groupBy("id", "sum").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
