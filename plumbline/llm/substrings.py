@@ -308,11 +308,13 @@ def _cuts(keep: list[str]):
 
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """From (id, sum, text), sum a hash of the text: for each row that has repeats, their `spans` as for cut()."""
-    seeds = checkpointed(docs.mapInArrow(_seeds(length), "id long, sum long, seed long, reach long, rest long, at int"))
+    found = checkpointed(docs.mapInArrow(_seeds(length), "id long, sum long, seed long, reach long, rest long, at int"))
+    again = found.groupBy("seed").agg(F.count("*").alias("total")).filter("total > 1").select("seed")
+    seeds = checkpointed(found.join(again, "seed", "left_semi"))  # an anchor that occurs once is seen no more
     key = ["seed", "reach", "rest"]
-    reaches = seeds.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "at")).alias("one"))
-    shared = reaches.groupBy("seed").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    classes = checkpointed(reaches.join(shared, "seed").select(*key, "n", "kinds", "one"))
+    reaches = checkpointed(seeds.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "at")).alias("one")))
+    classes = reaches.join(reaches.groupBy("seed").agg(F.count("*").alias("kinds")), "seed")
+    classes = checkpointed(classes.select(*key, "n", "kinds", "one"))
     twice = classes.filter("n > 1").select(*key, "n")
     often = F.broadcast(twice.filter(F.col("n") * FEW > (classes.agg(F.sum("n")).first()[0] or 0)).select(*key))
     others = seeds.join(often, key, "left_anti").join(twice.select(*key), key, "left_semi")
