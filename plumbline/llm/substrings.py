@@ -306,19 +306,24 @@ def _cuts(keep: list[str]):
     return run
 
 
+def _among(rows: DataFrame, kept: DataFrame, key: list[str], total: int) -> DataFrame:
+    """`rows` whose key is in `kept`, whose n says how often; keys of more than one row in FEW are broadcast to them."""
+    often = F.broadcast(kept.filter(F.col("n") * FEW > total).select(*key))
+    others = rows.join(often, key, "left_anti").join(kept.select(*key), key, "left_semi")
+    return rows.join(often, key, "left_semi").unionByName(others)
+
+
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """From (id, sum, text), sum a hash of the text: for each row that has repeats, their `spans` as for cut()."""
     found = checkpointed(docs.mapInArrow(_seeds(length), "id long, sum long, seed long, reach long, rest long, at int"))
-    again = found.groupBy("seed").agg(F.count("*").alias("total")).filter("total > 1").select("seed")
-    seeds = checkpointed(found.join(again, "seed", "left_semi"))  # an anchor that occurs once is seen no more
+    again = checkpointed(found.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1"))
+    total = found.count()
+    seeds = checkpointed(_among(found, again, ["seed"], total))  # an anchor that occurs once is seen no more
     key = ["seed", "reach", "rest"]
     reaches = checkpointed(seeds.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("id", "sum", "at")).alias("one")))
     classes = reaches.join(reaches.groupBy("seed").agg(F.count("*").alias("kinds")), "seed")
     classes = checkpointed(classes.select(*key, "n", "kinds", "one"))
-    twice = classes.filter("n > 1").select(*key, "n")
-    often = F.broadcast(twice.filter(F.col("n") * FEW > (classes.agg(F.sum("n")).first()[0] or 0)).select(*key))
-    others = seeds.join(often, key, "left_anti").join(twice.select(*key), key, "left_semi")
-    again = seeds.join(often, key, "left_semi").unionByName(others)
+    again = _among(seeds, classes.filter("n > 1").select(*key, "n"), key, total)
     # Each kind of match is written by itself, so that the shuffle files of one are gone before the next one's are made.
     whole = checkpointed(again.select("id", "sum", (F.col("at") - (length - K)).alias("first"), (F.col("at") + length).alias("last")))
 
