@@ -1,10 +1,9 @@
 """Toxicity by nearest labelled examples: exact weighted TF-IDF cosine over a block-max inverted index.
 
 Terms are words (lower case, ASCII punctuation apart) and their first five and seven letters. Every term of the
-examples is in the index, and every term of a text counts in its norm. Document frequencies are counted over all
-documents: term by term for those of the examples, by a hash in one of BUCKETS counters for the rest, which no
-example has. A term's idf is multiplied by the root of its chi-square with the label among the examples where that
-is above 1.
+examples is in the index, and every term of a text counts in its norm. Document frequencies are those of the
+examples, which are the model's whole corpus; a term that none has counts with frequency 0. A term's idf is
+multiplied by the root of its chi-square with the label where that is above 1.
 
 Examples with like terms stand together in blocks of 64. A rare term has a posting list; a term that many examples
 have has a row of weights and the largest of each block. Texts are asked many at a time: the lists of their rare
@@ -12,8 +11,9 @@ terms are added up, block maxima of the others bound what a block can still reac
 bound down, and a text is done when its next bound is below its k-th best cosine; so neighbours are exact.
 
 Neighbours vote with weight 1 / (distance + c), distance being 1 - cosine; they are the evidence of a score. A
-logistic curve fitted to leave-one-out votes of the examples turns votes into probabilities. Bounds: at most about
-`examples` labelled ids are learned from, chosen by a hash of the id; whole texts of examples are read.
+logistic curve turns votes into probabilities; it is fitted to votes on each fifth of the examples by the other
+four, whose weights, frequencies and index have seen none of it. Bounds: at most about `most` labelled ids are learned
+from, chosen by a hash of the id, with texts of at most `longest` bytes; whole texts of examples are read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -38,10 +37,12 @@ TOGETHER = 4
 #: Texts that are asked together.
 ASKED = 256
 NEAREST = 15
+#: Bytes of the longest text that is learned from.
+LONGEST = 1 << 16
 SOFT = 0.05
 PREFIXES = (5, 7)
-#: Counters for document frequencies of terms that no example has.
-BUCKETS = 1 << 20
+#: Parts of the examples that vote on each other for the calibration.
+PARTS = 5
 #: Bytes of text whose terms are counted together; arrays are about 20 times as large.
 SLICE = 2 << 20
 #: ASCII but letters and digits to spaces.
@@ -81,28 +82,32 @@ class Words(dict):
 
 
 class Terms:
-    """Counts of all terms of texts: slots of the vocabulary, then BUCKETS for other terms; words are held for the next texts."""
+    """Counts of all terms of texts: slots of the vocabulary, then numbers of other terms; words are held for the next texts."""
 
     HELD = 300_000
 
     def __init__(self, vocabulary: list[bytes]):
         self.slot = {t: i for i, t in enumerate(vocabulary)}
-        self.words = Words(self)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.other = Words(self), {}
 
     def __getstate__(self):
         return {"slot": self.slot}
 
     def __setstate__(self, state):
-        self.slot, self.words = state["slot"], Words(self)
+        self.slot = state["slot"]
+        self._forget()
 
     def one(self, term: bytes) -> int:
         s = self.slot.get(term)
-        return len(self.slot) + xxhash.xxh32_intdigest(term) % BUCKETS if s is None else s
+        return len(self.slot) + self.other.setdefault(term, len(self.other)) if s is None else s
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, slot, count), in order of text and slot, for all different terms of each text."""
         if len(self.words) > self.HELD:
-            self.words = Words(self)
+            self._forget()
         many, word = [], []
         for t in texts:
             w = words_of(t)
@@ -112,7 +117,7 @@ class Terms:
         text, n, count = tally(np.repeat(np.arange(len(texts)), many), n, None, len(self.words))
         slots, end = self.words.arrays()
         at, each = spans(np.where(n > 0, end[n - 1], 0), end[n])
-        return tally(np.repeat(text, each), slots[at], np.repeat(count, each), len(self.slot) + BUCKETS)
+        return tally(np.repeat(text, each), slots[at], np.repeat(count, each), len(self.slot) + len(self.other))
 
 
 def tally(text: np.ndarray, n: np.ndarray, count: np.ndarray | None, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,8 +135,8 @@ def tally(text: np.ndarray, n: np.ndarray, count: np.ndarray | None, many: int)
 
 
 def weights(text: np.ndarray, slot: np.ndarray, count: np.ndarray, idf: np.ndarray, texts: int) -> np.ndarray:
-    """(1 + ln tf) * idf, each text at unit length."""
-    w = (1 + np.log(count)) * idf[slot]
+    """(1 + ln tf) * idf, each text at unit length; the last idf is that of all terms that no example has."""
+    w = (1 + np.log(count)) * idf[np.minimum(slot, len(idf) - 1)]
     norm = np.sqrt(np.bincount(text, w * w, minlength=texts))
     return w / np.maximum(norm, 1e-300)[text]
 
@@ -143,7 +148,7 @@ def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Block-max inverted index over example vectors given as (text, slot, weight) in order of text and slot."""
+    """Block-max inverted index over example vectors given as (text, slot, weight) in order of text and slot; slots are below `terms`."""
 
     def __init__(self, text: np.ndarray, slot: np.ndarray, w: np.ndarray, ids: np.ndarray, labels: np.ndarray, terms: int):
         self.n = n = len(ids)
@@ -173,6 +178,8 @@ class Index:
         The texts' vectors are (text, slot, weight) in order of text. without: for each text a place to leave out.
         Cosines are rounded to nine digits, so that they do not depend on which texts are asked together.
         """
+        known = slot < len(self.row)
+        text, slot, w = text[known], slot[known], w[known]
         found = []
         for at in range(0, texts if self.n else 0, ASKED):
             a, b = np.searchsorted(text, (at, at + ASKED))
@@ -252,10 +259,10 @@ def _log_odds(share: np.ndarray | float) -> np.ndarray:
     return np.log(s / (1 - s))
 
 
-def examples(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int) -> tuple[DataFrame, float]:
+def examples(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int, longest: int = LONGEST) -> tuple[DataFrame, float]:
     """(id, text, toxic) of about `most` labelled ids at most, half of them of each label where there are enough.
 
-    Also the share of label 1 among all ids that may be learned from. An id with several labels counts as toxic if
+    Ids whose only texts are null or of more than `longest` bytes are passed over. Also the share of label 1 among all ids that may be learned from. An id with several labels counts as toxic if
     one of them says so; of one with several texts the least is learned from.
     """
     known = labels.filter(may_learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -264,50 +271,61 @@ def examples(docs: DataFrame, labels: DataFrame, may_learn: Column, most: int) -
     share = F.when(F.col("toxic") == 1, most / 2 / max(have.get(1, 0), 1)).otherwise(most / 2 / max(have.get(0, 0), 1))
     chosen = checkpointed(known.filter(draw < share).select(F.col("doc_id").alias("id"), "toxic"))
     small = F.broadcast(chosen) if chosen.count() <= 2 * most else chosen
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(small, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    fit = docs.filter(F.octet_length("text") <= longest)
+    rows = fit.select(F.col("doc_id").alias("id"), "text").join(small, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     return rows.select("id", "text", "toxic"), have.get(1, 0) / max(sum(have.values()), 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 2000) -> dict:
-    """Terms, their weights, index and calibration from a bounded sample; document frequencies over all of `docs`."""
-    chosen, share = examples(docs, labels, may_learn, most)
+def term_weights(text: np.ndarray, slot: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
+    """idf of each term among labelled texts, times the root of its chi-square with the label, and of a term that none has."""
+    n, n1 = len(y), y.sum()
+    n0 = n - n1
+    have = np.bincount(slot, minlength=terms).astype(np.float64)
+    a = np.bincount(slot, y[text], minlength=terms)
+    b = have - a
+    apart = a * (n0 - b) - b * (n1 - a)
+    chi = n * apart * apart / np.maximum(have * (n - have) * n1 * n0, 1.0)
+    idf = (np.log((1 + n) / (1 + have)) + 1) * np.sqrt(np.maximum(chi, 1.0))
+    return np.append(idf, np.log(1 + n) + 1)
+
+
+def _some(which: np.ndarray, text: np.ndarray, slot: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The vectors of some texts, numbered anew."""
+    number = np.cumsum(which) - 1
+    keep = which[text]
+    return number[text[keep]], slot[keep], count[keep]
+
+
+def _votes_of_others(text: np.ndarray, slot: np.ndarray, count: np.ndarray, ids: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
+    """For each example the vote of the examples that are not in its part."""
+    votes = np.full(len(y), 0.5)
+    part = np.arange(len(y)) % PARTS
+    for p in range(PARTS):
+        own, rest = part == p, part != p
+        if not own.any() or not rest.any():
+            continue
+        t, s, c = _some(rest, text, slot, count)
+        idf = term_weights(t, s, y[rest], terms)
+        index = Index(t, s, weights(t, s, c, idf, int(rest.sum())), ids[rest], y[rest], terms)
+        t, s, c = _some(own, text, slot, count)
+        votes[own], _ = index.vote(t, s, weights(t, s, c, idf, int(own.sum())), int(own.sum()), float(y[rest].mean()))
+    return votes
+
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 2000, longest: int = LONGEST) -> dict:
+    """Terms, their weights, index and calibration, all from a bounded sample of labelled rows."""
+    chosen, share = examples(docs, labels, may_learn, most, longest)
     chosen = checkpointed(chosen)
 
     def seen(batches) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
-            found = [sorted({t for w in set(words_of(text)) for t in terms_of(w)}) for text in utf8(part, "text")]
-            terms = pa.array([t for own in found for t in own], pa.binary())
-            y = np.repeat(part.column(2).to_numpy(), [len(own) for own in found])
-            yield pa.RecordBatch.from_arrays([terms, pa.array(y, pa.int32())], names=["term", "y"])
-
-    sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
-    n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    counts = chosen.mapInArrow(seen, "term binary, y int").groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).toArrow().sort_by("term")
-    vocabulary = counts["term"].to_pylist()
-    a, in_all = (counts[c].to_numpy().astype(np.float64) for c in ("a", "n"))
-    b = in_all - a
-    rest1, rest0 = n1 - a, n0 - b
-    apart = a * rest0 - b * rest1
-    chi = (n1 + n0) * apart * apart / np.maximum(in_all * (rest1 + rest0) * n1 * n0, 1.0)
+            terms = {t for text in utf8(part, "text") for w in set(words_of(text)) for t in terms_of(w)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(terms), pa.binary())], names=["term"])
+
+    vocabulary = chosen.mapInArrow(seen, "term binary").distinct().toArrow().sort_by("term")["term"].to_pylist()
     terms = Terms(vocabulary)
-    slots = len(vocabulary) + BUCKETS
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def frequencies(batches) -> Iterator[pa.RecordBatch]:
-        lookup, total, rows = shared.value, np.zeros(slots, np.int64), 0
-        for part in sliced(batches, "text", SLICE):
-            _, slot, _ = lookup.of(utf8(part, "text"))
-            total += np.bincount(slot, minlength=slots)
-            rows += part.num_rows
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(total[used], rows))], names=["slot", "n"])
-
-    found = docs.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(slots + 1)  # the last is for slot -1: all rows
-    df[found["slot"].to_numpy()] = found["n"].to_numpy()
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    idf[: len(vocabulary)] *= np.sqrt(np.maximum(chi, 1.0))
-
     def vectors(batches) -> Iterator[pa.RecordBatch]:
         lookup = shared.value
         for part in sliced(batches, "text", SLICE):
@@ -320,12 +338,11 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, *, most: int = 20
     many = pa.compute.list_value_length(rows["slot"]).to_numpy()
     n = len(many)
     text, slot, count = np.repeat(np.arange(n), many), *(pa.compute.list_flatten(rows[c]).to_numpy() for c in ("slot", "n"))
-    w = weights(text, slot, count, idf, n)
-    index = Index(text, slot, w, rows["id"].to_numpy(), rows["toxic"].to_numpy(), slots)
-    prior = float(index.labels.mean()) if n else 0.5
-    own = np.argsort(index.order)
-    votes, _ = index.vote(text, slot, w, n, prior, without=own)
-    y = index.labels[own]
+    ids, y = rows["id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64)
+    idf = term_weights(text, slot, y, len(vocabulary))
+    index = Index(text, slot, weights(text, slot, count, idf, n), ids, y, len(vocabulary))
+    prior = float(y.mean()) if n else 0.5
+    votes = _votes_of_others(text, slot, count, ids, y, len(vocabulary))
     real = np.where(y == 1, share / max(prior, 1e-9), (1 - share) / max(1 - prior, 1e-9))
     slope, offset = logistic(_log_odds(votes), y, real) if n and 0 < prior < 1 else (1.0, 0.0)
     return {"terms": terms, "idf": idf, "index": index, "prior": prior, "slope": slope, "offset": offset}
