@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, hilbert, langid, mixing, simhash
-from plumbline.llm.common import free_name, table
+from plumbline.llm.common import checkpointed, free_name, table
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +57,16 @@ STAGES = [
     ("mixture", mixed),
     ("shards", sharded),
 ]
+#: Stages whose successor reads their rows more than once; run() writes these and drops what stands before them.
+SETTLED = {"language", "decontamination", "mixture"}
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Models, searches and mixes are worked out once: what is read again is written first."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name in SETTLED:
+            docs = checkpointed(docs)
     return docs
