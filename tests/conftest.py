@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "4g",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     s = SparkSession.builder.config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
