@@ -6,11 +6,13 @@ out. The Viterbi path over a text's words, with a penalty for each switch, label
 the text's spans. The text's language is the one with most letters in its spans.
 
 The model is learned from a bounded sample of labelled texts (`per_lang` for each language in expectation, by a hash
-of the id, whole texts). Paths are found for many texts at a time, one word of each per step.
+of the id, whole texts). Paths are found for many texts at a time, one word of each per step; a very long text is cut
+into blocks that are followed side by side and chained by the best gains between their ends.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -167,26 +169,92 @@ def viterbi(score: np.ndarray, text: np.ndarray, switch: float) -> np.ndarray:
     return out
 
 
+class Blocks:
+    """Stretches of one long text, each cut into blocks of words that are followed side by side.
+
+    First a block's best gains from every language at its start to every language at its end are found, as a matrix
+    for each block; these are chained to the real gains at the start of each block; then all blocks are followed once
+    more from there, and what is kept of a stretch are the ways back. Gains are in double precision and start from
+    their largest in each block, so they stay exact enough however long the text is.
+    """
+
+    #: Elements of the matrices of a stretch.
+    MATRICES = 1 << 21
+
+    def __init__(self, langs: int, switch: float):
+        self.entry, self.switch, self.back = np.zeros(langs), switch, []
+
+    def add(self, score: np.ndarray) -> None:
+        """The scores of the next words."""
+        n, k = score.shape
+        if not n:
+            return
+        blocks = max(1, min(math.isqrt(n), self.MATRICES // (k * k)))
+        width = -(-n // blocks)
+        padded = np.zeros((blocks * width, k))  # words without a preference change nothing
+        padded[:n] = score
+        padded = padded.reshape(blocks, width, k)
+        gain = np.full((blocks, k, k), -np.inf)
+        gain[:, np.arange(k), np.arange(k)] = 0
+        for step in range(width):
+            gain = np.maximum(gain, gain.max(axis=2, keepdims=True) - self.switch) + padded[:, step, None, :]
+        held = np.empty((blocks, k))
+        for b in range(blocks):
+            held[b] = self.entry
+            self.entry = (self.entry[:, None] + gain[b]).max(axis=0)
+            self.entry -= self.entry.max()
+        stay, from_ = np.empty((blocks, width, k), bool), np.empty((blocks, width), np.int16)
+        for step in range(width):
+            from_[:, step] = top = held.argmax(axis=1)
+            other = held[np.arange(blocks), top][:, None] - self.switch
+            stay[:, step] = held >= other
+            held = np.maximum(held, other) + padded[:, step]
+        self.back.append((n, np.packbits(stay, axis=2), from_))
+
+    def labels(self) -> np.ndarray:
+        """Best label of each word."""
+        out, end, k = [], int(self.entry.argmax()), len(self.entry)
+        for n, packed, from_ in reversed(self.back):
+            stay = np.unpackbits(packed, axis=2, count=k).astype(bool)
+            blocks, width = from_.shape
+            row, came = np.arange(blocks)[:, None], np.tile(np.arange(k), (blocks, 1))
+            for step in range(width - 1, -1, -1):
+                came = np.where(stay[row, step, came], came, from_[:, step, None])
+            last = np.empty(blocks, np.int64)
+            for b in range(blocks - 1, -1, -1):
+                last[b], end = end, int(came[b, end])
+            word = np.empty((blocks, width), np.int16)
+            row = row[:, 0]
+            for step in range(width - 1, -1, -1):
+                word[:, step] = last
+                last = np.where(stay[row, step, last], last, from_[:, step])
+            out.append(word.ravel()[:n])
+        return np.concatenate(out[::-1]) if out else np.zeros(0, np.int16)
+
+
 def labelled_words(model: dict, texts: list[str], switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each word of the texts: the text, the first place, the number of letters, and the language.
 
-    A text of more than SLICE letters is scored in pieces that end between words; only scores of words are held for
-    the whole of it.
+    A text of more than SLICE letters is read in pieces that end between words; scores are held for a piece only.
     """
     if len(texts) == 1 and len(texts[0]) > SLICE:
-        whole, parts, at = texts[0].lower(), [], 0
+        whole, at = texts[0].lower(), 0
+        start, size, found = [], [], Blocks(len(model["langs"]), switch)
         while at < len(whole):
             end = at + SLICE
             while end < len(whole) and whole[end].isalpha():
                 end += 1
-            parts.append((at, scores(model, [whole[at:end]])))
+            letters, score = scores(model, [whole[at:end]])
+            start.append((letters.place + at).astype(np.int64))
+            size.append(letters.size)
+            if score.size:
+                found.add(score)
             at = end
-        start = np.concatenate([letters.place + a for a, (letters, _) in parts])
-        size = np.concatenate([letters.size for _, (letters, _) in parts])
-        text, score = np.zeros(len(start), np.int64), np.concatenate([s for _, (_, s) in parts])
-    else:
-        letters, score = scores(model, texts)
-        text, start, size = letters.text, letters.place, letters.size
+        start, size = np.concatenate(start), np.concatenate(size)
+        word = found.labels() if model["langs"] else np.zeros(len(start), np.int16)
+        return np.zeros(len(start), np.int64), start, size, word
+    letters, score = scores(model, texts)
+    text, start, size = letters.text, letters.place, letters.size
     word = viterbi(score, text, switch) if score.size else np.zeros(len(text), np.int16)
     return text, start, size, word
 

@@ -449,6 +449,37 @@ def test_viterbi_equals_all_paths():
         assert value(path) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))), abs=1e-5)
 
 
+@pytest.mark.parametrize("langs, matrices", [(1, 1 << 21), (2, 1 << 21), (5, 60), (9, 1 << 21)])
+def test_viterbi_in_blocks_equals_one_run(monkeypatch, langs, matrices):
+    monkeypatch.setattr(langid.Blocks, "MATRICES", matrices)
+    rng = np.random.default_rng(langs)
+    score = rng.normal(size=(3000, langs)) + 1.5 * np.repeat(rng.normal(size=(30, langs)), 100, axis=0)
+    score[700:760] = 0  # words without a preference
+    for cuts in ([], [1], [1000, 1001, 2500], list(range(50, 3000, 50))):
+        found = langid.Blocks(langs, 2.5)
+        for part in np.split(score, cuts):
+            found.add(part)
+        assert np.array_equal(found.labels(), langid.viterbi(score, np.zeros(3000, int), 2.5))
+    assert len(langid.Blocks(langs, 1.0).labels()) == 0
+
+
+def test_language_of_a_very_long_text():
+    """Each of many short stretches keeps its language, however long the text before it is."""
+    model = {"langs": ["a", "b"], "pair": np.zeros((langid.SLOTS, 2), np.float32), "three": np.zeros((langid.SLOTS, 2), np.float32), "own": np.ones((len(langid.NAMES), 2), bool)}
+    letters = langid.Letters(["left right"])
+    pair, _ = letters.grams()
+    model["pair"][pair[:4]] = [-10.0, -15.0]
+    model["pair"][pair[4:]] = [-15.0, -10.0]
+    both = set(pair[:4].tolist()) & set(pair[4:].tolist())
+    model["pair"][list(both)] = -10.0
+    body = "left " * 40 + "right " * 40
+    many = 2 * langid.SLICE // len(body) + 1
+    start = time.perf_counter()
+    _, place, size, word = langid.labelled_words(model, [body * many])
+    assert time.perf_counter() - start < 60
+    assert np.array_equal(word, np.tile(np.repeat([0, 1], 40), many)) and size.sum() == many * (40 * 4 + 40 * 5)
+
+
 def plain_language(model, text):
     """Language, share of letters and spans by following every language through the words one at a time."""
     words, at = [], 0
