@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.prefix import cuts_of, running
+from plumbline.functions.lineage import settled
+from plumbline.functions.prefix import running
 from plumbline.functions.scalars import BLOCK, FAILED, JITTER, determinate, jitter, platt, sigmoid
 
 DETECTORS = ("s1", "s2", "s3")
@@ -18,24 +19,49 @@ E_THRESHOLD, E_FLOOR, E_FACTOR = -3.0, 0.5, 0.5
 PLATT_A, PLATT_B, PRIOR_SHIFT = 17.6928266, -8.1514753, math.log(0.3 / 0.7)
 
 
-def ecdf_rank(rows: DataFrame, reference: DataFrame, col: str, name: str, cuts: list[float] | None = None) -> DataFrame:
-    """`rows` plus the share of reference values strictly below the row's; missing values have rank 0.5.
+#: Tables of ranks of at most so many rows are broadcast; beyond, those of values that more than one row in FEW has.
+RANKS, FEW = 200_000, 5_000
 
-    Values of both are counted, and a running sum over distinct values gives the rank; no value meets another.
-    """
-    ref = reference.filter(F.col(col).isNotNull() & ~F.isnan(col)).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
-    asked = rows.filter(F.col(col).isNotNull() & ~F.isnan(col)).select(F.col(col).alias("v"), F.lit(0).cast("long").alias("n"))
-    both = ref.unionByName(asked.distinct()).groupBy("v").agg(F.sum("n").alias("n"))
-    total = ref.agg(F.sum("n").alias("total"))
-    rank = running(both, [], "v", ["n"], cuts).join(F.broadcast(total)).select("v", ((F.col("run_n") - F.col("n")) / F.expr("nullif(total, 0)")).alias("rank"))
-    joined = rows.alias("r").join(rank.alias("k"), F.col(f"r.{col}") == F.col("k.v"), "left")
-    return joined.select("r.*", F.coalesce(F.col("k.rank"), F.lit(0.5)).alias(name))
+
+def _looked_up(rows: DataFrame, rank: DataFrame, col: str, name: str, asked: int, small: bool) -> DataFrame:
+    """`rows` plus the rank of their value, from (v, times, rank); missing values have 0.5."""
+
+    def joined(d: DataFrame, k: DataFrame) -> DataFrame:
+        on = F.col(f"r.`{col}`") == F.col("k.v")
+        return d.alias("r").join(k.alias("k"), on, "left").select("r.*", F.coalesce("k.rank", F.lit(0.5)).alias(name))
+
+    if small:
+        return joined(rows, F.broadcast(rank))
+    often = rank.filter(F.col("times") * FEW > asked)
+    marked = joined(rows, F.broadcast(often.select("v", F.lit(1.0).alias("rank")))).withColumnRenamed(name, "_often")
+    hot = joined(marked.filter("_often = 1").drop("_often"), F.broadcast(often))
+    return hot.unionByName(joined(marked.filter("_often < 1").drop("_often"), rank))
 
 
 def ranked(rows: DataFrame, reference: DataFrame, detectors: tuple[str, ...] = DETECTORS) -> DataFrame:
-    """Ranks r_<d> of several detectors."""
-    cuts = dict(zip(detectors, cuts_of(reference, list(detectors))))
-    return reduce(lambda d, c: ecdf_rank(d, reference, c, f"r_{c}", cuts[c]), detectors, rows)
+    """`rows` plus r_<d> for each detector: the share of reference values strictly below the row's; missing values have 0.5.
+
+    The values of all detectors are counted in one table, and one running sum over distinct values gives their ranks,
+    so that no value meets another. Each side is read once for the counts.
+    """
+
+    def values(d: DataFrame, n: int) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("d"), F.col(c).cast("double").alias("v")) for c in detectors])
+        return d.select(F.explode(pairs).alias("p")).select("p.d", "p.v", F.lit(n).alias("n"), F.lit(1 - n).alias("times")).filter("v is not null and not isnan(v)")
+
+    both = values(reference, 1).unionByName(values(rows, 0)).groupBy("d", "v").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    counts = settled(both)
+    sums = {r["d"]: r for r in counts.groupBy("d").agg(F.sum("n").alias("n"), F.sum("times").alias("times"), F.count("*").alias("kinds")).collect()}  # a row for each detector
+    size = F.create_map(*[x for d, r in sums.items() for x in (F.lit(d), F.lit(float(r["n"])))]) if sums else F.create_map(F.lit(""), F.lit(0.0))
+    below = (F.col("run_n") - F.col("n")) / F.expr("nullif(total, 0)")
+    summed = running(counts, ["d"], "v", ["n"]).withColumn("total", F.element_at(size, F.col("d")))
+    ranks = settled(summed.select("d", "v", "times", below.alias("rank")))
+    small = sum(r["kinds"] for r in sums.values()) <= RANKS
+    out = rows
+    for c in detectors:
+        own = ranks.filter(F.col("d") == c).select("v", "times", "rank")
+        out = _looked_up(out, own, c, f"r_{c}", sums[c]["times"] if c in sums else 0, small)
+    return out
 
 
 def blend(weights: dict[str, float] = WEIGHTS, prefix: str = "r_") -> Column:

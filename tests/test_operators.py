@@ -71,7 +71,7 @@ def test_suppression_is_strict(spark):
 
 def test_missing_rank_is_one_half(spark):
     d = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0)], "path string, s double")
-    got = {r["path"]: r["r"] for r in fusion.ecdf_rank(d, d, "s", "r").collect()}
+    got = {r["path"]: r["r_s"] for r in fusion.ranked(d, d, ("s",)).collect()}
     assert got == {"a": 0.0, "b": 0.5, "c": 0.5}
 
 
@@ -81,6 +81,24 @@ def test_policy_blocks_do_not_touch(spark):
     assert a == 0.001 and 0.0001 <= b < 0.001 and c < 0.0001
 
 
+@pytest.mark.parametrize("most, few", [(fusion.RANKS, fusion.FEW), (0, 3), (0, 10**9)])
+def test_ranks_of_two_detectors_with_a_hot_value(spark, monkeypatch, most, few):
+    monkeypatch.setattr(fusion, "RANKS", most)
+    monkeypatch.setattr(fusion, "FEW", few)
+    rows = [(i, 1.0 if i % 2 else float(i % 7), None if i % 5 == 0 else float("nan") if i % 11 == 0 else 1000.0 * (i % 13)) for i in range(200)]
+    d = spark.createDataFrame(rows, "i long, a double, b double")
+    reference = d.filter("i < 90")
+    got = {r["i"]: (r["r_a"], r["r_b"]) for r in fusion.ranked(d, reference, ("a", "b")).collect()}
+    assert len(got) == 200
+    for k, c in enumerate("ab"):
+        ref = [r[k + 1] for r in rows[:90] if r[k + 1] is not None and r[k + 1] == r[k + 1]]
+        for r in rows:
+            v = r[k + 1]
+            assert got[r[0]][k] == pytest.approx(0.5 if v is None or v != v else sum(x < v for x in ref) / len(ref)), (c, r)
+    none = fusion.ranked(d, d.filter("false"), ("a",)).collect()
+    assert {r["r_a"] for r in none} == {0.5}
+
+
 def test_gate_reasons(spark):
     d = spark.createDataFrame([(-90.0,), (-20.0,)], "level double")
     got = [r[0] for r in d.select(fusion.gate_reasons(F.col("level"), F.lit(0.9), F.lit(0.0), F.lit(1.0), F.lit(0.5))).collect()]
