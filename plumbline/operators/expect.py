@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import json
-import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import finite
@@ -85,42 +83,51 @@ def all_of(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).filter("n > 0")
 
 
-def constants_problem(text: str | None, names: tuple[str, ...]) -> str:
-    """What is wrong with a JSON document of fusion constants; empty if nothing. One small document at a time.
+def constants_problem(text: Column, names: tuple[str, ...]) -> Column:
+    """What is wrong with a JSON document of fusion constants; empty if nothing, the first in this order otherwise.
 
-    Either `alpha` (a share of the second name) or `weights` over `names`, a sorted finite reference for each weighted
-    name, Platt's a, b and prior_shift, and, where the suppression rule is on, its three numbers. A boolean is no number.
+    not json, not an object; alpha or weights: one of them has to be there; alpha: a share; weights: positive numbers
+    that make one; unknown name; reference: ascending numbers for each weighted name (with alpha, the first two names);
+    platt: a, b and prior_shift; suppression: three numbers where it is applied. Texts and booleans are no numbers.
     """
-    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v)
-    try:
-        c = json.loads(text or "")
-    except ValueError:
-        return "not json"
-    if not isinstance(c, dict):
-        return "not an object"
-    alpha, weights, refs, map_, rule = (c.get(k) for k in ("alpha", "weights", "references", "platt", "suppression"))
-    if (alpha is None) == (weights is None):
-        return "alpha or weights"
-    if weights is None:
-        if not number(alpha) or not 0 <= alpha <= 1:
-            return "alpha"
-        weights = dict(zip(names, (1 - alpha, alpha)))
-    elif not isinstance(weights, dict) or not weights or not all(number(w) and w > 0 for w in weights.values()) or abs(sum(weights.values()) - 1) > 1e-9:
-        return "weights"
-    if not set(weights) <= set(names):
-        return "unknown name"
-    for name in weights:
-        ref = refs.get(name) if isinstance(refs, dict) else None
-        if not isinstance(ref, list) or not ref or not all(map(number, ref)) or ref != sorted(ref):
-            return "reference"
-    if not isinstance(map_, dict) or not all(number(map_.get(k)) for k in ("a", "b", "prior_shift")):
-        return "platt"
-    if isinstance(rule, dict) and rule.get("applied") and not all(number(rule.get(k)) for k in ("logit_below", "rank_above", "multiply_by")):
-        return "suppression"
-    return ""
-
-
-def constants_problems(d: DataFrame, text: str, names: tuple[str, ...]) -> DataFrame:
-    """`d` plus the column problem of each row's constants document."""
-    check = F.pandas_udf(lambda c: c.map(lambda t: constants_problem(t, names)), "string")
-    return d.withColumn("problem", check(F.col(text)))
+    v = F.try_parse_json(text)
+    at = lambda path, kind: F.try_variant_get(v, path, kind)
+    kind = lambda path: F.coalesce(F.schema_of_variant(at(path, "variant")), F.lit("VOID"))
+    numeric = lambda shown: shown.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))$")
+    numbers = lambda path, keys: reduce(lambda a, b: a & b, [numeric(kind(f"{path}.{k}")) for k in keys])
+    is_number = lambda x: F.coalesce(numeric(F.schema_of_variant(x)), F.lit(False))
+    double = lambda x: F.try_variant_get(x, "$", "double")
+
+    alpha, weighted = kind("$.alpha") != "VOID", kind("$.weights") != "VOID"
+    share = numeric(kind("$.alpha")) & at("$.alpha", "double").between(0.0, 1.0)
+    weights = at("$.weights", "map<string,variant>")
+    total = F.aggregate(F.map_values(weights), F.lit(0.0), lambda a, x: a + double(x))
+    positive = F.forall(F.map_values(weights), lambda x: is_number(x) & (double(x) > 0))
+    sound = weights.isNotNull() & (F.size(weights) > 0) & positive & (F.abs(total - 1.0) <= 1e-9)
+    used = F.when(weighted, F.map_keys(weights)).otherwise(F.array(*[F.lit(n) for n in names[:2]]))
+    known = F.forall(used, lambda k: k.isin(*names))
+    references = at("$.references", "map<string,array<variant>>")
+
+    def ascending(name: Column) -> Column:
+        x = F.try_element_at(references, name)
+        values = F.transform(x, double)
+        return F.coalesce((F.size(x) > 0) & F.forall(x, is_number) & (F.array_sort(values) == values), F.lit(False))
+
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    found = [
+        ("not json", v.isNull()),
+        ("not an object", no(kind("$").startswith("OBJECT"))),
+        ("alpha or weights", alpha == weighted),
+        ("alpha", ~weighted & no(share)),
+        ("weights", weighted & no(sound)),
+        ("unknown name", no(known)),
+        ("reference", no(F.forall(used, ascending))),
+        ("platt", no(numbers("$.platt", ("a", "b", "prior_shift")))),
+        ("suppression", F.coalesce(at("$.suppression.applied", "boolean"), F.lit(False)) & no(numbers("$.suppression", ("logit_below", "rank_above", "multiply_by")))),
+    ]
+    return F.coalesce(*[F.when(wrong, problem) for problem, wrong in found], F.lit(""))
+
+
+def document_problem(spark: SparkSession, text: str | None, names: tuple[str, ...]) -> str:
+    """constants_problem of one document."""
+    return spark.createDataFrame([(text,)], "t string").select(constants_problem(F.col("t"), names)).first()[0]

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.sensitivity import Variant, refits
+
 
 def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray, float]:
     """Class-balanced ridge logistic regression by Newton steps."""
@@ -32,61 +34,11 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.ndarray,
 def out_of_fold(rows: DataFrame, columns: list[str], key: str, label: str = "y", fold: str = "fold", c: float = 1.0) -> DataFrame:
     """(key, fold, logit): each fold scored by a model of the others; columns standardised on the fitted rows.
 
-    Sufficient sums go through Spark: every model is fitted from one pass of partial gradients for each step, so no
-    fold is gathered in one task. Rows without a label or with a null column are left out.
+    Models are fitted in passes of partial gradients, so no fold is gathered in one task. Rows without a label or
+    with a null column are left out.
     """
-    ok = rows.filter(F.col(label).isNotNull()).dropna(subset=columns).select(key, F.col(fold).cast("string").alias("fold"), F.col(label).cast("double").alias("y"), F.array(*[F.col(x).cast("double") for x in columns]).alias("x"))
-    ok = ok.persist()
-    folds = [r["fold"] for r in ok.select("fold").distinct().orderBy("fold").collect()]
-    d = len(columns)
-    sums = ok.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), *[f(F.col("x")[i]).alias(f"{n}{i}") for i in range(d) for n, f in (("s", F.sum), ("q", lambda v: F.sum(v * v)))]).collect()
-    models = {}
-    for k in folds:
-        rest = [r for r in sums if r["fold"] != k]
-        n = sum(r["n"] for r in rest)
-        mean = np.array([sum(r[f"s{i}"] for r in rest) / max(n, 1) for i in range(d)])
-        sd = np.sqrt(np.maximum([sum(r[f"q{i}"] for r in rest) / max(n, 1) - mean[i] ** 2 for i in range(d)], 1e-18))
-        pos = sum(r["pos"] for r in rest)
-        models[k] = {"mean": mean, "sd": sd, "w1": n / (2 * max(pos, 1)), "w0": n / (2 * max(n - pos, 1)), "b": np.zeros(d + 1)}
-    for _ in range(12):
-        def gather(batches, models=models):
-            total = {k: (np.zeros(d + 1), np.zeros((d + 1, d + 1))) for k in models}
-            for pdf in batches:
-                x, y, f = np.stack(pdf["x"]) if len(pdf) else np.empty((0, d)), pdf["y"].to_numpy(), pdf["fold"].to_numpy()
-                for k, m in models.items():
-                    use = f != k
-                    a = np.hstack([(x[use] - m["mean"]) / m["sd"], np.ones((use.sum(), 1))])
-                    p = 1 / (1 + np.exp(-np.clip(a @ m["b"], -35, 35)))
-                    w = np.where(y[use] == 1, m["w1"], m["w0"])
-                    g, h = total[k]
-                    g += a.T @ (w * (p - y[use]))
-                    h += (a * (w * p * (1 - p))[:, None]).T @ a
-            yield pd.DataFrame([(k, i, v) for k, (g, h) in total.items() for i, v in enumerate(np.concatenate([g, h.ravel()]))], columns=["fold", "i", "v"])
-
-        got = ok.select("fold", "y", "x").mapInPandas(gather, "fold string, i int, v double").groupBy("fold", "i").agg(F.sum("v").alias("v")).collect()
-        moved = 0.0
-        for k, m in models.items():
-            v = np.zeros((d + 1) * (d + 2))
-            for r in got:
-                if r["fold"] == k:
-                    v[r["i"]] = r["v"]
-            ridge = np.diag([1 / c] * d + [0.0])
-            step = np.linalg.solve(v[d + 1 :].reshape(d + 1, d + 1) + ridge + 1e-9 * np.eye(d + 1), v[: d + 1] + ridge @ m["b"])
-            m["b"] = m["b"] - step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-8:
-            break
-
-    def score(batches):
-        for pdf in batches:
-            x = np.stack(pdf["x"]) if len(pdf) else np.empty((0, d))
-            z = np.zeros(len(pdf))
-            for k, m in models.items():
-                use = (pdf["fold"] == k).to_numpy()
-                z[use] = (x[use] - m["mean"]) / m["sd"] @ m["b"][:-1] + m["b"][-1]
-            yield pd.DataFrame({key: pdf[key], "fold": pdf["fold"], "logit": z})
-
-    return ok.select(key, "fold", "x").mapInPandas(score, f"{key} {rows.schema[key].dataType.simpleString()}, fold string, logit double")
+    made, _ = refits(rows.filter(F.col(label).isNotNull()), columns, label, fold, key, [Variant("all")], c)
+    return made.select(F.col("key").alias(key), "fold", "logit")
 
 
 #: Clusters of a batch are drawn in slices of so many, so that a task holds slice x draws numbers.

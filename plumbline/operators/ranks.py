@@ -116,6 +116,71 @@ def _sums(draws: int, seed: int, first: int):
     return run
 
 
+def _by_score(draws: int, seed: int, first: int):
+    """(part, v, c, y) to a row for each score of a batch: the counts of its positive and its negative rows in each draw."""
+
+    def run(batches):
+        for b in batches:
+            for low in range(0, b.num_rows, 1 << 12):
+                rows = b.slice(low, 1 << 12)
+                v, back = np.unique(rows.column(1).to_numpy(), return_inverse=True)
+                counts = poisson_counts(rows.column(2).to_numpy().view(np.uint64), draws, seed, first)
+                y = rows.column(3).to_numpy()
+                total = np.zeros((len(v), 2, draws))
+                np.add.at(total, (back, np.where(y == 1, 0, 1)), counts)
+                part = np.zeros(len(v), np.int32)
+                part[back] = rows.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v), _binaries(total.reshape(len(v), -1))], names=["part", "v", "w"])
+
+    return run
+
+
+def min_dcf_draws(rows: DataFrame, cluster: str, score: str, draws: int, costs: dict[str, tuple[float, float, float]], seed: int = 0) -> DataFrame:
+    """(draw, <name>): least cost of a score over all thresholds in each draw of whole clusters, for each named cost.
+
+    A cluster's count in a draw is a Poisson number from its hash. Along the sorted distinct scores the counts of all
+    draws are summed at once, as arrays; a draw with one class has null costs. Rows need y, 0 or 1, and a finite
+    score; others are left out. The constant decisions count as thresholds.
+    """
+    slim = rows.filter(F.col("y").isin(0, 1)).select(F.xxhash64(F.col(cluster).cast("string")).alias("c"), F.col("y").cast("int").alias("y"), (F.col(score).cast("double") + 0.0).alias("v"))
+    slim = settled(slim.filter("v is not null and not isnan(v) and abs(v) < double('inf')"))
+    n, names = slim.count(), list(costs)
+    schema = "draw int, " + ", ".join(f"`{c}` double" for c in names)
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema)
+    cuts = cuts_of(slim, ["v"])[0]
+    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("v"))) if cuts else F.lit(0)
+    size = min(draws, max(LEAST, SLICE_BYTES // (32 * n)))
+    made = None
+    for first in range(1, draws + 1, size):
+        some = min(size, draws + 1 - first)
+        counted = slim.select(part.cast("int").alias("part"), "v", "c", "y").mapInArrow(_by_score(some, seed, first), "part int, v double, w binary")
+        sorted_ = counted.repartition("part").sortWithinPartitions("part", "v")
+        summed = settled(sorted_.mapInArrow(_along(2 * some), "part int, v double, w binary, before binary"))
+        ends = summed.groupBy("part").agg(F.max_by(F.struct("w", "before"), "v").alias("e")).select("part", "e.w", "e.before").collect()  # a row for each range
+        heads, total = {}, np.zeros(2 * some)
+        for r in sorted(ends, key=lambda r: r["part"]):
+            heads[r["part"]] = total
+            total = total + np.frombuffer(r["w"]) + np.frombuffer(r["before"])
+
+        def cheapest(batches, heads=heads, total=total.reshape(2, -1), some=some, first=first):
+            least = np.full((len(names), some), np.inf)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for b in batches:
+                    head = np.array([heads[p] for p in b.column(0).to_pylist()]).reshape(b.num_rows, 2 * some)
+                    below = (head + _matrix(b.column(3), 2 * some)).reshape(-1, 2, some)
+                    miss, alarm = below[:, 0] / total[0], (total[1] - below[:, 1]) / total[1]
+                    for k, (c_fa, c_miss, prior) in enumerate(costs.values()):
+                        cost = (c_fa * (1 - prior) * alarm + c_miss * prior * miss) / min(c_fa * (1 - prior), c_miss * prior)
+                        least[k] = np.minimum(least[k], np.minimum(cost, 1.0).min(axis=0, initial=np.inf))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + some, dtype=np.int32)), *[pa.array(x) for x in least]], names=["draw", *names])
+
+        least = summed.mapInArrow(cheapest, schema).groupBy("draw").agg(*[F.min(c).alias(c) for c in names])
+        least = settled(least.select("draw", *[F.when(~F.isnan(c) & (F.col(c) < float("inf")), F.col(c)).alias(c) for c in names]))  # a row for each draw
+        made = least if made is None else made.unionByName(least)
+    return made
+
+
 def spearman_draws(rows: DataFrame, key: str, a: str, b: str, draws: int, seed: int = 0) -> DataFrame:
     """(draw, n, rho): rank correlation of two columns in each draw of the rows with replacement, ranked within the draw.
 

@@ -102,7 +102,7 @@ def first_source(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def partition_replaced(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """`base` with every value of `key` that `new` has taken from `new`."""
-    return base.join(F.broadcast(new.select(key).distinct()), key, "left_anti").unionByName(new)
+    return base.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -39,20 +39,25 @@ def grams(rows: DataFrame, columns: list[str], label: str, by: str) -> dict[str,
     return {k: v.reshape(d, d) for k, v in sorted(out.items())}
 
 
-def least_squares_study(rows: DataFrame, columns: list[str], label: str, fold: str, drops: dict[str, list[str]], ridge: float = 0.0) -> DataFrame:
+def least_squares_study(rows: DataFrame, columns: list[str], label: str, fold: str, drops: dict[str, list[str]], ridge: float = 0.0, fit_only: str | None = None) -> DataFrame:
     """(variant, n, mse): out-of-fold error of least squares fits, each without the named columns.
 
-    Fits and errors of all variants and folds are solved from one table of sums by fold; the rows are read once.
+    Fits and errors of all variants and folds are solved from one table of sums by fold; the rows are read once. Rows
+    for which `fit_only` holds are fitted with their fold and not read out.
     """
-    sums = grams(rows, columns, label, fold)
-    whole = sum(sums.values(), np.zeros((len(columns) + 2,) * 2))
+    twin = F.coalesce(F.col(fit_only), F.lit(False)) if fit_only else F.lit(False)
+    parts = grams(rows.withColumn("_part", F.concat(F.when(twin, "+").otherwise("-"), F.col(fold).cast("string"))), columns, label, "_part")
+    none = np.zeros((len(columns) + 2,) * 2)
+    sums = {f: parts.get(f"-{f}", none) for f in sorted({k[1:] for k in parts})}
+    fitted = {f: own + parts.get(f"+{f}", none) for f, own in sums.items()}
+    whole = sum(fitted.values(), none)
     out = []
     for name, gone in drops.items():
         at = [0, *[i + 1 for i, c in enumerate(columns) if c not in gone]]
         penalty = ridge * np.diag([0.0] + [1.0] * (len(at) - 1))
         error = n = 0.0
-        for own in sums.values():
-            rest = whole - own
+        for f, own in sums.items():
+            rest = whole - fitted[f]
             if rest[0, 0] == 0:
                 continue
             b = np.linalg.lstsq(rest[np.ix_(at, at)] + penalty, rest[at, -1], rcond=None)[0]
@@ -153,7 +158,7 @@ def _fitted(slim: DataFrame, d: int, variants: list[Variant], keep: list[np.ndar
 
 
 def _judged(slim: DataFrame, d: int, v: int, models: list[dict], key_type: str) -> DataFrame:
-    """(key, variant, y, logit): labelled rows by the model of their fold, rows without a label by the model of all."""
+    """(key, fold, variant, y, logit): labelled rows by the model of their fold, rows without a label by the model of all."""
 
     def run(batches):
         for b in batches:
@@ -164,13 +169,13 @@ def _judged(slim: DataFrame, d: int, v: int, models: list[dict], key_type: str)
                 logit[own, m["variant"]] = (x[own][:, m["at"]] - m["mean"]) / m["sd"] @ m["b"][:-1] + m["b"][-1]
             row, j = np.nonzero(~np.isnan(logit))
             own = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(own), pa.array(j.astype(np.int32)), b.column(2).take(own), pa.array(logit[row, j])], names=["key", "variant", "y", "logit"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(j.astype(np.int32)), b.column(2).take(own), pa.array(logit[row, j])], names=["key", "fold", "variant", "y", "logit"])
 
-    return slim.mapInArrow(run, f"key {key_type}, variant int, y double, logit double")
+    return slim.mapInArrow(run, f"key {key_type}, fold string, variant int, y double, logit double")
 
 
 def refits(rows: DataFrame, columns: list[str], label: str, fold: str, key: str, variants: list[Variant], c: float = 1.0, steps: int = 25) -> tuple[DataFrame, list[dict]]:
-    """(key, variant, y, logit) of every variant, out of fold for labelled rows, and the fitted models.
+    """(key, fold, variant, y, logit) of every variant, out of fold for labelled rows, and the fitted models.
 
     Class-balanced ridge logistic models on standardised columns, as many as variants times folds and one of all rows;
     a Newton step of all of them is one pass. A labelled row that a variant leaves out has no logit there. Rows with a

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import functions as F
 
 from plumbline.functions.lineage import settled
 from plumbline.functions.prefix import quantiles
 from plumbline.functions.scalars import BRIEF, bayes_threshold, config_hash
-from plumbline.operators import expect, fits
+from plumbline.operators import fits
 from plumbline.operators import features as fe
 from plumbline.operators import folds as fo
 from plumbline.operators import fusion as fu
@@ -35,7 +34,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-PLATT_SQL = f"""WITH RECURSIVE {EV}, d AS (SELECT s1+y/2e0 AS x, y::DOUBLE AS y FROM ev WHERE split='inner_oof'),
+PLATT_SQL = f"""WITH RECURSIVE {EV}, d AS (SELECT s2/2e0+s3 AS x, y::DOUBLE AS y FROM ev WHERE split='inner_oof'),
 w AS (SELECT count(*)/(2e0*sum(y)) AS w1, count(*)/(2e0*sum(1e0-y)) AS w0, count(*) AS n FROM d),
 t(k, a, b) AS (SELECT 0, 0e0, 0e0 UNION ALL SELECT k+1, a-(hbb*ga-hab*gb)/(haa*hbb-hab*hab), b-(haa*gb-hab*ga)/(haa*hbb-hab*hab) FROM
  (SELECT k, a, b, sum(g*x)+a*1e-6 AS ga, sum(g) AS gb, sum(h*x*x)+1e-6 AS haa, sum(h*x) AS hab, sum(h)+1e-12 AS hbb FROM
@@ -46,7 +45,7 @@ SELECT round(a,5) AS a, round(b,5) AS b, n, 'ok' AS status FROM t, w WHERE k=15"
 @query("platt_fit", PLATT_SQL)
 def platt_fit(spark, sf_dir):
     """The class-balanced map of a score to a probability, fitted on rows out of fold."""
-    rows = evaluation(spark, sf_dir).filter("split = 'inner_oof'").select("y", (F.col("s1") + F.col("y") / 2.0).alias("score"))
+    rows = evaluation(spark, sf_dir).filter("split = 'inner_oof'").select("y", (F.col("s2") / 2.0 + F.col("s3")).alias("score"))
     return fits.platt_fit(rows).select(F.round("a", 5).alias("a"), F.round("b", 5).alias("b"), "n", "status")
 
 
@@ -128,32 +127,6 @@ def speaker_drift(spark, sf_dir):
     return fits.drift(e, "clip", "k", "embedding").select("clip", "n_windows", *[R6(c) for c in ("cos_min", "cos_mean", "cos_std", "cos_adjacent_min")], "drift")
 
 
-GOOD = {"weights": {"s1": 0.6, "s2": 0.4}, "references": {"s1": [0, 1.5], "s2": [-1, 2]}, "platt": {"a": 1.0, "b": 0.5, "prior_shift": 0}, "suppression": {"applied": False}}
-#: Documents of constants by what is wrong with them.
-CASES = [
-    ("", GOOD),
-    ("", {**GOOD, "weights": None, "alpha": 0.25}),
-    ("alpha or weights", {**GOOD, "alpha": 0.25}),
-    ("alpha or weights", {**GOOD, "weights": None}),
-    ("alpha", {**GOOD, "weights": None, "alpha": True}),
-    ("weights", {**GOOD, "weights": {"s1": 0.6, "s2": 0.5}}),
-    ("unknown name", {**GOOD, "weights": {"s1": 0.6, "other": 0.4}}),
-    ("reference", {**GOOD, "references": {"s1": [0, 1.5], "s2": [2, -1]}}),
-    ("reference", {**GOOD, "references": {"s1": [0, 1.5]}}),
-    ("platt", {**GOOD, "platt": {"a": "1", "b": 0.5, "prior_shift": 0}}),
-    ("suppression", {**GOOD, "suppression": {"applied": True, "logit_below": -3}}),
-]
-CASES_SQL = ", ".join(f"({i}, '{p}')" for i, (p, _) in enumerate(CASES))
-
-
-@query("constants_validation", f"SELECT doc_id, CASE WHEN doc_id%13=12 THEN 'not json' WHEN doc_id%13=11 THEN 'not an object' ELSE problem END AS problem FROM documents LEFT JOIN (VALUES {CASES_SQL}) c(i, problem) ON doc_id%13=i")
-def constants_validation(spark, sf_dir):
-    """Documents of fusion constants, one for each row, and the first thing that is wrong with each."""
-    texts = F.array(*[F.lit(json.dumps(c)) for _, c in CASES], F.lit("[1]"), F.lit('{"weights": '))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.get(texts, (F.col("doc_id") % 13).cast("int")).alias("document"))
-    return expect.constants_problems(d, "document", ("s1", "s2", "s3")).select("doc_id", "problem")
-
-
 @query("run_identity", "SELECT doc_id, sha256('{\"lang\":' || to_json(lang)::VARCHAR || ',\"n_chars\":' || n_chars || ',\"source\":' || to_json(source)::VARCHAR || '}') AS identity FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def run_identity(spark, sf_dir):
     """Identity of a run's settings: the hash of their JSON by sorted names."""

@@ -68,7 +68,7 @@ def tree_scores(spark, sf_dir):
 @query("linear_probe", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE*((i%5)-2))),4) AS z FROM embeddings")
 def linear_probe(spark, sf_dir):
     e = F.col("embedding").cast("array<double>")
-    weights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: ((i % 5) - 2).cast("double"))
+    weights = F.transform(F.sequence(F.lit(1), F.greatest(F.size(e), F.lit(1))), lambda i: ((i % 5) - 2).cast("double"))
     z = F.aggregate(F.zip_with(e, weights, lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(z, 4).alias("z"))
 

@@ -203,7 +203,7 @@ def anti_leak(spark, sf_dir):
 def inherit_fold(spark, sf_dir):
     ev = evaluation(spark, sf_dir)
     folds = ev.filter("split = 'inner_oof'").groupBy("generator").agg(F.min("fold").alias("fold"))
-    return ev.filter("split = 'itw'").drop("fold").join(F.broadcast(folds), "generator").select("path", "fold")
+    return ev.filter("split = 'itw'").drop("fold").join(folds, "generator").select("path", "fold")
 
 
 @query("reindex_fill", "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
@@ -325,7 +325,7 @@ GAP_SQL = W + ", u AS (SELECT generator, 's1' AS f, s1 AS v FROM ev UNION ALL SE
 def medians(spark, sf_dir):
     u = evaluation(spark, sf_dir).select("generator", "s1", "s2", "s3").unpivot(["generator"], ["s1", "s2", "s3"], "f", "v")
     a = u.groupBy("f").agg(F.percentile("v", 0.5).alias("all"), (F.percentile("v", 0.75) - F.percentile("v", 0.25)).alias("iqr"))
-    return u.groupBy("generator", "f").agg(F.percentile("v", 0.5).alias("m")).join(F.broadcast(a), "f")
+    return u.groupBy("generator", "f").agg(F.percentile("v", 0.5).alias("m")).join(a, "f")
 
 
 @query("match_distance", GAP_SQL + " SELECT generator, round(avg(abs(g.m-a.m)/a.iqr),6) AS distance, count(*) AS n_stats FROM g JOIN a USING (f) WHERE iqr > 1e-9 GROUP BY 1")
@@ -447,7 +447,7 @@ def cap_per_group_hash(spark, sf_dir):
 @query("holdout_groups", W + ", g AS (SELECT DISTINCT speaker FROM ev WHERE y=0), r AS (SELECT speaker, row_number() OVER (ORDER BY md5('0:'||speaker), speaker) AS rn, count(*) OVER () AS n FROM g) SELECT path FROM ev WHERE speaker IN (SELECT speaker FROM r WHERE rn <= round(0.2e0*n))")
 def holdout_groups(spark, sf_dir):
     ev = evaluation(spark, sf_dir)
-    return ev.join(F.broadcast(rel.drawn_groups(ev.filter("y = 0"), "speaker", 0.2)), "speaker", "left_semi").select("path")
+    return ev.join(rel.drawn_groups(ev.filter("y = 0"), "speaker", 0.2), "speaker", "left_semi").select("path")
 
 
 @query("bernoulli_subset", "SELECT p_partkey FROM part WHERE cast(('0x'||substr(sha1('0:'||p_partkey),1,16)) AS UBIGINT)::DOUBLE/18446744073709551616e0 < 0.3e0")
@@ -463,7 +463,7 @@ def duration_match(spark, sf_dir):
     ev = evaluation(spark, sf_dir).filter("y is not null").withColumn("bin", F.expr("n_chars div 500"))
     caps = ev.filter("y = 0").groupBy("bin").agg(F.expr("count(*) div 20").alias("cap"))
     pos = rel.sampled(ev.filter("y = 1"), ["bin"], "doc_id", None)
-    return pos.join(F.broadcast(caps), "bin").filter("_rank <= cap").select("doc_id")
+    return pos.join(caps, "bin").filter("_rank <= cap").select("doc_id")
 
 
 @query("dedup_last", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn=1")
@@ -649,12 +649,6 @@ def gate_rules(spark, sf_dir):
     return c.dropna().join(F.broadcast(cur)).select("source", (F.col("i") <= F.col("ci") + 0.01 + 1e-12).alias("inner_ok"), (F.col("w") <= F.col("cw") - 0.01 + 1e-12).alias("wild_ok"))
 
 
-@query("bakeoff", W + ", c AS (SELECT source, avg(s2) FILTER (split='itw') AS w FROM ev GROUP BY 1) SELECT source, CASE WHEN w IS NULL THEN 'INVALID' WHEN w > 0.5e0 THEN 'KEEP' ELSE 'REPLACE' END AS decision FROM c")
-def bakeoff(spark, sf_dir):
-    c = evaluation(spark, sf_dir).groupBy("source").agg(F.avg(F.when(F.col("split") == "itw", F.col("s2"))).alias("w"))
-    return c.select("source", F.when(F.col("w").isNull(), "INVALID").when(F.col("w") > 0.5, "KEEP").otherwise("REPLACE").alias("decision"))
-
-
 @query("responds", W + ", s AS (SELECT generator, quantile_cont(abs(s2-s3),0.95) AS p95, count(*) AS n FROM ev GROUP BY 1), q AS (SELECT quantile_cont(s2,0.75)-quantile_cont(s2,0.25) AS iqr FROM ev WHERE split='inner_oof') SELECT generator, CASE WHEN n<20 THEN 'inconclusive' WHEN p95 > 0.1e0*iqr THEN 'responds' ELSE 'no response' END AS reading FROM s, q")
 def responds(spark, sf_dir):
     ev = evaluation(spark, sf_dir)

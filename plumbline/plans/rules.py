@@ -67,17 +67,6 @@ def crossover(spark, sf_dir):
     return d.select("generator", reading.alias("reading"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-TWIN_SQL = "SELECT fold, count(*) AS n_fit, count(*) FILTER (clean) AS n_readout FROM (SELECT path, fold, true AS clean FROM ev WHERE split='inner_oof' UNION ALL SELECT 'aug/'||path, fold, false FROM ev WHERE split='inner_oof' AND y=1) GROUP BY 1"
-
-
-@query("fit_only_twins", W + TWIN_SQL)
-def fit_only_twins(spark, sf_dir):
-    """An augmented twin takes the fold of its clean row, is fitted on, and never read out."""
-    clean = evaluation(spark, sf_dir).filter("split = 'inner_oof'").select("path", "fold", "y", F.lit(True).alias("clean"))
-    twins = clean.filter("y = 1").select(F.concat(F.lit("aug/"), "path").alias("path"), "fold", "y", F.lit(False).alias("clean"))
-    return clean.union(twins).groupBy("fold").agg(F.count("*").alias("n_fit"), F.count_if("clean").alias("n_readout"))
-
-
 PICK_SQL = SC + DCF_SQL.format(k="candidate, split", **BRIEF_SQL) + EER_SQL + """ SELECT d.candidate, round(min_dcf,6) AS min_dcf, round((fnr+fpr)/2e0,6) AS eer FROM dcf d JOIN e2 e ON d.candidate=e.candidate AND d.split=e.split AND e.rn=1
 WHERE d.split='inner_oof' ORDER BY round(min_dcf,9), round((fnr+fpr)/2e0,9), d.candidate LIMIT 1"""
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.expect import constants_problem
+from plumbline.operators.expect import document_problem
 
 #: Recording suffixes that are listed. Fixed values.
 SUFFIXES = ("wav", "flac", "mp3", "m4a", "ogg", "opus", "aac", "wma", "aiff", "aif")
@@ -23,7 +23,12 @@ def export_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.select("path", "fold", F.when(F.col("split") == "stress", "itw").otherwise(F.col("split")).alias("split"), number("score"), number("logit"))
 
 
-def folds_csv(spark: SparkSession, path: str) -> DataFrame:
+def folds_csv(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
+    """A fold file; with a pinned hash, one file whose bytes must have it."""
+    if sha256 is not None:
+        have = [r[0] for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).limit(2).collect()]
+        if have != [sha256]:
+            raise ValueError(f"{path}: sha256 {have}, pinned {sha256}")
     return spark.read.csv(path, schema=FOLDS, header=True)
 
 
@@ -65,7 +70,7 @@ def manifest(spark: SparkSession, path: str, column: str = "path") -> DataFrame:
 def constants(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict:
     """A checked document of fusion constants; raises with what is wrong. It is small and lives on the driver."""
     text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    problem = constants_problem(text, names)
+    problem = document_problem(spark, text, names)
     if problem:
         raise ValueError(f"constants: {problem}")
     return json.loads(text)
@@ -92,12 +97,12 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, path: str, row: str = "row") -> DataFrame:
-    """Sharded rows whose numbers must be exactly 0 to n - 1; raises otherwise."""
+    """Sharded rows in the order of their numbers, which must be exactly 0 to n - 1; raises otherwise."""
     d = spark.read.parquet(path)
     n, low, high, kinds = d.agg(F.count("*"), F.min(row), F.max(row), F.count_distinct(row)).first()
     if n and not (low == 0 and high == n - 1 and kinds == n):
         raise ValueError(f"rows {low} to {high}, {kinds} different of {n}")
-    return d
+    return d.orderBy(row)
 
 
 def head_of_each(d: DataFrame, group: str, order: str, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import finite
 from plumbline.functions.strict import strict_json
-from plumbline.operators.expect import constants_problem
+from plumbline.operators.expect import document_problem
 
 
 class Refused(ValueError):
@@ -47,7 +47,7 @@ def submission(d: DataFrame, path: str, *, order: str = "ord", key: str = "filen
 def constants(d: DataFrame, path: str, text: str, names: tuple[str, ...]) -> None:
     """The only row's document of fusion constants, checked; an existing path is an error."""
     rows = d.select(text).limit(2).collect()
-    problem = "one document is wanted" if len(rows) != 1 else constants_problem(rows[0][0], names)
+    problem = "one document is wanted" if len(rows) != 1 else document_problem(d.sparkSession, rows[0][0], names)
     if problem:
         raise Refused(problem)
     d.select(F.col(text).alias("value")).write.text(path)
@@ -75,7 +75,7 @@ def new_shards(d: DataFrame, path: str, key: str, shard: str) -> int:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         have = None
-    todo = d if have is None else d.join(F.broadcast(have), shard, "left_anti")
+    todo = d if have is None else d.join(have, shard, "left_anti")
     n = todo.count()
     if n:
         todo.repartition(shard).sortWithinPartitions(key).write.partitionBy(shard).mode("append").parquet(path)

@@ -416,17 +416,53 @@ def test_lag_and_noise_level():
     assert dsp.snr_db(x, x) == 120 and dsp.snr_db(x, x + 0.01 * rng.normal(0, 1, 9000)) == pytest.approx(20, abs=0.5)
 
 
+GOOD = {"weights": {"s1": 0.6, "s2": 0.4}, "references": {"s1": [0, 1.5], "s2": [-1, 2]}, "platt": {"a": 1.0, "b": 0.5, "prior_shift": 0}, "suppression": {"applied": False}}
+#: Documents of constants by what is wrong with them.
+CASES = [
+    ("", GOOD),
+    ("", {**GOOD, "weights": None, "alpha": 0.25}),
+    ("", {k: v for k, v in GOOD.items() if k != "suppression"}),
+    ("alpha or weights", {**GOOD, "alpha": 0.25}),
+    ("alpha or weights", {**GOOD, "weights": None}),
+    ("alpha", {**GOOD, "weights": None, "alpha": True}),
+    ("alpha", {**GOOD, "weights": None, "alpha": 1.5}),
+    ("alpha", {**GOOD, "weights": None, "alpha": "0.5"}),
+    ("weights", {**GOOD, "weights": {"s1": 0.6, "s2": 0.5}}),
+    ("weights", {**GOOD, "weights": {"s1": 1.4, "s2": -0.4}}),
+    ("weights", {**GOOD, "weights": {"s1": 0.6, "s2": "0.4"}}),
+    ("weights", {**GOOD, "weights": {}}),
+    ("weights", {**GOOD, "weights": [0.6, 0.4]}),
+    ("unknown name", {**GOOD, "weights": {"s1": 0.6, "other": 0.4}}),
+    ("reference", {**GOOD, "references": {"s1": [0, 1.5], "s2": [2, -1]}}),
+    ("reference", {**GOOD, "references": {"s1": [0, 1.5]}}),
+    ("reference", {**GOOD, "references": {"s1": [], "s2": [1]}}),
+    ("reference", {**GOOD, "references": {"s1": [0, True], "s2": [1]}}),
+    ("reference", {**GOOD, "references": 3}),
+    ("platt", {**GOOD, "platt": {"a": "1", "b": 0.5, "prior_shift": 0}}),
+    ("platt", {**GOOD, "platt": {"a": 1, "b": 0.5}}),
+    ("suppression", {**GOOD, "suppression": {"applied": True, "logit_below": -3}}),
+    ("", {**GOOD, "suppression": {"applied": True, "logit_below": -3, "rank_above": 0.5, "multiply_by": 1e-3}}),
+]
+
+
+def test_constants_and_what_is_wrong_with_them(spark):
+    rows = [(json.dumps(d), want) for want, d in CASES] + [(None, "not json"), ("{", "not json"), ("[1]", "not an object"), ("3", "not an object")]
+    d = spark.createDataFrame(rows, "t string, want string")
+    got = d.select("t", "want", expect.constants_problem(F.col("t"), ("s1", "s2", "s3")).alias("problem")).collect()
+    assert [(r["t"], r["problem"]) for r in got] == [(r["t"], r["want"]) for r in got]
+
+
 def test_constants_and_manifests(spark, tmp_path):
     names = ("s1", "s2", "s3")
-    good = spark.createDataFrame([(json.dumps(plans.GOOD),)], "text string")
+    good = spark.createDataFrame([(json.dumps(GOOD),)], "text string")
     sinks.constants(good, str(tmp_path / "c"), "text", names)
-    assert readers.constants(spark, str(tmp_path / "c"), names) == plans.GOOD
+    assert readers.constants(spark, str(tmp_path / "c"), names) == GOOD
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         sinks.constants(good, str(tmp_path / "c"), "text", names)
     for bad in (good.union(good), good.limit(0), spark.createDataFrame([("{}",)], "text string")):
         with pytest.raises(sinks.Refused):
             sinks.constants(bad, str(tmp_path / "d"), "text", names)
-    assert not (tmp_path / "d").exists() and expect.constants_problem(None, names) == "not json"
+    assert not (tmp_path / "d").exists() and expect.document_problem(spark, None, names) == "not json"
     (tmp_path / "m.csv").write_text("path,label\nz,1\na,0\nm,1\n")
     assert [tuple(r) for r in readers.manifest(spark, str(tmp_path / "m.csv")).collect()] == [(0, "z"), (1, "a"), (2, "m")]
     with pytest.raises(ValueError):

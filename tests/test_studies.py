@@ -155,6 +155,58 @@ def test_ranks_of_draws_equal_a_plain_bootstrap(spark, monkeypatch, slices):
     assert ranks.spearman_draws(frame.filter("false"), "k", "a", "b", 5).count() == 0
 
 
+@pytest.mark.parametrize("slices", [16, 1 << 31])
+def test_least_costs_of_draws_equal_a_plain_bootstrap(spark, monkeypatch, slices):
+    monkeypatch.setattr(ranks, "SLICE_BYTES", slices)
+    rng = np.random.default_rng(5)
+    y, cluster = rng.integers(0, 2, 200), rng.integers(0, 15, 200)
+    score = (rng.normal(size=200) + y).round(1)
+    score[:60] = 0.4  # a score that many rows have
+    rows = [(f"c{c}", int(k), float(s)) for c, k, s in zip(cluster, y, score)]
+    frame = spark.createDataFrame([*rows, ("c1", None, 1.0), ("c2", 1, float("nan"))], "c string, y int, s double").repartition(4)
+    costs = {"brief": (4.0, 1.0, 0.3), "averse": (1.0, 4.0, 0.5)}
+    got = {r["draw"]: r for r in ranks.min_dcf_draws(frame, "c", "s", 40, costs, 3).collect()}
+    hashes = {r["c"]: r["h"] for r in frame.select("c", F.xxhash64("c").alias("h")).distinct().collect()}
+    names = sorted(hashes)
+    counts = folds.poisson_counts(np.array([hashes[n] for n in names]).view(np.uint64), 40, 3)
+    assert len(got) == 40
+    for draw in range(40):
+        w = counts[[names.index(c) for c, _, _ in rows], draw]
+        pos, neg = w[y == 1].sum(), w[y == 0].sum()
+        for name, (fa, miss, prior) in costs.items():
+            best = min((fa * (1 - prior) * w[(y == 0) & (score >= t)].sum() / neg + miss * prior * w[(y == 1) & (score < t)].sum() / pos) / min(fa * (1 - prior), miss * prior) for t in np.unique(score))
+            assert got[draw + 1][name] == pytest.approx(min(best, 1.0), abs=1e-9)
+    one = ranks.min_dcf_draws(frame.filter("y = 1"), "c", "s", 3, costs).collect()
+    assert [r["brief"] for r in one] == [None] * 3 and ranks.min_dcf_draws(frame.filter("false"), "c", "s", 3, costs).count() == 0
+
+
+def test_twins_are_fitted_with_their_fold_and_not_read_out(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 2))
+    y, fold, twin = x @ [1.0, -0.5] + rng.normal(size=120), rng.integers(0, 3, 120), rng.random(120) < 0.3
+    frame = spark.createDataFrame([(*map(float, r), float(k), f"f{f}", bool(t)) for r, k, f, t in zip(x, y, fold, twin)], "a double, b double, y double, fold string, twin boolean")
+    got = {r["variant"]: r for r in sensitivity.least_squares_study(frame, ["a", "b"], "y", "fold", {"all": [], "no a": ["a"]}, fit_only="twin").collect()}
+    for name, at in (("all", [0, 1]), ("no a", [1])):
+        errors = []
+        for f in range(3):
+            a = np.column_stack([np.ones(120), x[:, at]])
+            b = np.linalg.lstsq(a[fold != f], y[fold != f], rcond=None)[0]
+            read = (fold == f) & ~twin
+            errors += ((y[read] - a[read] @ b) ** 2).tolist()
+        assert got[name]["n"] == len(errors) == (~twin).sum() and got[name]["mse"] == pytest.approx(np.mean(errors), abs=1e-9)
+
+
+def test_fold_file_with_a_pinned_hash(spark, tmp_path):
+    from plumbline.sources import readers
+
+    text = "path,label,generator,speaker,source,group,fold\na,spoof,g,s,c,gen:g,0\n"
+    (tmp_path / "folds.csv").write_text(text)
+    right = hashlib.sha256(text.encode()).hexdigest()
+    assert readers.folds_csv(spark, str(tmp_path / "folds.csv"), right).first()["fold"] == "0"
+    with pytest.raises(ValueError, match="pinned"):
+        readers.folds_csv(spark, str(tmp_path / "folds.csv"), "0" * 64)
+
+
 # draws and batches
 
 
