@@ -78,3 +78,24 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
         low, high = (F.min(F.when(F.col("run__n") > rank, F.col("_v"))) for rank in (math.floor(place), math.ceil(place)))
         made.append((low + (high - low) * (place - math.floor(place))).alias(name))
     return summed.agg(*made)
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, n, <name>): exact quantiles of `value` inside each group, in proportion between two neighbours.
+
+    As quantiles(), by counts of distinct values over ranges, so that a group that most rows are in is not one task.
+    Null keys are a group; groups without values are left out.
+    """
+    counts = settled(df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    s, t = running(counts, keys, "_v", ["_n"]).alias("s"), totals.alias("t")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}"))
+    summed = s.join(t, same).select("s.*", "t.n")
+    made = []
+    for name, share in shares.items():
+        place = F.lit(share) * (F.col("n") - 1)
+        low, high = (F.min(F.when(F.col("run__n") > rank, F.col("_v"))) for rank in (F.floor(place), F.ceil(place)))
+        made.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return summed.groupBy(*keys, "n").agg(*made)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.prefix import running
+from plumbline.functions.prefix import group_quantiles, running
 from plumbline.functions.scalars import basename
 
 
@@ -107,3 +107,27 @@ def partition_replaced(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new, keys, "left_anti").unionByName(new)
+
+
+def matched_variants(rows: DataFrame, variant: str, stats: list[str], target: Column, holes: list[str], baseline: str, skip: list[str], improvement: float = 0.2) -> DataFrame:
+    """(variant, n_stats, distance, nearer, holes_nearer, matches, place): which variant of the rows looks like the target rows.
+
+    distance is the mean over statistics of the gap of medians in units of the target's quartile range; a statistic
+    without a range there is left out. A variant matches if it is nearer than the baseline by `improvement` and its
+    gap is below the baseline's in each of `holes`. The baseline and the variants to `skip` are not candidates.
+    Candidates are placed by distance, then by name. Rows with a null variant and null statistics are left out.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("v")) for c in stats])
+    long = rows.select(F.col(variant).alias("variant"), F.coalesce(target, F.lit(False)).alias("target"), F.explode(pairs).alias("p")).select("variant", "target", "p.*")
+    goal = group_quantiles(long.filter("target"), ["stat"], "v", {"goal": 0.5, "q1": 0.25, "q3": 0.75}).withColumn("range", F.col("q3") - F.col("q1")).select("stat", "goal", "range")
+    own = group_quantiles(long.filter("not target and variant is not null"), ["variant", "stat"], "v", {"m": 0.5}).select("variant", "stat", "m")
+    gaps = own.join(goal, "stat").withColumn("gap", F.abs(F.col("m") - F.col("goal")))
+    used = F.when(F.col("range") > 1e-9, F.col("gap") / F.col("range"))
+    hole = [F.max(F.when(F.col("stat") == h, F.col("gap"))).alias(f"hole{i}") for i, h in enumerate(holes)]
+    table = gaps.groupBy("variant").agg(F.count(used).alias("n_stats"), F.avg(used).alias("distance"), *hole)
+    base = table.filter(F.col("variant") == baseline).select(F.col("distance").alias("base"), *[F.col(f"hole{i}").alias(f"base{i}") for i in range(len(holes))])
+    nearer = F.coalesce(F.col("distance") <= (1 - improvement) * F.col("base"), F.lit(False))
+    holes_nearer = F.coalesce(reduce(lambda a, b: a & b, [F.col(f"hole{i}") < F.col(f"base{i}") for i in range(len(holes))], F.lit(True)), F.lit(False))
+    rest = table.filter(~F.col("variant").isin(baseline, *skip)).join(F.broadcast(base))  # one row
+    place = F.row_number().over(Window.orderBy(F.col("distance").isNull(), F.round("distance", 12), "variant"))  # a row for each variant
+    return rest.select("variant", "n_stats", "distance", nearer.alias("nearer"), holes_nearer.alias("holes_nearer"), (nearer & holes_nearer).alias("matches"), place.alias("place"))

@@ -8,6 +8,7 @@ from plumbline.functions.scalars import BRIEF
 from plumbline.operators import expect
 from plumbline.operators import fusion as fu
 from plumbline.operators import metrics as me
+from plumbline.operators import relations
 from plumbline.plans.fusion import BRIEF_SQL, DCF_SQL, RANKED
 from plumbline.sources.tables import EV, evaluation, long_scores, table
 
@@ -90,11 +91,17 @@ def variant_table(spark, sf_dir):
     return variants(spark, sf_dir).select("generator", "n", R6("ga"), R6("gb"), R6("distance"))
 
 
-@query("codec_match", VARIANTS + " SELECT generator FROM g WHERE generator NOT IN ('en','de') AND distance <= 0.8e0*(SELECT distance FROM g WHERE generator='de') AND ga < (SELECT ga FROM g WHERE generator='de')")
+MATCH_SQL = W + """, l AS (SELECT source AS variant, split='test' AS target, unnest(['s1','s2','s3','m3']) AS stat, unnest([s1,s2,s3,m3]) AS v FROM ev),
+t AS (SELECT stat, quantile_cont(v,0.5) AS goal, quantile_cont(v,0.75)-quantile_cont(v,0.25) AS width FROM l WHERE target GROUP BY 1), o AS (SELECT variant, stat, quantile_cont(v,0.5) AS m FROM l WHERE NOT target AND variant IS NOT NULL GROUP BY ALL),
+g AS (SELECT variant, count(*) FILTER (width>1e-9) AS n_stats, avg(abs(m-goal)/width) FILTER (width>1e-9) AS distance, max(abs(m-goal)) FILTER (stat='s3') AS h0, max(abs(m-goal)) FILTER (stat='m3') AS h1 FROM o JOIN t USING (stat) GROUP BY 1)
+SELECT g.variant, g.n_stats, round(g.distance,6) AS distance, g.distance<=0.8e0*k.distance AS nearer, g.h0<k.h0 AND g.h1<k.h1 AS holes_nearer, g.distance<=0.8e0*k.distance AND g.h0<k.h0 AND g.h1<k.h1 AS matches, row_number() OVER (ORDER BY round(g.distance,12), g.variant)::INT AS place FROM g, g k WHERE k.variant='src0' AND g.variant NOT IN ('src0','src1')"""
+
+
+@query("codec_match", MATCH_SQL)
 def codec_match(spark, sf_dir):
-    v = variants(spark, sf_dir)
-    ref = v.filter("generator = 'de'").select(F.col("distance").alias("d0"), F.col("ga").alias("ga0"))
-    return v.filter("generator not in ('en', 'de')").join(F.broadcast(ref)).filter("distance <= 0.8D * d0 and ga < ga0").select("generator")
+    """Which source looks like the test rows: nearer than the baseline by a fifth over all statistics, and in each of two."""
+    made = relations.matched_variants(evaluation(spark, sf_dir), "source", ["s1", "s2", "s3", "m3"], F.col("split") == "test", ["s3", "m3"], "src0", ["src1"])
+    return made.withColumn("distance", F.round("distance", 6))
 
 
 @query("collect_logits", "SELECT conv_id, max(length(text)) FILTER (role='user' AND turn=0) AS user_chars, max(length(text)) FILTER (role='assistant' AND turn=1) AS assistant_chars FROM conversations GROUP BY 1")

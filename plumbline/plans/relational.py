@@ -526,10 +526,16 @@ def set_equality(spark, sf_dir):
     return expect.sides(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), "k")
 
 
-@query("set_disjoint", "SELECT count(*) AS n_shared FROM (SELECT n_name FROM nation INTERSECT SELECT r_name FROM region)")
+@query("set_disjoint", W + ", s AS (SELECT DISTINCT split, source||'/'||(doc_id%41) AS session FROM ev WHERE source IS NOT NULL) SELECT a.split AS one, b.split AS other, count(*) FILTER (a.session=b.session) AS n_shared FROM s a JOIN s b ON a.split<b.split GROUP BY ALL")
 def set_disjoint(spark, sf_dir):
-    shared = table(spark, sf_dir, "nation").select(F.col("n_name").alias("k")).join(table(spark, sf_dir, "region").select(F.col("r_name").alias("k")), "k", "left_semi")
-    return shared.distinct().agg(F.count("*").alias("n_shared"))
+    """How many groups each pair of splits shares; none may."""
+    s = evaluation(spark, sf_dir).filter("source is not null").select("split", F.concat_ws("/", "source", (F.col("doc_id") % 41).cast("string")).alias("session")).distinct()
+    seen = s.groupBy("session").agg(F.sort_array(F.collect_set("split")).alias("splits"))  # a split is one of four
+    pairs = F.expr("flatten(transform(splits, a -> transform(filter(splits, b -> a < b), b -> struct(a as one, b as other))))")
+    shared = seen.select(F.explode(pairs).alias("p")).groupBy("p.one", "p.other").agg(F.count("*").alias("n"))
+    kinds = s.select("split").distinct()
+    every = kinds.withColumnRenamed("split", "one").join(kinds.withColumnRenamed("split", "other"), F.col("one") < F.col("other"))
+    return every.join(shared, ["one", "other"], "left").select("one", "other", F.coalesce("n", F.lit(0)).alias("n_shared"))
 
 
 @query("upsert_flagged", W + "SELECT path, round(CASE WHEN doc_id%9=0 THEN s3 ELSE s1 END,6) AS score, CASE WHEN doc_id%9=0 THEN '' ELSE 'kept' END AS flag FROM ev")

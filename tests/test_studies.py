@@ -274,6 +274,47 @@ def test_tree_hash(spark, monkeypatch):
     assert (empty["n"], empty["tree"]) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def test_bundles_hold_what_was_given(spark, tmp_path):
+    import io
+    import wave
+
+    rows = [(f"r{i}", bytearray(np.random.default_rng(i).integers(0, 256, 2 * i).astype(np.uint8).tobytes())) for i in range(1, 30)]
+    d = spark.createDataFrame([*rows, ("empty", bytearray())], "id string, samples binary").repartition(3)
+    path = str(tmp_path / "bundle")
+    tree = sinks.bundle(d, path)
+    assert tree == json.loads(spark.read.text(f"{path}/meta").first()[0])["tree"] and sinks.bundle_ok(spark, path)
+    for r in spark.read.parquet(f"{path}/clips").filter("id in ('r7', 'empty')").collect():
+        with wave.open(io.BytesIO(bytes(r["content"]))) as w:
+            assert (w.getframerate(), w.getsampwidth(), w.getnchannels(), w.getnframes()) == (16000, 2, 1, r["n_samples"])
+            pcm = w.readframes(10**6)
+        assert r["pcm_sha256"] == hashlib.sha256(pcm).hexdigest() and pcm == (bytes(rows[6][1]) if r["id"] == "r7" else b"")
+    assert sinks.bundle(d.orderBy(F.desc("id")), str(tmp_path / "again")) == tree
+    with pytest.raises(FileExistsError):
+        sinks.bundle(d, path)
+    for bad in (d.union(d), d.withColumn("samples", F.lit(b"abc")), d.withColumn("id", F.lit(None).cast("string"))):
+        with pytest.raises(sinks.Refused):
+            sinks.bundle(bad, str(tmp_path / "bad"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["again", "bundle"]
+    changed = spark.read.parquet(f"{path}/clips").withColumn("content", F.when(F.col("id") == "r3", F.concat(F.substring("content", 1, 44), F.lit(b"123456"))).otherwise(F.col("content")))
+    changed.write.parquet(f"{path}/other")
+    (tmp_path / "bundle" / "clips").rename(tmp_path / "old")
+    (tmp_path / "bundle" / "other").rename(tmp_path / "bundle" / "clips")
+    assert not sinks.bundle_ok(spark, path)
+
+
+def test_quantiles_of_groups(spark):
+    from plumbline.functions.prefix import group_quantiles
+
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 4 == 0 else f"g{i % 4}", float(v)) for i, v in enumerate(rng.integers(0, 30, 400))] + [("g1", 5.0)] * 500 + [("none", None)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in group_quantiles(d, ["g"], "v", {"q": 0.37, "m": 0.5}).collect()}
+    assert set(got) == {None, "g1", "g2", "g3"}
+    for g, r in got.items():
+        own = [v for k, v in rows if k == g and v is not None]
+        assert r["n"] == len(own) and (r["q"], r["m"]) == pytest.approx(tuple(np.quantile(own, [0.37, 0.5])))
+
+
 def test_strict_json_at_every_depth(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
     schema = "id long, x double, f float, deep struct<a:array<struct<v:double,w:string>>,m:map<string,array<double>>>, plain array<int>, `odd name` double"
