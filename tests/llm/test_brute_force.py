@@ -615,6 +615,21 @@ def test_chat_texts_spans_and_odd_rows(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_of_long_texts_long_conversations_and_clashing_columns(spark):
+    long = "<|im_end|> é\\ " * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), *[(2, t, "assistant" if t % 2 else "user", f"turn {t} <|im_start|>") for t in range(5000)], (3, 0, "assistant", ""), (3, None, "user", "first")]
+    names = ("key", "n_turns", "formatted", "loss_spans", "turns_sha256")
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("caller's") for c in names}).repartition(5)
+    got = {r["conv_id"]: r for r in chat.formatted(d).collect()}
+    for conv in (1, 2, 3):
+        turns = sorted(((-1 if t is None else t, r, x) for c, t, r, x in rows if c == conv))
+        assert got[conv]["n_turns"] == len(turns)
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        said = "".join(x for _, r, x in turns if r == "assistant")
+        assert got[conv]["loss_chars"] == len(said) and got[conv]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert got[conv]["formatted_chars"] == len(got[conv]["formatted"])
+
+
 def test_templates():
     run = lambda s, **v: "".join(t for t, _ in template.compiled(s, {"upper": str.upper})(v))
     assert run("{% for m in xs %}{{ loop.index }}{% if loop.last %}!{% else %},{% endif %}{% endfor %}", xs=[1, 2]) == "1,2!"
@@ -735,6 +750,29 @@ def test_pages_written_by_hand(spark):
         assert out[i].n_chars == len(out[i].text)
 
 
+def test_block_labeller_equals_a_plain_loop():
+    """Gates, cells and both directions, one block and one number at a time."""
+    rng = np.random.default_rng(9)
+    model, reader = labeller.new_model(seed=4), labeller.Reader()
+    pages = [blocks.blocks_of(labeller.generated(rng)[0])[:n] for n in (6, 1, 9)]
+    x = reader.read(pages)
+    flat, got, at = labeller.inputs(model, x), labeller.logits(model, x), 0
+    sigma = lambda v: 1 / (1 + np.exp(-v))
+    for page in pages:
+        rows = flat[at : at + len(page)]
+        want = np.full(len(page), model["bias"][0])
+        for way, order, out in (("f", range(len(page)), model["out"][: labeller.HIDDEN, 0]), ("b", range(len(page) - 1, -1, -1), model["out"][labeller.HIDDEN :, 0])):
+            h, c = [0.0] * labeller.HIDDEN, [0.0] * labeller.HIDDEN
+            for k in order:
+                a = [sum(rows[k][i] * model[f"W{way}"][i][j] for i in range(rows.shape[1])) + sum(h[i] * model[f"U{way}"][i][j] for i in range(labeller.HIDDEN)) + model[f"c{way}"][j] for j in range(4 * labeller.HIDDEN)]
+                gate = [a[g * labeller.HIDDEN : (g + 1) * labeller.HIDDEN] for g in range(4)]
+                c = [sigma(f) * old + sigma(i) * np.tanh(g) for i, f, g, old in zip(gate[0], gate[1], gate[3], c)]
+                h = [sigma(o) * np.tanh(new) for o, new in zip(gate[2], c)]
+                want[k] += sum(v * w for v, w in zip(h, out))
+        assert np.allclose(got[at : at + len(page)], want, atol=1e-9)
+        at += len(page)
+
+
 def test_long_pages_are_read_in_stretches(monkeypatch):
     rng = np.random.default_rng(5)
     model, reader = labeller.new_model(), labeller.Reader()
