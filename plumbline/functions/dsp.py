@@ -32,17 +32,6 @@ def decode_wav(data: bytes | None) -> np.ndarray | None:
     return x if len(x) else None
 
 
-def probe(data: bytes | None) -> dict[str, object]:
-    """What a WAV file's header says, read without its samples; only `error` is set if it is not one."""
-    empty = dict.fromkeys(("format", "channels", "rate", "bits", "frames", "seconds", "error"))
-    try:
-        with wave.open(io.BytesIO(data or b"")) as w:
-            n, rate = w.getnframes(), w.getframerate()
-            return empty | {"format": "WAV", "channels": w.getnchannels(), "rate": rate, "bits": 8 * w.getsampwidth(), "frames": n, "seconds": n / rate if rate else None}
-    except (wave.Error, EOFError) as e:
-        return empty | {"error": str(e) or "end of file"}
-
-
 def frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     """Overlapping frames; a short signal is one zero-padded frame."""
     if len(x) < size:

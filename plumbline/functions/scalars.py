@@ -86,6 +86,28 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / ((F.sqrt(dot(a, a)) + 1e-9) * (F.sqrt(dot(b, b)) + 1e-9))
 
 
+#: Names of tools that make speech, and words that say that something was made. Fixed values.
+AI_TOOL_TERMS = (
+    "elevenlabs", "eleven labs", "play.ht", "playht", "resemble", "descript", "murf", "speechify", "tortoise", "coqui", "xtts", "bark", "suno", "polly", "wellsaid", "lovo",
+    "respeecher", "voicebox", "openvoice", "styletts", "tacotron", "fastspeech", "wavegrad", "diffwave", "hifigan", "hifi-gan", "text-to-speech", "text to speech", "tts",
+)
+SYNTH_TERMS = ("synthetic", "synthesized", "synthesised", "generated", "cloned", "deepfake", "ai voice", "ai-generated")
+
+
+def first_term(text: Column, terms: tuple[str, ...]) -> Column:
+    """The first of the terms that a text holds, in their order; `tts` counts as a whole word only. Null without one."""
+    low = F.lower(text)
+    hit = lambda t: low.rlike(r"\btts\b") if t == "tts" else low.contains(t)
+    return F.coalesce(*[F.when(hit(t), t) for t in terms])
+
+
+def tag_score(tags: Column) -> tuple[Column, Column]:
+    """Score of a recording by the values of its tags, and the term that says so; keys are no evidence. No tags: 0.5."""
+    text = F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(tags)), lambda e: e["value"]), " "), F.lit(""))
+    tool, made = first_term(text, AI_TOOL_TERMS), first_term(text, SYNTH_TERMS)
+    return F.when(tool.isNotNull(), 0.9).when(made.isNotNull(), 0.75).otherwise(0.5), F.coalesce(tool, made)
+
+
 def sorted_pairs(tags: Column, first: int = 4) -> Column:
     """The first entries of a string map by key as k=v, joined."""
     return F.array_join(F.slice(F.transform(F.array_sort(F.map_entries(tags)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), 1, first), "|")

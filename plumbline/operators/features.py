@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, lag_of, probe, snr_db, trim
+from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, lag_of, snr_db, trim
+from plumbline.functions.headers import wav_facts
 from plumbline.functions.signal import Clip, deployed, safe, segment
 from plumbline.operators.fusion import gate_reasons
 
@@ -62,7 +63,7 @@ def decode_stats(clips: DataFrame, key: str = "path", content: str = "content")
 
 def header_probe(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, format, channels, rate, bits, frames, seconds, error) from headers alone."""
-    return _each(clips, key, content, "format string, channels int, rate int, bits int, frames long, seconds double, error string", lambda data: [tuple(probe(data).values())])
+    return wav_facts(clips.select(key, content), content)
 
 
 def speech_gate(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

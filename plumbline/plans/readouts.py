@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import BRIEF
-from plumbline.operators import expect
+from plumbline.functions.scalars import BRIEF, FAILED, determinate, jitter, sigmoid
+from plumbline.operators import draws, expect
 from plumbline.operators import fusion as fu
 from plumbline.operators import metrics as me
 from plumbline.operators import relations
@@ -185,17 +185,26 @@ def verdict_guard(spark, sf_dir):
     return m.select("generator", F.when(F.expr("p is null or n is null or k < 20"), "inconclusive").when(F.col("p") - F.col("n") > 1, "memorised").otherwise("clear").alias("reading"))
 
 
-@query("template_order", "SELECT vec_id AS ord, 'v'||vec_id AS filename FROM embeddings")
+@query("template_order", W + "SELECT row_number() OVER (ORDER BY doc_id)-1 AS ord, path AS filename FROM ev WHERE y IS NULL")
 def template_order(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.concat(F.lit("v"), F.col("vec_id")).alias("filename"))
+    """The test rows numbered in their order, over ranges."""
+    return draws.numbered(evaluation(spark, sf_dir).filter("y is null"), "doc_id", name="ord").select("ord", F.col("path").alias("filename"))
 
 
-@query("template_scores", "SELECT count(*) AS n, round(avg((p>0.5e0)::INT),6) AS over_half, round(avg((p>0.9e0)::INT),6) AS over_nine FROM (SELECT 1e0/(1e0+exp(-100e0*list_sum(embedding::DOUBLE[])/len(embedding))) AS p FROM embeddings)")
+TEMPLATE_SQL = """WITH t AS (SELECT row_number() OVER (ORDER BY vec_id)-1 AS ord, vec_id, 'v'||vec_id AS filename FROM embeddings), s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE*((i%5)-2)))-0.25e0 AS z FROM embeddings WHERE vec_id%9<>4)
+SELECT ord, filename, round(CASE WHEN z IS NULL THEN 0.0001e0*cast(('0x'||substr(sha1(filename),1,16)) AS UBIGINT)::DOUBLE/18446744073709551616e0 ELSE 0.001e0+0.999e0/(1e0+exp(-z)) END,6) AS score, CASE WHEN z IS NULL THEN 'missing' ELSE '' END AS flag FROM t LEFT JOIN s USING (vec_id)"""
+
+
+@query("template_scores", TEMPLATE_SQL)
 def template_scores(spark, sf_dir):
-    mean = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x) / F.size("embedding")
-    p = 1.0 / (1.0 + F.exp(-100.0 * mean))
-    d = table(spark, sf_dir, "embeddings").select(p.alias("p"))
-    return d.agg(F.count("*").alias("n"), F.round(F.avg((F.col("p") > 0.5).cast("int")), 6).alias("over_half"), F.round(F.avg((F.col("p") > 0.9).cast("int")), 6).alias("over_nine"))
+    """A submission from stored embeddings: a linear probe's posterior for each template row, pinned where the store lacks it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    weights = F.transform(F.sequence(F.lit(1), F.greatest(F.size("e"), F.lit(1))), lambda i: ((i % 5) - 2).cast("double"))
+    z = F.aggregate(F.zip_with("e", weights, lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b) - 0.25
+    stored = e.filter("vec_id % 9 <> 4").select("vec_id", z.alias("z"))
+    t = draws.numbered(e.select("vec_id"), "vec_id", name="ord").withColumn("filename", F.concat(F.lit("v"), "vec_id"))
+    score = F.when(F.col("z").isNull(), FAILED * jitter(F.col("filename"))).otherwise(determinate(sigmoid(F.col("z"))))
+    return t.join(stored, "vec_id", "left").select("ord", "filename", F.round(score, 6).alias("score"), F.when(F.col("z").isNull(), "missing").otherwise("").alias("flag"))
 
 
 @query("pcm_diff", "WITH a AS (SELECT doc_id, CASE WHEN doc_id%10=9 THEN NULL ELSE sha256(text) END AS sha FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id%4=3 THEN NULL ELSE sha256(text) END AS sha FROM documents) SELECT doc_id, CASE WHEN a.sha IS NULL THEN 'extra' WHEN b.sha IS NULL THEN 'missing' WHEN a.sha=b.sha THEN 'same' ELSE 'differs' END AS status FROM a FULL JOIN b USING (doc_id)")

@@ -118,11 +118,21 @@ def scalar_maps(spark, sf_dir):
     return evaluation(spark, sf_dir).select("path", F.round(sc.sigmoid(F.col("s1")), 6).alias("p"), F.round(sc.logit(p), 6).alias("back"), F.round(sc.decibels(F.col("n_chars") / 1e6), 6).alias("db"), F.round(sc.determinate(F.col("s3")), 6).alias("d"))
 
 
-@query("tag_rules", "SELECT page_id, CASE WHEN contains(lower(url),'blog') THEN 0.9e0 WHEN contains(lower(url),'.html') THEN 0.75e0 ELSE 0.5e0 END AS score, regexp_matches(lower(url), '\\bref\\b') AS has_word FROM pages")
+_ENCODER = "CASE p_partkey%7 WHEN 0 THEN 'ElevenLabs v2' WHEN 1 THEN 'my TTS engine' WHEN 2 THEN 'Mattsson' WHEN 3 THEN 'XTTS' ELSE 'Lavf' END"
+_COMMENT = "CASE WHEN p_partkey%5=0 THEN 'An AI-Generated part' ELSE p_type END"
+_TERMS = lambda terms: "coalesce(" + ", ".join(f"CASE WHEN {'regexp_matches(t, ' + chr(39) + chr(92) + 'btts' + chr(92) + 'b' + chr(39) + ')' if x == 'tts' else f'contains(t, {chr(39)}{x}{chr(39)})'} THEN '{x}' END" for x in terms) + ")"
+TAG_SQL = f"WITH g AS (SELECT p_partkey, {_ENCODER} AS e, {_COMMENT} AS c, p_name AS n FROM part), t AS (SELECT *, lower(c||' '||e||' '||n) AS t FROM g), r AS (SELECT *, {_TERMS(sc.AI_TOOL_TERMS)} AS tool, {_TERMS(sc.SYNTH_TERMS)} AS made FROM t) SELECT p_partkey, CASE WHEN tool IS NOT NULL THEN 0.9e0 WHEN made IS NOT NULL THEN 0.75e0 ELSE 0.5e0 END AS score, coalesce(tool, made) AS term, 'comment='||c||'|encoder='||e||'|title='||n AS tags FROM r"
+
+
+@query("tag_rules", TAG_SQL)
 def tag_rules(spark, sf_dir):
-    u = F.col("url")
-    score = F.when(sc.has_any(u, ["blog"]), 0.9).when(sc.has_any(u, [".html"]), 0.75).otherwise(0.5)
-    return table(spark, sf_dir, "pages").select("page_id", score.alias("score"), F.lower(u).rlike(r"\bref\b").alias("has_word"))
+    """What the tags of a file say of how it was made: a tool's name, a word for making, or nothing."""
+    n = F.col("p_partkey")
+    encoder = F.when(n % 7 == 0, "ElevenLabs v2").when(n % 7 == 1, "my TTS engine").when(n % 7 == 2, "Mattsson").when(n % 7 == 3, "XTTS").otherwise("Lavf")
+    comment = F.when(n % 5 == 0, "An AI-Generated part").otherwise(F.col("p_type"))
+    tags = F.create_map(F.lit("title"), F.col("p_name"), F.lit("encoder"), encoder, F.lit("comment"), comment)
+    score, term = sc.tag_score(F.col("tags"))
+    return table(spark, sf_dir, "part").select("p_partkey", tags.alias("tags")).select("p_partkey", score.alias("score"), term.alias("term"), sc.sorted_pairs(F.col("tags")).alias("tags"))
 
 
 @query("container_facts", "SELECT page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, contains(html, '</html>') AS whole, octet_length(encode(html)) AS n_bytes, split_part(url,'://',1) AS scheme FROM pages")

@@ -237,6 +237,38 @@ def test_wav_headers():
     assert math.isclose(scalars.bayes_threshold(4, 1, 0.3), math.log(4) + math.log(7 / 3))
 
 
+def test_header_facts_of_all_kinds_of_files(spark):
+    from plumbline.functions.headers import wav_facts
+
+    def wav(*chunks, riff=b"RIFF", name=b"WAVE"):
+        body = b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) % 2) for k, v in chunks)
+        return riff + struct.pack("<I", 4 + len(body)) + name + body
+
+    fmt = lambda rate=16000, channels=1, bits=16, kind=1: (b"fmt ", struct.pack("<HHIIHH", kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits))
+    none = (None,) * 6
+    cases = [
+        (wav(fmt(), (b"data", b"\0" * 200)), ("WAV", 1, 16000, 16, 100, 0.00625, None)),
+        (wav((b"LIST", b"odd"), fmt(44100, 2, 24), (b"fact", b"1234"), (b"data", b"\0" * 601)), ("WAV", 2, 44100, 24, 100, 100 / 44100, None)),
+        (wav(fmt(bits=8), (b"data", b"")), ("WAV", 1, 16000, 8, 0, 0.0, None)),
+        (wav(fmt(3_000_000_000 & 0x7FFFFFFF), (b"data", b"ab")), ("WAV", 1, 3_000_000_000 & 0x7FFFFFFF, 16, 1, 1 / (3_000_000_000 & 0x7FFFFFFF), None)),
+        (b"", (*none, "empty")), (None, (*none, "empty")), (b"RIFF", (*none, "no RIFF")), (b"no recording at all", (*none, "no RIFF")),
+        (wav((b"data", b"\0" * 8)), (*none, "no format")), (wav((b"data", b"\0" * 8), fmt()), (*none, "no format")),
+        (wav(fmt(kind=3), (b"data", b"\0" * 8)), (*none, "not PCM")), (wav(fmt(channels=0), (b"data", b"\0" * 8)), (*none, "not PCM")),
+        (wav(fmt()), (*none, "no samples")), (wav(fmt(), (b"data", b"12"))[:30], (*none, "no format")),
+    ]
+    d = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, (c, _) in enumerate(cases)], "i int, content binary")
+    got = {r["i"]: tuple(r)[1:] for r in wav_facts(d.withColumn("rate", F.lit("caller's")), "content").collect()}
+    for i, (_, want) in enumerate(cases):
+        assert got[i][:5] + got[i][6:] == want[:5] + want[6:] and got[i][5] == (want[5] if want[5] is None else pytest.approx(want[5])), (i, got[i])
+
+
+def test_tags_that_name_a_tool(spark):
+    rows = [({"encoder": "Lavf", "comment": "made with ElevenLabs"}, 0.9, "elevenlabs"), ({"a": "Mattsson"}, 0.5, None), ({"a": "a TTS voice"}, 0.9, "tts"), ({"tts": "none"}, 0.5, None), ({"a": "Deepfake, cloned"}, 0.75, "cloned"), ({}, 0.5, None), (None, 0.5, None), ({"a": None, "b": "ai voice"}, 0.75, "ai voice")]
+    d = spark.createDataFrame(rows, "tags map<string,string>, score double, term string")
+    score, term = scalars.tag_score(F.col("tags"))
+    assert [(r["s"], r["t"]) for r in d.select(score.alias("s"), term.alias("t")).collect()] == [(s, t) for _, s, t in rows]
+
+
 def test_probe_reads_whole_embeddings(spark, tmp_path):
     from plumbline.plans import registry
 
