@@ -10,7 +10,8 @@ group's size, and is the constant z where the count is 0. For groups A and B the
 
 The first line needs no terms at all: a histogram of each group's counts, priced once for each different z. The
 second comes from a join of posting lists of the terms that two groups share. The third is a constant of the pair.
-All numbers are integers. Counts are made in the tasks that read the texts and only their sums are shuffled.
+All numbers are integers. Counts are made in the tasks that read the texts and only their sums are shuffled, with
+numbers for groups in place of their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,24 +37,23 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 PARTS = 256
 #: A term of more sources is joined in several parts of its posting list.
 WIDE = 1000
-COUNTS = "lang string, source string, term string, n long, docs long"
+COUNTS = "lid long, gid long, term string, n long, docs long"
 
 
 def _rows(held: dict) -> Iterator[pa.RecordBatch]:
-    """Counters to rows of COUNTS; the row without a term stands for the group itself."""
-    for (lang, source), (n, docs) in held.items():
-        terms = [None, *n]
-        columns = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
-        numbers = [pa.array([0, *values], pa.int64()) for values in (n.values(), map(docs.__getitem__, n))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.binary()).cast(pa.string()), *numbers], names=["lang", "source", "term", "n", "docs"])
+    """Counters to rows of COUNTS."""
+    for (lid, gid), (n, docs) in held.items():
+        groups = [pa.array(np.full(len(n), x)) for x in (lid, gid)]
+        numbers = [pa.array(list(values), pa.int64()) for values in (n.values(), map(docs.__getitem__, n))]
+        yield pa.RecordBatch.from_arrays([*groups, pa.array(list(n), pa.binary()).cast(pa.string()), *numbers], names=["lid", "gid", "term", "n", "docs"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[int, int], tuple[Counter, Counter]] = {}
     size = 0
     for part in sliced(batches, "text"):
-        for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part, "text")):
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+        for lid, gid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part, "text")):
+            n, docs = held.setdefault((lid, gid), (Counter(), Counter()))
             before, seen = len(n), set()
             for piece in pieces(text, LETTERS):
                 words = piece.split()
@@ -66,6 +67,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(held)
 
 
+def _numbers(seed: int) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), "lang").alias("lid"), F.xxhash64(F.lit(seed), "lang", "source").alias("gid")]
+
+
+def _numbered(names: DataFrame) -> int:
+    """A seed whose hashes tell all langs and all groups apart."""
+    for seed in range(100):
+        n, langs, lids, gids = names.select("*", *_numbers(seed)).agg(F.count("*"), F.count_distinct("lang"), F.count_distinct("lid"), F.count_distinct("gid")).first()
+        if (n, langs) == (gids, lids):
+            return seed
+    raise ValueError("no seed tells the groups apart")
+
+
 def share(count: Column, size: Column) -> Column:
     """1 + floor(SCALE * (count + 2) / size), in decimals until it is small."""
     top = (count + 2).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
@@ -99,14 +113,14 @@ def _overlaps(postings: DataFrame) -> DataFrame:
 
 def _pairs(groups: DataFrame, postings: DataFrame, small: bool) -> DataFrame:
     """(lang, source, item, value) for each ordered pair of sources of a language."""
-    histogram = postings.groupBy("lang", "gid", "p").agg(F.count("*").alias("terms"))
-    sides = groups.filter("v > 0").select("lang", F.col("z").alias("side")).distinct()
-    priced = _beside(histogram, sides, ["lang"], small, F.struct("gid", "p"))
+    histogram = postings.groupBy("lid", "gid", "p").agg(F.count("*").alias("terms"))
+    sides = groups.filter("v > 0").select("lid", F.col("z").alias("side")).distinct()
+    priced = _beside(histogram, sides, ["lid"], small, F.struct("gid", "p"))
     priced = checkpointed(priced.groupBy("gid", "side").agg(F.sum(F.col("terms") * gap(F.col("p"), F.col("side"))).alias("one")))
     names = ("gid", "source", "z", "terms")
-    a = groups.select("lang", "v", *[F.col(c).alias(f"{c}_a") for c in names])
-    b = groups.select("lang", *[F.col(c).alias(f"{c}_b") for c in names])
-    pairs = _beside(a, b, ["lang"], small, F.col("gid_a")).filter("gid_a < gid_b")
+    a = groups.select("lid", "lang", "v", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = groups.select("lid", *[F.col(c).alias(f"{c}_b") for c in names])
+    pairs = _beside(a, b, ["lid"], small, F.col("gid_a")).filter("gid_a < gid_b")
     for x, y in ("ab", "ba"):
         one = priced.select(F.col("gid").alias(f"gid_{x}"), F.col("side").alias(f"z_{y}"), F.col("one").alias(f"one_{x}"))
         pairs = pairs.join(one, [f"gid_{x}", f"z_{y}"], "left")
@@ -126,28 +140,31 @@ def divergence(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     of UTF-8 bytes. Other columns of `docs` are not read. No rows give no rows.
     """
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))], F.col(text_col).alias("text"))
-    sums = texts.mapInArrow(_counted, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    names = checkpointed(texts.select("lang", "source").distinct())
+    numbers = _numbers(_numbered(names))
+    sums = texts.select(*numbers, "text").mapInArrow(_counted, COUNTS).groupBy("lid", "gid", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counts = checkpointed(sums)
-    known = counts.filter("term is not null")
-    terms = known.groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.sum("docs").alias("docs"), F.count("*").alias("sources"))
+    terms = counts.groupBy("lid", "term").agg(F.sum("n").alias("whole"), F.sum("docs").alias("docs"), F.count("*").alias("sources"))
     terms = checkpointed(terms.filter(F.col("docs") >= least_docs).drop("docs").withColumn("tid", F.monotonically_increasing_id()))
-    kept = checkpointed(known.drop("docs").join(terms, ["lang", "term"]))
+    kept = checkpointed(counts.drop("docs").join(terms, ["lid", "term"]))
 
-    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("lang_size"))
-    sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("terms"))
-    every = counts.filter("term is null").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
-    filled = every.fillna(0, ["size", "terms", "v", "lang_size"])
+    langs = terms.groupBy("lid").agg(F.count("*").alias("v"), F.sum("whole").alias("lang_size"))
+    sizes = kept.groupBy("gid").agg(F.sum("n").alias("size"), F.count("*").alias("terms"))
+    filled = names.select("*", *numbers).join(sizes, "gid", "left").join(langs, "lid", "left").fillna(0, ["size", "terms", "v", "lang_size"])
     z = F.when(F.col("v") > 0, share(F.lit(0), F.col("size") + 2 * F.col("v")))
-    groups = checkpointed(filled.withColumns({"z": z, "gid": F.monotonically_increasing_id()}))
-    n, size = groups.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("lang") + F.octet_length("source") + 48), F.lit(0))).first()
+    groups = checkpointed(filled.withColumn("z", z))
+    n, size = groups.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("lang") + F.octet_length("source") + 64), F.lit(0))).first()
     small = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 
     p, q = share(F.col("n"), F.col("size") + 2 * F.col("v")), share(F.col("whole"), F.col("lang_size") + 2 * F.col("v"))
-    postings = _beside(kept, groups, ["lang", "source"], small, F.col("tid")).withColumns({"p": p, "q": q})
+    postings = _beside(kept, groups.drop("lid", "lang", "source", "terms"), ["gid"], small, F.col("tid")).withColumns({"p": p, "q": q})
     pairs = _pairs(groups, postings, small).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
-    apart = postings.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return pairs.withColumn("rank", rank).unionByName(apart.withColumn("rank", rank).filter(F.col("rank") <= top))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "item"))
+    apart = postings.filter("p > q").select("gid", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
+    best = apart.withColumn("rank", rank("gid")).filter(F.col("rank") <= top)
+    named = groups.select("gid", "lang", "source")
+    best = best.join(F.broadcast(named) if small else named, "gid").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pairs.withColumn("rank", rank("lang", "source")).unionByName(best)
 
 
 def op11(docs: DataFrame) -> DataFrame:
