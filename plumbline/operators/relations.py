@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import settled
 from plumbline.functions.prefix import group_quantiles, running
 from plumbline.functions.scalars import basename
 
@@ -86,9 +89,34 @@ def lowest_fraction(rows: DataFrame, score: str, key: str, share: float) -> Data
     return rows.filter(F.col(score) < cut["at"]).unionByName(ties)
 
 
+#: So many undominated points of a table's partitions are broadcast to its rows at most.
+POINTS = 10_000
+
+
+def _skyline(batches):
+    """Points that no other point of the task is at most equal to in all cells and below in one."""
+    held = None
+    for pdf in batches:
+        points = pdf.to_numpy(dtype=float)
+        points = np.unique(points if held is None else np.vstack([held, points]), axis=0)
+        kept: list[np.ndarray] = []
+        for p in points:  # sorted by the first cell, so that only points before can dominate
+            if not any((k <= p).all() for k in kept):
+                kept.append(p)
+        held, names = np.array(kept).reshape(-1, points.shape[1]), list(pdf.columns)
+    if held is not None:
+        yield pd.DataFrame(held, columns=names)
+
+
 def undominated(rows: DataFrame, cells: list[str]) -> DataFrame:
-    """Rows that no other row is at most equal to in all cells and below in one; for report tables."""
-    x, y = rows.alias("x"), F.broadcast(rows.select(*[F.col(c).alias(f"_{c}") for c in cells]))
+    """Rows that no other row is at most equal to in all cells and below in one; a row with a null cell stays.
+
+    Each task first finds the undominated points of its own rows; rows are compared with those, not with each other.
+    """
+    points = rows.select(*[F.col(c).cast("double").alias(f"_{c}") for c in cells]).dropna()
+    front = settled(points.mapInPandas(_skyline, points.schema))
+    y = F.broadcast(front) if front.count() <= POINTS else front
+    x = rows.alias("x")
     no_worse = reduce(lambda a, b: a & b, [F.col(f"_{c}") <= F.col(f"x.{c}") for c in cells])
     better = reduce(lambda a, b: a | b, [F.col(f"_{c}") < F.col(f"x.{c}") for c in cells])
     return x.join(y, no_worse & better, "left_anti")

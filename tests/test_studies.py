@@ -253,6 +253,32 @@ def test_batches_by_length(spark):
         longest = own[-1]
 
 
+@pytest.mark.parametrize("points", [10_000, 0])
+def test_undominated_rows(spark, monkeypatch, points):
+    from plumbline.operators import relations
+
+    monkeypatch.setattr(relations, "POINTS", points)
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(rng.integers(0, 12, (300, 3)))] + [(900, None, 1.0, 1), (901, 0.0, 0.0, 50), (902, 0.0, 0.0, 50)]
+    d = spark.createDataFrame(rows, "i long, a double, b double, c int").repartition(5)
+    got = {r["i"] for r in relations.undominated(d, ["a", "b", "c"]).collect()}
+    less = lambda x, y: all(p <= q for p, q in zip(x, y)) and x != y
+    want = {i for i, *x in rows if None in x or not any(None not in y and less(y, x) for _, *y in rows)}
+    assert got == want and {900, 901, 902} <= got
+
+
+def test_pools_that_lie_apart_are_told_apart(spark, tmp_path):
+    from plumbline.plans import registry
+
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=8) * 0.2 + (1.0 if i % 4 == 2 else -1.0 if i % 4 == 1 else 0.9 if i % 4 == 3 else -0.9)).tolist(), i % 4) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["label"]: r for r in registry.QUERIES["corpus_probe"](spark, str(tmp_path)).collect()}
+    assert [got[k]["n"] for k in range(4)] == [100] * 4
+    assert got[2]["share"] == 1 and got[1]["share"] == 0 and got[3]["share"] > 0.95 and got[0]["share"] < 0.05
+    assert got[2]["mean_p"] > 0.8 > 0.2 > got[1]["mean_p"]
+
+
 # whole-table checks
 
 
