@@ -51,3 +51,16 @@ def test_stages_on_an_empty_table_and_clashing_columns(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, sf_dir)
             assert set(table.columns) <= set(out.columns) and out.count() <= 3 * table.count()
+
+
+def test_run_works_out_each_stage_once(spark, sf_dir, tmp_path):
+    """The rows of run() are those of the stages written one by one, and nothing but the last stage is left in its plan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    out = corpus_pipeline.run(spark, sf_dir)
+    key = lambda df: sorted(map(str, df.select("doc_id", "text_crc32", "shard", "slot").collect()))
+    assert key(out) == key(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FileScan" not in plan
