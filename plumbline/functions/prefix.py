@@ -16,6 +16,12 @@ from plumbline.functions.lineage import settled
 RANGES = 64
 
 
+def _free(df: DataFrame, *stems: str) -> list[str]:
+    """Names that no column of `df` has or begins with, so that a caller's columns never clash with working ones."""
+    taken = [c.lower() for c in df.columns]
+    return ["_" * (1 + max((len(c) - len(c.lstrip("_")) for c in taken), default=0)) + s for s in stems]
+
+
 def cuts_of(df: DataFrame, cols: list[str], ranges: int = RANGES) -> list[list[float]]:
     """Range borders of each column, by one pass."""
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
@@ -30,17 +36,18 @@ def running(df: DataFrame, keys: list[str], order: str, values: list[str], cuts:
     are a group; rows with a null order come first.
     """
     cuts = cuts_of(df, [order])[0] if cuts is None else cuts
-    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = df.withColumn("_part", F.coalesce(part, F.lit(0)))
-    sums = placed.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    heads = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_head_{v}") for v in values])
+    at, head = _free(df, "part", "head")
+    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(f"`{order}`"))) if cuts else F.lit(0)
+    placed = df.withColumn(at, F.coalesce(part, F.lit(0)))
+    sums = placed.groupBy(*keys, at).agg(*[F.sum(v).alias(f"{head}_{v}") for v in values])
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    heads = sums.select(*keys, at, *[F.coalesce(F.sum(f"{head}_{v}").over(before), F.lit(0)).alias(f"{head}_{v}") for v in values])
     d, h = placed.alias("d"), heads.alias("h")
-    on = F.col("d._part") == F.col("h._part")
+    on = F.col(f"d.{at}") == F.col(f"h.{at}")
     for k in keys:
         on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}"))
-    inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col("d._part")).orderBy(*[F.col(f"d.{c}") for c in (order, *(ties or []))]).rowsBetween(Window.unboundedPreceding, 0)
-    return d.join(h, on).select("d.*", *[(F.sum(f"d.{v}").over(inside) + F.col(f"h._head_{v}")).alias(f"run_{v}") for v in values]).drop("_part")
+    inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col(f"d.{at}")).orderBy(*[F.col(f"d.{c}") for c in (order, *(ties or []))]).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(h, on).select("d.*", *[(F.sum(f"d.{v}").over(inside) + F.col(f"h.{head}_{v}")).alias(f"run_{v}") for v in values]).drop(at)
 
 
 def following(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
@@ -50,17 +57,18 @@ def following(df: DataFrame, keys: list[str], order: str, values: list[str]) ->
     row looks at the first row of the next range of its keys, from a table of at most groups x ranges rows.
     """
     cuts = cuts_of(df, [order])[0]
+    at, first, then, own = _free(df, "part", "first", "next", "own")
     part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = df.withColumn("_part", part)
-    first = placed.groupBy(*keys, "_part").agg(F.min_by(F.struct(*values), order).alias("_first"))
-    heads = first.select(*keys, "_part", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part")).alias("_next"))
+    placed = df.withColumn(at, part)
+    heads = placed.groupBy(*keys, at).agg(F.min_by(F.struct(*values), order).alias(first))
+    heads = heads.select(*keys, at, F.lead(first).over(Window.partitionBy(*keys).orderBy(at)).alias(then))
     d, h = placed.alias("d"), heads.alias("h")
-    on = F.col("d._part") == F.col("h._part")
+    on = F.col(f"d.{at}") == F.col(f"h.{at}")
     for k in keys:
         on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}"))
-    inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col("d._part")).orderBy(F.col(f"d.{order}"))
-    own = F.coalesce(F.lead(F.struct(*[F.col(f"d.{v}") for v in values])).over(inside), F.col("h._next"))
-    return d.join(h, on).select("d.*", own.alias("_own")).select("*", *[F.col(f"_own.{v}").alias(f"next_{v}") for v in values]).drop("_part", "_own")
+    inside = Window.partitionBy(*[F.col(f"d.{k}") for k in keys], F.col(f"d.{at}")).orderBy(F.col(f"d.{order}"))
+    found = F.coalesce(F.lead(F.struct(*[F.col(f"d.{v}") for v in values])).over(inside), F.col(f"h.{then}"))
+    return d.join(h, on).select("d.*", found.alias(own)).select("*", *[F.col(f"{own}.{v}").alias(f"next_{v}") for v in values]).drop(at, own)
 
 
 def quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:

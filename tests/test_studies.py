@@ -328,6 +328,19 @@ def test_bundles_hold_what_was_given(spark, tmp_path):
     assert not sinks.bundle_ok(spark, path)
 
 
+def test_running_sums_keep_a_callers_working_names(spark):
+    from plumbline.functions.prefix import following, running
+
+    names = ("_part", "__part", "_head", "_own", "_next", "part")
+    d = spark.createDataFrame([(f"g{i % 2}", float(i * 37 % 101), i) for i in range(101)], "g string, o double, v int").withColumns({c: F.lit(c) for c in names})
+    for f in (running, following):
+        out = f(d, ["g"], "o", ["v"])
+        assert set(out.columns) == {*d.columns, "run_v" if f is running else "next_v"} and all(r[c] == c for r in out.collect() for c in names)
+    got = {r["o"]: r["run_v"] for r in running(d, ["g"], "o", ["v"]).collect()}
+    rows = [(f"g{i % 2}", float(i * 37 % 101), i) for i in range(101)]
+    assert got == {o: sum(w for h, p, w in rows if h == g and p <= o) for g, o, _ in rows}
+
+
 def test_quantiles_of_groups(spark):
     from plumbline.functions.prefix import group_quantiles
 
