@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plumbline.llm.common import checkpointed, free_name
+from plumbline.llm.common import checkpointed, free_name, pieces
 from plumbline.llm.components import connected
 from plumbline.llm.rows import with_computed
 
@@ -33,17 +33,36 @@ WIDTH = 16
 FEW = 5000
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Bit-wise majority (over half) of the XXH64 of all word shingles; 0 if there is no word."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    runs = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else (words,)
-    count = max(1, len(words) - shingle + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(seed)), np.uint64, count)
+#: A-Z are lower-cased, the five ASCII white-space controls become spaces, all other bytes stay.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, count, 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return ones
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, limit: int = 4 << 20) -> int:
+    """Bit-wise majority (over half) of the XXH64 of all word shingles; 0 if there is no word.
+
+    A text is read in pieces of about `limit` bytes, each with the last words of the one before, so that the words
+    and hashes of one piece are held whatever its length.
+    """
+    ones, count, words = np.zeros(64, np.int64), 0, []
+    for piece in pieces(text, LETTERS, limit):
+        words += piece.split()
+        n = len(words) - shingle + 1
+        if n > 0:
+            runs = zip(*(words[i:] for i in range(shingle)))
+            ones += _set_bits(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(seed)), np.uint64, n))
+            count, words = count + n, words[n:]
+    if not count:
+        if not words:
+            return 0
+        ones, count = _set_bits(np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)), 1
     return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
 
 

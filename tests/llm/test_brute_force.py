@@ -74,6 +74,15 @@ def test_simhash_components(spark):
     assert got == {i: (f"{f:016x}", root(i)) for i, f in enumerate(fps)}
 
 
+@pytest.mark.parametrize("limit", [1, 5, 17, 4 << 20])
+def test_fingerprints_of_texts_in_pieces(limit):
+    rng = random.Random(limit)
+    for n in [*range(8), 60, 300]:
+        text = "".join(rng.choice(["Ab", "c\u00c4", "ddd", "\u00a0e"]) + rng.choice([" ", "\t", "\n\n", " \x0b", "\r", "\x0c"]) for _ in range(n))
+        assert simhash.fingerprint(text.encode(), limit=limit) == bits(text)
+    assert simhash.fingerprint(b"one word" * 3000, limit=limit) == bits("one word" * 3000)
+
+
 def test_links_lose_nothing(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 60, np.uint64)
