@@ -146,15 +146,75 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.corr("_ra", "_rb")).alias("spearman"))
 
 
-def against_all(scores: DataFrame, group: str, label: int) -> DataFrame:
-    """Rows of `label` in their group, and all rows of the other label once for each group: columns group, y, score.
+def against_all(scores: DataFrame, group: str, label: int, twice: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Each group's rows of `label` against all rows of the other label, whichever group these are in.
 
-    The other label's rows are first reduced to counts of distinct scores, kept as a weight in `n`.
+    Two tables. At most one row for each score that a group has: (group, score, n, above, at, n_own, n_rest), where n
+    are the group's rows there, above and at count the other label's rows with a higher and with the same score. And
+    the points of each group's curve: (group, place, tp, fp, n_pos, n_neg), place counting the rows called positive.
+
+    Between two scores of its own a group's curve is a straight line, so only its ends are made: the other label's
+    rows are counted once, not once for each group. Null groups are a group; null and NaN scores are left out.
+    `twice`: both tables will be read.
+    """
+    ok = scores.filter(F.col("y").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
+    counts = ok.groupBy(F.when(F.col("y") == label, F.col(group)).alias("group"), "y", "score").agg(F.count("*").alias("n"))
+    counts = settled(counts)
+    own, rest = counts.filter(F.col("y") == label).drop("y"), counts.filter(F.col("y") == 1 - label)
+    every = own.select("score", F.lit(0).cast("long").alias("n")).unionByName(rest.select("score", "n")).groupBy("score").agg(F.sum("n").alias("at"))
+    every = running(settled(every.withColumn("down", -F.col("score"))), [], "down", ["at"])
+    n_rest = rest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    mine = running(own.withColumn("down", -F.col("score")), ["group"], "down", ["n"]).drop("down")
+    totals = own.groupBy("group").agg(F.sum("n").alias("n_own"))
+    placed = mine.join(every.select("score", "at", (F.col("run_at") - F.col("at")).alias("above")), "score").alias("m")
+    placed = placed.join(totals.alias("t"), F.col("m.group").eqNullSafe(F.col("t.group"))).select("m.*", "t.n_own", F.lit(n_rest).alias("n_rest"))
+    placed = settled(placed) if twice else placed
+    ends = [(F.col("run_n") - F.col("n"), F.col("above")), (F.col("run_n"), F.col("above") + F.col("at")), (F.lit(0), F.lit(0)), (F.col("n_own"), F.col("n_rest"))]
+    point = lambda o, r: F.struct(o.cast("long").alias("own"), r.cast("long").alias("rest"))
+    points = placed.select("group", "n_own", "n_rest", F.explode(F.array(*[point(*e) for e in ends])).alias("p")).distinct()
+    pos, neg = ("own", "rest") if label else ("rest", "own")
+    points = points.select("group", (F.col("p.own") + F.col("p.rest")).cast("double").alias("place"), F.col(f"p.{pos}").alias("tp"), F.col(f"p.{neg}").alias("fp"), F.col(f"n_{pos}").alias("n_pos"), F.col(f"n_{neg}").alias("n_neg"))
+    return placed.drop("run_n"), points
+
+
+def _least(points: DataFrame, c: tuple[float, float, float]) -> DataFrame:
+    p_fa, p_miss = rates()
+    least = F.when((F.max("n_pos") > 0) & (F.max("n_neg") > 0), F.least(F.lit(1.0), F.min(cost(p_fa, p_miss, c))))
+    return points.groupBy("group").agg(least.alias("min_dcf"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
+
+
+def group_least(scores: DataFrame, group: str, label: int, c: tuple[float, float, float] = BRIEF) -> DataFrame:
+    """(group, n, n_rest, min_dcf): group_report() without the figures that need more than the least cost."""
+    d = _least(against_all(scores, group, label, twice=False)[1], c)
+    own, rest = ("n_pos", "n_neg") if label else ("n_neg", "n_pos")
+    return d.select("group", F.col(own).alias("n"), F.col(rest).alias("n_rest"), "min_dcf")
+
+
+def group_report(scores: DataFrame, group: str, label: int, c: tuple[float, float, float] = BRIEF) -> DataFrame:
+    """(group, n, n_rest, auc, min_dcf, eer) of each group's rows of `label` against all rows of the other one.
+
+    auc, min_dcf and eer are those that auc(), min_dcf() and eer() give of the group's rows with the others beside
+    them; null if there are no others.
     """
-    own = scores.filter(F.col("y") == label).groupBy(F.col(group).alias("group"), "y", "score").agg(F.count("*").alias("n"))
-    rest = scores.filter(F.col("y") == 1 - label).groupBy("y", "score").agg(F.count("*").alias("n"))
-    groups = own.select("group").distinct()
-    return own.unionByName(rest.join(F.broadcast(groups)).select("group", "y", "score", "n"))
+    placed, points = against_all(scores, group, label)
+    points = settled(points)
+    below = F.col("n_rest") - F.col("above") - F.col("at") if label else F.col("above")
+    won = F.sum(F.col("n") * (below + F.col("at") / 2.0)) / F.expr("nullif(max(n_own) * max(n_rest), 0)")
+    n = placed.groupBy("group").agg(F.max("n_own").alias("n"), F.max("n_rest").alias("n_rest"), won.alias("auc"))
+
+    p_fa, p_miss = rates()
+    then = following(points, ["group"], "place", ["tp", "fp"]).withColumn("back", -F.col("place"))
+    both = following(settled(then.withColumnsRenamed({"next_tp": "then_tp", "next_fp": "then_fp"})), ["group"], "back", ["tp", "fp"])
+    into = (F.col("tp") - F.col("next_tp"), F.col("fp") - F.col("next_fp"))
+    out = (F.col("then_tp") - F.col("tp"), F.col("then_fp") - F.col("fp"))
+    corner = F.coalesce(into[0] * out[1] != into[1] * out[0], F.lit(True))
+    at = both.filter(corner).select("group", "place", p_miss.alias("fnr"), p_fa.alias("fpr")).filter("fnr is not null and fpr is not null")
+    best = F.min_by(F.struct("fnr", "fpr"), F.struct(F.round(F.abs(F.col("fnr") - F.col("fpr")), 12), "place"))
+    equal = at.groupBy("group").agg(best.alias("b")).select("group", ((F.col("b.fnr") + F.col("b.fpr")) / 2).alias("eer"))
+    for part in (_least(points, c).select("group", "min_dcf"), equal):
+        d, e = n.alias("d"), part.alias("e")
+        n = d.join(e, F.col("d.group").eqNullSafe(F.col("e.group")), "left").select("d.*", f"e.{part.columns[1]}")
+    return n
 
 
 def masked_report(scores: DataFrame, keys: list[str]) -> DataFrame:

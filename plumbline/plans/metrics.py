@@ -105,17 +105,25 @@ sc AS (SELECT grp, y, score FROM base WHERE y={own} UNION ALL SELECT g.grp, b.y,
 
 def by_group(spark, sf_dir, group: str, own: int):
     s = evaluation(spark, sf_dir).filter("split = 'inner_oof' and y is not null").select("y", F.round("s1", 9).alias("score"), group)
-    at = me.against_all(s, group, own).groupBy("group", "score").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    run = me.running(at.withColumn("down", -F.col("score")), ["group"], "down", ["pos", "neg"])
-    totals = at.groupBy("group").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    c = me.cost(F.col("run_neg") / F.col("n_neg"), 1 - F.col("run_pos") / F.col("n_pos"), BRIEF)
-    return run.join(totals, "group").groupBy(F.col("group").alias("grp")).agg(F.round(F.least(F.lit(1.0), F.min(c)), 6).alias("min_dcf"), F.max("n_pos").alias("n_pos"))
+    d = me.group_least(s, group, own)
+    return d.select(F.col("group").alias("grp"), R6("min_dcf"), F.col("n" if own else "n_rest").alias("n_pos"))
 
 
 for name, column, own in (("by_generator", "generator", 1), ("by_source", "source", 0)):
     query(name, GROUP_SQL.format(ev=EV, g=column, own=own) + DCF_SQL.format(k="grp", **BRIEF_SQL) + " SELECT grp, round(min_dcf,6) AS min_dcf, max(np)::BIGINT AS n_pos FROM dcf JOIN rocs USING (grp) GROUP BY grp, min_dcf")(lambda spark, sf_dir, c=column, o=own: by_group(spark, sf_dir, c, o))
 
 
+REPORT_SQL = GROUP_SQL + DCF_SQL.format(k="grp", **BRIEF_SQL) + EER_SQL.replace("candidate, split", "grp") + ", au AS (SELECT grp, sum(pos*(nn-fp+neg/2e0))/nullif(max(np)*max(nn),0) AS auc, max(np)::BIGINT AS np, max(nn)::BIGINT AS nn FROM rocs GROUP BY grp) SELECT '{g}' AS part, grp, CASE {own} WHEN 1 THEN np ELSE nn END AS n, CASE {own} WHEN 1 THEN nn ELSE np END AS n_rest, round(auc,6) AS auc, round(min_dcf,6) AS min_dcf, round((fnr+fpr)/2e0,6) AS eer FROM au JOIN dcf USING (grp) JOIN e2 USING (grp) WHERE rn=1"
+
+
+@query("group_report", " UNION ALL ".join(f"SELECT * FROM ({REPORT_SQL.format(ev=EV, g=g, own=own)})" for g, own in (("generator", 1), ("source", 0))))
+def group_report(spark, sf_dir):
+    """Every generator's positives against all negatives, and every source's negatives against all positives."""
+    s = evaluation(spark, sf_dir).filter("split = 'inner_oof' and y is not null").select("y", F.round("s1", 9).alias("score"), "generator", "source")
+    parts = [me.group_report(s, g, own).withColumnRenamed("group", "grp").withColumn("part", F.lit(g)) for g, own in (("generator", 1), ("source", 0))]
+    return parts[0].unionByName(parts[1]).select("part", "grp", "n", "n_rest", R6("auc"), R6("min_dcf"), R6("eer"))
+
+
 @query(
     "delta_auc",
     f"WITH {EV}, sc AS (SELECT 's1' AS candidate, split, y, round(s1,9) AS score FROM ev WHERE y IS NOT NULL UNION ALL SELECT 's3', split, y, s3 FROM ev WHERE y IS NOT NULL)" + DCF_SQL.format(k=K, **BRIEF_SQL)

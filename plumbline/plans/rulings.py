@@ -9,6 +9,7 @@ from plumbline.functions.prefix import quantiles
 from plumbline.functions.scalars import AVERSE, BRIEF
 from plumbline.operators import expect, ranks, sensitivity
 from plumbline.operators import metrics as me
+from plumbline.operators import rulings as ru
 from plumbline.plans.fusion import BRIEF_SQL, DCF_SQL
 from plumbline.plans.models import clips
 from plumbline.plans.studies import _cramer
@@ -224,3 +225,58 @@ def run_stamps(spark, sf_dir):
     stamp = F.date_format("ts", "yyyyMMdd-HHmmss")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return table(spark, sf_dir, "events").select("event_id", stamp.alias("stamp"), iso.alias("iso"), F.concat(stamp, F.lit("-"), F.substring(F.sha2("event_type", 256), 1, 8)).alias("run"))
+
+
+# rules on gains, probes under noise
+
+GAINS_SQL = f"""WITH {EV}, sc AS (SELECT candidate, split, y, round(score,9) AS score FROM scores WHERE y IS NOT NULL){DCF_SQL.format(k="candidate, split", **BRIEF_SQL)}{BOTH_SQL.format(k="candidate, split")},
+c AS (SELECT candidate, max(round(min_dcf,4)) FILTER (split='itw') AS wb, max(round(averse,4)) FILTER (split='itw') AS wa, max(round(min_dcf,4)) FILTER (split='holdout') AS hb, max(round(min_dcf,4)) FILTER (split='inner_oof') AS ib FROM dcf JOIN pair USING (candidate, split) GROUP BY 1),
+k AS (SELECT 's2' AS candidate, count(*) FILTER (s1<0 AND s2>=0) AS catches FROM ev WHERE split='itw' AND y=1 UNION ALL SELECT 's3', count(*) FILTER (s1<0 AND s3>=0) FROM ev WHERE split='itw' AND y=1),
+g AS (SELECT candidate, o.wb-n.wb AS itw_brief, o.wa-n.wa AS itw_averse, o.hb-n.hb AS holdout_brief, o.ib-n.ib AS inner_brief, catches FROM k JOIN c n USING (candidate), (SELECT * FROM c WHERE candidate='s1') o),
+f AS (SELECT *, concat_ws(',', CASE WHEN itw_brief >= 0.03e0-1e-12 THEN NULL ELSE 'itw_brief_gain' END, CASE WHEN itw_averse >= 0.03e0-1e-12 THEN NULL ELSE 'itw_averse_gain' END, CASE WHEN catches>=19 THEN NULL ELSE 'catches' END) AS room_failed,
+ concat_ws(',', CASE WHEN itw_brief >= 0.01e0-1e-12 THEN NULL ELSE 'itw_brief_gain' END, CASE WHEN itw_averse >= -0.01e0-1e-12 THEN NULL ELSE 'itw_averse_reg' END, CASE WHEN holdout_brief >= -0.05e0-1e-12 THEN NULL ELSE 'holdout_brief_reg' END, CASE WHEN inner_brief >= -0.03e0-1e-12 THEN NULL ELSE 'inner_brief_reg' END) AS standing_failed FROM g)
+SELECT candidate, round(itw_brief,4) AS itw_brief, round(itw_averse,4) AS itw_averse, round(holdout_brief,4) AS holdout_brief, round(inner_brief,4) AS inner_brief, catches, room_failed, standing_failed, CASE room_failed WHEN '' THEN 'PASS' ELSE 'FAIL' END AS room, CASE standing_failed WHEN '' THEN 'PASS' ELSE 'FAIL' END AS standing FROM f"""
+
+
+@query("room_rules", GAINS_SQL)
+def room_rules(spark, sf_dir):
+    """What each candidate gains over the first detector, which rules of room and of the standing rule it fails."""
+    d = ru.ruled(ru.gains(evaluation(spark, sf_dir), ["s2", "s3"], "s1"))
+    four = [F.round(c, 4).alias(c) for c in ("itw_brief", "itw_averse", "holdout_brief", "inner_brief")]
+    return d.select("candidate", *four, "catches", "room_failed", "standing_failed", "room", "standing")
+
+
+#: Candidates that are probed; the last has no column in the table.
+PROBED = ("s1", "s2", "s3", "s4")
+NOISY_SQL = "b AS (SELECT doc_id, path, y, candidate, k.kind, CASE WHEN candidate='s4' OR (k.kind='noise20' AND doc_id%41=0) THEN NULL ELSE round(CASE k.kind WHEN 'none' THEN s ELSE s+m3/4e0 END,9) END AS score FROM (SELECT doc_id, path, y, m3, 's1' AS candidate, s1 AS s FROM ev WHERE split='holdout' UNION ALL SELECT doc_id, path, y, m3, 's2', s2 FROM ev WHERE split='holdout' UNION ALL SELECT doc_id, path, y, m3, 's3', s3 FROM ev WHERE split='holdout' UNION ALL SELECT doc_id, path, y, m3, 's4', NULL FROM ev WHERE split='holdout'), (SELECT unnest(['none','noise20']) AS kind) k), sc AS (SELECT * FROM b WHERE score IS NOT NULL)"
+PROBE_SQL = f"WITH {EV}, {NOISY_SQL}{DCF_SQL.format(k='candidate, kind', **BRIEF_SQL)}{BOTH_SQL.format(k='candidate, kind')}, au AS (SELECT candidate, kind, sum(pos*(nn-fp+neg/2e0))/nullif(max(np)*max(nn),0) AS auc FROM rocs GROUP BY ALL), cell AS (SELECT candidate, kind, count(score) AS n, count(*)-count(score) AS n_errors, max(auc) AS auc, max(min_dcf) AS brief, max(averse) AS averse FROM b LEFT JOIN dcf USING (candidate, kind) LEFT JOIN pair USING (candidate, kind) LEFT JOIN au USING (candidate, kind) GROUP BY ALL)"
+
+
+def _noisy(spark, sf_dir):
+    """(path, y, candidate, kind, score) of the holdout, clean and with noise, under which some rows can't be scored."""
+    held = ru.with_columns_of(evaluation(spark, sf_dir).filter("split = 'holdout'"), {c: "double" for c in PROBED})
+    broken = F.col("doc_id") % 41 == 0
+    made = [F.struct(F.lit(c).alias("candidate"), F.lit(k).alias("kind"), s.alias("score")) for c in PROBED for k, s in (("none", F.round(c, 9)), ("noise20", F.when(~broken, F.round(F.col(c) + F.col("m3") / 4.0, 9))))]
+    return held.select("path", "y", F.explode(F.array(*made)).alias("m")).select("path", "y", "m.*")
+
+
+@query("noise_probe", PROBE_SQL + " SELECT candidate, kind, n, n_errors, round(auc,6) AS auc, round(brief,6) AS brief, round(averse,6) AS averse FROM cell")
+def noise_probe(spark, sf_dir):
+    """Metrics of every candidate on clean rows and under noise; one that was never scored has errors only."""
+    return ru.probe_cells(_noisy(spark, sf_dir)).select("candidate", "kind", "n", "n_errors", R6("auc"), R6("brief"), R6("averse"))
+
+
+@query(
+    "noise_verdict",
+    PROBE_SQL + """, w AS (SELECT candidate, max(auc) FILTER (kind='none') AS clean, max(auc) FILTER (kind='noise20') AS noisy FROM cell GROUP BY 1), r AS (SELECT clean AS known FROM w WHERE candidate='s1'),
+ d AS (SELECT b.candidate, count(*) AS n, max(abs(b.score-round(v.score,9))) AS drift FROM b JOIN scores v ON v.path=b.path AND v.candidate=b.candidate WHERE b.kind='none' AND b.score IS NOT NULL GROUP BY 1)
+ SELECT candidate, round(clean,6) AS clean_auc, round(noisy,6) AS noisy_auc, CASE WHEN clean IS NULL OR noisy IS NULL OR known IS NULL THEN 'inconclusive' WHEN noisy >= 0.5e0 AND clean >= known-0.005e0-1e-12 THEN 'PASS' ELSE 'FAIL' END AS reading, coalesce(n,0) AS n_checked, round(drift,9) AS drift FROM w LEFT JOIN d USING (candidate), r""",
+)
+def noise_verdict(spark, sf_dir):
+    """Whether a candidate stands noise and is as good as the first one without, with a check against stored scores."""
+    cells = settled(_noisy(spark, sf_dir))
+    read = ru.probe_reading(settled(ru.probe_cells(cells)), "none", "noise20", "s1", 0.5, 0.005)
+    stored = long_scores(evaluation(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    checked = ru.self_check(cells.filter("kind = 'none'"), stored, ["path", "candidate"], "candidate")
+    both = read.join(checked, "candidate", "left")
+    return both.select("candidate", R6("clean_auc"), R6("noisy_auc"), "reading", F.coalesce("n", F.lit(0)).alias("n_checked"), F.round("drift", 9).alias("drift"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.lineage import settled
 from plumbline.functions.prefix import quantiles
 from plumbline.functions.strict import strict_json
+from plumbline.operators import augment as au
 from plumbline.operators import draws as dr
 from plumbline.operators import expect, fits, merkle, ranks, sensitivity, splits
 from plumbline.operators import features as fe
@@ -258,3 +259,60 @@ def preflight(spark, sf_dir):
     same = (F.col("a.status") == "ok") & (F.size("a.features") > 0) & F.map_keys("a.features").eqNullSafe(F.map_keys("b.features")) & near
     status = F.when(F.col("a.status") == F.col("b.status"), F.col("a.status")).otherwise("differs")
     return once.alias("a").join(again.alias("b"), "path").select("path", status.alias("status"), F.coalesce(same, F.lit(False)).alias("repeats"))
+
+
+# plans of changes
+
+VALUE_SQL = "CASE {op} WHEN 'noise' THEN 5e0+25e0*{v} WHEN 'band' THEN CASE WHEN {v}<0.5e0 THEN 3400e0 ELSE 4000e0 END WHEN 'reverb' THEN 0.2e0+(0.8e0-0.2e0)*{v} WHEN 'gain_clip' THEN -12e0+24e0*{v} ELSE 0e0 END"
+RACE_SQL = W + f"""r AS (SELECT doc_id, path, source, y, doc_id%4<>0 AS coded, {JIT.format("'3:1:'||doc_id||':any'")}<0.65e0 AS touched, {JIT.format("'3:1:'||doc_id||':many'")}<0.6e0 AS single, {JIT.format("'3:1:'||doc_id||':filter'")}<0.25e0 AS filtered FROM ev WHERE split='inner_oof'),
+o AS (SELECT doc_id, op, row_number() OVER (PARTITION BY doc_id ORDER BY -ln(1e0-{JIT.format("'3:1:'||doc_id||':'||op")})/weight, op) AS k, {JIT.format("'3:1:'||doc_id||':'||op||':value'")} AS v FROM r, (VALUES ('noise',1e0),('band',2e0),('reverb',1e0),('gain_clip',1e0),('codec',1e0)) w(op,weight) WHERE coded OR op<>'codec'),
+p AS (SELECT r.*, a.op AS first_op, {VALUE_SQL.format(op="a.op", v="a.v")} AS first_value, CASE WHEN NOT single THEN b.op END AS second_op, CASE WHEN NOT single THEN {VALUE_SQL.format(op="b.op", v="b.v")} END AS second_value FROM r JOIN o a ON a.doc_id=r.doc_id AND a.k=1 JOIN o b ON b.doc_id=r.doc_id AND b.k=2)"""
+
+
+def _plans(spark, sf_dir):
+    rows = evaluation(spark, sf_dir).filter("split = 'inner_oof'")
+    return au.planned(rows, "doc_id", 3, 1, F.col("doc_id") % 4 != 0)
+
+
+@query(
+    "augment_plan",
+    RACE_SQL + " SELECT path, CASE WHEN touched THEN first_op END AS first_op, CASE WHEN touched THEN round(first_value,6) END AS first_value, CASE WHEN touched THEN second_op END AS second_op, CASE WHEN touched THEN round(second_value,6) END AS second_value, touched AND filtered AS filtered FROM p",
+)
+def augment_plan(spark, sf_dir):
+    """What is done to each training row in one epoch; only rows with a coded variant can be swapped for it."""
+    d = _plans(spark, sf_dir).withColumn("drawn", F.filter("plan", lambda c: c.op != au.FILTER))
+    one = lambda i, f: F.get("drawn", F.lit(i))[f]
+    filtered = F.exists("plan", lambda c: c.op == au.FILTER)
+    return d.select("path", one(0, "op").alias("first_op"), F.round(one(0, "value"), 6).alias("first_value"), one(1, "op").alias("second_op"), F.round(one(1, "value"), 6).alias("second_value"), filtered.alias("filtered"))
+
+
+OPS_SQL = RACE_SQL + ", t AS (SELECT source, y, unnest(CASE WHEN touched THEN list_filter([first_op, second_op, CASE WHEN filtered THEN 'rawboost_conv' END], lambda x: x IS NOT NULL) ELSE ['clean'] END) AS op FROM p)"
+
+
+@query("augment_tally", OPS_SQL + ", s AS (SELECT source, y, count(*) AS whole FROM p GROUP BY ALL) SELECT t.source, t.y, op, count(*) AS n, round(count(*)/max(whole)::DOUBLE,6) AS rate FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source AND t.y=s.y GROUP BY ALL")
+def augment_tally(spark, sf_dir):
+    """How often each change was planned among the rows of a source and label."""
+    return au.tally(_plans(spark, sf_dir), ["source", "y"]).select("source", "y", "op", "n", R6("rate"))
+
+
+SKEW_SQL = OPS_SQL + """, z AS (SELECT count(*) FILTER (y=0) AS n0, count(*) FILTER (y=1) AS n1 FROM p), c AS (SELECT op, count(*) FILTER (y=0) AS a, count(*) FILTER (y=1) AS b FROM t GROUP BY 1),
+g AS (SELECT op, a/nullif(n0,0)::DOUBLE AS r0, b/nullif(n1,0)::DOUBLE AS r1, (a+b)/(n0+n1)::DOUBLE AS h, 1e0/nullif(n0,0)+1e0/nullif(n1,0) AS w FROM c, z)
+SELECT op, round(r0,6) AS rate_0, round(r1,6) AS rate_1, round(r0-r1,6) AS gap, round(4e0*sqrt(h*(1e0-h)*w),6) AS bound, coalesce(abs(r0-r1) > 4e0*sqrt(h*(1e0-h)*w), false) AS skewed FROM g"""
+
+
+@query("augment_independence", SKEW_SQL)
+def augment_independence(spark, sf_dir):
+    """Whether a change fell on one label more often than chance allows."""
+    d = au.independence(_plans(spark, sf_dir), "y")
+    return d.select("op", R6("rate_0"), R6("rate_1"), R6("gap"), R6("bound"), "skewed")
+
+
+TURN_SQL = W + f"""r AS (SELECT path, {ROWS_SQL} AS row FROM ev WHERE split='holdout'), t AS (SELECT path, row, ['noise','band','reverb','gain_clip','rawboost_conv'][(row%5+1)::INT] AS op, {JIT.format("'1234:'||row")} AS u FROM r)
+SELECT path, row, op, round({VALUE_SQL.format(op="op", v="u")},6) AS value FROM t"""
+
+
+@query("holdout_changes", TURN_SQL)
+def holdout_changes(spark, sf_dir):
+    """One change for each held-out row, taken in turn, the same for every model."""
+    held = evaluation(spark, sf_dir).filter("split = 'holdout'").select("doc_id", "path")
+    return au.cycled(held, "doc_id", 1234).select("path", "row", "op", R6("value"))
