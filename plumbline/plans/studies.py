@@ -65,6 +65,13 @@ def stratified_folds(spark, sf_dir):
     return splits.grouped_folds(ev, "session", "y", 5, 3)
 
 
+@query("generator_folds", f"WITH RECURSIVE {EV}, k AS (SELECT * FROM (SELECT *, CASE y WHEN 1 THEN 'gen_'||generator ELSE 'spk_'||speaker END AS cv_group FROM ev WHERE y IS NOT NULL) WHERE cv_group IS NOT NULL), " + folds_sql("k", "cv_group", ["y=0", "y=1"], 5, 2))
+def generator_folds(spark, sf_dir):
+    """Folds that hold out whole generators of positives and whole speakers of negatives; rows of neither are left out."""
+    group = F.when(F.col("y") == 1, F.concat(F.lit("gen_"), "generator")).otherwise(F.concat(F.lit("spk_"), "speaker"))
+    return splits.grouped_folds(evaluation(spark, sf_dir).filter("y is not null").withColumn("cv_group", group), "cv_group", "y", 5, 2)
+
+
 @query("plain_folds", f"WITH RECURSIVE {EV}, k AS (SELECT *, source||'/'||(doc_id%23) AS session FROM ev), " + folds_sql("k", "session", ["true"], 4, 1))
 def plain_folds(spark, sf_dir):
     """Four folds of whole groups, near in rows, without labels."""
