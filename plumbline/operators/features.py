@@ -11,22 +11,36 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, lag_of, snr_db, trim
 from plumbline.functions.headers import wav_facts
-from plumbline.functions.signal import Clip, deployed, safe, segment
+from plumbline.functions.signal import Clip, deployed, safe, safe_all, segment
 from plumbline.operators.fusion import gate_reasons
 
 #: Clips are read from Arrow batches in slices of so many, so that results of few are held at once.
 SLICE = 256
+#: Samples of clips that are measured together, one clip at least.
+TOGETHER = 1 << 20
 
 
-def _each(clips: DataFrame, key: str, content: str, made: str, rows: Callable[[bytes | None], list[tuple]]) -> DataFrame:
-    """`rows` of every clip beside its key; made: their columns."""
+def dealt(clips: DataFrame, key: str = "path", seed: int = 42) -> DataFrame:
+    """`clips` dealt to tasks by their keys' hash, another way for another seed.
+
+    A file of few row groups is read by as few tasks, however large it is; what is done with a clip takes far longer
+    than to move it. Their number is set, so that Spark does not merge tasks down to about one for each core, of
+    which some would be dealt a second one while the others wait.
+    """
+    spark = clips.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return clips.repartition(n, F.xxhash64(F.lit(seed), key))
+
+
+def _each(clips: DataFrame, key: str, content: str, made: str, rows: Callable[[list[bytes | None]], Iterable[list[tuple]]]) -> DataFrame:
+    """`rows` of clips in a list, a list of rows for each, beside their keys; made: their columns."""
     kind = clips.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 b = batch.slice(at, SLICE)
-                done = [rows(c) for c in b.column(1).to_pylist()]
+                done = list(rows(b.column(1).to_pylist()))
                 place = np.repeat(np.arange(b.num_rows), [len(d) for d in done])
                 columns = list(zip(*[r for d in done for r in d])) or [[]] * len(wanted)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place)), *[pa.array(c, f.type) for c, f in zip(columns, wanted)]], names=["key", *wanted.names])
@@ -37,13 +51,31 @@ def _each(clips: DataFrame, key: str, content: str, made: str, rows: Callable[[b
     return clips.select(key, content).mapInArrow(run, f"key {kind}, {made}").withColumnRenamed("key", key)
 
 
+def _decoded(contents: list[bytes | None]) -> Iterator[list[np.ndarray | None]]:
+    """Samples of each content in groups of at most TOGETHER samples, or of one clip."""
+    group, size = [], 0
+    for data in contents:
+        x = decode_wav(data)
+        n = 0 if x is None else len(x)
+        if group and size + n > TOGETHER:
+            yield group
+            group, size = [], 0
+        group.append(x)
+        size += n
+    if group:
+        yield group
+
+
 def features(clips: DataFrame, families: list[str], key: str = "path", content: str = "content") -> DataFrame:
     """(key, family, features map, status): broken clips have a status and no features."""
 
-    def rows(data):
-        x = decode_wav(data)
-        clip = None if x is None else Clip(x)
-        return [(f, list(d.items()), s) for f in families for d, s in [safe(clip, f)]]
+    def rows(contents):
+        for group in _decoded(contents):
+            some = [None if x is None else Clip(x) for x in group]
+            gates = safe_all(some, "gate") if "gate" in families else [None] * len(some)
+            for i, gate in enumerate(gates):
+                clip, some[i] = some[i], None  # what families share is held for one clip
+                yield [(f, list(d.items()), s) for f in families for d, s in [gate if f == "gate" else safe(clip, f)]]
 
     return _each(clips, key, content, "family string, features map<string,double>, status string", rows)
 
@@ -58,7 +90,7 @@ def decode_stats(clips: DataFrame, key: str = "path", content: str = "content")
         loud = np.flatnonzero(np.abs(x) > 0.01)
         return [(len(x), float(np.abs(x).max()), float(loud[0] / RATE) if len(loud) else None, len(trim(x)) / RATE, int((np.abs(x) >= 0.999).sum()), "ok")]
 
-    return _each(clips, key, content, "n_samples long, peak double, lead_s double, trimmed_s double, clipped long, status string", rows)
+    return _each(clips, key, content, "n_samples long, peak double, lead_s double, trimmed_s double, clipped long, status string", lambda contents: map(rows, contents))
 
 
 def header_probe(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -84,16 +116,18 @@ def prepared(clips: DataFrame, seconds: float = 8.0, seed: int | None = None, ke
         y = segment(x, seconds, seed)
         return [(y.astype(np.float32).tolist(), len(y) / RATE, float(deployed(x, seconds).std()))]
 
-    return _each(clips, key, content, "samples array<float>, segment_s double, deployed_std double", rows)
+    return _each(clips, key, content, "samples array<float>, segment_s double, deployed_std double", lambda contents: map(rows, contents))
 
 
 def perturbed(clips: DataFrame, family: str, kinds: list[str], key: str = "path", content: str = "content") -> DataFrame:
     """(key, kind, features, status) of each clip under each perturbation, seeded by place in the list of kinds."""
 
-    def rows(data):
-        x = decode_wav(data)
-        changed = [None if x is None else Clip(PERTURBATIONS[k](x.astype(np.float64), s)) for s, k in enumerate(kinds)]
-        return [(k, list(d.items()), s) for k, c in zip(kinds, changed) for d, s in [safe(c, family)]]
+    def rows(contents):
+        for group in _decoded(contents):
+            changed = [None if x is None else Clip(PERTURBATIONS[k](x.astype(np.float64), s)) for x in group for s, k in enumerate(kinds)]
+            found = iter(safe_all(changed, family))
+            for _ in group:
+                yield [(k, list(d.items()), s) for k in kinds for d, s in [next(found)]]
 
     return _each(clips, key, content, "kind string, features map<string,double>, status string", rows)
 
@@ -108,4 +142,4 @@ def alignment(clips: DataFrame, kinds: list[str], key: str = "path", content: st
         x = x.astype(np.float64)
         return [(k, lag_of(x, y), snr_db(x, y)) for s, k in enumerate(kinds) for y in [PERTURBATIONS[k](x, s)]]
 
-    return _each(clips, key, content, "kind string, lag int, snr_db double", rows)
+    return _each(clips, key, content, "kind string, lag int, snr_db double", lambda contents: map(rows, contents))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import dsp, scalars, signal
 from plumbline.functions.prefix import following, quantiles
 from plumbline.operators import expect, fits, folds, fusion, metrics, relations, splits
-from plumbline.operators.features import decode_stats, features
+from plumbline.operators.features import dealt, decode_stats, features
 from plumbline.plans import fits as plans
 from plumbline.sources import readers, sinks
 from plumbline.streaming import scoring
@@ -165,6 +165,24 @@ def test_recordings_and_features(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3  # files of the folder itself
 
 
+def test_gates_of_many_clips_are_those_of_each():
+    rng = np.random.default_rng(0)
+    t = np.arange(40000) / 16000
+    xs = [rng.normal(size=n) * 0.1 for n in (1, 700, 1300, 7999, 8000, 24000)] + [0.3 * np.sin(2 * np.pi * 200 * t), np.zeros(9000), np.ones(50) * 0.3, np.empty(0)]
+    each = [signal.speech_gate(x) for x in xs]
+    turn = rng.permutation(len(xs))
+    assert [each[i] for i in turn] == signal.speech_gates([xs[i] for i in turn])
+    for x, got in zip(xs, each):  # silence behind a short clip is part of it
+        assert signal.speech_gate(np.pad(x, (0, max(0, 8000 - len(x))))) == pytest.approx(got, abs=1e-9)
+    assert each[6]["voiced"] > 0.9 and each[7]["level_db"] == -180.0
+
+
+def test_clips_of_one_task_are_dealt(spark):
+    clips = spark.range(400).select(F.concat(F.lit("doc/"), "id").alias("path"), F.lit(b"x").alias("content")).coalesce(1)
+    at = [{r[0]: r[1] for r in features(dealt(clips, seed=seed), ["gate"]).select("path", F.spark_partition_id()).collect()} for seed in (1, 2)]
+    assert all(len(a) == 400 and len(set(a.values())) > 8 for a in at) and at[0] != at[1]
+
+
 def test_signal_functions():
     x = np.random.default_rng(0).normal(size=16000) * 0.1
     noisy = dsp.add_noise(x, 20, 1) - x
