@@ -32,6 +32,15 @@ def dealt(clips: DataFrame, key: str = "path", seed: int = 42) -> DataFrame:
     return clips.repartition(n, F.xxhash64(F.lit(seed), key))
 
 
+def _column(values: list | tuple, kind: pa.DataType) -> pa.Array:
+    """Values as Arrow; dicts by their keys and values in line, which takes a twentieth of the time of pairs."""
+    if not pa.types.is_map(kind):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *map(len, values)])
+    keys, items = [k for d in values for k in d], [v for d in values for v in d.values()]
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, kind.key_type), pa.array(items, kind.item_type))
+
+
 def _each(clips: DataFrame, key: str, content: str, made: str, rows: Callable[[list[bytes | None]], Iterable[list[tuple]]]) -> DataFrame:
     """`rows` of clips in a list, a list of rows for each, beside their keys; made: their columns."""
     kind = clips.schema[key].dataType.simpleString()
@@ -43,7 +52,7 @@ def _each(clips: DataFrame, key: str, content: str, made: str, rows: Callable[[l
                 done = list(rows(b.column(1).to_pylist()))
                 place = np.repeat(np.arange(b.num_rows), [len(d) for d in done])
                 columns = list(zip(*[r for d in done for r in d])) or [[]] * len(wanted)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place)), *[pa.array(c, f.type) for c, f in zip(columns, wanted)]], names=["key", *wanted.names])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place)), *[_column(c, f.type) for c, f in zip(columns, wanted)]], names=["key", *wanted.names])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -75,7 +84,7 @@ def features(clips: DataFrame, families: list[str], key: str = "path", content:
             gates = safe_all(some, "gate") if "gate" in families else [None] * len(some)
             for i, gate in enumerate(gates):
                 clip, some[i] = some[i], None  # what families share is held for one clip
-                yield [(f, list(d.items()), s) for f in families for d, s in [gate if f == "gate" else safe(clip, f)]]
+                yield [(f, d, s) for f in families for d, s in [gate if f == "gate" else safe(clip, f)]]
 
     return _each(clips, key, content, "family string, features map<string,double>, status string", rows)
 
@@ -127,7 +136,7 @@ def perturbed(clips: DataFrame, family: str, kinds: list[str], key: str = "path"
             changed = [None if x is None else Clip(PERTURBATIONS[k](x.astype(np.float64), s)) for x in group for s, k in enumerate(kinds)]
             found = iter(safe_all(changed, family))
             for _ in group:
-                yield [(k, list(d.items()), s) for k in kinds for d, s in [next(found)]]
+                yield [(k, d, s) for k in kinds for d, s in [next(found)]]
 
     return _each(clips, key, content, "kind string, features map<string,double>, status string", rows)
 

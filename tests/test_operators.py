@@ -199,6 +199,30 @@ def test_perturbations_are_dealt_and_measured_one_by_one(spark, sf_dir, tmp_path
             assert got[f"{n}.wav", k] == (pytest.approx(signal.speech_gate(dsp.PERTURBATIONS[k](x, s))), "ok")
 
 
+def test_clip_features_are_dealt(spark, sf_dir):
+    assert models.clip_features(spark, sf_dir).select(F.spark_partition_id()).distinct().count() > 8  # the table has one row group
+
+
+def test_cropped_tones_give_whole_products():
+    q = 1 / (2 ** (1 / signal.CQ_STEPS) - 1)
+    f = signal.CQ_LOW * 2 ** (np.arange(signal.CQ_BINS) / signal.CQ_STEPS)
+    n, wide = int(np.ceil(q * 16000 / f[0])), q * 16000 / f
+    at = np.arange(n)[:, None] - n / 2
+    kernel = np.where(np.abs(at) <= wide / 2, 0.5 + 0.5 * np.cos(2 * np.pi * at / wide), 0) * np.exp(-2j * np.pi * at * f / 16000) / wide
+    rng = np.random.default_rng(2)
+    for length in (1, 300, 3000, 60000):
+        clip = signal.Clip(rng.normal(size=length) * 0.1)
+        rows = np.lib.stride_tricks.sliding_window_view(np.pad(clip.x, (n // 2, n - n // 2)), n)[:: signal.CQ_HOP]
+        want = np.log(np.abs(rows @ kernel) ** 2 + 1e-10) @ dsp.cosines(signal.CQ_BINS, signal.CQ_KEPT).T
+        assert signal.constant_q(clip) == pytest.approx(dsp.moving(want, "cqcc"), rel=1e-6, abs=1e-6)
+
+
+def test_percentiles_and_slopes():
+    v = np.random.default_rng(3).normal(size=(5, 37))
+    assert np.allclose(signal.percentile(v, 2, 50, 100), np.percentile(v, [2, 50, 100], axis=1))
+    assert np.allclose(signal._slope(np.arange(37) * 0.1, v), np.polyfit(np.arange(37) * 0.1, v.T, 1)[0])
+
+
 def test_signal_functions():
     x = np.random.default_rng(0).normal(size=16000) * 0.1
     noisy = dsp.add_noise(x, 20, 1) - x
