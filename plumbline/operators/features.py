@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, lag_of, snr_db, trim
+from plumbline.functions.dsp import PERTURBATIONS, RATE, decode_wav, lag_of, read_wav, snr_db, trim
 from plumbline.functions.headers import wav_facts
 from plumbline.functions.signal import Clip, deployed, safe, safe_all, segment
 from plumbline.operators.fusion import gate_reasons
@@ -20,8 +20,8 @@ SLICE = 256
 TOGETHER = 1 << 20
 
 
-def dealt(clips: DataFrame, key: str = "path", seed: int = 42) -> DataFrame:
-    """`clips` dealt to tasks by their keys' hash, another way for another seed.
+def dealt(clips: DataFrame, key: str = "path", seed: int = 42, times: int = 1) -> DataFrame:
+    """`clips` dealt to tasks by their keys' hash, another way for another seed; times: as often is each among them.
 
     A file of few row groups is read by as few tasks, however large it is; what is done with a clip takes far longer
     than to move it. Their number is set, so that Spark does not merge tasks down to about one for each core, of
@@ -29,7 +29,7 @@ def dealt(clips: DataFrame, key: str = "path", seed: int = 42) -> DataFrame:
     """
     spark = clips.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return clips.repartition(n, F.xxhash64(F.lit(seed), key))
+    return clips.repartition(n * times, F.xxhash64(F.lit(seed), key))
 
 
 def _column(values: list | tuple, kind: pa.DataType) -> pa.Array:
@@ -60,11 +60,11 @@ def _each(clips: DataFrame, key: str, content: str, made: str, rows: Callable[[l
     return clips.select(key, content).mapInArrow(run, f"key {kind}, {made}").withColumnRenamed("key", key)
 
 
-def _decoded(contents: list[bytes | None]) -> Iterator[list[np.ndarray | None]]:
+def _decoded(contents: list[bytes | None], decode: Callable = decode_wav) -> Iterator[list[np.ndarray | None]]:
     """Samples of each content in groups of at most TOGETHER samples, or of one clip."""
     group, size = [], 0
     for data in contents:
-        x = decode_wav(data)
+        x = decode(data)
         n = 0 if x is None else len(x)
         if group and size + n > TOGETHER:
             yield group
@@ -75,11 +75,14 @@ def _decoded(contents: list[bytes | None]) -> Iterator[list[np.ndarray | None]]:
         yield group
 
 
-def features(clips: DataFrame, families: list[str], key: str = "path", content: str = "content") -> DataFrame:
-    """(key, family, features map, status): broken clips have a status and no features."""
+def features(clips: DataFrame, families: list[str], key: str = "path", content: str = "content", empty: bool = False) -> DataFrame:
+    """(key, family, features map, status): broken clips have a status and no features.
+
+    empty: a recording of no samples is silence; else it is broken.
+    """
 
     def rows(contents):
-        for group in _decoded(contents):
+        for group in _decoded(contents, read_wav if empty else decode_wav):
             some = [None if x is None else Clip(x) for x in group]
             gates = safe_all(some, "gate") if "gate" in families else [None] * len(some)
             for i, gate in enumerate(gates):
@@ -102,9 +105,9 @@ def decode_stats(clips: DataFrame, key: str = "path", content: str = "content")
     return _each(clips, key, content, "n_samples long, peak double, lead_s double, trimmed_s double, clipped long, status string", lambda contents: map(rows, contents))
 
 
-def header_probe(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, format, channels, rate, bits, frames, seconds, error) from headers alone."""
-    return wav_facts(clips.select(key, content), content)
+def header_probe(clips: DataFrame, key: str = "path", content: str = "content", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, format, channels, rate, bits, frames, seconds, error) from headers alone; also: columns to keep."""
+    return wav_facts(clips.select(key, *also, content), content)
 
 
 def speech_gate(clips: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

@@ -216,7 +216,8 @@ def pcm_hashes(spark, sf_dir):
     """Hash of the samples of each recording, whatever its header says beside them; no other file has one."""
     c = clips(spark, sf_dir).filter(F.substring("content", 1, 4) == F.lit(b"RIFF"))
     pcm = F.substring("content", 45, 2**31 - 1)
-    return c.select("path", F.sha2(pcm, 256).alias("pcm"), F.floor(F.octet_length(pcm) / 2).cast("long").alias("n_samples"))
+    of = lambda c: F.when(F.col("given"), c)
+    return c.select("path", of(F.sha2(pcm, 256)).alias("pcm"), of(F.floor(F.octet_length(pcm) / 2).cast("long")).alias("n_samples"))
 
 
 @query("run_stamps", "SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS stamp, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y%m%d-%H%M%S')||'-'||substr(sha256(event_type),1,8) AS run FROM events")

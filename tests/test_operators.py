@@ -6,6 +6,7 @@ import struct
 import wave
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from plumbline.functions.prefix import following, quantiles
 from plumbline.operators import expect, fits, folds, fusion, metrics, relations, splits
 from plumbline.operators.features import dealt, decode_stats, features, perturbed
 from plumbline.plans import fits as plans
-from plumbline.plans import models
+from plumbline.plans import models, registry
 from plumbline.sources import readers, sinks
 from plumbline.streaming import scoring
 
@@ -184,6 +185,41 @@ def test_clips_of_one_task_are_dealt(spark):
     assert all(len(a) == 400 and len(set(a.values())) > 8 for a in at) and at[0] != at[1]
 
 
+@pytest.fixture
+def odd_dir(spark, tmp_path):
+    """Documents without text, with none or one byte of it, and several of one id."""
+    rows = [(0, None), (1, ""), (2, "A"), (3, "A."), (4, "\0\0\0\0"), (5, "words " * 300), (7, "same " * 30), (7, "same " * 30), (8, "one text"), (8, "another, longer text " * 20), (9, None), (19, ""), (29, "text"), (-9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["preflight", "header_probe", "pcm_hashes"])
+def test_recordings_of_odd_documents_equal_sql(spark, odd_dir, name):
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd_dir}/documents.parquet/*.parquet'")
+    assert oracle.differences(registry.QUERIES[name](spark, odd_dir), con, registry.ORACLES[name]) == ""
+
+
+def test_readings_that_differ_are_told(spark, odd_dir, monkeypatch):
+    from plumbline.plans import studies
+
+    def changed(*given, **more):
+        again = lambda path: (F.col("clip.turn") == 2) & (F.col("clip.path") == path)
+        moved = F.transform_values("features", lambda k, v: v + F.when(again("doc/3"), 1e-5).when(again("doc/4"), 1e-7).otherwise(0.0))
+        return features(*given, **more).filter(~again("doc/5")).withColumn("features", moved).withColumn("status", F.when(again("doc/1"), "failed").otherwise(F.col("status")))
+
+    monkeypatch.setattr(studies.fe, "features", changed)
+    got = {r["path"]: (r["status"], r["repeats"]) for r in studies.preflight(spark, odd_dir).collect()}
+    assert got["doc/1"] == got["doc/5"] == ("differs", False) and got["doc/3"] == ("ok", False) and got["doc/4"] == got["doc/0"] == ("ok", True)
+
+
+def test_frames_of_a_long_clip_are_not_held_at_once(monkeypatch):
+    most, pitches = [], signal._pitches
+    monkeypatch.setattr(signal, "_pitches", lambda f: most.append(len(f)) or pitches(f))
+    assert signal.speech_gate(np.random.default_rng(2).normal(size=160_000))["energy_std"] < 1
+    assert max(most) <= signal.BLOCK < sum(most)
+
+
 def test_perturbations_are_dealt_and_measured_one_by_one(spark, sf_dir, tmp_path):
     assert models.perturbations(spark, sf_dir).select(F.spark_partition_id()).distinct().count() > 8  # the table has one row group
     rng = np.random.default_rng(1)
@@ -295,6 +331,16 @@ def test_wav_headers():
     assert math.isclose(scalars.bayes_threshold(4, 1, 0.3), math.log(4) + math.log(7 / 3))
 
 
+def test_recordings_of_no_samples(spark):
+    head = lambda n: b"RIFF" + struct.pack("<I", 36 + n) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", n)
+    assert dsp.read_wav(head(0)).tolist() == [] and dsp.decode_wav(head(0)) is None
+    assert dsp.read_wav(head(4)) is None and dsp.read_wav(head(0) + b"\0\0") is None and dsp.read_wav(b"") is None  # cut off, of an unknown length, no file
+    d = spark.createDataFrame([("none", bytearray(head(0))), ("cut", bytearray(head(4))), ("one", bytearray(head(2) + b"\0@"))], "path string, content binary")
+    for empty in (False, True):
+        got = {r["path"]: (r["status"], r["features"].get("level_db")) for r in features(d, ["gate"], empty=empty).collect()}
+        assert got["none"] == (("ok", -180.0) if empty else ("decode_error", None)) and got["cut"] == ("decode_error", None) and got["one"][0] == "ok"
+
+
 def test_header_facts_of_all_kinds_of_files(spark):
     from plumbline.functions.headers import wav_facts
 
